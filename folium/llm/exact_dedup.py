@@ -72,8 +72,10 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 32).copy()
 
 
-def _look_up(history: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
+def _look_up(rows: pd.DataFrame) -> pd.DataFrame:
     """One bucket: build the index over the historical digests, look up the incoming ones, return each distinct digest once."""
+    cols = ["n_points", "keep_id", "keep_row", "group_size"]
+    history, incoming = (rows[rows["historical"] == side].reset_index(drop=True) for side in (True, False))
     old, new = _matrix(history["digest"]), _matrix(incoming["digest"])
     index = PerfectHash(old)
     slots = np.empty(len(old), np.int64)
@@ -83,7 +85,6 @@ def _look_up(history: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
     known[known] = (old[slots[at[known]]] == new[known]).all(axis=1)
     row = np.full(len(new), -1, np.int64)
     row[known] = slots[at[known]]
-    cols = ["n_points", "keep_id", "keep_row", "group_size"]
     alone = np.ones(len(old), bool)
     alone[row[known]] = False
     merged = incoming.loc[known, ["digest", *cols]].reset_index(drop=True)
@@ -100,11 +101,11 @@ def _look_up(history: pd.DataFrame, incoming: pd.DataFrame) -> pd.DataFrame:
     return out[["digest", "member", "keep_id", "keep_row", "group_size"]]
 
 
-def _grouped(rows: DataFrame) -> DataFrame:
-    """One row for each distinct digest: the winner's locator and the number of rows."""
+def _grouped(rows: DataFrame, historical: Column) -> DataFrame:
+    """One row for each distinct digest of either side: the winner's locator and the number of rows."""
     order = F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"), F.col("doc_id").alias("c"), F.col("row").alias("d"))
-    return rows.groupBy("digest").agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("group_size")).select(
-        "digest", (-F.col("w.a")).alias("n_points"), F.col("w.c").alias("keep_id"), F.col("w.d").alias("keep_row"), "group_size"
+    return rows.groupBy("digest", historical.alias("historical")).agg(F.min(order).alias("w"), F.count(F.lit(1)).alias("group_size")).select(
+        "digest", "historical", (-F.col("w.a")).alias("n_points"), F.col("w.c").alias("keep_id"), F.col("w.d").alias("keep_row"), "group_size"
     )
 
 
@@ -121,11 +122,10 @@ def mark_duplicates(rows: DataFrame, historical: Column, buckets: int | None = N
     kept. Rows that repeat a doc_id and text are told apart by row, so exactly one row of a group is kept. A null doc_id
     loses against any other. An empty table gives an empty result.
     """
-    old, new = _grouped(rows.where(historical)), _grouped(rows.where(~historical))
     if buckets is None:
         buckets = 1 + rows.select(F.approx_count_distinct("digest")).first()[0] // BUCKET
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
-    found = old.groupBy(bucket.alias("b")).cogroup(new.groupBy(bucket.alias("b"))).applyInPandas(_look_up, _FOUND)
+    found = _grouped(rows, historical).groupBy(bucket.alias("bucket")).applyInPandas(_look_up, _FOUND)
     return rows.join(found, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
