@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.exact_dedup import op1_exact_dedup
+from folium.llm.piece_viterbi import op9_sentencepiece
 from folium.llm.token_blocks import op3_token_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_blocks)}
+    return {f.__name__: f for f in (op1_exact_dedup, op3_token_blocks, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
