@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.exact_dedup import op1_exact_dedup
 from folium.llm.piece_viterbi import op9_sentencepiece
+from folium.llm.secret_scan import op2_secret_ownership
 from folium.llm.token_blocks import op3_token_blocks
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op3_token_blocks, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -33,3 +34,41 @@ WITH n AS (
 )
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256, member FROM w
 """
+
+_SECRET_KINDS = [
+    ("assign", 0, r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    ("access", 1, "AKIA[A-Z0-9]+", 0, 16),
+    ("hex", 2, "[0-9a-f]+", 0, 32),
+]
+
+
+def _matches(name: str, number: int, pattern: str, group: int, least: int) -> str:
+    """Matches with their starts: what stands between the matches, and the matches, are as long as all text up to there."""
+    return f"""
+    SELECT k, doc_id, owner, repository, {number} AS kind, '{name}' AS name, g, sum(length(g) + length(m)) OVER (PARTITION BY k ORDER BY i) AS e, length(m) AS n, v FROM (
+        SELECT k, doc_id, owner, repository, unnest(regexp_split_to_array(t, '{pattern}')[:-2]) AS g, unnest(regexp_extract_all(t, '{pattern}', 0)) AS m,
+            unnest(regexp_extract_all(t, '{pattern}', {group})) AS v, unnest(range(1, len(regexp_extract_all(t, '{pattern}', 0)) + 1)) AS i
+        FROM d
+    ) QUALIFY length(v) >= {least}"""
+
+
+ORACLE["op2_secret_ownership"] = f"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repository FROM documents
+), base AS ({" UNION ALL ".join(_matches(*x) for x in _SECRET_KINDS)}), held AS (
+    SELECT v, count(DISTINCT owner) AS owners FROM base GROUP BY v
+), marks AS (
+    SELECT k, kind, name, e - n AS s, e FROM base
+    UNION SELECT k, 3, 'example', e - n, e FROM base JOIN held USING (v) WHERE owners >= 3
+    UNION SELECT k, 4, 'live', e - n, e FROM base JOIN held USING (v) WHERE owners = 1 AND len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]')
+), joined AS (
+    SELECT k, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
+        count(*) FILTER (WHERE kind = 3) AS x, count(*) FILTER (WHERE kind = 4) AS l,
+        string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base,
+        string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans
+    FROM marks GROUP BY k
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+    coalesce(spans, '') AS spans, coalesce(x, 0) AS n_example, coalesce(l, 0) AS n_live
+FROM d LEFT JOIN joined USING (k)
+"""
