@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.exact_dedup import op1_exact_dedup
 from folium.llm.piece_viterbi import op9_sentencepiece
+from folium.llm.quality_ftrl import op7_quality
 from folium.llm.secret_scan import op2_secret_ownership
 from folium.llm.token_blocks import op3_token_blocks
+from folium.llm.toxicity_fm import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op5_toxicity, op7_quality, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
