@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.decontamination import op8_decontamination
 from folium.llm.exact_dedup import op1_exact_dedup
+from folium.llm.jaccard_join import op6_jaccard_join
 from folium.llm.license_scan import op4_license_scan
 from folium.llm.piece_viterbi import op9_sentencepiece
 from folium.llm.quality_ftrl import op7_quality
@@ -17,7 +18,7 @@ from folium.llm.toxicity_fm import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op4_license_scan, op5_toxicity, op7_quality, op8_decontamination, op9_sentencepiece)}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op4_license_scan, op5_toxicity, op6_jaccard_join, op7_quality, op8_decontamination, op9_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
