@@ -129,8 +129,8 @@ def train(labelled: DataFrame) -> LogisticRegression:
     return fit([(np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for p, x, y in rows])
 
 
-def score_documents(docs: DataFrame, model: LogisticRegression) -> DataFrame:
-    """All columns of docs, and score; null and empty texts have the score of no features."""
+def score_documents(docs: DataFrame, model: LogisticRegression, name: str = "score") -> DataFrame:
+    """All columns of docs, and the score; null and empty texts have the score of no features."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
@@ -140,7 +140,7 @@ def score_documents(docs: DataFrame, model: LogisticRegression) -> DataFrame:
         tokens = _cached_tokens()
         return pd.Series([shared.value.score(*features(t, tokens)) for t in texts], dtype="float64")
 
-    return docs.withColumn("score", score("text"))
+    return docs.withColumn(name, score("text"))
 
 
 _TOKENS: list[_Tokens] = []
