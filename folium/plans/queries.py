@@ -458,7 +458,7 @@ def limit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return limited(table(spark, sf_dir, "pages").select("page_id", "url"), None, order=("url", "page_id"))
 
 
-@query("SELECT page_id, 'stub' AS engine, octet_length(html::BLOB) || ' bytes' AS text, CASE WHEN html = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS avg_confidence FROM pages")
+@query("SELECT page_id, 'stub' AS engine, strlen(html) || ' bytes' AS text, CASE WHEN html = '' THEN 0.0 ELSE 1.0 END::DOUBLE AS avg_confidence FROM pages")
 def ocr_stub_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("image"))
     return read_pages(pages, "stub").select("page_id", "engine", "text", "avg_confidence")
