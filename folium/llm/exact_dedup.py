@@ -24,7 +24,7 @@ _FOUND = "digest binary, member boolean, keep_id long, keep_row long, group_size
 
 
 def _words(digests: np.ndarray) -> np.ndarray:
-    return digests.view("<u8").reshape(len(digests), -1)
+    return digests.view("<u8")
 
 
 def _position(words: np.ndarray, level: int, size: int) -> np.ndarray:
