@@ -86,9 +86,14 @@ class PieceModel:
         self.keys, self.key_size, self.key_rank = (np.array(x, d) for x, d in zip(zip(*keys), ("u8", "i4", "i8")))
         if len(np.unique(self.keys)) < len(self.keys):
             raise ValueError("two pieces have the same hash")
+        self.bits = np.zeros(1 << 20, bool)  # which leading 20 bits some key has: most substrings end here
+        self.bits[self.keys >> np.uint64(44)] = True
         self.longest = max(map(len, rank))
         self.spanned = {p[k : k + 2] for p in merges for k in range(len(p) - 1)}
         self.alphabet = {p for p in rank if len(p) == 1}
+        # Marks that no piece has right behind a letter: a word can be cut before them.
+        marks = {c for c in self.alphabet if c < "\x7f" and not c.isalnum()} - {b for a, b in self.spanned if a.isalpha()}
+        self.before_mark = re.compile("(?<=[^\\W\\d_])(?=[" + re.escape("".join(sorted(marks))) + "\n])|(?<=\n)")
 
     @staticmethod
     def _hash(codes: np.ndarray) -> np.ndarray:
@@ -153,9 +158,11 @@ class PieceModel:
             width = min(j, self.longest)
             begins = np.arange(j - width, j)
             key = hashes[:, j : j + 1] - hashes[:, begins] * power[j - begins]
+            row, col = np.nonzero(self.bits[key >> np.uint64(44)])
+            key = key[row, col]
             at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            row, col = np.nonzero((self.keys[at] == key) & (self.key_size[at] == j - begins))
-            piece = self.key_rank[at[row, col]]
+            hit = (self.keys[at] == key) & (self.key_size[at] == j - begins[col])
+            row, col, piece = row[hit], col[hit], self.key_rank[at[hit]]
             before = last[row, begins[col]]
             fits = np.ones(len(row), bool)
             inner = np.flatnonzero((begins[col] > 0) & (before >= 0))
@@ -168,73 +175,100 @@ class PieceModel:
             last[known, j] = found[known]
             back[known, j] = j - begins[best[known]]
             last[~known, j] = -1 - codes[~known, j - 1].astype(np.int64)
-        out = []
-        for k in range(n):
-            parts, j = [], size
-            while j:
-                parts.append(last[k, j])
-                j -= back[k, j]
-            out.append(np.array(parts[::-1]))
-        return out
+        # Back from the ends, all words at once; a word that is done stays at 0.
+        path, at, rows = np.full((n, size), _NONE), np.full(n, size), np.arange(n)
+        for k in range(size - 1, -1, -1):
+            live = at > 0
+            if not live.any():
+                break
+            path[live, k] = last[rows[live], at[live]]
+            at[live] -= back[rows[live], at[live]]
+        used = path != _NONE
+        return path[used], used.sum(axis=1)
 
     def _cut(self, word: str) -> list[str]:
         """Parts that no merge can join."""
-        if len(word) <= LONGEST // 8 and all(c in self.alphabet for c in word):
-            return [word]
+        parts = self.before_mark.split(word)
+        if len(word) > 24:
+            parts = [q for p in parts for q in ([p] if len(p) <= 24 else self._cut_long(p))]
+        return [p for p in parts if p]
+
+    def _cut_long(self, word: str) -> list[str]:
         cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in self.spanned]
         return [word[a:b] for a, b in zip([0, *cuts], [*cuts, len(word)])]
 
-    def _ids(self, ranks: np.ndarray) -> list[int]:
-        if (ranks >= 0).all():
-            return self.piece_id[ranks].tolist()
-        return [i for r in ranks.tolist() for i in ([int(self.piece_id[r])] if r >= 0 else self.byte_ids[list(chr(-1 - r).encode("utf-8", "surrogatepass"))].tolist())]
+    def _ids(self, ranks: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks to ids, and characters without a piece to byte pieces."""
+        known = ranks >= 0
+        if known.all():
+            return self.piece_id[ranks], sizes
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        out = [[int(self.piece_id[r])] if r >= 0 else self.byte_ids[list(chr(-1 - r).encode("utf-8", "surrogatepass"))].tolist() for r in ranks.tolist()]
+        many = np.fromiter(map(len, out), np.int64, len(out))
+        return np.array([i for x in out for i in x]), np.bincount(owner, many, len(sizes)).astype(np.int64)
 
     def _run(self, n: int) -> list[int]:
         """Ids of n spaces in a row: these merge after all else."""
         return [self.runs.get(p, self.vocab.get(p)) for p in merge([MARK] * n, self.run_rank)[0]]
 
-    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of words, each with a space before it; further spaces at their start belong to it."""
-        whole = [(len(w) - len(w.lstrip(" ")), MARK + w.lstrip(" ")) for w in words]
-        parts = [self._cut(w) for _, w in whole]
-        todo: dict[int, list[str]] = {}
-        for p in set().union(*parts) if parts else ():
-            todo.setdefault(len(p), []).append(p)
-        found: dict[str, list[int]] = {}
-        for size, group in todo.items():
-            if size > LONGEST:
-                found |= {p: [i for s in merge(list(p), self.merges)[0] for i in ([self.vocab[s]] if s in self.vocab else self.byte_ids[list(s.encode("utf-8", "surrogatepass"))].tolist())] for p in group}
-                continue
+    def encode_parts(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts of words, those of one length together."""
+        by_size: dict[int, list[int]] = {}
+        for k, p in enumerate(parts):
+            by_size.setdefault(len(p), []).append(k)
+        ids, owners = [], []
+        for size, group in by_size.items():
             step = max(1, 400_000 // (size * self.longest))
             for k in range(0, len(group), step):
                 some = group[k : k + step]
-                found |= {p: self._ids(r) for p, r in zip(some, self._search(some))}
-        mark = self.vocab[MARK]
-        out = []
-        for (spaces, _), ps in zip(whole, parts):
-            ids = [i for p in ps for i in found[p]]
-            if spaces:  # the spaces before the last one merge with it only where it stands alone
-                alone = ids[0] == mark
-                ids = self._run(spaces + alone) + ids[alone:]
-            out.append(ids)
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((i for x in out for i in x), np.int64, int(sizes.sum())), sizes
+                if size > LONGEST:
+                    got = [[i for s in merge(list(parts[j]), self.merges)[0] for i in ([self.vocab[s]] if s in self.vocab else self.byte_ids[list(s.encode("utf-8", "surrogatepass"))].tolist())] for j in some]
+                    found, sizes = np.array([i for x in got for i in x]), np.array(list(map(len, got)))
+                else:
+                    found, sizes = self._ids(*self._search([parts[j] for j in some]))
+                ids.append(found)
+                owners.append(np.repeat(some, sizes))
+        owner = np.concatenate(owners)
+        return np.concatenate(ids)[np.argsort(owner, kind="stable")], np.bincount(owner, minlength=len(parts))
+
+    def encode_words(self, words: list[str], cache: WordCache) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words, each with a space before it if it doesn't start with a line feed; further spaces at its start belong to it."""
+        parts = [self._cut(w if w[:1] == "\n" else MARK + w.lstrip(" ")) for w in words]
+        ids, ends = cache.ids([p for ps in parts for p in ps])
+        at = ends[np.cumsum([0, *map(len, parts)])]
+        spaced = [k for k, w in enumerate(words) if w[:1] == " "]
+        if not spaced:
+            return ids, np.diff(at)
+        out, mark = [ids[a:b] for a, b in zip(at, at[1:])], self.vocab[MARK]
+        for k in spaced:  # spaces before the last one merge after all else, and with it only where it stands alone
+            n = len(words[k]) - len(words[k].lstrip(" "))
+            alone = int(out[k][0] == mark)
+            out[k] = np.concatenate([self._run(n + alone), out[k][alone:]])
+        return np.concatenate(out), np.array(list(map(len, out)))
 
 
 class PieceCodec:
     """encode() and decode() of whole texts."""
 
-    _RUN = re.compile(r"  | \Z|\A ")
+    _RUN = re.compile(r"  | \Z|\A | \n")
 
     def __init__(self, model: PieceModel):
         self.model = model
-        self.words = WordCache(model.encode_words, "<u2" if len(model.text) <= 2**16 else "<u4")
+        dtype = "<u2" if len(model.text) <= 2**16 else "<u4"
+        self.parts = WordCache(model.encode_parts, dtype, 400_000)
+        self.words = WordCache(lambda words: model.encode_words(words, self.parts), dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         pieces = []
         for t in texts:
+            # A line feed has no piece, so no merge crosses it; what starts with one is a word without a space before it.
             t = t.replace(MARK, " ")
-            pieces.append([] if not t else [w[1:] for w in re.findall(r" +[^ ]*", " " + t)] if self._RUN.search(t) else t.split(" "))
+            if not t:
+                pieces.append([])
+            elif self._RUN.search(t):
+                pieces.append([w for spaces, rest in re.findall(r" ( *)([^ ]*)", " " + t) for w in ((spaces, rest) if rest[:1] == "\n" else (spaces + rest,))])
+            else:
+                pieces.append(t.replace("\n", " \n").split(" "))
         ids, ends = self.words.ids([w for p in pieces for w in p])
         at = ends[np.cumsum([0, *map(len, pieces)])]
         return [ids[a:b] for a, b in zip(at, at[1:])]
@@ -244,6 +278,17 @@ class PieceCodec:
         return b"".join([text[i] for i in ids.tolist()])[1:].decode("utf-8", "replace")
 
 
+_CODEC: dict[str, PieceCodec] = {}
+
+
+def shared_codec(path: str, model) -> PieceCodec:
+    """One for each worker: the words that a task has met serve the next."""
+    if path not in _CODEC:
+        _CODEC.clear()
+        _CODEC[path] = PieceCodec(model.value)
+    return _CODEC[path]
+
+
 def _shared(spark: SparkSession, path: str):
     """The model's tables, a few MB for any input, built once."""
     return spark.sparkContext.broadcast(PieceModel(path))
@@ -259,9 +304,9 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
     schema = "doc_id long, n_tokens long, n_bytes long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model.value)
-        is_byte = np.zeros(len(model.value.text), bool)
-        is_byte[model.value.byte_ids] = True
+        codec = shared_codec(path, model)
+        is_byte = np.zeros(len(codec.model.text), bool)
+        is_byte[codec.model.byte_ids] = True
         for batch in batches:
             doc_ids, texts = batch.column(0), [t or "" for t in batch.column(1).to_pylist()]
             ends = np.cumsum([len(t) + 16 for t in texts]) // CHUNK

@@ -7,14 +7,14 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words that a worker remembers; beyond that it forgets all and starts anew.
-LIMIT = 400_000
+LIMIT = 800_000
 
 
 class WordCache:
     """ids of texts that are split into words. encode(words) gives the concatenated ids of the words and how many each has."""
 
-    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str):
-        self.encode, self.dtype = encode, dtype
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]], dtype: str, limit: int = LIMIT):
+        self.encode, self.dtype, self.limit = encode, dtype, limit
         self.clear()
 
     def clear(self) -> None:
@@ -39,7 +39,7 @@ class WordCache:
         """The concatenated ids of all words, and the number of ids up to each word (one more than words)."""
         new = set(words).difference(self.index)
         if new:
-            if len(self.index) + len(new) > LIMIT:
+            if len(self.index) + len(new) > self.limit:
                 self.clear()
                 new = set(words)
             self._add(list(new))
