@@ -80,9 +80,9 @@ class EliasFano:
 class ByteBpe:
     """Ids of a byte-level BPE with the usual pre-tokens, by the tokenizers library.
 
-    No pre-token spans a single space between two other characters but at its start, so a text is cut there and each
-    distinct piece is encoded once. Pieces are encoded as one long text and told apart by the tokens that start with a
-    space; pieces with white space in them, and a text's first piece, are encoded on their own.
+    No pre-token spans a single space or line feed between two other characters but at its start, so a text is cut there
+    and each distinct piece is encoded once. Pieces are encoded as one long text and told apart by the tokens that start
+    with a space or line feed; pieces with more white space in them, and a text's first piece, are encoded on their own.
     """
 
     def __init__(self, path: str):
@@ -95,43 +95,60 @@ class ByteBpe:
         self.dtype = "<u2" if max(vocab.values()) < 2**16 else "<u4"
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
-        self.words, self.firsts = WordCache(self._spaced_words, self.dtype), WordCache(self._texts, self.dtype)
+        self.fed = np.zeros_like(self.spaced)
+        self.fed[vocab["Ċ"]] = True
+        self.words, self.firsts = WordCache(self._pieces, self.dtype), WordCache(self._texts, self.dtype, 50_000)
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, got), np.int64, len(got))
-        return np.fromiter((i for x in got for i in x), np.int64, int(sizes.sum())), sizes
-
-    _WHITE = re.compile(r"\s|\A\Z")
-
-    def _spaced_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        odd = [k for k, w in enumerate(words) if self._WHITE.search(w)]
-        plain = np.ones(len(words), bool)
-        plain[odd] = False
-        sizes = np.zeros(len(words), np.int64)
-        few = [words[k] for k in np.flatnonzero(plain)]
-        got = [e.ids for e in self.tokenizer.encode_batch_fast([" " + " ".join(few[k : k + 2000]) for k in range(0, len(few), 2000)], add_special_tokens=False)]
-        ids = np.fromiter((i for x in got for i in x), np.int64)
-        starts = np.flatnonzero(self.spaced[ids])
-        if len(starts) != len(few):
-            return self._texts([" " + w for w in words])
-        sizes[plain] = np.diff(np.append(starts, len(ids)))
-        if not odd:
-            return ids, sizes
-        odd_ids, sizes[odd] = self._texts([" " + words[k] for k in odd])
-        owner = np.concatenate([np.repeat(np.flatnonzero(plain), sizes[plain]), np.repeat(odd, sizes[odd])])
-        return np.concatenate([ids, odd_ids])[np.argsort(owner, kind="stable")], sizes
-
-    _ODD, _CUT = re.compile(r"\s |\s\Z| \s|\A\s"), re.compile(r"(?<=\S) (?=\S)")
+        sizes = np.array([len(x) for x in got], np.int64)
+        return np.concatenate([np.array(x, np.int64) for x in got] or [np.zeros(0, np.int64)]), sizes
+
+    def _together(self, words: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that can be told apart by the tokens they start with, encoded as a few long texts."""
+        ids, _ = self._texts(["".join(words[k : k + 2000]) for k in range(0, len(words), 2000)])
+        at = np.flatnonzero(starts[ids])
+        if len(at) != len(words):
+            return self._texts(words)
+        return ids, np.diff(np.append(at, len(ids)))
+
+    _WHITE = re.compile(r"\s")
+
+    def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces with their space put back: those that start with a line feed stand without one."""
+        full = [w if w[:1] == "\n" else " " + w for w in words]
+        kinds: tuple[list[int], ...] = ([], [], [])
+        for k, w in enumerate(full):
+            kinds[2 if len(w) < 2 or self._WHITE.search(w, 1) else w[0] == "\n"].append(k)
+        ids, owners, sizes = [], [], np.zeros(len(full), np.int64)
+        for kind, encode in zip(kinds, (lambda x: self._together(x, self.spaced), lambda x: self._together(x, self.fed), self._texts)):
+            if kind:
+                got, sizes[kind] = encode([full[k] for k in kind])
+                ids.append(got)
+                owners.append(np.repeat(kind, sizes[kind]))
+        return np.concatenate(ids)[np.argsort(np.concatenate(owners), kind="stable")], sizes
+
+    _ODD, _CUT = re.compile(r"\s\s|\s\Z|\A\s"), re.compile(r"(?<=\S) (?=\S)")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self._CUT.split(t) if self._ODD.search(t) else t.split(" ") for t in texts]
+        pieces = [self._CUT.split(t) if self._ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
         first, first_ends = self.firsts.ids([p[0] for p in pieces])
         ids, ends = self.words.ids([w for p in pieces for w in p[1:]])
         at = ends[np.cumsum([0] + [len(p) - 1 for p in pieces])]
         return [np.concatenate([first[first_ends[k] : first_ends[k + 1]], ids[at[k] : at[k + 1]]]) for k in range(len(texts))]
 
 
+_BPE: dict[str, ByteBpe] = {}
+
+
+def shared_bpe(path: str) -> ByteBpe:
+    """One for each worker: the words that a task has met serve the next."""
+    if path not in _BPE:
+        _BPE.clear()
+        _BPE[path] = ByteBpe(path)
+    return _BPE[path]
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """doc ids and texts, CHUNK characters or one document at a time."""
     for batch in batches:
@@ -164,7 +181,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        bpe, part = ByteBpe(tokenizer), TaskContext.get().partitionId()
+        bpe, part = shared_bpe(tokenizer), TaskContext.get().partitionId()
         number = first = held = 0
         ids: list[int] = []
         held_docs: list[np.ndarray] = []
