@@ -1,7 +1,7 @@
 import pytest
 
 import __spark_entry__ as entry
-from conftest import rows_of
+from helpers import rows_of
 from folium.plans import queries as plans
 
 
