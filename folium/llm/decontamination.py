@@ -125,7 +125,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null and empty texts match nothing; an empty benchmark flags nothing.
     """
-    docs = numbered(documents(spark, sf_dir), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row"))
+    docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row"))
     found = flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "items", "covered")
     out = docs.select("row", "doc_id").join(found, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
     return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ","), F.lit("")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))

@@ -132,7 +132,7 @@ def mark_duplicates(rows: DataFrame, historical: Column, buckets: int | None = N
 def _rows(docs: DataFrame) -> DataFrame:
     """The texts are read once: what follows works on a thin table."""
     return written(
-        numbered(docs, "folium_row").select(
+        numbered(docs.select("doc_id", "text"), "folium_row").select(
             "doc_id", F.col("folium_row").alias("row"), F.length(text_of()).alias("n_points"), digest_of(text_of()).alias("digest")
         ),
         "digests",

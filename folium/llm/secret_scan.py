@@ -61,7 +61,7 @@ def _count(spans: str, kind: int) -> Column:
 
 def scan(docs: DataFrame, owner: Column, repository: Column) -> DataFrame:
     """The base spans of each document: row, doc_id, owner, repository, found (array of start, kind, end, value)."""
-    text = numbered(docs, "folium_row").select("doc_id", text_of().alias("t"), owner.alias("owner"), repository.alias("repository"), F.col("folium_row").alias("row"))
+    text = numbered(docs.select("doc_id", text_of().alias("t"), owner.alias("owner"), repository.alias("repository")), "row")
     found = F.concat(*[_spans(F.col("t"), k, *kind) for k, kind in enumerate(KINDS)])
     return text.select("row", "doc_id", "owner", "repository", found.alias("found"))
 
