@@ -4,7 +4,8 @@ A document is the set of its word n-grams, as 64-bit hashes; equal sets are one
 GROUPS groups, and the counts by group are a point: two sets share at most the sum of the coordinates' minima. Nodes that
 can link share one of the smallest hashes of their sets (as many as a set may lack, and one), so nodes meet by those
 hashes. Where nodes meet, an R-tree over their points (tiles by size, then by a coordinate) is joined with itself: boxes
-whose bound is too low are left out, then points. Surviving pairs are verified on the whole sets.
+whose bound is too low are left out, then points. Surviving pairs are held against points of more groups, and what is left
+is verified on the whole sets.
 
 Only connected groups are asked for, so large meetings go in two steps: first each node is held against a pivot, which
 joins nearly all copies of one text; then the R-tree join leaves out pairs that are connected by then. The second step is
@@ -25,6 +26,10 @@ from folium.llm.common import documents, free_name, numbered, partitions, writte
 from folium.llm.components import components
 
 GROUPS = 64
+#: Points of larger sets have more groups, so that a group's share stays small: sizes up to which 64 and 256 do; beyond, 1024.
+STEPS = (256, 1024)
+#: A coordinate of so much bounds nothing.
+FULL = 255
 LEAF, FAN, BLOCK = 32, 16, 4096
 #: Nodes whose texts are fetched by a broadcast of their rows at most; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
@@ -42,6 +47,9 @@ class _Hashes(dict):
         return h
 
 
+_HASHES = _Hashes()  # of each worker
+
+
 def shingles(text: str | None, k: int, hashes: _Hashes) -> np.ndarray:
     """The sorted distinct hashes of the k-word shingles; of a shorter text the whole sequence; none without words."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
@@ -58,13 +66,29 @@ def shingles(text: str | None, k: int, hashes: _Hashes) -> np.ndarray:
     return np.unique(out)
 
 
+def _word_hashes() -> _Hashes:
+    return _HASHES
+
+
 def _prefix(n: int, percent: int) -> int:
     """So many of the smallest hashes of a set of n: sets that link share one of theirs."""
     return n - (n * percent + 99) // 100 + 1
 
 
-def _points(sets: list[np.ndarray]) -> list[bytes]:
-    return [np.minimum(np.bincount((s & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), 65535).astype("<u2").tobytes() for s in sets]
+def _level(n: int) -> int:
+    return sum(n > step for step in STEPS)
+
+
+def _point(s: np.ndarray, groups: int) -> np.ndarray:
+    """Counts by group."""
+    return np.minimum(np.bincount((s & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8)
+
+
+def _folded(points: np.ndarray, groups: int) -> np.ndarray:
+    """The same points with fewer groups: each is a sum of theirs."""
+    sums = points.reshape(len(points), -1, groups).sum(axis=1, dtype=np.int64)
+    sums[(points == FULL).any(axis=1)] = FULL
+    return np.minimum(sums, FULL).astype(np.uint8)
 
 
 def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -75,11 +99,12 @@ def _needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 def _bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
     """Sums of the coordinates' minima, of each of p with each of q. A full coordinate bounds nothing."""
     out = np.zeros((len(p), len(q)), np.int64)
-    step = max(1, 4_000_000 // max(1, len(q) * GROUPS))
+    step = max(1, 4_000_000 // max(1, q.size))
     for k in range(0, len(p), step):
         out[k : k + step] = np.minimum(p[k : k + step, None, :], q[None, :, :]).sum(axis=2, dtype=np.int64)
-    if (p == 65535).any() or (q == 65535).any():
-        out[(p == 65535).any(axis=1)[:, None] | (q == 65535).any(axis=1)[None, :]] = np.iinfo(np.int64).max
+    full_p, full_q = (p == FULL).any(axis=1), (q == FULL).any(axis=1)
+    if full_p.any() or full_q.any():
+        out[full_p[:, None] | full_q[None, :]] = np.iinfo(np.int64).max
     return out
 
 
@@ -156,7 +181,11 @@ def _meetings(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[b
 def _column(c: pa.Array, rows: int) -> np.ndarray:
     if pa.types.is_integer(c.type):
         return c.to_numpy(zero_copy_only=False)
-    return np.frombuffer(b"".join(c.to_pylist()), "<u2").reshape(rows, GROUPS)
+    return np.array([*c.to_pylist(), None], object)[:-1]
+
+
+def _matrix(points: np.ndarray) -> np.ndarray:
+    return np.frombuffer(b"".join(points), np.uint8).reshape(len(points), -1)
 
 
 def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -183,7 +212,7 @@ def _buffered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 200_00
 def _to_pivots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Each node with the node in the middle of its block, and with the smallest one."""
     for _, rows in _meetings(batches, BLOCK):
-        n, points, node = rows["n"].astype(np.int64), rows["point"], rows["node"]
+        n, points, node = rows["n"].astype(np.int64), _matrix(rows["point"]), rows["node"]
         middle = np.minimum(points, np.median(points, axis=0)).sum(axis=1) / np.maximum(1, n)
         for p in {int(middle.argmax()), int(node.argmin())}:
             ok = _bound(points[p : p + 1], points)[0] >= _needed(n[p], n, percent)
@@ -192,23 +221,33 @@ def _to_pivots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tupl
             yield np.full(int(ok.sum()), node[p]), node[ok]
 
 
+def _trees(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, RTree, RTree | None, dict[str, np.ndarray]]]:
+    """By level of size: a tree, one over points of the next smaller level's groups, and the rows."""
+    levels = np.array([_level(n) for n in rows["n"].tolist()])
+    for level in np.unique(levels):
+        part = {k: v[levels == level] for k, v in rows.items()}
+        n, points = part["n"].astype(np.int64), _matrix(part["point"])
+        yield int(level), RTree(n, points), RTree(n, _folded(points, points.shape[1] // 4)) if level else None, part
+
+
 def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """All pairs of different components that the R-trees leave. Blocks come by size; those that are too small by now are let go."""
-    kept: list[tuple[RTree, dict[str, np.ndarray]]] = []
+    kept: list[tuple[int, RTree, RTree | None, dict[str, np.ndarray]]] = []
     for first, rows in _meetings(batches, BLOCK):
-        n = rows["n"].astype(np.int64)
         if first:
             kept = []
-        if first and len(n) < BLOCK and (rows["root"] == rows["root"][0]).all():
-            continue
-        kept = [(t, r) for t, r in kept if t.most.max() * 100 >= n.min() * percent]
-        tree = RTree(n, rows["point"])
-        kept.append((tree, rows))
-        for other, theirs in kept:
-            for x, y in tree.join(other, percent):
-                apart = rows["root"][x] != theirs["root"][y]
-                if apart.any():
-                    yield rows["node"][x[apart]], theirs["node"][y[apart]]
+        least = int(rows["n"].min())
+        kept = [x for x in kept if x[1].most.max() * 100 >= least * percent]
+        for level, tree, folded, part in _trees(rows):
+            kept.append((level, tree, folded, part))
+            for other_level, other, _, theirs in kept:
+                # Levels apart by two can't be of similar size; of neighbours the larger is folded. Later blocks are of larger sets.
+                if level - other_level > 1:
+                    continue
+                for x, y in (tree if level == other_level else folded).join(other, percent):
+                    apart = part["root"][x] != theirs["root"][y]
+                    if apart.any():
+                        yield part["node"][x[apart]], theirs["node"][y[apart]]
 
 
 def _mapped(df: DataFrame, f: Callable, percent: int) -> DataFrame:
@@ -216,10 +255,10 @@ def _mapped(df: DataFrame, f: Callable, percent: int) -> DataFrame:
 
 
 def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, node (hash of the set; null without words), n, prefix and point of each document; docs has row, doc_id and text."""
+    """row, doc_id, node (hash of the set; null without words), n, prefix, point and fine (the point of its level) of each document; docs has row, doc_id and text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = _word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -231,46 +270,71 @@ def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                         "n": pa.array(list(map(len, sets)), pa.int64()),
                         "prefix": pa.array([s[: _prefix(len(s), percent)].view("i8") if len(s) else s.view("i8") for s in sets], pa.list_(pa.int64())),
-                        "point": pa.array(_points(sets), pa.binary()),
+                        "point": pa.array([_point(s, GROUPS).tobytes() for s in sets], pa.binary()),
+                        "fine": pa.array([_point(s, GROUPS << 2 * _level(len(s))).tobytes() for s in sets], pa.binary()),
                     }
                 )
 
-    return docs.select("row", "doc_id", "text").mapInArrow(of, "row long, doc_id long, node long, n long, prefix array<long>, point binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(of, "row long, doc_id long, node long, n long, prefix array<long>, point binary, fine binary")
 
 
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link: the whole sets of their nodes, made again from the texts, are intersected."""
-    pairs = written(pairs, "pairs")
+def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """node, n and s (its set) for each node of the pairs, from the text of one of its documents."""
     nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
     wanted = written(reps.select("node", "row", "doc_id").join(nodes, "node"), "wanted")
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     few = few.select("node", F.col("row").alias("r"), F.col("doc_id").alias("d"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+        hashes = _word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "s": pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in part.column(1)], pa.binary())})
+                sets = [shingles(t.as_py(), k, hashes) for t in part.column(1)]
+                yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(list(map(len, sets)), pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
 
     texts = docs.join(few, (docs["row"] == F.col("r")) & docs["doc_id"].eqNullSafe(F.col("d"))).select("node", "text")
-    sets = written(texts.mapInArrow(of, "node long, s binary"), "sets")
+    return written(texts.mapInArrow(of, "node long, n long, s binary"), "sets")
+
 
-    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _kept(pairs: DataFrame, made: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], name: str) -> DataFrame:
+    """The pairs that keep() lets through; it sees the sides' n as columns 2 and 3, their s as 4 and 5."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                x, y = np.frombuffer(a.as_buffer(), "u8"), np.frombuffer(b.as_buffer(), "u8")
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+            yield batch.select(["u", "v"]).filter(pa.array(keep(batch), pa.bool_()))
+
+    a, b = (made.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "uv")
+    both = pairs.join(a, "u").join(b, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
+    return written(both.mapInArrow(of, "u long, v long"), name)
+
+
+def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs that link. Points of more groups leave out most that don't; the rest's whole sets are intersected."""
+    pairs = written(pairs, "pairs")
+
+    def near(batch: pa.RecordBatch) -> list[bool]:
+        out = []
+        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
+            x, y = (np.frombuffer(p, np.uint8)[None, :] for p in (a, b))
+            groups = min(x.shape[1], y.shape[1])
+            out.append(bool(_bound(_folded(x, groups), _folded(y, groups))[0, 0] >= -(-percent * (n + m) // (100 + percent))))
+        return out
+
+    def linked(batch: pa.RecordBatch) -> list[bool]:
+        out = []
+        for a, b in zip(batch.column(4), batch.column(5)):
+            x, y = np.frombuffer(a.as_buffer(), "u8"), np.frombuffer(b.as_buffer(), "u8")
+            common = len(np.intersect1d(x, y, assume_unique=True))
+            out.append(100 * common >= percent * (len(x) + len(y) - common))
+        return out
 
-    both = pairs.join(sets.withColumnRenamed("s", "a"), F.col("u") == F.col("node")).drop("node").join(sets.withColumnRenamed("s", "b"), F.col("v") == F.col("node")).select("u", "v", "a", "b")
-    return written(both.mapInArrow(linked, "u long, v long"), "linked")
+    pairs = _kept(pairs, reps.select("node", "n", F.col("fine").alias("s")), near, "near-pairs")
+    return _kept(pairs, _sets(pairs, reps, docs, k), linked, "linked")
 
 
 def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -289,7 +353,10 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     first = with_points.repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point")
     links = _verified(_mapped(first, _to_pivots, percent), reps, docs, k, percent)
     roots = components(links)
-    rest = with_points.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Two nodes in one place have met already, and places of one component are done.
+    named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    open_ = named.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("c > 2 AND a <> b").select("h")
+    rest = named.join(open_, "h", "left_semi").join(reps.select("node", "n", F.col("fine").alias("point")), "node")
     rest = rest.repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point", "root")
     more = _verified(_mapped(rest, _across, percent), reps, docs, k, percent)
     roots = components(links.unionAll(more))

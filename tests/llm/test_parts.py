@@ -106,6 +106,11 @@ def test_meetings_and_shared_rows_across_batches(size):
     assert [int(b["h"][0]) for first, b in blocks if first] == sorted(set(h))
 
 
+def test_folded_points_are_those_of_fewer_groups():
+    s = np.unique(np.random.default_rng(4).integers(0, 2**63, 3000).astype("u8"))
+    assert (jaccard_join._folded(jaccard_join._point(s, 1024)[None, :], 64)[0] == jaccard_join._point(s, 64)).all()
+
+
 def test_many_copies_meet_in_one_place(spark):
     """A meeting of several blocks: copies of two texts with a shared line, some of them near ones."""
     rng = random.Random(9)
