@@ -338,10 +338,11 @@ def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percen
 
 
 def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, n_shingles and component_id of each document; docs has row, doc_id and text.
+    """row, doc_id, n_shingles, component_id and root of each document; docs has row, doc_id and text.
 
     component_id is the smallest doc_id that links reach; a document without words is its own. Rows with the same set are
-    one node, whatever their ids. A null doc_id counts last, and is the component_id only where there is no other.
+    one node, whatever their ids. A null doc_id counts last, and is the component_id only where there is no other. As ids
+    may be null or repeat, only root (the smallest node; null without words) tells components apart.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
@@ -363,10 +364,10 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     classes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = classes.select("node", "root").join(whole, "root").select("node", "component_id")
+    named = classes.select("node", "root").join(whole, "root").select("node", "component_id", "root")
     out = every.select("row", "doc_id", "node", F.col("n").alias("n_shingles"))
-    linked = out.where("node IS NOT NULL").join(named, "node").select("row", "doc_id", "n_shingles", "component_id")
-    return linked.unionAll(out.where("node IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    linked = out.where("node IS NOT NULL").join(named, "node").select("row", "doc_id", "n_shingles", "component_id", "root")
+    return linked.unionAll(out.where("node IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("node").alias("root")))
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -398,11 +399,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each component stays: the one whose doc_id names it (of rows that repeat it, the first by row); documents without words stay."""
+    """One document of each component stays: the one of the smallest doc_id (of rows that repeat it, the first by row); documents without words stay."""
     row = free_name(docs, "folium_row")
     every = numbered(docs, row)
     thin = numbered(docs.select("doc_id", "text"), "folium_row").withColumnRenamed("folium_row", "row")
     found = written(group(thin, k, percent), "grouped")
-    first = found.where("n_shingles > 0").groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("w")).select("w.row", "w.doc_id")
+    first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("w")).select("w.row", "w.doc_id")
     stay = first.unionAll(found.where("n_shingles = 0").select("row", "doc_id")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"))
     return every.join(stay, (every[row] == F.col("r")) & every["doc_id"].eqNullSafe(F.col("d")), "left_semi").drop(row)

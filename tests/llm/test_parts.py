@@ -127,6 +127,17 @@ def test_many_copies_meet_in_one_place(spark):
     assert got == {k: 0 if k < 40 else k for k in range(80)}
 
 
+def test_components_without_an_id_of_their_own_keep_a_document_each(spark, tmp_path):
+    """Null ids and one id on different texts: as many components as texts, of which two are near copies."""
+    rng = random.Random(10)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(30)) for _ in range(8)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:]] + [(None, texts[0] + " more"), (7, texts[5] + " more"), (None, ""), (None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/docs")
+    got = [(r.doc_id, r.text) for r in jaccard_join.keep_one(spark.read.parquet(f"{tmp_path}/docs")).collect()]
+    assert sorted((t or "").removesuffix(" more") for _, t in got) == sorted(["", "", *texts])
+    assert sorted(str(d) for d, _ in got) == ["7"] * 3 + ["None"] * 7
+
+
 def test_components(spark):
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
