@@ -45,7 +45,9 @@ def words(text: Column) -> Column:
 
 def slotted(text: Column) -> Column:
     """The canonical words with what stands behind each: array of struct(canon, raw), as long as words()."""
-    pairs = F.arrays_zip(_tokens(canonical(text)).alias("canon"), _tokens(F.lower(text)).alias("raw"))
+    # Marks at the ends don't tell values apart, but signs and currencies do.
+    raw = F.transform(_tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
+    pairs = F.arrays_zip(_tokens(canonical(text)).alias("canon"), raw.alias("raw"))
     return F.filter(pairs, lambda p: p["canon"] != "")
 
 
@@ -63,8 +65,8 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     """item_id, n_words, size (of the windows; the whole item where it is shorter) and slots (pos and raw of the placeholders)."""
     each = benchmark.select("item_id", slotted(text_of()).alias("s"))
     slots = F.filter(F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["canon"].alias("canon"), p["raw"].alias("raw"))), lambda p: p["canon"].isin("<num>", "<name>", "<unit>"))
-    each = each.select("item_id", F.transform("s", lambda p: p["canon"]).alias("words"), slots.alias("slots"))
-    return each.where(F.size("words") > 0).select("item_id", "words", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WINDOW)).alias("size"), "slots")
+    each = each.select("item_id", F.transform("s", lambda p: p["canon"]).alias("words"), F.col("s.raw").alias("raws"), slots.alias("slots"))
+    return each.where(F.size("words") > 0).select("item_id", "words", "raws", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WINDOW)).alias("size"), "slots")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -98,14 +100,21 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     again = F.size("slots") > F.size(F.array_distinct(F.transform("slots", lambda s: s["raw"])))
     doubt = lines.where(again)
     few = written(doubt, "slots-in-doubt")
-    texts = docs.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), slotted(text_of()).alias("s"))
     wanted = few.select("row", "doc_id").distinct()
-    texts = texts.join(_sized(wanted, few.count()), (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("s"), s["pos"] + F.col("shift"))["raw"].alias("d")))
+    texts = docs.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "text").join(_sized(wanted, few.count()), (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
+    texts = written(texts, "texts-in-doubt").select("r", "d", slotted(text_of())["raw"].alias("theirs"))
+    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("theirs"), s["pos"] + F.col("shift")).alias("d")))
     checked = few.join(texts, (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id"))).withColumn("pairs", F.array_distinct(pairs))
-    checked = checked.where(F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda p: p["i"]))))
-    cols = ["row", "doc_id", "item_id", "n_words", "spots"]
-    good = lines.where(~again).select(*cols).unionAll(checked.select(*cols))
+    same = F.filter("spots", lambda p: F.get(F.col("raws"), p).eqNullSafe(F.get(F.col("theirs"), p + F.col("shift"))))
+    checked = written(checked.withColumn("same", same), "slots-compared")
+    values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
+    consistent = F.size("pairs") == F.size(values)
+    # Else what is verbatim counts, where the document quotes a window of the item or still has each value that it changes once.
+    quoted = F.exists("same", lambda a: F.size(F.filter("same", lambda b: (b >= a) & (b < a + WINDOW))) == WINDOW)
+    edited = F.forall(values, lambda v: (F.size(F.filter("pairs", lambda p: p["i"] == v)) == 1) | F.exists("pairs", lambda p: (p["i"] == v) & p["d"].eqNullSafe(v)))
+    cols = ["row", "doc_id", "item_id", "n_words"]
+    told = checked.withColumn("spots", F.when(consistent, F.col("spots")).when(quoted | edited, F.col("same"))).where(F.size("spots") > 0)
+    good = lines.where(~again).select(*cols, "spots").unionAll(told.select(*cols, "spots"))
     # Words in a row: spots less their places fall into runs.
     runs = F.transform("spots", lambda p, i: p - i)
     longest = F.array_max(F.transform(F.array_distinct(runs), lambda k: F.size(F.filter(runs, lambda x: x == k))))

@@ -214,3 +214,22 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     kinds = {r.doc_id: sorted(a.kind for a in r.added) for r in judge(found).collect()}
     assert kinds == {0: [3], 1: [3], 2: [3], 3: [3], 9: [4], 10: [4], 11: []}
     assert sorted((r.n_rows, r.n_owners) for r in ownership(found).collect()) == [(2, 1), (4, 4)]
+
+
+def flagged(spark, items, texts):
+    """By place in texts: the items that flag it."""
+    from folium.llm.decontamination import flag
+
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {r.doc_id: r["items"] for r in flag(docs, bench).collect()}
+
+
+def test_an_edited_quote_of_an_item_is_found(spark):
+    """One of two occurrences changed, marks at a repeated value, and verbatim words beside values that were equal by chance."""
+    short = "the old shop sold 12 pears on monday and then sold 12 plums on friday"
+    long = "there are 2 apples and 2 pears on the table of the house " + " ".join(f"word{chr(97 + k)}" for k in range(20))
+    texts = [
+        short.replace("12 plums", "13 plums"), short.replace("12 pears", "12, pears"), long.replace("2 apples and 2", "4 apples and 5"), short.replace("12 pears", "14 pears").replace("12 plums", "15 plums"), short.replace("12", "1.2"),
+    ]
+    assert flagged(spark, [short, long], texts) == {0: [0], 1: [0], 2: [1], 4: [0]}
