@@ -21,52 +21,81 @@ WINDOW, COVERED, RUN = 8, 0.5, 13
 BROADCAST_ROWS = 2_000_000
 # Units that follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|h|min|s|usd|eur|kwh|mph|kmh"
+#: Around capitalised words that may be names (characters for private use, which are no words).
+BEGIN, END = "\ue000", "\ue001"
 
 
-def canonical(text: Column) -> Column:
-    """The text with typed placeholders and without marks, its white space as it was.
+def _spaced(text: Column) -> Column:
+    """The text with a space between a number and the unit that is glued to it."""
+    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\d])(\d[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
+
+
+def _canonical(spaced: Column) -> Column:
+    """The text with typed placeholders and without marks, its white space as it was; capitalised words elsewhere stand in BEGIN and END.
 
     Numbers, units behind numbers, and capitalised words inside a sentence as names.
     """
-    names = F.regexp_replace(text, r"(?<=[\p{L}\d,;]\x20)\p{Lu}[\p{L}\p{M}]*", "<name>")
-    numbers = F.regexp_replace(names, r"(?<![\p{L}\d])\d[\d.,]*(?![\p{L}\d])", "<num>")
+    names = F.regexp_replace(spaced, r"(?<=[\p{L}\d,;]\x20)\p{Lu}[\p{L}\p{M}]*", "<name>")
+    capitals = F.regexp_replace(names, r"(?<![\p{L}\p{M}\d])\p{Lu}[\p{L}\p{M}]*", f"{BEGIN}$0{END}")
+    numbers = F.regexp_replace(capitals, r"(?<![\p{L}\d])\d[\d.,]*(?![\p{L}\d])", "<num>")
     units = F.regexp_replace(F.lower(numbers), rf"(?<=<num>\x20?)(?:{UNITS})(?![\p{{L}}\d])", "<unit>")
-    return F.regexp_replace(units, r"[^\p{L}\p{M}\d<>\x20\x09-\x0D]+", "")
+    return F.regexp_replace(units, rf"[^\p{{L}}\p{{M}}\d<>\x20\x09-\x0D{BEGIN}{END}]+", "")
 
 
-def _tokens(text: Column) -> Column:
-    return F.split(text, r"[\x20\x09-\x0D]+")
+def _plain(marked: Column) -> Column:
+    """Capitalised words at the start of a sentence or line, or behind a quote or bracket, as they are."""
+    return F.replace(F.replace(marked, F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
+
+
+def _named(marked: Column) -> Column:
+    """Every capitalised word as a name."""
+    return F.replace(F.replace(F.regexp_replace(marked, f"{BEGIN}[^{END}\\s]*{END}", "<name>"), F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
 
 
-def words(text: Column) -> Column:
-    """The canonical words."""
-    return F.filter(_tokens(canonical(text)), lambda w: w != "")
+def _tokens(text: Column) -> Column:
+    return F.split(text, r"[\x20\x09-\x0D]+")
 
 
 def slotted(text: Column) -> Column:
-    """The canonical words with what stands behind each: array of struct(canon, raw), as long as words()."""
+    """The canonical words with what stands behind each: array of struct(canon, named, raw); named has every capitalised word as a name."""
+    marked = _canonical(_spaced(text))
     # Marks at the ends don't tell values apart, but signs and currencies do.
-    raw = F.transform(_tokens(F.lower(text)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
-    pairs = F.arrays_zip(_tokens(canonical(text)).alias("canon"), raw.alias("raw"))
-    return F.filter(pairs, lambda p: p["canon"] != "")
+    raw = F.transform(_tokens(F.lower(_spaced(text))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
+    every = F.arrays_zip(_tokens(_plain(marked)).alias("canon"), _tokens(_named(marked)).alias("named"), raw.alias("raw"))
+    return F.filter(every, lambda p: p["canon"] != "")
+
 
+def _hashed(words: Column) -> Column:
+    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
 
-def _windows(ws: Column, sizes: list[int]) -> Column:
-    """Hashes of the windows of these sizes: array of struct(pos, h)."""
 
-    def of(size: int) -> Column:
-        every = F.transform(F.sequence(F.lit(0), F.size(ws) - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(ws, i + 1, size), F.lit(size)).alias("h")))
-        return F.when(F.size(ws) >= size, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
+def _windows(df: DataFrame, cols: list[str], sizes: list[int]) -> DataFrame:
+    """cols of df with size, pos, h and second for each window of these sizes; df has plain and named, the hashes of its words.
+
+    second windows are those of named that aren't windows of plain.
+    """
+
+    def of(size: int, words: str, second: bool) -> Column:
+        starts = F.sequence(F.lit(0), F.size(words) - size)
+        if second:
+            starts = F.filter(starts, lambda i: F.array_contains(F.slice("other", i + 1, size), True))
+        every = F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size), F.lit(size)).alias("h"), F.lit(second).alias("second")))
+        return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<struct<size:int,pos:int,h:bigint,second:boolean>>"))
 
-    return F.concat(*map(of, sizes))
+    df = df.withColumn("other", F.zip_with("plain", "named", lambda a, b: a != b))
+    every = F.concat(*[of(k, words, second) for k in sizes for words, second in (("plain", False), ("named", True))])
+    return df.select(*cols, F.explode(every).alias("w")).select(*cols, "w.size", "w.pos", "w.h", "w.second")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_words, size (of the windows; the whole item where it is shorter) and slots (pos and raw of the placeholders)."""
+    """item_id, plain and named (hashes of the words), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos, raw and whether it is one in named only)."""
     each = benchmark.select("item_id", slotted(text_of()).alias("s"))
-    slots = F.filter(F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["canon"].alias("canon"), p["raw"].alias("raw"))), lambda p: p["canon"].isin("<num>", "<name>", "<unit>"))
-    each = each.select("item_id", F.transform("s", lambda p: p["canon"]).alias("words"), F.col("s.raw").alias("raws"), slots.alias("slots"))
-    return each.where(F.size("words") > 0).select("item_id", "words", "raws", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WINDOW)).alias("size"), "slots")
+    typed = ("<num>", "<name>", "<unit>")
+    slots = F.filter(
+        F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), (~p["canon"].isin(*typed)).alias("second"), p["named"].isin(*typed).alias("slot"))), lambda p: p["slot"]
+    )
+    each = each.select("item_id", _hashed(F.col("s.canon")).alias("plain"), _hashed(F.col("s.named")).alias("named"), F.col("s.raw").alias("raws"), slots.alias("slots"))
+    return each.where(F.size("plain") > 0).select("item_id", "plain", "named", "raws", F.size("plain").alias("n_words"), F.least(F.size("plain"), F.lit(WINDOW)).alias("size"), "slots")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -83,19 +112,23 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 to WINDOW
     if not sizes:
         sizes = [WINDOW]
-    parts = [items.where(F.col("size") == k).select("item_id", F.explode(_windows(F.col("words"), [k])).alias("w")).select("item_id", F.lit(k).alias("size"), F.col("w.pos").alias("at"), F.col("w.h").alias("h")) for k in sizes]
+    parts = [_windows(items.where(F.col("size") == k).select("item_id", "plain", "named"), ["item_id"], [k]) for k in sizes]
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionAll(p)
-    grams = written(grams, "item-windows")
-    each = docs.select("row", "doc_id", words(text_of()).alias("words")).select("row", "doc_id", F.explode(_windows(F.col("words"), sizes)).alias("w")).select("row", "doc_id", F.col("w.pos").alias("pos"), F.col("w.h").alias("h"))
+    grams = written(grams.select("item_id", "size", F.col("pos").alias("at"), "h", F.col("second").alias("item_second")), "item-windows")
+    marked = docs.select("row", "doc_id", _canonical(_spaced(text_of())).alias("marked"))
+    each = marked.select("row", "doc_id", _hashed(_tokens(_plain(F.col("marked")))).alias("plain"), _hashed(_tokens(_named(F.col("marked")))).alias("named"))
+    each = _windows(each, ["row", "doc_id"], sizes).drop("size")
     hits = each.join(_sized(grams, grams.count()), "h")
-    # On a diagonal; its windows are at most as many as the item's.
-    lines = hits.groupBy("row", "doc_id", "item_id", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item_id", "size"])
+    # On a diagonal; its windows are at most as many as the item's. Those of plain words also stand alone, so second windows take nothing from them.
+    first = F.sort_array(F.collect_set(F.when(~F.col("second") & ~F.col("item_second"), F.col("at"))))
+    lines = hits.groupBy("row", "doc_id", "item_id", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.array_distinct(F.array(first, F.sort_array(F.collect_set("at")))).alias("ats"))
+    lines = lines.withColumn("ats", F.explode("ats")).where(F.size("ats") > 0)
+    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item_id", "size"]).drop("plain", "named")
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
     lines = lines.withColumn("spots", spots)
-    lines = lines.withColumn("slots", F.filter("slots", lambda s: F.array_contains("spots", s["pos"]))).drop("words")
+    lines = lines.withColumn("slots", F.filter("slots", lambda s: F.array_contains("spots", s["pos"])))
     # Only where an item repeats a slot's word is there something to compare.
     again = F.size("slots") > F.size(F.array_distinct(F.transform("slots", lambda s: s["raw"])))
     doubt = lines.where(again)
@@ -103,7 +136,9 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     wanted = few.select("row", "doc_id").distinct()
     texts = docs.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "text").join(_sized(wanted, few.count()), (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
     texts = written(texts, "texts-in-doubt").select("r", "d", slotted(text_of())["raw"].alias("theirs"))
-    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("theirs"), s["pos"] + F.col("shift")).alias("d")))
+    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("theirs"), s["pos"] + F.col("shift")).alias("d"), s["second"].alias("second")))
+    # A word that is a slot in named only and the same in both needs no placeholder.
+    pairs = F.transform(F.filter(pairs, lambda p: ~p["second"] | ~p["i"].eqNullSafe(p["d"])), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
     checked = few.join(texts, (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id"))).withColumn("pairs", F.array_distinct(pairs))
     same = F.filter("spots", lambda p: F.get(F.col("raws"), p).eqNullSafe(F.get(F.col("theirs"), p + F.col("shift"))))
     checked = written(checked.withColumn("same", same), "slots-compared")

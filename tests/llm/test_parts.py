@@ -233,3 +233,14 @@ def test_an_edited_quote_of_an_item_is_found(spark):
         short.replace("12 plums", "13 plums"), short.replace("12 pears", "12, pears"), long.replace("2 apples and 2", "4 apples and 5"), short.replace("12 pears", "14 pears").replace("12 plums", "15 plums"), short.replace("12", "1.2"),
     ]
     assert flagged(spark, [short, long], texts) == {0: [0], 1: [0], 2: [1], 4: [0]}
+
+
+def test_names_anywhere_and_glued_units_are_typed(spark):
+    item = "Tom has 5kg of rice and sells 2kg. How much is left now?"
+    texts = [
+        "Ann has 9kg of rice and sells 4kg. How much is left now?", "so Ann has 9 kg of rice and sells 4 KG. How much is left now?", '"Ann has 9kg of rice and sells 4kg.\nHow much is left now?"', item.lower(),
+        "Ann has 9kg of corn or buys 4kg. How much is left now?", "drives 60km/h",
+    ]
+    repeated = "Tom went to the market with Ann today. Tom came home from there very late"
+    more = [repeated.replace("Tom", "Bob"), repeated.replace("Tom", "Bob", 1).replace("Tom", "Max"), repeated.replace("with Ann", "with Eve")]
+    assert flagged(spark, [item, repeated], texts + more) == {0: [0], 1: [0], 2: [0], 3: [0], 6: [1], 8: [1]}
