@@ -83,7 +83,7 @@ ADDED = ("example", "live")
 
 
 def judge(found: DataFrame) -> DataFrame:
-    """found with spans: the base spans, and for each value of more than one owner or of random looks an added span of its verdict."""
+    """found with spans: the base spans, and for each value of SHARED_BY owners or more, or of one owner and random looks, an added span of its verdict."""
     held = ownership(found)
     distinct = F.size(F.array_distinct(F.split(F.col("s.value"), "")))
     each = found.select("row", "doc_id", F.explode("found").alias("s")).withColumn("hash", F.sha2("s.value", 256))
