@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folium.llm.common import written
+from folium.llm.common import erase, written
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -26,7 +26,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before, edges = edges, written(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        erase(before)
         new = _state(edges)
         if new == state:
             break

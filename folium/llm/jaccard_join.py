@@ -1,15 +1,17 @@
 """N-gram Jaccard join by count-vector R-trees.
 
 A document is the set of its word n-grams, as 64-bit hashes; equal sets are one node from the start. The hashes fall into
-GROUPS groups, and the counts by group are a point: two sets share at most the sum of the coordinates' minima. Nodes that
-can link share one of the smallest hashes of their sets (as many as a set may lack, and one), so nodes meet by those
-hashes. Where nodes meet, an R-tree over their points (tiles by size, then by a coordinate) is joined with itself: boxes
-whose bound is too low are left out, then points. Surviving pairs are held against points of more groups, and what is left
-is verified on the whole sets.
-
-Only connected groups are asked for, so large meetings go in two steps: first each node is held against a pivot, which
-joins nearly all copies of one text; then the R-tree join leaves out pairs that are connected by then. The second step is
-complete: no link between different components is lost.
+groups, and the counts by group are a point: two sets share at most the sum of the coordinates' minima. Nodes that can link
+share one of the smallest hashes of their sets (as many as a set may lack, and one), so nodes meet by those hashes. Where
+nodes meet, an R-tree over their points (tiles by size, then by a coordinate) is joined with itself: boxes whose bound is
+too low are left out, then points. Nodes of surviving pairs are one cluster, whatever lies between them, so no link leaves
+its cluster. A cluster's whole sets are brought together once, joined by an R-tree over points of more groups, and the
+pairs that survive are intersected.
+
+Only connected groups are asked for. So a place of either kind gives a spanning forest and no more: pairs of nodes that
+are connected by then are left out, and what comes out is never more than what goes in. The smallest hashes go first, each
+block of nodes against one or two pivots, which brings nearly all copies of one text together before the complete step.
+Places of more than BLOCK nodes are dealt out as pairs of blocks.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import documents, free_name, numbered, partitions, written
+from folium.llm.common import documents, erase, free_name, numbered, partitions, written
 from folium.llm.components import components
 
 GROUPS = 64
@@ -31,6 +33,8 @@ STEPS = (256, 1024)
 #: A coordinate of so much bounds nothing.
 FULL = 255
 LEAF, FAN, BLOCK = 32, 16, 4096
+#: So many of a node's smallest hashes go first, and the bytes of sets in half a place of a cluster.
+FIRST, BYTES = 3, 16 << 20
 #: Nodes whose texts are fetched by a broadcast of their rows at most; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -109,20 +113,23 @@ def _bound(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 class RTree:
-    """Points of sets, packed by size, then within a slab of leaves by the first coordinate."""
+    """Points of sets (rows of points, which idx names), packed by size, then within a slab of leaves by the first coordinate."""
 
-    def __init__(self, n: np.ndarray, points: np.ndarray):
+    def __init__(self, idx: np.ndarray, n: np.ndarray, points: np.ndarray):
         order = np.argsort(n, kind="stable")
         for k in range(0, len(n), LEAF * FAN):
             slab = order[k : k + LEAF * FAN]
             order[k : k + LEAF * FAN] = slab[np.argsort(points[slab, 0], kind="stable")]
-        self.order, self.n, self.points = order, n[order], points[order]
+        self.order, self.n, self.points = idx[order], n[order], points[order]
         starts = np.arange(0, len(n), LEAF)
         self.least, self.most = np.minimum.reduceat(self.n, starts), np.maximum.reduceat(self.n, starts)
         self.box = np.maximum.reduceat(self.points, starts, axis=0)
 
-    def join(self, other: RTree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Places of pairs whose bound reaches what a link needs; of self with itself each pair once."""
+    def join(self, other: RTree, percent: int, label: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Names of pairs whose bound reaches what a link needs, leaf by leaf; of self with itself each pair once.
+
+        Leaves whose nodes all have one label by then are left out, and so are such pairs.
+        """
         size = (self.most[:, None] * 100 >= other.least[None, :] * percent) & (other.most[None, :] * 100 >= self.least[:, None] * percent)
         if self is other:
             size &= np.arange(len(self.least))[:, None] <= np.arange(len(self.least))[None, :]
@@ -135,7 +142,10 @@ class RTree:
             a = slice(i * LEAF, (i + 1) * LEAF)
             for j in near:
                 b = slice(j * LEAF, (j + 1) * LEAF)
-                ok = _bound(self.points[a], other.points[b]) >= _needed(self.n[a][:, None], other.n[b][None, :], percent)
+                apart = label[self.order[a]][:, None] != label[other.order[b]][None, :]
+                if not apart.any():
+                    continue
+                ok = apart & (_bound(self.points[a], other.points[b]) >= _needed(self.n[a][:, None], other.n[b][None, :], percent))
                 ok &= np.minimum(self.n[a][:, None], other.n[b][None, :]) * 100 >= np.maximum(self.n[a][:, None], other.n[b][None, :]) * percent
                 if self is other and i == j:
                     ok = np.triu(ok, 1)
@@ -144,6 +154,70 @@ class RTree:
                     yield self.order[a][x], other.order[b][y]
 
 
+class Forest:
+    """Labels of nodes that grow together, and the pairs that joined them."""
+
+    def __init__(self, label: np.ndarray):
+        self.label, self.pairs = label, []
+
+    def join(self, x: int, y: int) -> None:
+        a, b = self.label[x], self.label[y]
+        if a != b:
+            self.label[self.label == b] = a
+            self.pairs.append((x, y))
+
+
+def _trees(n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray) -> list[list[tuple[RTree, RTree | None]]]:
+    """By level of size: the trees of each label of many nodes and of the others; each with one over the next smaller level's groups."""
+    out = []
+    for k, (idx, points) in enumerate(levels):
+        trees = []
+        if len(idx):
+            _, inverse, count = np.unique(label[idx], return_inverse=True, return_counts=True)
+            kind = np.where(count[inverse] > 4 * LEAF, inverse + 1, 0)
+            for c in np.unique(kind):
+                at = np.flatnonzero(kind == c)
+                folded = _folded(points[at], points.shape[1] // 4) if k and len(levels[k - 1][0]) else None
+                trees.append((RTree(idx[at], n[idx[at]], points[at]), RTree(idx[at], n[idx[at]], folded) if folded is not None else None))
+        out.append(trees)
+    return out
+
+
+def _surviving(n: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], label: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of different labels that the R-trees leave. Levels apart by two can't be of similar size; of neighbours the larger is folded."""
+    trees = _trees(n, levels, label)
+    for k, level in enumerate(trees):
+        for i, (tree, folded) in enumerate(level):
+            for other, _ in level[: i + 1]:
+                if other is not tree or (label[tree.order] != label[tree.order[0]]).any():
+                    yield from tree.join(other, percent, label)
+            for other, _ in trees[k - 1] if k else ():
+                yield from folded.join(other, percent, label)
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[dict[str, np.ndarray]]:
+    """Rows with the same first columns, as many as keys, out of batches that are sorted by them."""
+    held: list[dict[str, np.ndarray]] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {n: _column(batch.column(i), batch.num_rows) for i, n in enumerate(batch.schema.names)}
+        names = batch.schema.names[:keys]
+        new = np.zeros(batch.num_rows, bool)
+        for c in names:
+            new[1:] |= rows[c][1:] != rows[c][:-1]
+        new[0] = bool(held) and any(rows[c][0] != held[-1][c][-1] for c in names)
+        edges = [0, *np.flatnonzero(new).tolist(), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:]):
+            if (a or new[0]) and held:
+                yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+                held = []
+            if b > a:
+                held.append({k: v[a:b] for k, v in rows.items()})
+    if held:
+        yield {k: np.concatenate([h[k] for h in held]) for k in held[0]}
+
+
 def _meetings(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[bool, dict[str, np.ndarray]]]:
     """Blocks of rows with the same h out of batches that are sorted by h; True: the first block of an h."""
     held: dict[str, np.ndarray] = {}
@@ -194,7 +268,7 @@ def _pair_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
 
 
 def _buffered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 200_000) -> Iterator[pa.RecordBatch]:
-    """Distinct pairs, some hundred thousand at a time: the same pair meets at many hashes."""
+    """Distinct pairs, some hundred thousand at a time: the same pair comes from many places."""
     a: list[np.ndarray] = []
     b: list[np.ndarray] = []
     n = 0
@@ -210,52 +284,100 @@ def _buffered(pairs: Iterator[tuple[np.ndarray, np.ndarray]], rows: int = 200_00
 
 
 def _to_pivots(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Each node with the node in the middle of its block, and with the smallest one."""
+    """Each node with the node in the middle of its block, or if their bound is too low with the smallest of the others."""
     for _, rows in _meetings(batches, BLOCK):
-        n, points, node = rows["n"].astype(np.int64), _matrix(rows["point"]), rows["node"]
-        middle = np.minimum(points, np.median(points, axis=0)).sum(axis=1) / np.maximum(1, n)
-        for p in {int(middle.argmax()), int(node.argmin())}:
-            ok = _bound(points[p : p + 1], points)[0] >= _needed(n[p], n, percent)
-            ok &= np.minimum(n[p], n) * 100 >= np.maximum(n[p], n) * percent
-            ok[p] = False
-            yield np.full(int(ok.sum()), node[p]), node[ok]
-
-
-def _trees(rows: dict[str, np.ndarray]) -> Iterator[tuple[int, RTree, RTree | None, dict[str, np.ndarray]]]:
-    """By level of size: a tree, one over points of the next smaller level's groups, and the rows."""
-    levels = np.array([_level(n) for n in rows["n"].tolist()])
-    for level in np.unique(levels):
-        part = {k: v[levels == level] for k, v in rows.items()}
-        n, points = part["n"].astype(np.int64), _matrix(part["point"])
-        yield int(level), RTree(n, points), RTree(n, _folded(points, points.shape[1] // 4)) if level else None, part
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """All pairs of different components that the R-trees leave. Blocks come by size; those that are too small by now are let go."""
-    kept: list[tuple[int, RTree, RTree | None, dict[str, np.ndarray]]] = []
-    for first, rows in _meetings(batches, BLOCK):
-        if first:
-            kept = []
-        least = int(rows["n"].min())
-        kept = [x for x in kept if x[1].most.max() * 100 >= least * percent]
-        for level, tree, folded, part in _trees(rows):
-            kept.append((level, tree, folded, part))
-            for other_level, other, _, theirs in kept:
-                # Levels apart by two can't be of similar size; of neighbours the larger is folded. Later blocks are of larger sets.
-                if level - other_level > 1:
-                    continue
-                for x, y in (tree if level == other_level else folded).join(other, percent):
-                    apart = part["root"][x] != theirs["root"][y]
-                    if apart.any():
-                        yield part["node"][x[apart]], theirs["node"][y[apart]]
+        left = np.arange(len(rows["n"]))
+        for middle in (True, False):
+            n, node = rows["n"][left].astype(np.int64), rows["node"][left]
+            levels = np.array([len(p) for p in rows["point"][left]])
+            at = left[np.flatnonzero(levels == np.bincount(levels).argmax())] if len(left) else left
+            if not len(at):
+                break
+            points = _matrix(rows["point"][at])
+            if middle:
+                p = at[int((np.minimum(points, np.median(points, axis=0)).sum(axis=1) / np.maximum(1, rows["n"][at])).argmax())]
+            else:
+                p = left[int(node.argmin())]
+            ok = np.zeros(len(left), bool)
+            for groups in np.unique(levels):
+                some = np.flatnonzero(levels == groups)
+                low = min(int(groups), len(rows["point"][p]))
+                ok[some] = _bound(_folded(_matrix(rows["point"][[p]]), low), _folded(_matrix(rows["point"][left[some]]), low))[0] >= _needed(rows["n"][p], n[some], percent)
+            ok &= np.minimum(rows["n"][p], n) * 100 >= np.maximum(rows["n"][p], n) * percent
+            ok |= left == p
+            others = left[ok & (left != p)]
+            if len(others):
+                yield np.full(len(others), rows["node"][p]), rows["node"][others]
+            left = left[~ok]
+
+
+def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest, in roots, of what the R-trees leave of each place."""
+    for rows in _groups(batches, 3):
+        roots, label = np.unique(rows["root"], return_inverse=True)
+        if len(roots) == 1:
+            continue
+        size = np.array([len(p) for p in rows["point"]])
+        levels = [(at, _matrix(rows["point"][at]) if len(at) else None) for g in range(len(STEPS) + 1) for at in [np.flatnonzero(size == GROUPS << 2 * g)]]
+        forest = Forest(label)
+        for x, y in _surviving(rows["n"].astype(np.int64), levels, label, percent):
+            for k in np.unique(label[x] * len(roots) + label[y], return_index=True)[1]:
+                forest.join(x[k], y[k])
+        if forest.pairs:
+            x, y = np.array(forest.pairs).T
+            yield rows["root"][x], rows["root"][y]
+
+
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """A spanning forest of the links between a cluster's sets."""
+    for rows in _groups(batches, 3):
+        sets = [np.frombuffer(s, "u8") for s in rows["s"]]
+        n, node = np.array(list(map(len, sets))), rows["node"]
+        groups = GROUPS << 2 * min(len(STEPS), _level(int(n.max())) + 1)
+        points = np.stack([_point(s, groups) for s in sets])
+        forest = Forest(np.arange(len(sets)))
+
+        def common(x: int, others: np.ndarray) -> np.ndarray:
+            """Which of the others link with x."""
+            flat, s = np.concatenate([sets[y] for y in others]), sets[x]
+            hit = s[np.minimum(np.searchsorted(s, flat), len(s) - 1)] == flat
+            both = np.add.reduceat(hit, np.cumsum(n[others]) - n[others], dtype=np.int64)
+            return 100 * both >= percent * (n[x] + n[others] - both)
+
+        middle = np.minimum(points, np.median(points, axis=0)).sum(axis=1) / n
+        for p in (int(middle.argmax()), int(node.argmin())):
+            near = (_bound(points[p : p + 1], points)[0] >= _needed(n[p], n, percent)) & (forest.label != forest.label[p])
+            near = np.flatnonzero(near & (np.minimum(n[p], n) * 100 >= np.maximum(n[p], n) * percent))
+            for k in range(0, len(near), 256):
+                part = near[k : k + 256]
+                for y in part[common(p, part)]:
+                    forest.join(p, y)
+        for x, y in _surviving(n, [(np.arange(len(sets)), points)], forest.label, percent):
+            for a in np.unique(x):
+                others = y[x == a]
+                others = others[forest.label[others] != forest.label[a]]
+                if len(others):
+                    for b in others[common(a, others)]:
+                        forest.join(a, b)
+        if forest.pairs:
+            x, y = np.array(forest.pairs).T
+            yield node[x], node[y]
 
 
 def _mapped(df: DataFrame, f: Callable, percent: int) -> DataFrame:
     return df.mapInArrow(lambda batches: _buffered(f(batches, percent)), "u long, v long").distinct()
 
 
+def _dealt(df: DataFrame, key: str, blocks: str, node: str, parts: int, cols: list[str]) -> DataFrame:
+    """Places of blocks = 1 as they are; of more, each pair of blocks of nodes is a place: key, i, j and cols, sorted by place."""
+    own = F.pmod(F.xxhash64(node), F.col(blocks))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col(blocks) - 1), lambda k: (k != own) | (F.col(blocks) == 1))
+    df = df.withColumn("other", F.explode(others)).withColumn("i", F.least(own, F.col("other"))).withColumn("j", F.greatest(own, F.col("other")))
+    return df.repartition(parts, key, "i", "j").sortWithinPartitions(key, "i", "j").select(key, "i", "j", *cols)
+
+
 def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """row, doc_id, node (hash of the set; null without words), n, prefix, point and fine (the point of its level) of each document; docs has row, doc_id and text."""
+    """row, doc_id, node (hash of the set; null without words), n, prefix and point (of its level) of each document; docs has row, doc_id and text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes()
@@ -270,71 +392,31 @@ def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                         "n": pa.array(list(map(len, sets)), pa.int64()),
                         "prefix": pa.array([s[: _prefix(len(s), percent)].view("i8") if len(s) else s.view("i8") for s in sets], pa.list_(pa.int64())),
-                        "point": pa.array([_point(s, GROUPS).tobytes() for s in sets], pa.binary()),
-                        "fine": pa.array([_point(s, GROUPS << 2 * _level(len(s))).tobytes() for s in sets], pa.binary()),
+                        "point": pa.array([_point(s, GROUPS << 2 * _level(len(s))).tobytes() for s in sets], pa.binary()),
                     }
                 )
 
-    return docs.select("row", "doc_id", "text").mapInArrow(of, "row long, doc_id long, node long, n long, prefix array<long>, point binary, fine binary")
+    return docs.select("row", "doc_id", "text").mapInArrow(of, "row long, doc_id long, node long, n long, prefix array<long>, point binary")
 
 
 def _node(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - 2**63
 
 
-def _sets(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """node, n and s (its set) for each node of the pairs, from the text of one of its documents."""
-    nodes = pairs.select(F.col("u").alias("node")).unionAll(pairs.select("v")).distinct()
-    wanted = written(reps.select("node", "row", "doc_id").join(nodes, "node"), "wanted")
+def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """cluster, blocks, node and s (its set) of the nodes, from the text of one of their documents."""
     few = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    few = few.select("node", F.col("row").alias("r"), F.col("doc_id").alias("d"))
+    few = few.select("cluster", "blocks", "node", F.col("row").alias("r"), F.col("doc_id").alias("d"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                sets = [shingles(t.as_py(), k, hashes) for t in part.column(1)]
-                yield pa.RecordBatch.from_pydict({"node": part.column(0), "n": pa.array(list(map(len, sets)), pa.int64()), "s": pa.array([s.tobytes() for s in sets], pa.binary())})
-
-    texts = docs.join(few, (docs["row"] == F.col("r")) & docs["doc_id"].eqNullSafe(F.col("d"))).select("node", "text")
-    return written(texts.mapInArrow(of, "node long, n long, s binary"), "sets")
-
-
-def _kept(pairs: DataFrame, made: DataFrame, keep: Callable[[pa.RecordBatch], list[bool]], name: str) -> DataFrame:
-    """The pairs that keep() lets through; it sees the sides' n as columns 2 and 3, their s as 4 and 5."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.select(["u", "v"]).filter(pa.array(keep(batch), pa.bool_()))
-
-    a, b = (made.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("s").alias(f"s_{x}")) for x in "uv")
-    both = pairs.join(a, "u").join(b, "v").select("u", "v", "n_u", "n_v", "s_u", "s_v")
-    return written(both.mapInArrow(of, "u long, v long"), name)
-
-
-def _verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs that link. Points of more groups leave out most that don't; the rest's whole sets are intersected."""
-    pairs = written(pairs, "pairs")
-
-    def near(batch: pa.RecordBatch) -> list[bool]:
-        out = []
-        for n, m, a, b in zip(*(batch.column(c).to_pylist() for c in range(2, 6))):
-            x, y = (np.frombuffer(p, np.uint8)[None, :] for p in (a, b))
-            groups = min(x.shape[1], y.shape[1])
-            out.append(bool(_bound(_folded(x, groups), _folded(y, groups))[0, 0] >= -(-percent * (n + m) // (100 + percent))))
-        return out
-
-    def linked(batch: pa.RecordBatch) -> list[bool]:
-        out = []
-        for a, b in zip(batch.column(4), batch.column(5)):
-            x, y = np.frombuffer(a.as_buffer(), "u8"), np.frombuffer(b.as_buffer(), "u8")
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            out.append(100 * common >= percent * (len(x) + len(y) - common))
-        return out
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in part.column(3)], pa.binary())], names=["cluster", "blocks", "node", "s"])
 
-    pairs = _kept(pairs, reps.select("node", "n", F.col("fine").alias("s")), near, "near-pairs")
-    return _kept(pairs, _sets(pairs, reps, docs, k), linked, "linked")
+    texts = docs.join(few, (docs["row"] == F.col("r")) & docs["doc_id"].eqNullSafe(F.col("d"))).select("cluster", "blocks", "node", "text")
+    return texts.mapInArrow(of, "cluster long, blocks long, node long, s binary")
 
 
 def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -344,23 +426,31 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     one node, whatever their ids. A null doc_id counts last, and is the component_id only where there is no other. As ids
     may be null or repeat, only root (the smallest node; null without words) tells components apart.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    parts = partitions(docs.sparkSession)
     every = written(_shingled(docs, k, percent), "shingled")
     reps = written(every.where("node IS NOT NULL").dropDuplicates(["node"]), "nodes")
-    postings = reps.select(F.explode("prefix").alias("h"), "node").repartition(parts, "h").sortWithinPartitions("h")
-    met = written(postings.mapInArrow(_shared, "h long, node long"), "met")
-    with_points = met.join(reps.select("node", "n", "point"), "node")
-    first = with_points.repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point")
-    links = _verified(_mapped(first, _to_pivots, percent), reps, docs, k, percent)
-    roots = components(links)
-    # Two nodes in one place have met already, and places of one component are done.
-    named = met.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    open_ = named.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("c > 2 AND a <> b").select("h")
-    rest = named.join(open_, "h", "left_semi").join(reps.select("node", "n", F.col("fine").alias("point")), "node")
-    rest = rest.repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point", "root")
-    more = _verified(_mapped(rest, _across, percent), reps, docs, k, percent)
-    roots = components(links.unionAll(more))
+    postings = reps.select(F.posexplode("prefix").alias("at", "h"), "node").select("h", "node", "at").repartition(parts, "h").sortWithinPartitions("h")
+    met = written(postings.mapInArrow(_shared, "h long, node long, at int"), "met")
+    points = reps.select("node", "n", "point")
+    first = met.where(F.col("at") < FIRST).join(points, "node").repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point")
+    roots = components(_mapped(first, _to_pivots, percent))
+    # Places of one root are done.
+    named = met.join(roots, "node", "left").select("h", "node", F.coalesce("root", "node").alias("root"))
+    open_ = named.groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b")
+    open_ = open_.select("h", F.ceil(F.col("c") / BLOCK).alias("blocks"))
+    rest = _dealt(named.join(open_, "h").join(points, "node"), "h", "blocks", "node", parts, ["node", "n", "point", "root"])
+    more = written(_mapped(rest, _near, percent), "near")
+    wider = components(more)
+    # Nodes of clusters of two or more.
+    ends = more.select("u").unionAll(more.select("v")).toDF("node")
+    members = roots.select("node", "root").unionAll(roots.select("root", "root")).unionAll(ends.select("node", "node")).distinct().toDF("node", "root")
+    members = members.join(wider.select(F.col("node").alias("root"), F.col("root").alias("cluster")), "root", "left").select("node", F.coalesce("cluster", "root").alias("cluster"))
+    members = members.join(reps.select("node", "n", "row", "doc_id"), "node")
+    blocks = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count(F.lit(1)) / (BLOCK // 2)), F.ceil(F.sum("n") * 8 / BYTES)).alias("blocks"))
+    wanted = written(members.join(blocks, "cluster"), "wanted")
+    erase(met, more, reps)
+    sets = _dealt(_sets(wanted, docs, k), "cluster", "blocks", "node", parts, ["node", "s"])
+    roots = components(_mapped(sets, _linked, percent))
     classes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))

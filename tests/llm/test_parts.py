@@ -85,8 +85,8 @@ def test_rtree_join_leaves_out_no_link():
     base = rng.integers(0, 9, (6, jaccard_join.GROUPS))
     points = np.abs(base[rng.integers(0, 6, 300)] + rng.integers(-1, 2, (300, jaccard_join.GROUPS))).astype(np.uint8)
     n = points.sum(axis=1).astype(np.int64)
-    tree = jaccard_join.RTree(n, points)
-    got = {tuple(sorted(p)) for x, y in tree.join(tree, 85) for p in zip(x.tolist(), y.tolist())}
+    tree = jaccard_join.RTree(np.arange(300), n, points)
+    got = {tuple(sorted(p)) for x, y in tree.join(tree, 85, np.arange(300)) for p in zip(x.tolist(), y.tolist())}
     shared = np.minimum(points[:, None, :], points[None, :, :]).sum(axis=2, dtype=np.int64)
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if 100 * shared[a, b] >= 85 * (n[a] + n[b] - shared[a, b])}
     assert want and want <= got and len(got) < 300 * 299 // 2
@@ -244,3 +244,36 @@ def test_names_anywhere_and_glued_units_are_typed(spark):
     repeated = "Tom went to the market with Ann today. Tom came home from there very late"
     more = [repeated.replace("Tom", "Bob"), repeated.replace("Tom", "Bob", 1).replace("Tom", "Max"), repeated.replace("with Ann", "with Eve")]
     assert flagged(spark, [item, repeated], texts + more) == {0: [0], 1: [0], 2: [0], 3: [0], 6: [1], 8: [1]}
+
+
+def family_texts(seed):
+    """Families of near copies of sizes on both sides of the levels, a common line in many, and chains of edits."""
+    rng = random.Random(seed)
+    line, texts = [f"l{k}" for k in range(40)], []
+    for size in (30, 230, 290, 900, 1150, 2600):
+        words = [f"b{rng.randrange(10**6)}" for _ in range(size)]
+        for _ in range(14):
+            copy = list(words)
+            for _ in range(int(size * rng.choice((0, 0.005, 0.01, 0.02, 0.05)))):
+                copy[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            if rng.random() < 0.3:
+                words = copy
+            texts.append(" ".join(copy[: int(size * rng.choice((1, 1, 0.9)))] + (line if rng.random() < 0.3 else [])))
+    return texts + [" ".join(line + [f"r{rng.random()}" for _ in range(rng.randrange(30))]) for _ in range(40)]
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_families_equal_brute_force(spark, monkeypatch, few):
+    """Also in places of several blocks, and beyond the bound of the broadcast."""
+    from test_contracts import linked, sets_of
+
+    if few:
+        monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+        monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+    texts = family_texts(12)
+    docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
+    for size, percent in ((4, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard_join.group(docs, size, percent).collect()}
+        roots = linked(sets_of(list(enumerate(texts)), size), percent)
+        assert 10 < len(set(roots)) < len(texts) - 20, len(set(roots))
+        assert got == {k: roots.index(r) for k, r in enumerate(roots)}
