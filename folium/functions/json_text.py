@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folium.functions.text import WHITE, strip
+
 LIST_FIELDS = ("attachments", "uncertain_lines")
 FLAG_FIELDS = ("stamp_present", "signature_present")
 # Fields of a record, in order.
@@ -15,14 +17,10 @@ TEXT_FIELDS = (
 NUMBERS = ("document_number", "referenced_decision_number")
 
 
-def _strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
-
-
 def payload(text: Column) -> Column:
     """What stands from the first { to the last }, without a code fence; null if there is none."""
-    t = F.regexp_replace(_strip(text), r"\A```(?:json)?", "")
-    t = _strip(F.regexp_replace(t, r"```\z", ""))
+    t = F.regexp_replace(strip(text), r"\A```(?:json)?", "")
+    t = strip(F.regexp_replace(t, r"```\z", ""))
     return F.nullif(F.regexp_extract(t, r"(?s)(\{.*\})", 1), F.lit(""))
 
 
@@ -43,7 +41,7 @@ def parse_error(text: Column) -> Column:
 def clean_number(value: Column) -> Column:
     """Without Latin letters and white space, if it has a digit and a letter; the value itself if nothing is left."""
     mixed = value.rlike("[\\d٠-٩۰-۹]") & value.rlike("[A-Za-z]")
-    cleaned = F.btrim(F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", ""), r"(?U)\s+", ""), F.lit(":-/ "))
+    cleaned = F.btrim(F.regexp_replace(F.regexp_replace(value, "[A-Za-z]+", ""), f"[{WHITE}]+", ""), F.lit(":-/ "))
     return F.when(mixed, F.coalesce(F.nullif(cleaned, F.lit("")), value)).otherwise(value)
 
 

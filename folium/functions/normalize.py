@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folium.functions.text import WHITE, bound, strip
+
 # Letters that are replaced, digits that are replaced, characters that are deleted.
 MAP_FROM, MAP_TO = "كيىةۀھ‌", "کییەەه "
 DIGITS_FROM, DIGITS_TO = "۰۱۲۳۴۵۶۷۸۹", "٠١٢٣٤٥٦٧٨٩"
@@ -21,16 +25,29 @@ def nfc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
 
 
+def _where(text: Column, test: Callable[[Column], Column], step: Callable[[Column], Column]) -> Column:
+    return bound(text, lambda t: F.when(test(t), step(t)).otherwise(t))
+
+
 def normalize(text: Column, digits: bool = True, composed: bool = False) -> Column:
-    """Null and empty texts stay. composed: the text is in NFC already, so all is native."""
-    t = text if composed else nfc(text)
-    t = F.replace(t, F.lit("ه‌"), F.lit("ە"))
-    t = F.translate(t, MAP_FROM + (DIGITS_FROM if digits else "") + DELETED, MAP_TO + (DIGITS_TO if digits else ""))
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    t = F.regexp_replace(t, r"(?U)[\s\x1c-\x1f]+([،؛؟:])", "$1")
-    t = F.regexp_replace(t, r"(?U)([،؛؟:])(?=[^\s\x1c-\x1f])", "$1 ")
-    t = F.regexp_replace(t, r"\n{3,}", "\n\n")
-    return F.regexp_replace(t, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    """Null and empty texts stay. composed: the text is in NFC already, so all is native.
+
+    Each step runs only on texts that a cheap test finds something in.
+    """
+    letters = "".join(MAP_FROM + (DIGITS_FROM if digits else "") + DELETED)
+    marks = "،؛؟:"
+    has = lambda t, *parts: reduce(lambda a, b: a | b, [F.contains(t, F.lit(p)) for p in parts])
+    steps = [
+        (lambda t: t.rlike(f"[{letters}]"), lambda t: F.translate(F.replace(t, F.lit("ه‌"), F.lit("ە")), letters, MAP_TO + (DIGITS_TO if digits else ""))),
+        (lambda t: has(t, "  ", "\t"), lambda t: F.regexp_replace(t, r"[ \t]+", " ")),
+        (lambda t: has(t, *marks), lambda t: F.regexp_replace(F.regexp_replace(t, f"[{WHITE}]+([{marks}])", "$1"), f"([{marks}])(?=[^{WHITE}])", "$1 ")),
+        (lambda t: has(t, "\n\n\n"), lambda t: F.regexp_replace(t, r"\n{3,}", "\n\n")),
+    ]
+    # Composition can't change ASCII: such texts don't go to Python.
+    t = text if composed else F.coalesce(nfc(F.when(text.rlike(r"[^\x00-\x7f]"), text)), text)
+    for test, step in steps:
+        t = _where(t, test, step)
+    return strip(t)
 
 
 def normalize_nested(value: Column, kind: T.DataType) -> Column:

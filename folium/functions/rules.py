@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Marks that are stripped off a match, and letters with several codings.
-STRIP = " :‬-\t\r\n"
+STRIP = " :\u202c-\t\r\n"
 YA, HE, RA, KAF = "[یي]", "[ەهة]", "[ڕر]", "[کك]"
 
 # The alternatives of each field, in order.
@@ -26,14 +26,14 @@ RULES: dict[str, list[str]] = {
         r"((?:شهادة|وثيقة|قرار|قانون|أمر)[^\n]{0,60})",
     ],
     "recipient": [
-        r"(?:recipient|to)\s*[:‬\-]?\s*([^\n]{2,80})",
+        r"(?:recipient|to)\s*[:\u202c\-]?\s*([^\n]{2,80})",
         rf"(ر{YA}?باز\s*ه{YA}وا[^\n]{{0,40}})",
         rf"(ب{HE}?ڕیز[^\n]{{0,80}})",
         rf"(بهریوهب{HE}?ری[^\n]{{0,80}})",
     ],
     "subject": [
-        rf"(باب{HE}ت[:‬\-]?\s*[^\n]{{2,120}})",
-        r"(?:subject|الموضوع|سەبارەت)\s*[:‬\-]?\s*([^\n]{2,120})",
+        rf"(باب{HE}ت[:\u202c\-]?\s*[^\n]{{2,120}})",
+        r"(?:subject|الموضوع|سەبارەت)\s*[:\u202c\-]?\s*([^\n]{2,120})",
     ],
     "document_number": [
         r"(?:ref|no|number)\D*([A-Za-z0-9٠-٩/\-]{3,})",
@@ -44,7 +44,7 @@ RULES: dict[str, list[str]] = {
         r"(داون\s*تاون[^\n]{0,40})",
         rf"(پر{KAF}{HE}?ژ\s*[^\n]{{1,80}})",
         rf"(پرژ{HE}[^\n]{{1,40}})",
-        r"(?:project|project\s*name)\s*[:‬\-]?\s*([^\n]{2,80})",
+        r"(?:project|project\s*name)\s*[:\u202c\-]?\s*([^\n]{2,80})",
     ],
     "location": [
         rf"(سل{YA}مان{YA}?[^\n]{{0,20}})",
@@ -63,15 +63,15 @@ RULES: dict[str, list[str]] = {
         r"((?:وەزارەتی|وزارة|مدیرية)[^\n]{0,80})",
     ],
     "full_name": [
-        r"(?:name|full\s*name|ناوی\s*تەواو|الاسم\s*الكامل|الاسم)\s*[:‬\-]?\s*([\w؀-ۿ][^\n]{2,60})",
-        r"(?:ناو|الاسم)\s*[:‬\-]?\s*([\w؀-ۿ][^\n]{2,50})",
+        r"(?:name|full\s*name|ناوی\s*تەواو|الاسم\s*الكامل|الاسم)\s*[:\u202c\-]?\s*([\w؀-ۿ][^\n]{2,60})",
+        r"(?:ناو|الاسم)\s*[:\u202c\-]?\s*([\w؀-ۿ][^\n]{2,50})",
         r"^([A-Z][A-Z]+(?:\s+[A-Z][A-Z]+){1,3})$",
     ],
     "national_id": [r"(?:national\s*id|id)\D*([0-9]{8,14})", r"([0-9]{8,14})"],
     "phone_number": [r"(\+?\d[\d\s\-]{7,}\d)", r"(\+?964[\d\s\-]{7,}\d)"],
-    "address": [r"(?:address|ناونیشان|العنوان)\s*[:‬\-]?\s*([^\n]+)"],
+    "address": [r"(?:address|ناونیشان|العنوان)\s*[:\u202c\-]?\s*([^\n]+)"],
     "decision_or_status": [
-        r"(?:status|decision)\s*[:‬\-]?\s*([^\n]+)",
+        r"(?:status|decision)\s*[:\u202c\-]?\s*([^\n]+)",
         rf"(ب{RA}{YA}ار[^\n]{{0,80}})",
     ],
 }

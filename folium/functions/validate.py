@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.functions.text import bound, strip, words
+
 # Digits of three scripts, and the shapes of valid fields.
 DIGIT = "0-9٠-٩۰-۹"
 SHAPES = {
@@ -22,39 +24,41 @@ MESSAGES = {
 }
 TEXTS = ("recipient", "project_name", "sender_or_department", "full_name", "address", "decision_or_status")
 FIELDS = (*SHAPES, "subject", *TEXTS, "extraction_confidence")
-_SPACE = r"(?U)[\s\x1c-\x1f]+"
-
-
 def _light(status: str, message: str) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(message).alias("message"))
 
 
-def _stripped(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
+#: Grams of so many words are looked at, and so often one has to stand in a text.
+GRAMS, OFTEN, LEAST_WORDS = (2, 3, 4), 4, 8
+
+
+def _often(ordered: Column) -> Column:
+    """Of an ordered array a value stands four times, if some place equals the third place after it."""
+    return F.exists(F.sequence(F.lit(0), F.size(ordered) - OFTEN), lambda i: F.get(ordered, i) == F.get(ordered, i + OFTEN - 1))
 
 
 def repeated(text: Column) -> Column:
-    """For short values: has a text of at least eight words some 2-, 3- or 4-gram four times or more?"""
-    ws = F.filter(F.split(text, _SPACE), lambda w: w != "")
+    """Has a text of at least eight words some 2-, 3- or 4-gram four times or more? Null has not.
+
+    Grams are compared by 64-bit hashes within the row; only where these repeat are the words themselves.
+    """
 
-    def some(n: int) -> Column:
-        grams = F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: F.array_join(F.slice(ws, i, n), " "))
-        # Of an ordered array a gram stands four times, if some place equals the third place after it.
-        ordered = F.array_sort(grams)
-        return F.exists(F.sequence(F.lit(0), F.size(ordered) - 4), lambda i: F.get(ordered, i) == F.get(ordered, i + 3))
+    def some(ws: Column, gram) -> Column:
+        grams = lambda n: F.sort_array(F.transform(F.sequence(F.lit(1), F.size(ws) - n + 1), lambda i: gram(F.slice(ws, i, n))))
+        out = F.lit(False)
+        for n in reversed(GRAMS):
+            out = bound(grams(n), _often) | out
+        return out
 
-    return F.coalesce(F.when(F.size(ws) >= 8, some(2) | some(3) | some(4)).otherwise(F.lit(False)), F.lit(False))
+    hashed = lambda ws: bound(F.transform(ws, lambda w: F.xxhash64(w)), lambda hs: some(hs, lambda g: F.xxhash64(g)))
+    exact = lambda ws: some(ws, lambda g: F.array_join(g, " "))
+    long = F.length(text) >= 2 * LEAST_WORDS - 1
+    return F.coalesce(F.when(long, bound(words(text), lambda ws: F.when(F.size(ws) >= LEAST_WORDS, hashed(ws) & exact(ws)))), F.lit(False))
 
 
 def repeated_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key and repeated, for texts of any length: grams are counted as rows, so the work is linear in the words."""
-    ws = F.filter(F.split(F.col(text), _SPACE), lambda w: w != "")
-    each = df.select(key, ws.alias("ws"))
-    # Position and words; windows of each size by hash, counted with the map side first.
-    grams = each.where(F.size("ws") >= 8).select(key, "ws", F.explode(F.array(F.lit(2), F.lit(3), F.lit(4))).alias("n"))
-    grams = grams.select(key, "n", F.explode(F.expr("transform(sequence(1, size(ws) - n + 1), i -> array_join(slice(ws, i, n), ' '))")).alias("gram"))
-    hit = grams.groupBy(key, "n", "gram").agg(F.count(F.lit(1)).alias("c")).where("c >= 4").select(key).distinct().withColumn("repeated", F.lit(True))
-    return df.select(key).join(hit, key, "left").select(key, F.coalesce("repeated", F.lit(False)).alias("repeated"))
+    """key and repeated for each row, whatever other rows have the same key. All of a text is in its row, so nothing is shuffled."""
+    return df.select(key, repeated(F.col(text)).alias("repeated"))
 
 
 def light(name: str, value: Column) -> Column:
@@ -62,7 +66,7 @@ def light(name: str, value: Column) -> Column:
     empty = value.isNull() | (value == "")
     if name in SHAPES:
         missing, bad, good = MESSAGES[name]
-        return F.when(empty, _light("yellow", missing)).when(~_stripped(value).rlike(SHAPES[name]), _light("red", bad)).otherwise(_light("green", good))
+        return F.when(empty, _light("yellow", missing)).when(~strip(value).rlike(SHAPES[name]), _light("red", bad)).otherwise(_light("green", good))
     if name == "subject":
         long, twice = _light("red", "subject is too long; likely body text leakage"), _light("red", "subject contains repeated text")
         return F.when(empty, _light("yellow", "missing subject")).when(F.length(value) > 180, long).when(repeated(value), twice).otherwise(_light("green", "subject length looks plausible"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folium.functions.text import strip
+
 # OCR engines in order of preference, and what stands for a page that none has read.
 PRIORITY = ("paddle", "surya", "easyocr", "docling", "trocr")
 NO_TEXT = "No OCR text available. Run an OCR engine (e.g., paddle, surya) to generate raw text."
@@ -21,12 +23,27 @@ def prefer_list(first: Column, second: Column) -> Column:
 
 
 def corrected(extracted: Column, correction: Column) -> Column:
-    """A correction (VARIANT) over an extracted text: an object gives its value, even null; other non-null values win."""
+    """A correction (VARIANT) over an extracted text: an object with a key "value" gives that, even null; of the rest all but null and [] win, as text."""
     kind = F.schema_of_variant(correction)
-    inner = F.try_variant_get(correction, "$.value", "string")
-    wrapped = kind.startswith("OBJECT") & F.contains(kind, F.lit("value:"))
-    plain = F.try_variant_get(correction, "$", "string")
-    return F.when(F.coalesce(wrapped, F.lit(False)), inner).when(plain.isNotNull(), plain).otherwise(extracted)
+    inner = F.try_variant_get(correction, "$.value", "variant")
+    text = F.when(kind.startswith("BOOLEAN"), F.initcap(F.try_variant_get(correction, "$", "string"))).otherwise(F.try_variant_get(correction, "$", "string"))
+    none = correction.isNull() | (kind == "VOID") | (kind.startswith("ARRAY") & (F.size(F.try_variant_get(correction, "$", "array<variant>")) == 0))
+    return F.when(none, extracted).when(kind.startswith("OBJECT") & inner.isNotNull(), F.try_variant_get(correction, "$.value", "string")).otherwise(text)
+
+
+def filled(df: DataFrame, other: str, keys: tuple[str, ...]) -> DataFrame:
+    """df with each key that it has no column for taken from the struct other."""
+    have = {c.lower() for c in df.columns}
+    return df.withColumns({k: F.col(other)[k] for k in keys if k.lower() not in have})
+
+
+def edited(records: DataFrame, edits: DataFrame, keys: list[str]) -> DataFrame:
+    """records with the columns of their edits in place of their own, even where an edit is null; records without edits stay."""
+    new = [c for c in edits.columns if c not in keys]
+    marked = edits.select(*keys, F.struct(*new).alias("_edit"))
+    joined = records.join(marked, keys, "left")
+    own = [F.when(F.col("_edit").isNotNull(), F.col("_edit")[c]).otherwise(F.col(c) if c in records.columns else F.lit(None)).alias(c) for c in new]
+    return joined.select(*[c for c in records.columns if c not in new], *own)
 
 
 def text_by_priority(pages: DataFrame, texts: DataFrame, keys: list[str], priority: tuple[str, ...] = PRIORITY, default: str = NO_TEXT) -> DataFrame:
@@ -36,7 +53,7 @@ def text_by_priority(pages: DataFrame, texts: DataFrame, keys: list[str], priori
     texts are sorted or gathered.
     """
     rank = F.array_position(F.array(*map(F.lit, priority)), F.col("engine"))
-    stripped = F.regexp_replace("text", r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")
+    stripped = strip(F.col("text"))
     found = texts.select(*keys, rank.alias("_rank"), stripped.alias("_text")).where("_rank > 0 AND _text <> ''")
     found = found.groupBy(*keys).agg(F.min(F.struct("_rank", "_text"))["_text"].alias("_text"))
     return pages.join(found, keys, "left").withColumn("raw_text", F.coalesce("_text", F.lit(default))).drop("_text")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folium.functions.text import strip
+
 # States of a review.
 STATUSES = ("unchecked", "accepted", "needs_fix", "rejected")
 
@@ -42,4 +44,4 @@ def as_lines(items: Column) -> Column:
 
 def parse_lines(text: Column) -> Column:
     """Lines without white space around, blank ones dropped."""
-    return F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, "\n"), strip), lambda x: x != "")

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folium.functions.text import strip
+
 # The fields that are scored, in order.
 FIELDS = (
     "document_type", "full_name", "national_id", "reference_number", "ministry_or_department", "issue_date", "address", "subject",
@@ -16,7 +18,7 @@ FIELDS = (
 def comparable(value: Column, kind: T.DataType) -> Column:
     """Text for comparison: null as empty, flags as True and False, no white space around."""
     text = F.initcap(value.cast("string")) if isinstance(kind, T.BooleanType) else value.cast("string")
-    return F.coalesce(F.regexp_replace(text, r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z", ""), F.lit(""))
+    return F.coalesce(strip(text), F.lit(""))
 
 
 def score(outputs: DataFrame, truth: DataFrame, keys: list[str], fields: tuple[str, ...] = FIELDS) -> DataFrame:

@@ -38,7 +38,7 @@ def quoted(text: str) -> str:
 
 def rule_sql(name: str, text: str = "text") -> str:
     """A field's rules as DuckDB SQL."""
-    tries = ", ".join(f"nullif(regexp_extract(coalesce({text}, ''), {quoted('(?im)' + p)}, 1), '')" for p in rules.RULES[name])
+    tries = ", ".join(f"nullif(regexp_extract(coalesce({text}, ''), {quoted('(?im)' + p.replace(chr(92) + 'u202c', chr(0x202C)))}, 1), '')" for p in rules.RULES[name])
     return f"trim(coalesce({tries}, NULL), {quoted(rules.STRIP)})"
 
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folium.functions.text import strip
+
 IMAGES, PDFS = (".png", ".jpg", ".jpeg"), (".pdf",)
 MANIFEST = "document_id string, page int, source string, raw_image string, images map<string,string>"
 #: A name that a versioned write has given: _ and a UTC time before the suffix.
@@ -83,7 +85,7 @@ def ground_truth(spark: SparkSession, path: str) -> DataFrame:
     """Rows of the truth's CSV with a document_id and a page; the last of repeated keys by place in the file."""
     rows = spark.read.csv(path, header=True)
     rows = rows.where("coalesce(document_id, '') <> '' AND coalesce(page, '') <> ''").withColumn("page", F.col("page").try_cast("int"))
-    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id()))
+    rows = rows.withColumn("_at", F.struct(F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()))
     others = [c for c in rows.columns if c not in ("document_id", "page", "_at")]
     return rows.groupBy("document_id", "page").agg(F.max_by(F.struct(*others), "_at").alias("r")).select("document_id", "page", "r.*")
 
@@ -92,7 +94,7 @@ def transcripts(spark: SparkSession, folder: str) -> DataFrame:
     """document_id, page and transcript of Markdown files named <document>_p<page>...; blank ones are null."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.md").text(folder)
     name = F.col("_metadata.file_name")
-    stripped = F.regexp_replace("value", r"(?U)\A\s+|\s+\z", "")
+    stripped = strip(F.col("value"))
     return texts.select(F.regexp_extract(name, r"^(.*)_p(\d+)", 1).alias("document_id"), F.regexp_extract(name, r"^(.*)_p(\d+)", 2).cast("int").alias("page"), F.nullif(stripped, F.lit("")).alias("transcript"))
 
 
