@@ -11,7 +11,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -68,14 +69,18 @@ class PerfectHash:
         return out
 
 
-def _matrix(column: pd.Series) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint8).reshape(-1, 32).copy()
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, 32).copy()
 
 
-def _look_up(rows: pd.DataFrame) -> pd.DataFrame:
+def _ids(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether an id is null, and the ids as whole numbers of 64 bits (null: 0)."""
+    return column.is_null().to_numpy(), pc.fill_null(column, 0).to_numpy()
+
+
+def _look_up(rows: pa.Table) -> pa.Table:
     """One bucket: build the index over the historical digests, look up the incoming ones, return each distinct digest once."""
-    cols = ["n_points", "keep_id", "keep_row", "group_size"]
-    history, incoming = (rows[rows["historical"] == side].reset_index(drop=True) for side in (True, False))
+    history, incoming = rows.filter(rows["historical"]), rows.filter(pc.invert(rows["historical"]))
     old, new = _matrix(history["digest"]), _matrix(incoming["digest"])
     index = PerfectHash(old)
     slots = np.empty(len(old), np.int64)
@@ -83,22 +88,24 @@ def _look_up(rows: pd.DataFrame) -> pd.DataFrame:
     at = index.slot(new)
     known = at >= 0
     known[known] = (old[slots[at[known]]] == new[known]).all(axis=1)
-    row = np.full(len(new), -1, np.int64)
-    row[known] = slots[at[known]]
+    row = slots[at[known]]
     alone = np.ones(len(old), bool)
-    alone[row[known]] = False
-    merged = incoming.loc[known, ["digest", *cols]].reset_index(drop=True)
-    past = history.iloc[row[known]][cols].reset_index(drop=True)
+    alone[row] = False
+    merged, past = incoming.filter(pa.array(known)), history.take(pa.array(row))
     # The longer original text wins, then the smaller doc_id (none: last), then the earlier row.
-    key = lambda d: (-d["n_points"], d["keep_id"].fillna(2**62).astype("int64"), d["keep_row"])
-    (a0, a1, a2), (b0, b1, b2) = key(merged), key(past)
-    past_wins = (b0 < a0) | ((b0 == a0) & ((b1 < a1) | ((b1 == a1) & (b2 < a2))))
+    past_wins, tied = np.zeros(len(row), bool), np.ones(len(row), bool)
+    (a_none, a_id), (b_none, b_id) = _ids(merged["keep_id"]), _ids(past["keep_id"])
+    order = [(-t["n_points"].to_numpy().astype(np.int64) for t in (merged, past)), (a_none, b_none), (a_id, b_id), (t["keep_row"].to_numpy() for t in (merged, past))]
+    for a, b in order:
+        past_wins |= tied & (b < a)
+        tied &= a == b
+    wins, total = pa.array(past_wins), pc.add(merged["group_size"], past["group_size"])
+    merged = merged.set_column(merged.column_names.index("group_size"), "group_size", total)
     for c in ("keep_id", "keep_row"):
-        merged[c] = merged[c].where(~past_wins, past[c])
-    merged["group_size"] += past["group_size"]
-    parts = [merged.assign(member=True), incoming.loc[~known, ["digest", *cols]].assign(member=False), history.loc[alone, ["digest", *cols]].assign(member=True)]
-    out = pd.concat([p for p in parts if len(p)] or parts[:1])
-    return out[["digest", "member", "keep_id", "keep_row", "group_size"]]
+        merged = merged.set_column(merged.column_names.index(c), c, pc.if_else(wins, past[c], merged[c]))
+    parts = [(merged, True), (incoming.filter(pa.array(~known)), False), (history.filter(pa.array(alone)), True)]
+    out = pa.concat_tables(t.append_column("member", pa.array([member] * len(t), pa.bool_())) for t, member in parts)
+    return out.select(["digest", "member", "keep_id", "keep_row", "group_size"])
 
 
 def _grouped(rows: DataFrame, historical: Column) -> DataFrame:
@@ -125,7 +132,7 @@ def mark_duplicates(rows: DataFrame, historical: Column, buckets: int | None = N
     if buckets is None:
         buckets = 1 + rows.select(F.approx_count_distinct("digest")).first()[0] // BUCKET
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
-    found = _grouped(rows, historical).groupBy(bucket.alias("bucket")).applyInPandas(_look_up, _FOUND)
+    found = _grouped(rows, historical).groupBy(bucket.alias("bucket")).applyInArrow(_look_up, _FOUND)
     return rows.join(found, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
 
 

@@ -1,7 +1,7 @@
 """Token ids in blocks: a concatenated id array with Elias-Fano encoded document boundaries.
 
 A block is a row of a Parquet table: the ids of some documents in a row (2 bytes an id where the vocabulary allows, else
-4), the ends of the documents as an Elias-Fano sequence and the documents' ids. The ends take about 2 + log2(ids a
+4), the ends of the documents and the documents' own ids, both as Elias-Fano sequences. The ends take about 2 + log2(ids a
 document) bits a document, in place of 64. Positions of every 64th one bit are kept, so that select() reads a document's
 offset without decoding the others. Tables are written by Spark's committed writer: a lost executor's blocks are written
 again, never twice.
@@ -16,11 +16,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import documents, partitions, work_dir
-from folium.llm.word_cache import WordCache
+from folium.llm.word_cache import WordCache, distinct
 
 END = 2
 #: Ids in a block, if it holds more than one document.
@@ -28,53 +29,46 @@ BLOCK = 1 << 20
 #: Characters that are encoded together.
 CHUNK = 1 << 20
 _STEP = 64
-_NO_ID = -(2**63)
-_BLOCKS = "part int, block int, first long, n_docs int, n_tokens long, width int, doc_ids binary, low_bits int, low binary, high binary, ones binary, ids binary"
+_EF = "low_bits int, low binary, high binary, ones binary"
+#: The ids of a block's documents: no_ids of them have none and come first, the others are above least_id as a sequence of their own.
+_BLOCKS = f"part int, block int, first long, n_docs int, n_tokens long, width int, no_ids int, least_id long, id_of struct<{_EF}>, end_of struct<{_EF}>, ids binary"
 
 
 class EliasFano:
-    """A non-decreasing sequence of n numbers below 2**63."""
+    """A non-decreasing sequence of n unsigned numbers of 64 bits."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, ones: bytes):
         self.n, self.low_bits = n, low_bits
-        self.low, self.high, self.ones = np.frombuffer(low, np.uint8), np.frombuffer(high, np.uint8), np.frombuffer(ones, "<u4")
+        self.low, self.high, self.ones = low, high, np.frombuffer(ones, "<u4")
 
     @classmethod
     def of(cls, values: np.ndarray) -> EliasFano:
-        n = len(values)
+        n, values = len(values), values.astype("u8")
         top = int(values[-1]) if n else 0
         low_bits = max(0, (top // max(n, 1)).bit_length() - 1)
-        low = (values[:, None] >> np.arange(low_bits)) & 1 if low_bits else np.zeros((n, 0))
-        at = (values >> low_bits) + np.arange(n)
+        low = (values[:, None] >> np.arange(low_bits, dtype="u8")) & np.uint64(1) if low_bits else np.zeros((n, 0))
+        at = (values >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         bits = np.zeros(int(at[-1]) + 1 if n else 0, np.uint8)
         bits[at] = 1
         return cls(n, low_bits, np.packbits(low.astype(np.uint8).ravel(), bitorder="little").tobytes(), np.packbits(bits, bitorder="little").tobytes(), at[::_STEP].astype("<u4").tobytes())
 
     def select(self, k: int) -> int:
-        """The k-th number: from the sampled one bit before it, count on in the high bits."""
-        at = int(self.ones[k // _STEP])
-        left = k % _STEP
+        """The k-th number: from the sampled one bit before it, count on in the high bits, 64 at a time."""
+        at, left = int(self.ones[k // _STEP]), k % _STEP
         byte = at >> 3
-        word = int(self.high[byte]) >> (at & 7) << (at & 7)
-        while left >= word.bit_count():
-            left -= word.bit_count()
-            byte += 1
-            word = int(self.high[byte])
+        word = int.from_bytes(self.high[byte : byte + 8], "little") >> (at & 7) << (at & 7)
+        while left >= (n := word.bit_count()):
+            left -= n
+            byte += 8
+            word = int.from_bytes(self.high[byte : byte + 8], "little")
         for _ in range(left):
             word &= word - 1
         high = byte * 8 + (word & -word).bit_length() - 1 - k
-        first, low = k * self.low_bits, 0
-        for b in range(self.low_bits):
-            low |= (int(self.low[(first + b) >> 3]) >> ((first + b) & 7) & 1) << b
-        return high << self.low_bits | low
-
-    def all(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        high = at - np.arange(self.n)
         if not self.low_bits:
             return high
-        low = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, -1).astype(np.int64)
-        return high << self.low_bits | low @ (1 << np.arange(self.low_bits))
+        first = k * self.low_bits
+        low = int.from_bytes(self.low[first >> 3 : (first + self.low_bits + 7) >> 3], "little") >> (first & 7) & ((1 << self.low_bits) - 1)
+        return high << self.low_bits | low
 
 
 class ByteBpe:
@@ -83,6 +77,7 @@ class ByteBpe:
     No pre-token spans a single space or line feed between two other characters but at its start, so a text is cut there
     and each distinct piece is encoded once. Pieces are encoded as one long text and told apart by the tokens that start
     with a space or line feed; pieces with more white space in them, and a text's first piece, are encoded on their own.
+    Texts that hold an added token's string (such as the end of a text) go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -90,7 +85,7 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = re.compile("|".join(map(re.escape, sorted((t.content for t in self.tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True))) or r"(?!)")
         vocab = self.tokenizer.get_vocab()
         self.dtype = "<u2" if max(vocab.values()) < 2**16 else "<u4"
         self.spaced = np.zeros(max(vocab.values()) + 1, bool)
@@ -114,28 +109,59 @@ class ByteBpe:
 
     _WHITE = re.compile(r"\s")
 
+    def _alone(self, words: list[str]) -> list[bool]:
+        """Whether a piece is short of a character or has more white space than at its start."""
+        out = []
+        for k in range(0, len(words), 2000):
+            some = words[k : k + 2000]
+            if len("".join(some).split()) == len(some):  # each starts with its only white space
+                out += [False] * len(some)
+            else:
+                out += [len(w) < 2 or self._WHITE.search(w, 1) is not None for w in some]
+        return out
+
     def _pieces(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Pieces with their space put back: those that start with a line feed stand without one."""
         full = [w if w[:1] == "\n" else " " + w for w in words]
-        kinds: tuple[list[int], ...] = ([], [], [])
-        for k, w in enumerate(full):
-            kinds[2 if len(w) < 2 or self._WHITE.search(w, 1) else w[0] == "\n"].append(k)
+        kind = np.array([w[0] == "\n" for w in full], np.int64)
+        kind[np.array(self._alone(full), bool)] = 2
         ids, owners, sizes = [], [], np.zeros(len(full), np.int64)
-        for kind, encode in zip(kinds, (lambda x: self._together(x, self.spaced), lambda x: self._together(x, self.fed), self._texts)):
-            if kind:
-                got, sizes[kind] = encode([full[k] for k in kind])
+        for k, encode in enumerate((lambda x: self._together(x, self.spaced), lambda x: self._together(x, self.fed), self._texts)):
+            at = np.flatnonzero(kind == k)
+            if len(at):
+                got, sizes[at] = encode([full[i] for i in at] if len(at) < len(full) else full)
                 ids.append(got)
-                owners.append(np.repeat(kind, sizes[kind]))
-        return np.concatenate(ids)[np.argsort(np.concatenate(owners), kind="stable")], sizes
+                owners.append(np.repeat(at, sizes[at]))
+        return ids[0] if len(ids) == 1 else np.concatenate(ids)[np.argsort(np.concatenate(owners), kind="stable")], sizes
 
-    _ODD, _CUT = re.compile(r"\s\s|\s\Z|\A\s"), re.compile(r"(?<=\S) (?=\S)")
+    _DOUBLE, _CUT = re.compile(r"\s\s"), re.compile(r"(?<=\S) (?=\S)")
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self._CUT.split(t) if self._ODD.search(t) else t.replace("\n", " \n").split(" ") for t in texts]
-        first, first_ends = self.firsts.ids([p[0] for p in pieces])
-        ids, ends = self.words.ids([w for p in pieces for w in p[1:]])
-        at = ends[np.cumsum([0] + [len(p) - 1 for p in pieces])]
-        return [np.concatenate([first[first_ends[k] : first_ends[k + 1]], ids[at[k] : at[k + 1]]]) for k in range(len(texts))]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        plain, odd, whole = [], [], []
+        for k, t in enumerate(texts):
+            if self.added.search(t):
+                whole.append(k)
+            else:
+                (odd if not t or t[0].isspace() or t[-1].isspace() or self._DOUBLE.search(t) else plain).append(k)
+        for k in whole:
+            out[k] = self._texts([texts[k]])[0].astype(self.dtype)
+        cut = [
+            (plain, pc.split_pattern(pc.replace_substring(pa.array([texts[k] for k in plain], pa.large_string()), "\n", " \n"), " ")),
+            (odd, pa.array([self._CUT.split(texts[k]) for k in odd], pa.large_list(pa.large_string()))),
+        ]
+        for at, pieces in cut:
+            if not at:
+                continue
+            counts, words = pc.list_value_length(pieces).to_numpy(), pieces.flatten()
+            is_first = np.zeros(len(words), bool)
+            is_first[np.cumsum(counts) - counts] = True
+            first, first_ends = self.firsts.ids(words.filter(pa.array(is_first)).to_pylist())
+            ids, ends = self.words.ids(*distinct(words.filter(pa.array(~is_first))))
+            ends = ends[np.concatenate([[0], np.cumsum(counts - 1)])]
+            for k, i in enumerate(at):
+                out[i] = np.concatenate([first[first_ends[k] : first_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
+        return out
 
 
 _BPE: dict[str, ByteBpe] = {}
@@ -154,7 +180,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
     for batch in batches:
         ids, texts, size = [], [], 0
         for i, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids.append(_NO_ID if i is None else i)
+            ids.append(i)
             texts.append(t.as_py() or "")
             size += len(texts[-1]) + 16
             if size >= CHUNK:
@@ -164,15 +190,36 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]
             yield ids, texts
 
 
-def _block(part: int, number: int, first: int, doc_ids: list[int], docs: list[np.ndarray], dtype: str) -> pa.RecordBatch:
-    ends = EliasFano.of(np.cumsum([len(x) for x in docs], dtype=np.int64))
+def _packed(ef: EliasFano) -> pa.StructArray:
+    return pa.StructArray.from_arrays([pa.array([ef.low_bits], pa.int32()), *(pa.array([x], pa.binary()) for x in (ef.low, ef.high, ef.ones.tobytes()))], names=["low_bits", "low", "high", "ones"])
+
+
+def _block(part: int, number: int, first: int, doc_ids: list[int | None], docs: list[np.ndarray], dtype: str) -> pa.RecordBatch:
+    known = np.array([i for i in doc_ids if i is not None], np.int64)
+    least = known[0] if len(known) else np.int64(0)
     row = {
-        "part": part, "block": number, "first": first, "n_docs": len(docs), "n_tokens": sum(map(len, docs)), "width": np.dtype(dtype).itemsize,
-        "doc_ids": np.array(doc_ids, "<i8").tobytes(), "low_bits": ends.low_bits, "low": ends.low.tobytes(), "high": ends.high.tobytes(),
-        "ones": ends.ones.tobytes(), "ids": np.concatenate(docs).astype(dtype).tobytes(),
+        "part": pa.array([part], pa.int32()), "block": pa.array([number], pa.int32()), "first": pa.array([first], pa.int64()), "n_docs": pa.array([len(docs)], pa.int32()),
+        "n_tokens": pa.array([sum(map(len, docs))], pa.int64()), "width": pa.array([np.dtype(dtype).itemsize], pa.int32()), "no_ids": pa.array([len(docs) - len(known)], pa.int32()),
+        "least_id": pa.array([least], pa.int64()), "id_of": _packed(EliasFano.of(known.view("u8") - least.view("u8"))),
+        "end_of": _packed(EliasFano.of(np.cumsum([len(x) for x in docs], dtype=np.int64))), "ids": pa.array([np.concatenate(docs).astype(dtype).tobytes()], pa.binary()),
     }
-    kinds = {"part": pa.int32(), "block": pa.int32(), "n_docs": pa.int32(), "width": pa.int32(), "low_bits": pa.int32(), "first": pa.int64(), "n_tokens": pa.int64()}
-    return pa.RecordBatch.from_pydict({k: pa.array([v], kinds.get(k, pa.binary())) for k, v in row.items()})
+    return pa.RecordBatch.from_pydict(row)
+
+
+class Block:
+    """A block that is read: documents by their place in it, through select()."""
+
+    def __init__(self, row: dict):
+        self.row, self.n = row, row["n_docs"]
+        self.ids = np.frombuffer(row["ids"], f"<u{row['width']}")
+        self.id_of, self.end_of = (EliasFano(n, x["low_bits"], x["low"], x["high"], x["ones"]) for n, x in ((self.n - row["no_ids"], row["id_of"]), (self.n, row["end_of"])))
+
+    def doc_id(self, k: int) -> int | None:
+        return None if k < self.row["no_ids"] else self.row["least_id"] + self.id_of.select(k - self.row["no_ids"])
+
+    def bounds(self, k: int) -> tuple[int, int]:
+        """Where the k-th document starts and ends among the ids of the block."""
+        return self.end_of.select(k - 1) if k else 0, self.end_of.select(k)
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
@@ -216,20 +263,19 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                ends = EliasFano(r["n_docs"], r["low_bits"], r["low"], r["high"], r["ones"]).all()
-                ids = np.frombuffer(r["ids"], f"<u{r['width']}").astype("<u4")
-                begins = np.concatenate([[0], ends[:-1]])
-                doc_ids = np.frombuffer(r["doc_ids"], "<i8")
+                block = Block(r)
+                bounds = np.array([block.bounds(k) for k in range(block.n)], np.int64)
+                ids = block.ids.astype("<u4")
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": pa.array(doc_ids, mask=doc_ids == _NO_ID),
-                        "start": pa.array(begins + r["first"] + r["part_start"], pa.int64()),
-                        "n_tokens": pa.array(ends - begins, pa.int64()),
-                        "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in zip(begins, ends)], pa.int64()),
+                        "doc_id": pa.array([block.doc_id(k) for k in range(block.n)], pa.int64()),
+                        "start": pa.array(bounds[:, 0] + r["first"] + r["part_start"], pa.int64()),
+                        "n_tokens": pa.array(bounds[:, 1] - bounds[:, 0], pa.int64()),
+                        "ids_crc32": pa.array([zlib.crc32(ids[a:b]) for a, b in bounds.tolist()], pa.int64()),
                     }
                 )
 
-    rows = blocks.join(F.broadcast(starts), "part").select("first", "part_start", "n_docs", "width", "doc_ids", "low_bits", "low", "high", "ones", "ids")
+    rows = blocks.join(F.broadcast(starts), "part").select("first", "part_start", "n_docs", "width", "no_ids", "least_id", "id_of", "end_of", "ids")
     return rows.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 
-#: Words that a worker remembers; beyond that it forgets all and starts anew.
-LIMIT = 800_000
+#: Words that a worker remembers, and their characters; beyond that it forgets all and starts anew.
+LIMIT, CHARACTERS = 800_000, 1 << 24
 
 
 class WordCache:
@@ -19,6 +20,7 @@ class WordCache:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
+        self.characters = 0
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
         self.start, self.size = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32)
 
@@ -35,18 +37,32 @@ class WordCache:
         self.used += len(ids)
         self.index.update(zip(words, range(n, n + k)))
 
-    def ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """The concatenated ids of all words, and the number of ids up to each word (one more than words)."""
-        new = set(words).difference(self.index)
+    def ids(self, words: list[str], places: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The concatenated ids of all words, and the number of ids up to each word (one more than words).
+
+        places: the words of the text as places in words, which are distinct then.
+        """
+        new = [w for w in words if w not in self.index] if places is not None else list(set(words).difference(self.index))
         if new:
-            if len(self.index) + len(new) > self.limit:
+            more = sum(map(len, new))
+            if len(self.index) + len(new) > self.limit or self.characters + more > CHARACTERS:
                 self.clear()
-                new = set(words)
-            self._add(list(new))
+                new = list(set(words))
+                more = sum(map(len, new))
+            self.characters += more
+            self._add(new)
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+        if places is not None:
+            at = at[places]
         size = self.size[at]
-        ends = np.zeros(len(words) + 1, np.int64)
+        ends = np.zeros(len(at) + 1, np.int64)
         np.cumsum(size, out=ends[1:])
         take = np.arange(ends[-1])
         take += np.repeat(self.start[at] - ends[:-1], size)
         return self.flat[take], ends
+
+
+def distinct(words: pa.Array) -> tuple[list[str], np.ndarray]:
+    """The distinct words, and the place of each word among them."""
+    found = words.dictionary_encode()
+    return found.dictionary.to_pylist(), found.indices.to_numpy()
