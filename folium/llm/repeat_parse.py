@@ -1,15 +1,18 @@
 """Removal of long repeats by prefix-free parsing.
 
-Rolling 8-byte hashes trigger phrase starts, so equal text is parsed alike wherever it stands. A window of LENGTH bytes is
-known by the first trigger in it: windows that are equal have it at the same distance. So suffixes are only compared where
-phrases start. Each trigger, with the distances of one class, gives one row: a key over the bytes behind the trigger that
-all its windows hold, and a hash of its whole context, from the first of its windows to the end of the last. Rows are
-brought into order by key, then context. Neighbours of the same context repeat as a whole, which settles all of the inside
-of a repeat with one row a phrase; neighbours of the same key but other contexts are the edges of repeats, and only these
-are resolved window by window.
-
-The corpus order is that of the 64-bit hashes, not of the bytes: whether a window repeats asks for equal neighbours only,
-and hashes can be dealt out to any number of machines, which suffix arrays of the dictionary and the parse can't.
+Whether a window of LENGTH bytes stands elsewhere is told by neighbours in the order of all suffixes. That order is made by
+prefix-free parsing, place by place: rolling 8-byte hashes trigger phrases, the suffix array of the dictionary (the distinct
+phrases) and that of the parse (the phrases' ranks, by prefix doubling) combine into the order of the windows, and
+neighbours are compared byte by byte. So nothing goes on a hash alone.
+
+Windows that are equal have to meet in one place. Each window has an anchor: the smallest rolling hash of those within it
+(the first of equals), so equal windows have it at the same distance. The windows of one anchor stand in a row and are one
+region; its key is a hash of the bytes at the anchor. Keys that occur once are left out. The bytes of the other regions meet
+by key: equal regions repeat as a whole, and the different regions of a key go through the parse. Within a task equal
+regions are settled before they are sent, so a passage of very many documents sends a few regions from each task.
+
+A key with more than CROWD bytes of different regions is not gathered: its windows go into the next round, cut into regions
+of fewer windows with a key over all bytes that these have in common, down to single windows, which are equal or not.
 """
 
 from __future__ import annotations
@@ -22,209 +25,455 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import documents, numbered, partitions, text_of, written
+from folium.llm.common import documents, erase, numbered, partitions, text_of, written
 
 LENGTH, TRIGGER, MEAN = 400, 8, 48
-#: Distances from a window to its first trigger: from, to, and how many bytes behind the trigger all these windows hold.
-CLASSES = ((0, 80, 320), (81, 144, 256), (145, 208, 192), (209, 272, 128), (273, 336, 64))
-#: Bytes of a text that are worked on together, and what is seen beyond them.
-SEGMENT, BEYOND = 1 << 21, 2 * LENGTH
-#: Documents that are picked by a broadcast of their rows at most; beyond that the join shuffles.
-BROADCAST_ROWS = 2_000_000
+#: Bytes at an anchor that make the key, and how many places of a window an anchor can have.
+CORE = 32
+PLACES = LENGTH - CORE + 1
+#: Bytes of a text that are worked on together; their places take 22 bits.
+SEGMENT = 1 << 21
+#: Windows of a region at most, by round: none given in the first.
+ROUNDS = (0, 16, 1)
+#: Bytes of regions that are parsed together; of different regions of a key at most, else they go into the next round; and that a task remembers to settle equal ones.
+CHUNK, CROWD, REMEMBERED = 1 << 20, 1 << 20, 1 << 25
+#: Symbols of nine bits that a dictionary suffix is first ordered by.
+FIRST = 7
+#: Keys or stretches that are broadcast at most; beyond that joins shuffle.
+BROADCAST_ROWS = 1_000_000
 _BASE = 0x9E3779B97F4A7C15
 _MASK = 2**64 - 1
 _BYTES = np.array([((k + 1) * 0xBF58476D1CE4E5B9 ^ ((k + 1) * 0x94D049BB133111EB & _MASK) >> 29) & _MASK for k in range(256)], "u8")
-_powers: list[np.ndarray] = [np.ones(1, "u8"), np.ones(1, "u8")]
+_WEIGHTS = np.cumprod(np.full(LENGTH, _BASE, "u8"), dtype="u8")
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(max(n, 1 << 16), base, "u8")
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps, dtype="u8")
-    return _powers[0][:n], _powers[1][:n]
+def _bytes(text) -> np.ndarray:
+    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
 
-class Hashed:
-    """Hashes of any stretch of a byte string."""
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as a view; data has eight bytes at least."""
+    return np.ndarray((len(data) - 7,), "<u8", np.ascontiguousarray(data), strides=(1,))
+
+
+def _rolling(data: np.ndarray) -> np.ndarray:
+    """Hashes of the 8-byte strings at all places."""
+    h = _words(data) * np.uint64(_BASE)
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    return h
+
+
+def _stretch_hashes(data: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the stretches of one size that start at these places; they only tell what has to meet."""
+    out = np.zeros(len(at), "u8")
+    for k in range(size):
+        out += _BYTES[data[at + k]] * _WEIGHTS[k]
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ (out >> np.uint64(29))
+
+
+def anchors(data: np.ndarray) -> np.ndarray:
+    """The anchor of each window of a stretch: the place of its smallest rolling hash, the first of equals."""
+    windows = len(data) - LENGTH + 1
+    h = _rolling(data)[: windows + PLACES - 1]
+    h >>= np.uint64(22)
+    h <<= np.uint64(22)
+    h |= np.arange(len(h), dtype="u8")
+    blocks = -(-len(h) // PLACES)
+    padded = np.full(blocks * PLACES, _MASK, "u8")
+    padded[: len(h)] = h
+    padded = padded.reshape(blocks, PLACES)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    behind = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    least = np.minimum(behind[:windows], ahead[PLACES - 1 : PLACES - 1 + windows])
+    return (least & np.uint64((1 << 22) - 1)).astype(np.int64)
+
+
+def regions(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """key, first and last window of the regions of a text; a text shorter than a window has none."""
+    for s in range(0, len(data) - LENGTH + 1, SEGMENT):
+        part = data[s : s + SEGMENT + LENGTH - 1]
+        at = anchors(part)
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        last = np.append(first[1:], len(at)) - 1
+        yield _stretch_hashes(part, at[first], CORE).view("i8"), first + s, last + s
 
-    def __init__(self, data: np.ndarray):
-        power, self.inverse = _power(len(data) + 1)
-        self.sums = np.zeros(len(data) + 1, "u8")
-        np.cumsum(_BYTES[data] * power[:-1], out=self.sums[1:], dtype="u8")
 
-    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        h = (self.sums[b] - self.sums[a]) * self.inverse[a]
-        h ^= h >> np.uint64(32)
-        h *= np.uint64(0xD6E8FEB86659FD93)
-        return h ^ (h >> np.uint64(32))
+def finer(data: np.ndarray, a: int, b: int, width: int) -> Iterator[tuple[int, int, int]]:
+    """key, first and last window of the regions of as many windows as width that a region falls into.
 
+    Cells of a grid by the distance to the anchor, as equal windows have that in common. The key is over the bytes that all
+    windows of a whole cell have in common, so it is the same where a region has only some of a cell's windows.
+    """
+    if width == 1:
+        for w in range(a, b + 1):
+            yield hash_of(data[w : w + LENGTH].tobytes()), w, w
+        return
+    anchor = a + int(anchors(data[a : a + LENGTH])[0])
+    cells = np.arange((anchor - b) // width, (anchor - a) // width + 1)
+    keys = _stretch_hashes(data, anchor - cells * width, LENGTH - width + 1).view("i8")
+    for c, key in zip(cells.tolist(), keys.tolist()):
+        yield key, max(a, anchor - (c + 1) * width + 1), min(b, anchor - c * width)
 
-def triggers(data: np.ndarray) -> np.ndarray:
-    """Starts of the 8-byte strings whose hash is a trigger."""
-    if len(data) < TRIGGER:
-        return np.zeros(0, np.int64)
-    words = np.ndarray((len(data) - TRIGGER + 1,), "<u8", np.ascontiguousarray(data), strides=(1,)).copy()
-    words *= np.uint64(_BASE)
-    words ^= words >> np.uint64(32)
-    words *= np.uint64(0xD6E8FEB86659FD93)
-    return np.flatnonzero((words >> np.uint64(32)) % np.uint64(MEAN) == 0)
 
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and how often they occur, some hundred thousand regions at a time."""
+    held, n = [], 0
 
-def segments(data: np.ndarray) -> Iterator[tuple[int, np.ndarray, int]]:
-    """Start, bytes and number of windows of each segment; a text shorter than a window has none."""
-    for s in range(0, len(data) - LENGTH + 1, SEGMENT):
-        yield s, data[s : s + SEGMENT + BEYOND], min(SEGMENT, len(data) - LENGTH + 1 - s)
-
-
-def parse(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
-    """key, context, first and last window of the rows of a text; True at the end: windows without a trigger nearby, to be resolved one by one."""
-    for s, part, windows in segments(data):
-        at, h = triggers(part), Hashed(part)
-        low = np.concatenate([[0], at[:-1] + 1]) if len(at) else at
-        high = np.minimum(at, windows - 1)
-        for k, (near, far, right) in enumerate(CLASSES):
-            a, b = np.maximum(low, at - far), np.minimum(high, at - near)
-            some = np.flatnonzero(a <= b)
-            if len(some):
-                a, b, t = a[some], b[some], at[some]
-                yield h.of(t, t + right) ^ np.uint64(k + 1), h.of(a, b + LENGTH) ^ (b - a).astype("u8"), a + s, b + s, False
-        a = np.append(low, at[-1] + 1 if len(at) else 0)
-        b = np.append(np.minimum(high, at - CLASSES[-1][1] - 1), windows - 1)
-        some = np.flatnonzero(a <= b)
-        if len(some):
-            a, b = a[some], b[some]
-            yield h.of(a, a + LENGTH), h.of(b, b + LENGTH), a + s, b + s, True
+    def flush() -> pa.RecordBatch:
+        keys, counts = np.unique(np.concatenate(held), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts.astype(np.int64))], names=["key", "n"])
 
+    for batch in batches:
+        for text in batch.column(0):
+            for key, *_ in regions(_bytes(text.as_py())):
+                held.append(key)
+                n += len(key)
+            if n > 200_000:
+                yield flush()
+                held, n = [], 0
+    if n:
+        yield flush()
 
-def _bytes(text) -> np.ndarray:
-    return np.frombuffer((text or "").encode("utf-8", "surrogatepass"), np.uint8)
 
+_REGIONS = "key long, context long, row long, a int, b int, bytes binary"
+_SETTLED = b""
 
-_ROWS = "key long, context long, row long, a int, b int, loose boolean"
 
+class _Sender:
+    """Rows of regions; what equals a region that the task has sent needs no bytes, it is settled."""
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def __init__(self):
+        self.rows: list[tuple] = []
+        self.size = 0
+        self.seen: dict[bytes, tuple | None] = {}
+        self.remembered = 0
+
+    def add(self, key: int, row: int, a: int, b: int, raw: bytes) -> None:
+        if raw in self.seen:
+            first = self.seen[raw]
+            if first is not None:
+                self.rows.append((first[0] ^ first[1], 0, *first, _SETTLED))
+                self.seen[raw] = None
+            self.rows.append((row ^ a, 0, row, a, b, _SETTLED))
+            self.size += 32
+            return
+        if self.remembered > REMEMBERED:
+            self.seen, self.remembered = {}, 0
+        self.seen[raw] = (row, a, b)
+        self.remembered += len(raw) + 100
+        self.rows.append((key, hash_of(raw), row, a, b, raw))
+        self.size += len(raw) + 32
+
+    def batch(self) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows), kinds)], names=[c.split()[0] for c in _REGIONS.split(", ")])
+        self.rows, self.size = [], 0
+        return out
+
+
+def hash_of(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
+
+
+def _sent(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """The regions whose keys occur more than once, with their bytes. keys has key; few are broadcast, many are joined by document."""
+    few = keys.count() <= BROADCAST_ROWS
+    if few:
+        held = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toArrow()["key"].to_numpy()))
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender()
+        for batch in batches:
+            wanted = held.value if few else None
+            for k, (row, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+                data = _bytes(text.as_py())
+                if not few:
+                    wanted = np.sort(np.array(batch.column(2)[k].as_py(), np.int64))
+                raw = data.tobytes()
+                for key, a, b in regions(data):
+                    known = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
+                    for i, x, y in zip(key[known].tolist(), a[known].tolist(), b[known].tolist()):
+                        sender.add(i, row, x, y, raw[x : y + LENGTH])
+                        if sender.size > 1 << 22:
+                            yield sender.batch()
+        if sender.rows:
+            yield sender.batch()
+
+    rows = docs.select("row", "text")
+    if not few:
+        own = rows.mapInArrow(_keys_by_row, "row long, key long").join(keys, "key", "left_semi")
+        rows = rows.join(own.groupBy("row").agg(F.collect_list("key").alias("wanted")), "row").select("row", "text", "wanted")
+    return rows.mapInArrow(of, _REGIONS)
+
+
+def _keys_by_row(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held, n = [], 0
         for row, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            for key, context, a, b, loose in parse(_bytes(text.as_py())):
-                held.append((key.view("i8"), context.view("i8"), np.full(len(a), row), a.astype("i4"), b.astype("i4"), np.full(len(a), loose)))
-                n += len(a)
-            if n > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "context", "row", "a", "b", "loose"])
-                held, n = [], 0
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held)], names=["key", "context", "row", "a", "b", "loose"])
+            for key, *_ in regions(_bytes(text.as_py())):
+                key = np.unique(key)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), row)), pa.array(key)], names=["row", "key"])
+
+
+def _sent_again(docs: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
+    """Regions of fewer windows of what a round has left open; stretches has row, a and b."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sender = _Sender()
+        for batch in batches:
+            for row, text, a, b in zip(*(c.to_pylist() for c in batch.columns)):
+                data = _bytes(text)
+                raw = data.tobytes()
+                for first, last in zip(a, b):
+                    for key, x, y in finer(data, first, last, width):
+                        sender.add(key, row, x, y, raw[x : y + LENGTH])
+                        if sender.size > 1 << 22:
+                            yield sender.batch()
+        if sender.rows:
+            yield sender.batch()
+
+    own = stretches.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("w")).select("row", "w.a", "w.b")
+    return docs.select("row", "text").join(own, "row").select("row", "text", "a", "b").mapInArrow(of, _REGIONS)
+
 
+# --- dictionary, parse and their suffix arrays -----------------------------------------------------------------------
 
-def _with_neighbours(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray], list[np.ndarray]]]:
-    """Batches that are sorted by their first columns, with whether each row has the same first column, the same first two, ... as the row before and after it.
 
-    Only one row is held from one batch to the next, however many share a key.
+def _sorted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of their keys (not below 0), and the ordered keys."""
+    bits = len(key).bit_length()
+    if int(key.max(initial=0)) >> (63 - bits):
+        order = np.argsort(key)
+        return order, key[order]
+    packed = key << bits  # a sort of numbers is several times faster than one of places
+    packed |= np.arange(len(key))
+    packed.sort()
+    return packed & ((1 << bits) - 1), packed >> bits
+
+
+def _first_places(ordered: np.ndarray) -> np.ndarray:
+    """For each place of an ordered array the first place of its value."""
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    return np.maximum.accumulate(np.where(new, np.arange(len(ordered)), 0))
+
+
+def suffix_ranks(key: np.ndarray, left: np.ndarray, known: int) -> np.ndarray:
+    """Ranks from 1 on of all suffixes, equal for equal ones, by prefix doubling.
+
+    key is the order by their first symbols, as many as known; left: symbols from a place to the end of its string. Only
+    suffixes that share a rank and go on are sorted again.
     """
-    held, before = None, [False] * keys
-    for batch in batches:
-        if not batch.num_rows:
+    rank, n = np.zeros(len(key), np.int64), len(key) + 1
+    order, ordered = _sorted(key)
+    at = _first_places(ordered)
+    rank[order] = at + 1
+    shared = np.concatenate([at[1:] == at[:-1], [False]]) | np.concatenate([[False], at[1:] == at[:-1]]) if len(at) else np.zeros(0, bool)
+    active = order[shared]
+    while len(active := active[left[active] >= known]):
+        own = rank[active]
+        after = np.where(left[active] > known, rank[np.minimum(active + known, len(key) - 1)], 0)
+        order, ordered = _sorted(own * n + after)
+        active, own = active[order], own[order]
+        group, at = _first_places(own), _first_places(ordered)
+        rank[active] = own + at - group
+        same = at[1:] == at[:-1]
+        active = active[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        known *= 2
+    return rank
+
+
+class Parse:
+    """Texts in phrases: the dictionary with its suffix array, and the parse with its own."""
+
+    def __init__(self, texts: list[bytes]):
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        hashed = _rolling(data) if len(data) >= TRIGGER else np.zeros(0, "u8")
+        at = np.flatnonzero((hashed >> np.uint64(32)) % np.uint64(MEAN) == 0)
+        owner = np.searchsorted(ends, at, side="right")
+        at = at[at + TRIGGER <= ends[owner]]
+        self.at = np.unique(np.concatenate([starts, at]))
+        text = np.searchsorted(ends, self.at, side="right")
+        last = np.append(text[1:] != text[:-1], True)
+        # A phrase ends with the trigger of the next one, or with its text.
+        stop = np.where(last, ends[text], np.minimum(np.append(self.at[1:], 0) + TRIGGER, ends[text]))
+        raw, index = data.tobytes(), {}
+        ids = np.array([index.setdefault(raw[a:b], len(index)) for a, b in zip(self.at.tolist(), stop.tolist())], np.int64)
+        self.phrases = list(index)
+        sizes = np.array(list(map(len, self.phrases)))
+        self.places = np.cumsum(sizes) - sizes
+        left = np.repeat(self.places + sizes, sizes) - np.arange(sizes.sum())
+        symbols = np.frombuffer(b"".join(self.phrases), np.uint8).astype(np.int64) + 1
+        first, padded = np.zeros(len(symbols), np.int64), np.append(symbols, np.zeros(FIRST, np.int64))
+        for k in range(FIRST):
+            first <<= 9
+            first |= np.where(left > k, padded[k : k + len(symbols)], 0)
+        self.dictionary_rank = suffix_ranks(first, left, FIRST)
+        # Suffixes of the parse, by the phrases' ranks; nothing crosses the end of a text.
+        whole = self.dictionary_rank[self.places][ids]
+        ahead = np.searchsorted(text, text, side="right") - np.arange(len(text))
+        self.parse_rank = suffix_ranks(whole, ahead, 1)
+        self.ids, self.last, self.data = ids, last, data
+
+    def order(self, at: np.ndarray) -> np.ndarray:
+        """Places of the texts in the order of their suffixes: by the suffix of the phrase, then by the parse behind it."""
+        phrase = np.searchsorted(self.at, at, side="right") - 1
+        own = self.dictionary_rank[self.places[self.ids[phrase]] + at - self.at[phrase]]
+        behind = np.where(self.last[phrase], 0, np.append(self.parse_rank[1:], 0)[phrase])
+        return _sorted(own * (self.parse_rank.max(initial=0) + 1) + behind)[0]
+
+
+def repeating(texts: list[bytes], windows: np.ndarray) -> np.ndarray:
+    """Of the first windows of each text, one after the other: those that equal another one, byte by byte."""
+    parse = Parse(texts)
+    sizes = np.array([len(t) for t in texts])
+    at = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows) + np.repeat(np.cumsum(sizes) - sizes, windows)
+    order = parse.order(at)
+    # The next one in order, of each window; neighbours of windows in a row mostly stand in a row too, and are compared as one.
+    other = np.full(len(at), -1)
+    other[order[:-1]] = at[order[1:]]
+    new = np.flatnonzero(np.concatenate([[True], (np.diff(at) != 1) | (np.diff(other) != 1)]))
+    raw, words, out, unlike = parse.data.tobytes(), _words(parse.data), np.zeros(len(at), bool), []
+    for k, end, x, y in zip(new.tolist(), [*new[1:].tolist(), len(at)], at[new].tolist(), other[new].tolist()):
+        n = end - k + LENGTH - 1
+        if y < 0:
             continue
-        if held is not None:
-            batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        same = np.ones(batch.num_rows - 1, bool)
-        prev, nxt = [], []
-        for k in range(keys):
-            c = batch.column(k).to_numpy(zero_copy_only=False)
-            same = same & (c[1:] == c[:-1])
-            prev.append(np.concatenate([[before[k]], same]))
-            nxt.append(np.concatenate([same, [False]]))
-        before = [bool(p[-1]) for p in prev]
-        held = batch.slice(batch.num_rows - 1)
-        if batch.num_rows > 1:
-            yield batch.slice(0, batch.num_rows - 1), [p[:-1] for p in prev], [x[:-1] for x in nxt]
-    if held is not None:
-        yield held, [np.array([b]) for b in before], [np.array([False])] * keys
-
-
-def _settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows in order: state 0, the context repeats; 1, to be resolved; 2, its windows are what others are held against."""
-    for batch, (key_before, same_before), (key_after, same_after) in _with_neighbours(batches, 2):
-        loose = np.array(batch.column(5).to_pylist(), bool)
-        repeats = (same_before | same_after) & ~loose
-        alone = ~repeats & (key_before | key_after) | loose
-        stands_for = repeats & ((key_after & ~same_after) | (key_before & ~same_before))
-        for state, rows in ((0, repeats), (1, alone), (2, stands_for)):
-            if rows.any():
-                part = batch.filter(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([part.column(2), part.column(3), part.column(4), pa.array(np.full(part.num_rows, state, "i4"))], names=["row", "a", "b", "state"])
-
-
-def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of windows in order of their hashes: those that repeat and are asked for."""
-    for batch, (before,), (after,) in _with_neighbours(batches, 1):
-        asked = np.array(batch.column(3).to_pylist(), bool)
-        part = batch.filter(pa.array((before | after) & asked))
-        if part.num_rows:
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(2)], names=["row", "a", "b"])
-
-
-def _window_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Hashes of the windows that a document has to resolve or to show; batches have row, text, and arrays a, b and state."""
-    for batch in batches:
-        for row, text, a, b, state in zip(*(c.to_pylist() for c in batch.columns)):
-            data = _bytes(text)
-            a, b, state = np.array(a), np.array(b), np.array(state)
-            for s, part, windows in segments(data):
-                x, y = np.maximum(a, s) - s, np.minimum(b, s + windows - 1) - s
-                some = x <= y
-                if not some.any():
-                    continue
-                x, y, asked = x[some], y[some], state[some] == 1
-                size = y - x + 1
-                at = np.arange(size.sum()) + np.repeat(x - (np.cumsum(size) - size), size)
-                asked = np.repeat(asked, size)
-                at, first = np.unique(at * 2 + ~asked, return_index=True)
-                keep = np.concatenate([[True], at[1:] >> 1 != at[:-1] >> 1])  # a window once, asked if any row asks
-                at = at[keep]
-                asked, at = at & 1 == 0, at >> 1
-                h = Hashed(part).of(at, at + LENGTH)
-                for k in range(0, len(at), 100_000):
-                    c = slice(k, k + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[c].view("i8")), pa.array(np.full(len(at[c]), row)), pa.array((at[c] + s).astype("i4")), pa.array(asked[c])], names=["h", "row", "a", "asked"])
+        if n > LENGTH and raw[x : x + n] == raw[y : y + n]:
+            out[k:end] = True
+        elif raw[x + end - k - 1 : x + LENGTH] == raw[y + end - k - 1 : y + LENGTH] if end - k <= LENGTH else True:  # what all of them hold
+            unlike.append(np.arange(k, end))
+    if unlike:
+        alive = np.concatenate(unlike)
+        for k in range(0, LENGTH, 8):
+            alive = alive[words[at[alive] + k] == words[other[alive] + k]]
+        out[alive] = True
+    follows = np.flatnonzero(out)  # a window that equals the next one in order makes that one repeat
+    place = np.empty(len(at), np.int64)
+    place[order] = np.arange(len(at))
+    out[order[place[follows] + 1]] = True
+    return out
+
+
+def _runs(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], some.astype(np.int8), [0]])))
+    return edges[::2], edges[1::2] - 1
+
+
+_FOUND = "row long, a int, b int, open boolean"
+
+
+def _found(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
+    """Of regions in order of key and context: stretches that repeat, and those of keys with more bytes of different regions than most, which stay open."""
+    out: list[tuple[int, int, int, bool]] = []
+    chunk: list[tuple[int, int, int, bytes]] = []  # different regions of complete keys
+    group: list[tuple[int, int, int, bytes]] = []  # those of the present key
+    held = size = 0
+    key, told, crowded = None, False, False
+
+    def batch() -> pa.RecordBatch:
+        made = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int32(), pa.int32(), pa.bool_()))], names=["row", "a", "b", "open"])
+        out.clear()
+        return made
+
+    def resolve() -> None:
+        nonlocal held
+        if chunk:
+            windows = np.array([b - a + 1 for _, a, b, _ in chunk])
+            found, ends = repeating([raw for *_, raw in chunk], windows), np.cumsum(windows)
+            for (row, a, _, _), n, end in zip(chunk, windows.tolist(), ends.tolist()):
+                for x, y in zip(*(c.tolist() for c in _runs(found[end - n : end]))):
+                    out.append((row, a + x, a + y, False))
+        chunk.clear()
+        held = 0
+
+    def close() -> None:
+        nonlocal held, size, crowded, told
+        if crowded:
+            out.extend((row, a, b, True) for row, a, b, _ in group)
+        elif len(group) > 1:
+            chunk.extend(group)
+            held += size
+        group.clear()
+        size, crowded, told = 0, False, False
+
+    for b in batches:
+        for k, row, first, last, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+            if raw == _SETTLED:
+                out.append((row, first, last, False))
+                continue
+            if k != key:
+                close()
+                key = k
+                if held >= CHUNK:
+                    resolve()
+            if group and group[-1][3] == raw:
+                if not told:
+                    out.append((*group[-1][:3], False))
+                    told = True
+                out.append((row, first, last, False))
+                continue
+            if size > most:
+                crowded = True
+                out.extend((r, x, y, True) for r, x, y, _ in group[:-1])
+                del group[:-1]
+                size = len(group[-1][3])
+            group.append((row, first, last, raw))
+            size += len(raw)
+            told = False
+        if len(out) > 20_000:
+            yield batch()
+    close()
+    resolve()
+    if out:
+        yield batch()
 
 
 def cut(text: str, a: np.ndarray, b: np.ndarray) -> tuple[bytes, int, int]:
-    """What is left without the bytes of the windows from a to b, how many bytes go, and in how many runs."""
-    data = _bytes(text)
-    order = np.argsort(a, kind="stable")
-    a, ends = a[order], np.maximum.accumulate(b[order] + LENGTH)
-    new = np.concatenate([[True], a[1:] > ends[:-1]])
-    starts, stops = a[new], ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)]
-    edges = np.concatenate([[0], np.stack([starts, stops], axis=1).ravel(), [len(data)]])
-    raw = data.tobytes()
-    return b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), int((stops - starts).sum()), len(starts)
+    """What is left without the bytes from a to b (exclusive; in order, apart), how many bytes go, and in how many runs."""
+    raw = _bytes(text).tobytes()
+    edges = np.concatenate([[0], np.stack([a, b], axis=1).ravel(), [len(raw)]])
+    return b"".join(raw[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2)), int((b - a).sum()), len(a)
 
 
-def _picked(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows (row and arrays) with the texts; before texts are moved, those that have no row are left out if their numbers can be broadcast."""
-    if rows.count() <= BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(rows.select("row")), "row", "left_semi")
-    return docs.join(rows, "row")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """row, and starts and stops of the bytes that its windows cover, as maximal runs."""
+    for batch in batches:
+        rows, starts, stops = batch.column(0), [], []
+        for a, b in zip(batch.column(1), batch.column(2)):
+            a, b = (np.array(x.as_py()) for x in (a, b))
+            order = np.argsort(a, kind="stable")
+            a, ends = a[order], np.maximum.accumulate(b[order] + LENGTH)
+            new = np.concatenate([[True], a[1:] > ends[:-1]])
+            starts.append(a[new].astype(np.int32))
+            stops.append(ends[np.append(np.flatnonzero(new)[1:] - 1, len(ends) - 1)].astype(np.int32))
+        yield pa.RecordBatch.from_arrays([rows, pa.array(starts, pa.list_(pa.int32())), pa.array(stops, pa.list_(pa.int32()))], names=["row", "a", "b"])
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """row, and arrays a and b: first and last window of stretches that repeat, for each document that has some. docs has row and text."""
-    spark = docs.sparkSession
-    parts = partitions(spark)
-    rows = docs.select("row", "text").mapInArrow(_parsed, _ROWS)
-    settled = written(rows.repartition(parts, "key").sortWithinPartitions("key", "context").mapInArrow(_settled, "row long, a int, b int, state int"), "settled")
-    edges = settled.where("state > 0").groupBy("row").agg(F.collect_list(F.struct("a", "b", "state")).alias("w"))
-    edges = written(edges.select("row", "w.a", "w.b", "w.state"), "edges")
-    windows = _picked(docs.select("row", "text"), edges).select("row", "text", "a", "b", "state").mapInArrow(_window_hashes, "h long, row long, a int, asked boolean")
-    resolved = windows.repartition(parts, "h").sortWithinPartitions("h").mapInArrow(_resolved, "row long, a int, b int")
-    found = settled.where("state = 0").select("row", "a", "b").unionAll(resolved)
-    found = found.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("w"))
-    return written(found.select("row", F.col("w.a").alias("a"), F.col("w.b").alias("b")), "repeats")
+    """row, and arrays a and b: starts and ends (exclusive) of the runs of bytes that go, for each document that has some. docs has row and text."""
+    parts, crowd = partitions(docs.sparkSession), CROWD
+    counted = docs.select("text").mapInArrow(_keys, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    keys = written(counted.where("n > 1").select("key"), "keys")
+    sent, found = _sent(docs, keys), []
+    for k, _ in enumerate(ROUNDS):
+        met = sent.repartition(parts, "key").sortWithinPartitions("key", "context")
+        # Single windows of one key are equal, so nothing is left open in the last round.
+        most = float("inf") if k + 1 == len(ROUNDS) else crowd
+        found.append(written(met.mapInArrow(lambda batches, most=most: _found(batches, most), _FOUND), f"found-{k}"))
+        left = found[-1].where("open")
+        if k + 1 == len(ROUNDS) or not left.take(1):
+            break
+        sent = _sent_again(docs, left, ROUNDS[k + 1])
+    every = found[0].where("NOT open")
+    for f in found[1:]:
+        every = every.unionAll(f.where("NOT open"))
+    every = every.groupBy("row").agg(F.collect_list(F.struct("a", "b")).alias("w")).select("row", "w.a", "w.b")
+    out = written(every.mapInArrow(_merged, "row long, a array<int>, b array<int>"), "repeats")
+    erase(keys, *found)
+    return out
 
 
 def remove(docs: DataFrame) -> DataFrame:
@@ -236,7 +485,10 @@ def remove(docs: DataFrame) -> DataFrame:
                 kept, n, spans = cut(text, np.array(a), np.array(b))
                 yield pa.RecordBatch.from_pydict({"row": pa.array([row]), "n_removed": pa.array([n]), "n_spans": pa.array([spans]), "kept": pa.array([kept], pa.binary())})
 
-    return _picked(docs.select("row", "text"), repeats(docs)).select("row", "text", "a", "b").mapInArrow(of, "row long, n_removed long, n_spans long, kept binary")
+    runs = repeats(docs)
+    few = (runs.agg(F.sum(F.size("a"))).first()[0] or 0) <= BROADCAST_ROWS
+    texts = docs.select("row", "text").join(F.broadcast(runs) if few else runs, "row")
+    return texts.select("row", "text", "a", "b").mapInArrow(of, "row long, n_removed long, n_spans long, kept binary")
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

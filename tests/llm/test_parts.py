@@ -1,6 +1,7 @@
 """Parts of the operators against plain versions."""
 
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -60,13 +61,34 @@ def test_pieces_equal_the_library():
         assert codec.decode(ids) == t.replace(MARK, " ")
 
 
+def spelled(words):
+    """Ids that spell a word out."""
+    return np.array([ord(c) for w in words for c in w]), np.array(list(map(len, words)))
+
+
 def test_a_full_cache_starts_anew():
     from folium.llm.word_cache import WordCache
 
-    cache = WordCache(lambda ws: (np.array([ord(c) for w in ws for c in w]), np.array(list(map(len, ws)))), "<u4", 3)
-    for words in (["a", "bc"], ["d", "e", "a"], ["f"], []):
+    cache = WordCache(spelled, "<u4", 3)
+    for words in (["a", "bc"], ["d", "e", "a"], ["f"], [], list("ghijk")):
         ids, ends = cache.ids(words)
         assert "".join(map(chr, ids)) == "".join(words) and ends.tolist() == np.cumsum([0, *map(len, words)]).tolist()
+    assert ["".join(map(chr, x)) for x in cache.texts([["a", "long"], [], ["a"]])] == ["along", "", "a"]
+
+
+@pytest.mark.parametrize("bits", [4, 7, 16])
+def test_word_tables_spell_all_words(bits):
+    """Words of all lengths, with NUL bytes at their ends, in tables that are full again and again."""
+    from folium.llm.word_cache import WordTable, cut_at_spaces
+
+    rng = random.Random(bits)
+    table = WordTable(spelled, "<u4", bits)
+    for _ in range(60):
+        texts = ["".join(rng.choice("ab\0é日 ") for _ in range(rng.randrange(200))) + "x" * rng.choice((0, 8, 16, 17, 40)) for _ in range(rng.randrange(1, 6))]
+        texts = [re.sub(" +", " ", t).strip(" ") or "-" for t in texts]
+        raw, starts, ends, first = cut_at_spaces([t + "\ny" for t in texts])
+        ids, upto = table.ids(raw, starts, ends)
+        assert ["".join(map(chr, ids[upto[a] : upto[b]])) for a, b in zip(first, first[1:])] == [t.replace(" ", "") + "\ny" for t in texts]
 
 
 def test_license_offsets():
@@ -92,19 +114,39 @@ def test_rtree_join_leaves_out_no_link():
 
 
 @pytest.mark.parametrize("size", [1, 3, 7, 100])
-def test_meetings_and_shared_rows_across_batches(size):
+def test_meetings_and_shared_rows_across_batches(size, monkeypatch):
     rng = random.Random(size)
     h = sorted(rng.randrange(12) for _ in range(60))
-    rows = pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "node": pa.array(range(60), pa.int64())})
+    rows = pa.RecordBatch.from_pydict({"h": pa.array(h, pa.int64()), "node": pa.array(range(60), pa.int64()), "n": pa.array([1] * 60, pa.int32()), "at": pa.array([0] * 60, pa.int32())})
     batches = lambda: (rows.slice(k, size) for k in range(0, 60, size))
-    got = [v for b in jaccard_join._shared(batches()) for v in b.column(1).to_pylist()]
+    got = [v for b in jaccard_join._shared(batches(), 85) for v in b.column(1).to_pylist()]
     assert got == [k for k in range(60) if h.count(h[k]) > 1]
+    monkeypatch.setattr(jaccard_join, "LAG", 3)
+    assert got == [v for b in jaccard_join._shared(batches(), 85) for v in b.column(1).to_pylist()]
     blocks = list(jaccard_join._meetings(batches(), 4))
     assert [v for _, b in blocks for v in b["node"].tolist()] == list(range(60))
     assert all(len(set(b["h"].tolist())) == 1 and len(b["h"]) <= 4 for _, b in blocks)
     assert [int(b["h"][0]) for first, b in blocks if first] == sorted(set(h))
 
 
+def test_rows_without_a_possible_partner_go():
+    """Sizes that differ too much, and places that leave too little in common."""
+    rows = [(1, 100, 0), (1, 80, 0), (2, 100, 0), (2, 100, 14), (3, 100, 5), (3, 100, 8), (4, 10, 0), (5, 100, 0), (5, 40, 0), (5, 95, 3)]
+    batch = pa.RecordBatch.from_pydict({"h": pa.array([r[0] for r in rows], pa.int64()), "node": pa.array(range(10), pa.int64()), "n": pa.array([r[1] for r in rows], pa.int32()), "at": pa.array([r[2] for r in rows], pa.int32())})
+    assert jaccard_join._possible(batch, 85).column(1).to_pylist() == [4, 5, 7, 9]
+
+
+def test_frequent_hashes_come_last():
+    rng = np.random.default_rng(6)
+    for n, many in ((1, 0), (50, 3), (200, 150), (300, 300)):
+        s = np.unique(rng.integers(0, 2**63, n).astype("u8"))
+        last = np.sort(np.concatenate([rng.permutation(s)[:many], rng.integers(0, 2**63, 40).astype("u8")]))
+        order = [*[x for x in s if x not in last], *[x for x in s if x in last]]
+        for size in (1, 10, len(s)):
+            assert jaccard_join._first(s, size, last).tolist() == order[:size]
+    assert jaccard_join._first(s, 5, last[:0]).tolist() == s[:5].tolist()
+
+
 def test_folded_points_are_those_of_fewer_groups():
     s = np.unique(np.random.default_rng(4).integers(0, 2**63, 3000).astype("u8"))
     assert (jaccard_join._folded(jaccard_join._point(s, 1024)[None, :], 64)[0] == jaccard_join._point(s, 64)).all()
@@ -143,23 +185,72 @@ def test_components(spark):
     assert got == {k: 1 for k in range(2, 41)} | {k: 100 for k in range(101, 150)}
 
 
-def test_repeats_in_segments(spark, monkeypatch):
+def removed(texts):
+    """Of each text what is left, by looking at all windows."""
+    import collections
+
+    raw = [t.encode() for t in texts]
+    seen = collections.Counter(x[i : i + 400] for x in raw for i in range(len(x) - 399))
+    out = []
+    for x in raw:
+        gone = {j for i in range(len(x) - 399) if seen[x[i : i + 400]] > 1 for j in range(i, i + 400)}
+        out.append(bytes(c for j, c in enumerate(x) if j not in gone))
+    return out
+
+
+def repeat_texts():
     rng = random.Random(6)
     passage = "".join(rng.choice("abcdefgh ") for _ in range(2500))
-    texts = ["".join(rng.choice("xyz") for _ in range(n)) + passage[a:b] for n, a, b in ((700, 0, 2500), (13, 100, 2400), (5, 1000, 1399), (9, 1000, 1400))] + ["q" * 1500, "pq" * 600]
+    texts = ["".join(rng.choice("xyz") for _ in range(n)) + passage[a:b] for n, a, b in ((700, 0, 2500), (13, 100, 2400), (5, 1000, 1399), (9, 1000, 1400), (0, 0, 2500), (300, 700, 1500))]
+    texts += ["q" * 1500, "pq" * 600, "pq" * 250 + "r", passage[:900] + "é" + passage[901:1900]]
+    for _ in range(60):  # one place of many different surroundings
+        n = rng.randrange(700)
+        texts.append("".join(rng.choice("klm") for _ in range(rng.randrange(200, 600))) + passage[n : n + rng.randrange(395, 900)] + "".join(rng.choice("klm") for _ in range(300)))
+    return texts
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_repeats_equal_brute_force(spark, monkeypatch, crowded):
+    """Also where keys with many different regions go through all rounds, and beyond the bounds of the broadcasts."""
+    if crowded:
+        monkeypatch.setattr(repeat_parse, "CROWD", 1500)
+        monkeypatch.setattr(repeat_parse, "BROADCAST_ROWS", 0)
+    texts = repeat_texts()
     docs = spark.createDataFrame(list(enumerate(texts)), "row long, text string")
-    monkeypatch.setattr(repeat_parse, "SEGMENT", 1 << 21)
-    whole = {r.row: bytes(r.kept) for r in repeat_parse.remove(docs).collect()}
-    raw = [t.encode() for t in texts]
-    for k, b in enumerate(raw):
-        places = [i for i in range(len(b) - 399) if sum(x.count(b[i : i + 400]) for x in raw) > 1 or b.find(b[i : i + 400], i + 1) >= 0 or b.find(b[i : i + 400]) < i]
-        gone = {j for i in places for j in range(i, i + 400)}
-        assert whole.get(k, b) == bytes(c for j, c in enumerate(b) if j not in gone)
-    # The parse of a text in small segments holds the same windows.
+    got = {r.row: bytes(r.kept) for r in repeat_parse.remove(docs).collect()}
+    want = removed(texts)
+    assert [got.get(k, t.encode()) for k, t in enumerate(texts)] == want
+    assert 40 < sum(len(t.encode()) != len(w) for t, w in zip(texts, want)) < len(texts)
+
+
+def test_texts_of_equal_hashes_keep_their_bytes(spark):
+    """Two different texts whose linear hashes modulo 2^64 are equal: blocks in the order of Thue and Morse, and of its complement."""
+    order = [bin(k).count("1") % 2 for k in range(128)]
+    texts = ["".join(("kcW", "Wuw")[k ^ flip] for k in order) + "0123456789abcdef" for flip in (0, 1)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0] + "x"])), "row long, text string")
+    assert len(texts[0]) == 400 and {r.row: bytes(r.kept) for r in repeat_parse.remove(docs).collect()} == {0: b"", 2: b"x"}
+
+
+def test_segments_have_the_same_regions(monkeypatch):
+    data = np.frombuffer(repeat_texts()[0].encode() + b"a" * 900, np.uint8)
     monkeypatch.setattr(repeat_parse, "SEGMENT", 600)
-    data = np.frombuffer(raw[0], np.uint8)
-    windows = sorted(i for *_, a, b, _ in repeat_parse.parse(data) for x, y in zip(a, b) for i in range(x, y + 1))
-    assert windows == list(range(len(data) - 399))
+    some = [(a, b) for _, first, last in repeat_parse.regions(data) for a, b in zip(first.tolist(), last.tolist())]
+    assert [w for a, b in some for w in range(a, b + 1)] == list(range(len(data) - 399))
+    monkeypatch.setattr(repeat_parse, "SEGMENT", 1 << 21)
+    assert {a for _, first, _ in repeat_parse.regions(data) for a in first.tolist()} <= {a for a, _ in some}
+
+
+def test_dictionary_and_parse_give_the_order_of_suffixes():
+    rng = random.Random(3)
+    base = [bytes(rng.choice(b"ab ") for _ in range(700)) for _ in range(3)]
+    texts = [base[rng.randrange(3)][:600] + base[rng.randrange(3)][: rng.randrange(50, 500)] for _ in range(12)] + [b"a" * 500, b"ab" * 300]
+    parse = repeat_parse.Parse(texts)
+    starts = np.cumsum([0, *map(len, texts)])[:-1]
+    at = np.concatenate([np.arange(s, s + len(t)) for s, t in zip(starts, texts)])
+    suffix = {int(p): t[p - s :] for s, t in zip(starts.tolist(), texts) for p in range(s, s + len(t))}
+    ordered = [suffix[int(p)] for p in at[parse.order(at)]]
+    assert ordered == sorted(ordered)
+    assert len(parse.phrases) < len(parse.at)
 
 
 def test_pairs_count_in_the_factorization_machine():
@@ -293,3 +384,44 @@ def test_large_ids_beside_null_ids_stay_whole(spark, tmp_path):
     digest = {hashlib.sha256(t.replace(" ", "").encode()).hexdigest(): t for t in want}
     assert len(got) == len(rows) and all(r.keep_id == want[digest[r.text_sha256]] for r in got)
     assert sum(r.kept for r in got) == len(want)
+
+
+def test_lists_of_numbers_are_no_copies_of_each_other(spark):
+    items = ["List 4 8 15 16 23 42 7 9 10 3 please", "a table: 1 2 3 4 5 6 7 8 9 10 11 12"]
+    texts = ["scores: 1 2 3 4 5 6 7 8 19 10 21 12 13 14", "scores: 31 32 33 34 35 36 37 38 39 40 41 42 43 44", "well List 4 8 15 16 23 42 7 9 10 3 please", "so 5 6 7 8 9 10 11 12 13 14 15"]
+    assert flagged(spark, items, texts) == {0: [1], 2: [0], 3: [1]}
+
+
+def test_items_without_an_id_or_with_one_id_are_told_apart(spark):
+    from folium.llm.decontamination import flag
+
+    first = "the quick brown fox jumps over the lazy dog near the old river bank"
+    second = "no other words of this second item stand in the first one at all today"
+    bench = spark.createDataFrame([(None, first), (5, second), (5, "some third item of the same id and size that no text has in it here"), (None, "x")], "item_id long, text string")
+    docs = spark.createDataFrame([(0, 0, f"so {first} it said"), (1, 1, f"{second} {first}"), (2, 2, "nothing")], "row long, doc_id long, text string")
+    got = {r.doc_id: (r["items"], r.n_items, r.covered) for r in flag(docs, bench).collect()}
+    assert got == {0: ([], 1, 1.0), 1: ([5], 2, 1.0)}
+
+
+def test_reparameterised_items_are_found(spark):
+    """Items of templates with other names (of one word or more), numbers (digits or words) and units: nine in ten at least, and no other text."""
+    rng = random.Random(21)
+    names = ["Tom", "Maria", "John Smith", "Ana Lucia Perez", "Oleg", "Priya", "Mary Ann"]
+    units = ["kg", "km", "ml", "min"]
+    number = lambda: rng.choice([str(rng.randrange(2, 900)), f"{rng.randrange(2, 90)}.{rng.randrange(1, 9)}", rng.choice(["two", "seven", "twelve", "forty"])])
+    things = ["apples", "books", "stones", "tickets", "lamps"]
+    forms = [
+        lambda a, b, m, n, u, t: f"{a} has {m} {t} and gives {n} of them to {b}. How many {t} does {a} have left at the end of the day?",
+        lambda a, b, m, n, u, t: f"A box of {t} weighs {m}{u} and a bag weighs {n} {u}. What is the weight of the box and the bag that {a} carries home?",
+        lambda a, b, m, n, u, t: f"On the way to the market {a} walked {m} {u} and then met {b}, who had walked {n} {u}. Who of the two walked further, and by how much?",
+    ]
+    fill = lambda f, t: f(rng.choice(names[:3]), rng.choice(names[3:]), number(), number(), rng.choice(units), t)
+    items, texts = [], []
+    for t in things:
+        for f in forms:
+            items.append(fill(f, t))
+            texts.append(f"Notes of the week. {fill(f, t)} That was all.")
+    clean = [" ".join(rng.choice(["Then", "we", "saw", "12", "old", "trees", "and", "Tom", "sang", "kg"]) for _ in range(60)) for _ in range(20)]
+    got = flagged(spark, items, texts + clean)
+    assert sum(k in got.get(k, []) for k in range(len(texts))) >= 0.9 * len(texts), sorted(set(range(len(texts))) - set(got))
+    assert not [k for k in got if k >= len(texts)]
