@@ -3,8 +3,12 @@
 Numbers, names and units are replaced with typed placeholders, in items and documents alike. Windows of WINDOW canonical
 words are hashed and joined; a document and an item that share windows at the same distance between their positions lie on
 one diagonal. Along a diagonal the words behind the placeholders are compared: where an item says the same twice, so must
-the document, or the pair is no re-parameterised copy of the item. A diagonal that covers COVERED of an item's words, or
-RUN words, flags the document.
+the document, or the pair is no re-parameterised copy of the item. Where placeholders are nearly all that matches (a list
+of numbers beside another), only what is the same word for word counts. A diagonal that covers COVERED of an item's words,
+or RUN words, flags the document.
+
+Items are told apart by their row, so item_ids may be null or repeat: an item without an id flags documents too, and items
+that share an id count as one in n_items but never lend each other their words or slots.
 
 All of it is DataFrame functions.
 """
@@ -19,15 +23,26 @@ from folium.llm.common import documents, free_name, numbered, text_of, written
 WINDOW, COVERED, RUN = 8, 0.5, 13
 #: Rows of benchmark windows that are broadcast at most; beyond that the join shuffles.
 BROADCAST_ROWS = 2_000_000
+#: Words of a diagonal that are no placeholders, at least; of all its words also a third.
+LITERAL = 3
+# Words that are numbers (those that are other words too are left out).
+NUMBERS = (
+    "two three four five seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze quinze vingt cent mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce veinte cien mil"
+).split()
 # Units that follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|h|min|s|usd|eur|kwh|mph|kmh"
 #: Around capitalised words that may be names (characters for private use, which are no words).
 BEGIN, END = "\ue000", "\ue001"
+#: Between capitalised words in a row, which are one name.
+JOIN = "\ue002"
 
 
 def _spaced(text: Column) -> Column:
-    """The text with a space between a number and the unit that is glued to it."""
-    return F.regexp_replace(text, rf"(?i)(?<![\p{{L}}\d])(\d[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
+    """The text with a space between a number and the unit that is glued to it, and capitalised words in a row as one."""
+    joined = F.regexp_replace(text, r"(?<![\p{L}\p{M}\d])(\p{Lu}[\p{L}\p{M}]*)\x20(?=\p{Lu})", f"$1{JOIN}")
+    return F.regexp_replace(joined, rf"(?i)(?<![\p{{L}}\d])(\d[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
 
 
 def _canonical(spaced: Column) -> Column:
@@ -35,11 +50,11 @@ def _canonical(spaced: Column) -> Column:
 
     Numbers, units behind numbers, and capitalised words inside a sentence as names.
     """
-    names = F.regexp_replace(spaced, r"(?<=[\p{L}\d,;]\x20)\p{Lu}[\p{L}\p{M}]*", "<name>")
-    capitals = F.regexp_replace(names, r"(?<![\p{L}\p{M}\d])\p{Lu}[\p{L}\p{M}]*", f"{BEGIN}$0{END}")
+    names = F.regexp_replace(spaced, rf"(?<=[\p{{L}}\d,;]\x20)\p{{Lu}}[\p{{L}}\p{{M}}{JOIN}]*", "<name>")
+    capitals = F.regexp_replace(names, rf"(?<![\p{{L}}\p{{M}}\d])\p{{Lu}}[\p{{L}}\p{{M}}{JOIN}]*", f"{BEGIN}$0{END}")
     numbers = F.regexp_replace(capitals, r"(?<![\p{L}\d])\d[\d.,]*(?![\p{L}\d])", "<num>")
     units = F.regexp_replace(F.lower(numbers), rf"(?<=<num>\x20?)(?:{UNITS})(?![\p{{L}}\d])", "<unit>")
-    return F.regexp_replace(units, rf"[^\p{{L}}\p{{M}}\d<>\x20\x09-\x0D{BEGIN}{END}]+", "")
+    return F.regexp_replace(units, rf"[^\p{{L}}\p{{M}}\d<>\x20\x09-\x0D{BEGIN}{END}{JOIN}]+", "")
 
 
 def _plain(marked: Column) -> Column:
@@ -56,12 +71,17 @@ def _tokens(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]+")
 
 
+def _typed(words: Column) -> Column:
+    """Canonical words with those that are numbers typed."""
+    return F.transform(words, lambda w: F.when(w.isin(*NUMBERS), F.lit("<num>")).otherwise(w))
+
+
 def slotted(text: Column) -> Column:
     """The canonical words with what stands behind each: array of struct(canon, named, raw); named has every capitalised word as a name."""
     marked = _canonical(_spaced(text))
     # Marks at the ends don't tell values apart, but signs and currencies do.
     raw = F.transform(_tokens(F.lower(_spaced(text))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
-    every = F.arrays_zip(_tokens(_plain(marked)).alias("canon"), _tokens(_named(marked)).alias("named"), raw.alias("raw"))
+    every = F.arrays_zip(_typed(_tokens(_plain(marked))).alias("canon"), _typed(_tokens(_named(marked))).alias("named"), raw.alias("raw"))
     return F.filter(every, lambda p: p["canon"] != "")
 
 
@@ -88,14 +108,14 @@ def _windows(df: DataFrame, cols: list[str], sizes: list[int]) -> DataFrame:
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
-    """item_id, plain and named (hashes of the words), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos, raw and whether it is one in named only)."""
-    each = benchmark.select("item_id", slotted(text_of()).alias("s"))
+    """item (its row), item_id, plain and named (hashes of the words), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos, raw and whether it is one in named only)."""
+    each = numbered(benchmark.select("item_id", "text"), "item").select("item", "item_id", slotted(text_of()).alias("s"))
     typed = ("<num>", "<name>", "<unit>")
     slots = F.filter(
         F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), (~p["canon"].isin(*typed)).alias("second"), p["named"].isin(*typed).alias("slot"))), lambda p: p["slot"]
     )
-    each = each.select("item_id", _hashed(F.col("s.canon")).alias("plain"), _hashed(F.col("s.named")).alias("named"), F.col("s.raw").alias("raws"), slots.alias("slots"))
-    return each.where(F.size("plain") > 0).select("item_id", "plain", "named", "raws", F.size("plain").alias("n_words"), F.least(F.size("plain"), F.lit(WINDOW)).alias("size"), "slots")
+    each = each.select("item", "item_id", _hashed(F.col("s.canon")).alias("plain"), _hashed(F.col("s.named")).alias("named"), F.col("s.raw").alias("raws"), slots.alias("slots"))
+    return each.where(F.size("plain") > 0).select("item", "item_id", "plain", "named", "raws", F.size("plain").alias("n_words"), F.least(F.size("plain"), F.lit(WINDOW)).alias("size"), "slots")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -104,7 +124,7 @@ def _sized(df: DataFrame, rows: int) -> DataFrame:
 
 
 def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row, doc_id, item_id, covered (share of the item's words) and longest (words in a row) for each document and item that match.
+    """row, doc_id, item, item_id, covered (share of the item's words) and longest (words in a row) for each document and item that match.
 
     docs has doc_id, text and row. Items or documents without words match nothing.
     """
@@ -112,25 +132,27 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 to WINDOW
     if not sizes:
         sizes = [WINDOW]
-    parts = [_windows(items.where(F.col("size") == k).select("item_id", "plain", "named"), ["item_id"], [k]) for k in sizes]
+    parts = [_windows(items.where(F.col("size") == k).select("item", "plain", "named"), ["item"], [k]) for k in sizes]
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionAll(p)
-    grams = written(grams.select("item_id", "size", F.col("pos").alias("at"), "h", F.col("second").alias("item_second")), "item-windows")
+    grams = written(grams.select("item", "size", F.col("pos").alias("at"), "h", F.col("second").alias("item_second")), "item-windows")
     marked = docs.select("row", "doc_id", _canonical(_spaced(text_of())).alias("marked"))
-    each = marked.select("row", "doc_id", _hashed(_tokens(_plain(F.col("marked")))).alias("plain"), _hashed(_tokens(_named(F.col("marked")))).alias("named"))
+    each = marked.select("row", "doc_id", _hashed(_typed(_tokens(_plain(F.col("marked"))))).alias("plain"), _hashed(_typed(_tokens(_named(F.col("marked"))))).alias("named"))
     each = _windows(each, ["row", "doc_id"], sizes).drop("size")
     hits = each.join(_sized(grams, grams.count()), "h")
     # On a diagonal; its windows are at most as many as the item's. Those of plain words also stand alone, so second windows take nothing from them.
     first = F.sort_array(F.collect_set(F.when(~F.col("second") & ~F.col("item_second"), F.col("at"))))
-    lines = hits.groupBy("row", "doc_id", "item_id", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.array_distinct(F.array(first, F.sort_array(F.collect_set("at")))).alias("ats"))
+    lines = hits.groupBy("row", "doc_id", "item", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.array_distinct(F.array(first, F.sort_array(F.collect_set("at")))).alias("ats"))
     lines = lines.withColumn("ats", F.explode("ats")).where(F.size("ats") > 0)
-    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item_id", "size"]).drop("plain", "named")
+    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item", "size"]).drop("plain", "named")
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
     lines = lines.withColumn("spots", spots)
     lines = lines.withColumn("slots", F.filter("slots", lambda s: F.array_contains("spots", s["pos"])))
-    # Only where an item repeats a slot's word is there something to compare.
-    again = F.size("slots") > F.size(F.array_distinct(F.transform("slots", lambda s: s["raw"])))
+    literal = F.size("spots") - F.size(F.filter("slots", lambda s: ~s["second"]))
+    lines = lines.withColumn("bare", (literal < F.least(F.lit(LITERAL), F.size("spots"))) | (literal * 3 < F.size("spots")))
+    # Only where an item repeats a slot's word is there something to compare, or where there is little else than slots.
+    again = F.col("bare") | (F.size("slots") > F.size(F.array_distinct(F.transform("slots", lambda s: s["raw"]))))
     doubt = lines.where(again)
     few = written(doubt, "slots-in-doubt")
     wanted = few.select("row", "doc_id").distinct()
@@ -143,25 +165,26 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     same = F.filter("spots", lambda p: F.get(F.col("raws"), p).eqNullSafe(F.get(F.col("theirs"), p + F.col("shift"))))
     checked = written(checked.withColumn("same", same), "slots-compared")
     values = F.array_distinct(F.transform("pairs", lambda p: p["i"]))
-    consistent = F.size("pairs") == F.size(values)
+    consistent = ~F.col("bare") & (F.size("pairs") == F.size(values))
     # Else what is verbatim counts, where the document quotes a window of the item or still has each value that it changes once.
     quoted = F.exists("same", lambda a: F.size(F.filter("same", lambda b: (b >= a) & (b < a + WINDOW))) == WINDOW)
     edited = F.forall(values, lambda v: (F.size(F.filter("pairs", lambda p: p["i"] == v)) == 1) | F.exists("pairs", lambda p: (p["i"] == v) & p["d"].eqNullSafe(v)))
-    cols = ["row", "doc_id", "item_id", "n_words"]
+    cols = ["row", "doc_id", "item", "item_id", "n_words"]
     told = checked.withColumn("spots", F.when(consistent, F.col("spots")).when(quoted | edited, F.col("same"))).where(F.size("spots") > 0)
     good = lines.where(~again).select(*cols, "spots").unionAll(told.select(*cols, "spots"))
     # Words in a row: spots less their places fall into runs.
     runs = F.transform("spots", lambda p, i: p - i)
     longest = F.array_max(F.transform(F.array_distinct(runs), lambda k: F.size(F.filter(runs, lambda x: x == k))))
     good = good.withColumn("longest", longest)
-    merged = good.groupBy("row", "doc_id", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("n"), F.max("longest").alias("longest"), F.max("n_words").alias("n_words"))
-    return merged.select("row", "doc_id", "item_id", (F.col("n") / F.col("n_words")).alias("covered"), "longest").where((F.col("covered") >= COVERED) | (F.col("longest") >= RUN))
+    merged = good.groupBy("row", "doc_id", "item", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("spots")))).alias("n"), F.max("longest").alias("longest"), F.max("n_words").alias("n_words"))
+    return merged.select("row", "doc_id", "item", "item_id", (F.col("n") / F.col("n_words")).alias("covered"), "longest").where((F.col("covered") >= COVERED) | (F.col("longest") >= RUN))
 
 
 def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """row, doc_id, items (sorted array) and covered (the largest share) of the flagged documents; docs has doc_id, text and row."""
+    """row, doc_id, items (sorted array of the ids), n_items (distinct ids, none as one of its own) and covered (the largest share) of the flagged documents; docs has doc_id, text and row."""
     found = find(docs, benchmark)
-    return found.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.max("covered").alias("covered"))
+    n = F.count_distinct(F.struct("item_id")).alias("n_items")
+    return found.groupBy("row", "doc_id").agg(F.sort_array(F.collect_set("item_id")).alias("items"), n, F.max("covered").alias("covered"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -170,9 +193,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     Null and empty texts match nothing; an empty benchmark flags nothing.
     """
     docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row"))
-    found = flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "items", "covered")
+    found = flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "items", "n_items", "covered")
     out = docs.select("row", "doc_id").join(found, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
-    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ","), F.lit("")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
+    return out.select("doc_id", F.col("items").isNotNull().alias("contaminated"), F.coalesce("n_items", F.lit(0)).cast("long").alias("n_items"), F.coalesce(F.array_join(F.transform("items", lambda i: i.cast("string")), ","), F.lit("")).alias("item_ids"), F.coalesce("covered", F.lit(0.0)).alias("covered"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
