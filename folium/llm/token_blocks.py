@@ -16,12 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import documents, partitions, work_dir
-from folium.llm.word_cache import WordCache, distinct
+from folium.llm.word_cache import WordCache, WordTable, cut_at_spaces
 
 END = 2
 #: Ids in a block, if it holds more than one document.
@@ -92,7 +91,8 @@ class ByteBpe:
         self.spaced[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.fed = np.zeros_like(self.spaced)
         self.fed[vocab["Ċ"]] = True
-        self.words, self.firsts = WordCache(self._pieces, self.dtype), WordCache(self._texts, self.dtype, 50_000)
+        self.table = WordTable(self._pieces, self.dtype)
+        self.words, self.firsts = WordCache(self._pieces, self.dtype, 200_000), WordCache(self._texts, self.dtype, 50_000)
 
     def _texts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         got = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -146,23 +146,25 @@ class ByteBpe:
                 (odd if not t or t[0].isspace() or t[-1].isspace() or self._DOUBLE.search(t) else plain).append(k)
         for k in whole:
             out[k] = self._texts([texts[k]])[0].astype(self.dtype)
-        cut = [
-            (plain, pc.split_pattern(pc.replace_substring(pa.array([texts[k] for k in plain], pa.large_string()), "\n", " \n"), " ")),
-            (odd, pa.array([self._CUT.split(texts[k]) for k in odd], pa.large_list(pa.large_string()))),
-        ]
-        for at, pieces in cut:
-            if not at:
-                continue
-            counts, words = pc.list_value_length(pieces).to_numpy(), pieces.flatten()
-            is_first = np.zeros(len(words), bool)
-            is_first[np.cumsum(counts) - counts] = True
-            first, first_ends = self.firsts.ids(words.filter(pa.array(is_first)).to_pylist())
-            ids, ends = self.words.ids(*distinct(words.filter(pa.array(~is_first))))
-            ends = ends[np.concatenate([[0], np.cumsum(counts - 1)])]
-            for k, i in enumerate(at):
-                out[i] = np.concatenate([first[first_ends[k] : first_ends[k + 1]], ids[ends[k] : ends[k + 1]]])
+        if plain:
+            self._plain([texts[k] for k in plain], plain, out)
+        pieces = [self._CUT.split(texts[k]) for k in odd]
+        for k, a, b in zip(odd, self.firsts.texts([p[:1] for p in pieces]), self.words.texts([p[1:] for p in pieces])):
+            out[k] = np.concatenate([a, b])
         return out
 
+    def _plain(self, texts: list[str], at: list[int], out: list[np.ndarray | None]) -> None:
+        """Texts without white space at their ends or next to each other: cut at all spaces, and before line feeds."""
+        raw, starts, ends, first = cut_at_spaces(texts)
+        edges, first = first, first[:-1]
+        rest = np.ones(len(starts), bool)
+        rest[first] = False
+        ids, upto = self.table.ids(raw, starts[rest], ends[rest])
+        edges = upto[edges - np.arange(len(edges))]
+        heads = self.firsts.texts([[raw[a:b].decode("utf-8", "surrogatepass")] for a, b in zip(starts[first].tolist(), ends[first].tolist())])
+        for k, head, a, b in zip(at, heads, edges.tolist(), edges[1:].tolist()):
+            out[k] = np.concatenate([head, ids[a:b]])
+
 
 _BPE: dict[str, ByteBpe] = {}
 
