@@ -50,7 +50,15 @@ def ask(pages: DataFrame, model: Callable[[], Callable[[str, bytes | None], str]
 
     model builds the model, once for each partition.
     """
-    rows = pages.select("document_id", "page", "source", "image", prompt_with_transcript(F.lit(prompt), F.col("transcript")).alias("prompt"), F.col("transcript").isNotNull().alias("anchored"))
+    anchored = F.col("transcript").isNotNull()
+    plain = F.when(anchored, F.lit(prompt))
+    return ask_each(pages.select("document_id", "page", "source", "image", prompt_with_transcript(F.lit(prompt), F.col("transcript")).alias("prompt"), plain.alias("plain")), model)
+
+
+def ask_each(pages: DataFrame, model: Callable[[], Callable[[str, bytes | None], str]]) -> DataFrame:
+    """The same with a prompt for each page, and if there is a column plain, what a page is asked again with where its prompt gives an error."""
+    plain = F.col("plain") if "plain" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("document_id", "page", "source", "image", "prompt", plain.alias("plain"))
 
     def answer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         asked = model()
@@ -63,11 +71,11 @@ def ask(pages: DataFrame, model: Callable[[], Callable[[str, bytes | None], str]
 
         for frame in frames:
             out = []
-            for d, page, source, image, text, anchored in frame.itertuples(index=False):
+            for d, page, source, image, text, again in frame.itertuples(index=False):
                 began = time.perf_counter()
                 got, error = once(text, image)
-                if retried := bool(error is not None and anchored):
-                    got, error = once(prompt, image)
+                if retried := bool(error is not None and again is not None):
+                    got, error = once(again, image)
                 out.append((d, page, source, got, error, retried, round(time.perf_counter() - began, 4)))
             yield pd.DataFrame(out, columns=["document_id", "page", "source", "text", "error", "retried", "runtime_seconds"])
 

@@ -6,13 +6,15 @@ An engine is built once for each partition. What it raises becomes the row's err
 from __future__ import annotations
 
 import importlib.util
-import time
 from abc import ABC, abstractmethod
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from folium import config
+from folium.models.png import decode
+
 RESULT = "engine string, text string, boxes string, avg_confidence double, error string, runtime_seconds double, gpu_memory_mb double"
 
 
@@ -73,19 +75,122 @@ class EasyOcrEngine(Engine):
         return "\n".join(b["text"] for b in boxes), boxes, round(sum(known) / len(known), 4) if known else None
 
 
-class _Absent(Engine):
-    """An engine whose library this build has no adapter for yet: it says so on each page."""
+def _polygon(box) -> list[list[int]]:
+    return [[int(x), int(y)] for x, y in box]
+
+
+def _mean(boxes: list[dict]) -> float | None:
+    known = [b["confidence"] for b in boxes if b["confidence"] is not None]
+    return round(sum(known) / len(known), 4) if known else None
+
+
+def _lines(boxes: list[dict]) -> tuple[str, list[dict], float | None]:
+    return "\n".join(b["text"] for b in boxes), boxes, _mean(boxes)
+
+
+class PaddleEngine(Engine):
+    """The interface of version 3 (predict) where there is one, else the older one (ocr)."""
+
+    name, library = "paddle", "paddleocr"
+
+    def __init__(self):
+        self.reader = None
+
+    def read(self, image: bytes) -> tuple[str, list[dict], float | None]:
+        from paddleocr import PaddleOCR
+
+        self.reader = self.reader or PaddleOCR(lang="ar")
+        pixels = decode(image)[:, :, ::-1]
+        if hasattr(self.reader, "predict"):
+            boxes = [
+                {"box": _polygon(p), "text": t, "confidence": float(c)}
+                for page in self.reader.predict(pixels) or []
+                for t, c, p in zip(page["rec_texts"], page["rec_scores"], page["rec_polys"])
+            ]
+        else:
+            boxes = [{"box": _polygon(p), "text": t, "confidence": float(c)} for page in self.reader.ocr(pixels) or [] for p, (t, c) in page or []]
+        return _lines(boxes)
+
+
+class SuryaEngine(Engine):
+    """Detection and recognition on the device; a page that its memory can't hold is read on the CPU, and so are the next ones."""
+
+    name, library = "surya", "surya"
+
+    def __init__(self):
+        self.predictors = None
+
+    def _load(self, where: str | None = None):
+        from surya.detection import DetectionPredictor
+        from surya.recognition import RecognitionPredictor
+
+        options = {"device": where} if where else {}
+        try:
+            from surya.foundation import FoundationPredictor
+
+            recognition = RecognitionPredictor(FoundationPredictor(**options))
+        except ImportError:
+            recognition = RecognitionPredictor(**options)
+        return recognition, DetectionPredictor(**options)
 
     def read(self, image: bytes) -> tuple[str, list[dict], float | None]:
-        raise RuntimeError(f"{self.library} is not supported here")
+        from PIL import Image
+
+        page = Image.fromarray(decode(image))
+        self.predictors = self.predictors or self._load()
+        try:
+            found = self.predictors[0]([page], det_predictor=self.predictors[1])[0]
+        except RuntimeError as e:
+            if "out of memory" not in str(e).lower():
+                raise
+            self.predictors = self._load("cpu")
+            found = self.predictors[0]([page], det_predictor=self.predictors[1])[0]
+        return _lines([{"box": [int(v) for v in line.bbox], "text": line.text, "confidence": None if line.confidence is None else float(line.confidence)} for line in found.text_lines])
+
+
+class DoclingEngine(Engine):
+    """Markdown of the page; it gives neither boxes nor confidences."""
+
+    name, library = "docling", "docling"
+
+    def __init__(self):
+        self.converter = None
+
+    def read(self, image: bytes) -> tuple[str, list[dict], float | None]:
+        import io
 
+        from docling.datamodel.base_models import DocumentStream
+        from docling.document_converter import DocumentConverter
+
+        self.converter = self.converter or DocumentConverter()
+        page = DocumentStream(name="page.png", stream=io.BytesIO(image))
+        return self.converter.convert(page).document.export_to_markdown(), [], None
+
+
+class TrOcrEngine(Engine):
+    """Text of the page by an encoder and decoder; it gives neither boxes nor confidences. Checkpoints that know Latin letters only are no use for other scripts, and say so once."""
+
+    name, library, checkpoint = "trocr", "transformers", "microsoft/trocr-base-printed"
+
+    def __init__(self):
+        self.model = None
+
+    def read(self, image: bytes) -> tuple[str, list[dict], float | None]:
+        import warnings
+
+        from PIL import Image
+        from transformers import TrOCRProcessor, VisionEncoderDecoderModel
 
-def _absent(name: str, library: str) -> type[Engine]:
-    return type(name.title(), (_Absent,), {"name": name, "library": library})
+        if self.model is None:
+            if any(k in self.checkpoint for k in ("printed", "handwritten")):
+                warnings.warn(f"{self.checkpoint} reads Latin letters only", stacklevel=2)
+            self.processor = TrOCRProcessor.from_pretrained(self.checkpoint)
+            self.model = VisionEncoderDecoderModel.from_pretrained(self.checkpoint).to(config.device())
+        pixels = self.processor(images=Image.fromarray(decode(image)), return_tensors="pt").pixel_values.to(config.device())
+        return self.processor.batch_decode(self.model.generate(pixels, max_new_tokens=256), skip_special_tokens=True)[0], [], None
 
 
-REGISTRY: dict[str, type[Engine]] = {e.name: e for e in (LengthEngine, TesseractEngine, EasyOcrEngine)}
-REGISTRY |= {n: _absent(n, lib) for n, lib in (("paddle", "paddleocr"), ("surya", "surya"), ("docling", "docling"), ("trocr", "transformers"))}
+REGISTRY: dict[str, type[Engine]] = {e.name: e for e in (LengthEngine, TesseractEngine, EasyOcrEngine, PaddleEngine, SuryaEngine, DoclingEngine, TrOcrEngine)}
 
 
 def build(name: str) -> Engine:
@@ -108,16 +213,17 @@ def read_pages(pages: DataFrame, engine: str, image: str = "image") -> DataFrame
         for frame in frames:
             rows = []
             for content in frame[image]:
-                began = time.perf_counter()
                 text, boxes, confidence, error = "", [], None, None
-                try:
-                    if not reader.available():
-                        raise RuntimeError(f"{reader.library} is not installed")
-                    text, boxes, confidence = reader.read(bytes(content or b""))
-                except Exception as e:
-                    error = str(e)
-                rows.append((reader.name, text, json.dumps(boxes, ensure_ascii=False), confidence, error, round(time.perf_counter() - began, 4), None))
+                with config.Measured() as run:
+                    try:
+                        if not reader.available():
+                            raise RuntimeError(f"{reader.library} is not installed")
+                        text, boxes, confidence = reader.read(bytes(content or b""))
+                    except Exception as e:
+                        error = str(e)
+                rows.append((reader.name, text, json.dumps(boxes, ensure_ascii=False), confidence, error, run.seconds, run.gpu_memory_mb))
             got = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
+            got["gpu_memory_mb"] = got["gpu_memory_mb"].astype("float64")
             yield pd.concat([frame[keep].reset_index(drop=True), got], axis=1)
 
     return pages.mapInPandas(read, f"{schema}, {RESULT}")

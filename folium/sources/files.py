@@ -63,11 +63,77 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
         return spark.createDataFrame([], MANIFEST)
 
 
-def records(spark: SparkSession, folder: str, schema: str, recursive: bool = True, keep_backups: bool = False) -> DataFrame:
-    """JSON records below a folder, one a file, with file_name; raw outputs and, if asked, backups are left out, and so are broken files."""
+def pdf_pages(dpi: int = 300, first_only: bool = False) -> Callable[[bytes], list[bytes]]:
+    """A PDF reader for raw_pages, by the optional library pdf2image: all pages as PNG, or the first one."""
+
+    def read(content: bytes) -> list[bytes]:
+        import io
+
+        from pdf2image import convert_from_bytes
+
+        out = []
+        for image in convert_from_bytes(content, dpi=dpi, **({"first_page": 1, "last_page": 1} if first_only else {})):
+            held = io.BytesIO()
+            image.convert("RGB").save(held, "PNG")
+            out.append(held.getvalue())
+        return out
+
+    return read
+
+
+def manifest_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The manifest, or what build gives where it isn't there or has no pages."""
+    found = manifest(spark, path)
+    return found if found.take(1) else build()
+
+
+def manifest_rows(pages: DataFrame, variants: DataFrame) -> DataFrame:
+    """Manifest rows: document_id, page, source, raw_image and images (path by mode). variants has document_id, page, mode and path."""
+    images = variants.groupBy("document_id", "page").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("mode", "path")))).alias("images"))
+    out = pages.select("document_id", "page", "source").join(images, ["document_id", "page"], "left")
+    return out.select("document_id", "page", "source", F.coalesce(F.col("images")["raw"], F.col("source")).alias("raw_image"), "images")
+
+
+def prompt(path: str) -> str:
+    """A prompt's text; prompts are a few KB on the driver."""
+    with open(path, encoding="utf-8") as f:
+        return f.read()
+
+
+def run_records(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Page records of one run's folder, in order of their names: not of folders below, backups and raw outputs too, without broken files."""
+    return records(spark, folder, schema, recursive=False, keep_backups=True, keep_raw=True).orderBy("file_name")
+
+
+def review_records(spark: SparkSession, folder: str, schema: str, engine: str) -> DataFrame:
+    """Records to review below folder/<engine>: the last run of the engine, and all that stand two or three deep outside of runs. What is in both comes twice."""
+    rows = records(spark, folder, schema, keep_backups=True, keep_raw=True)
+    below = F.substring_index("file_path", folder.rstrip("/").rsplit("/", 1)[-1] + "/", -1)
+    depth = F.size(F.split(below, "/"))
+    runs = rows.where(below.startswith(f"{engine}/runs/") & (depth == 4))
+    return latest_run(runs).unionAll(rows.where(depth.isin(2, 3) & ~F.contains(below, F.lit("/runs/"))))
+
+
+def ocr_texts(spark: SparkSession, folder: str, engine: str, modes: tuple[str, ...] = ("raw", "clean", "binarized")) -> DataFrame:
+    """mode, stem and text of the files <folder>/<engine>/<mode>/*.txt; modes without a folder have none."""
+    from pyspark.errors import AnalysisException
+
+    out = spark.createDataFrame([], "mode string, stem string, text string")
+    for mode in modes:
+        try:
+            texts = spark.read.option("wholetext", True).option("pathGlobFilter", "*.txt").text(f"{folder}/{engine}/{mode}")
+        except AnalysisException:
+            continue
+        out = out.unionAll(texts.select(F.lit(mode).alias("mode"), F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", "").alias("stem"), F.col("value").alias("text")))
+    return out
+
+
+def records(spark: SparkSession, folder: str, schema: str, recursive: bool = True, keep_backups: bool = False, keep_raw: bool = False) -> DataFrame:
+    """JSON records below a folder, one a file, with file_name; raw outputs and backups are left out unless they are asked for, and so are broken files."""
     texts = spark.read.option("wholetext", True).option("recursiveFileLookup", recursive).option("pathGlobFilter", "*.json").text(folder)
     texts = texts.select(F.col("value"), F.col("_metadata.file_name").alias("file_name"), F.col("_metadata.file_path").alias("file_path"))
-    texts = texts.where(~F.col("file_name").contains(".raw"))
+    if not keep_raw:
+        texts = texts.where(~F.col("file_name").contains(".raw"))
     if not keep_backups:
         texts = texts.where(~F.col("file_name").rlike(BACKUP))
     parsed = texts.where(F.try_parse_json("value").isNotNull()).select("file_name", "file_path", F.from_json("value", schema).alias("r"))

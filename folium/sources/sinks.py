@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -44,3 +44,35 @@ def markdown(rows: DataFrame, limit: int = 1000) -> str:
     widths = [max(len(r[k]) for r in cells) for k in range(len(rows.columns))]
     lines = ["| " + " | ".join(v.ljust(w) for v, w in zip(r, widths)) + " |" for r in cells]
     return "\n".join([lines[0], "| " + " | ".join("-" * w for w in widths) + " |", *lines[1:]])
+
+
+def write_manifest(rows: DataFrame, path: str) -> None:
+    """One JSON document {"pages": [...]}, pages in order; a page is a few hundred bytes, and the document is one line of one file."""
+    order = F.array_sort(F.collect_list(F.struct("document_id", "page", *[c for c in rows.columns if c not in ("document_id", "page")])), lambda a, b: F.when(F.struct(a["document_id"], a["page"]) < F.struct(b["document_id"], b["page"]), F.lit(-1)).otherwise(F.lit(1)))
+    rows.agg(F.to_json(F.struct(order.alias("pages")), {"ignoreNullFields": "false"}).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_text(texts: DataFrame, path: str, by: list[str], overwrite: bool = True) -> None:
+    """Texts (key columns, stem and text) as Parquet by folder. Without overwrite what is there stays, and only new stems are added."""
+    if overwrite:
+        texts.write.mode("overwrite").partitionBy(*by).parquet(path)
+        return
+    from pyspark.errors import AnalysisException
+
+    try:
+        done = texts.sparkSession.read.parquet(path).select(*by, "stem")
+    except AnalysisException:
+        done = None
+    new = texts if done is None else texts.join(done, [*by, "stem"], "left_anti")
+    new.write.mode("append").partitionBy(*by).parquet(path)
+
+
+def transcript(document_id: Column, page: Column, model: Column, text: Column) -> Column:
+    """A transcript with its three lines of origin."""
+    head = [F.concat(F.lit(f"<!-- {n}: "), c.cast("string"), F.lit(" -->")) for n, c in (("document_id", document_id), ("page", page), ("model", model))]
+    return F.concat_ws("\n", *head, F.lit(""), text)
+
+
+def write_report(text: str, path: str, spark: SparkSession) -> None:
+    """A report's text as one file below path, by Spark's writer, wherever path is."""
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
