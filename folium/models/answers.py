@@ -21,7 +21,8 @@ ANCHOR = 3000
 
 
 def data_url(mime: Column, content: Column) -> Column:
-    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.base64(content))
+    # Without the line ends that some versions of base64() set.
+    return F.concat(F.lit("data:"), mime, F.lit(";base64,"), F.replace(F.base64(content), F.lit("\r\n"), F.lit("")))
 
 
 def prompt_with_transcript(prompt: Column, transcript: Column) -> Column:

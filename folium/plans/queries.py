@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -11,37 +9,9 @@ from pyspark.sql import types as T
 from folium.functions import geometry, json_text, normalize, rules, validate
 from folium.models.engines import read_pages
 from folium.operators import merge, packets, review, scoring, split
+from folium.plans.base import ORACLE, QUERIES, query, quoted, rule_sql, shape_sql, table, text_light_sql  # noqa: F401
 from folium.sources.files import limited
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE[f.__name__] = sql
-        return f
-
-    return register
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def quoted(text: str) -> str:
-    return "'" + text.replace("'", "''") + "'"
-
-
-def rule_sql(name: str, text: str = "text") -> str:
-    """A field's rules as DuckDB SQL."""
-    tries = ", ".join(f"nullif(regexp_extract(coalesce({text}, ''), {quoted('(?im)' + p.replace(chr(92) + 'u202c', chr(0x202C)))}, 1), '')" for p in rules.RULES[name])
-    return f"trim(coalesce({tries}, NULL), {quoted(rules.STRIP)})"
-
-
 # --- rules -----------------------------------------------------------------------------------------------------------
 
 
@@ -89,24 +59,8 @@ def rule_kurdish_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 CHECKED = ("recipient", "document_number", "document_date", "phone_number")
 
 
-def _shape_sql(name: str, value: str) -> str:
-    shape = validate.SHAPES[name].replace("(?dU)", "")
-    return f"CASE WHEN coalesce({value}, '') = '' THEN 'yellow' WHEN NOT regexp_matches(trim({value}, ' \t\r\n'), {quoted(shape)}) THEN 'red' ELSE 'green' END"
-
-
-def _repeated_sql(value: str) -> str:
-    ws = f"list_filter(regexp_split_to_array({value}, '\\s+'), lambda w: w <> '')"
-    some = [f"list_max(list_transform(list_distinct(g{n}), lambda g: len(list_filter(g{n}, lambda h: h = g)))) >= 4" for n in (2, 3, 4)]
-    grams = ", ".join(f"list_transform(range(1, len(ws) - {n} + 2), lambda i: array_to_string(ws[i : i + {n} - 1], ' ')) AS g{n}" for n in (2, 3, 4))
-    return f"coalesce((SELECT len(ws) >= 8 AND ({' OR '.join(some)}) FROM (SELECT ws, {grams} FROM (SELECT {ws} AS ws))), false)"
-
-
-def _text_sql(value: str) -> str:
-    return f"CASE WHEN coalesce({value}, '') = '' THEN 'yellow' WHEN {_repeated_sql(value)} THEN 'red' WHEN length({value}) > 260 THEN 'yellow' ELSE 'green' END"
-
-
 _EXTRACTED = "SELECT doc_id, " + ", ".join(f"{rule_sql(n)} AS {n}" for n in CHECKED) + " FROM documents"
-_LIGHTS = f"SELECT doc_id, {_text_sql('recipient')} AS recipient, " + ", ".join(f"{_shape_sql(n, n)} AS {n}" for n in CHECKED[1:]) + f" FROM ({_EXTRACTED})"
+_LIGHTS = f"SELECT doc_id, {text_light_sql('recipient')} AS recipient, " + ", ".join(f"{shape_sql(n, n)} AS {n}" for n in CHECKED[1:]) + f" FROM ({_EXTRACTED})"
 
 
 def _extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,39 +126,12 @@ def normalize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", out.alias("v")).select("k", F.concat_ws("|", F.col("v.a")[0], F.col("v.m")["key"], F.col("v.s.t")).alias("joined"))
 
 
-ANSWERS = ['```json\n{"a": "x", "n": 5}\n```', 'Sure: {"a": "y"} done', '{"a": "p\\q"}', "no object", '{"a": "cut', '```\n{"a": null}\n```', "", '{"a": "\\u0041"}']
-_A_SQL = "(VALUES (0, 'x', NULL), (1, 'y', NULL), (2, 'p\\q', NULL), (3, NULL, 'Model did not return a JSON object'), (4, NULL, 'Model did not return a JSON object'), (5, NULL, NULL), (6, NULL, 'Model did not return a JSON object'), (7, 'A', NULL)) AS t(k, a, error)"
-
-
-@query(f"SELECT k::BIGINT AS k, a, error FROM {_A_SQL}")
-def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(ANSWERS)), "k long, text string")
-    v = json_text.parse(F.col("text"))
-    return rows.select("k", F.try_variant_get(v, "$.a", "string").alias("a"), json_text.parse_error(F.col("text")).alias("error"))
-
-
 @query("SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")
 def json_extract_props(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.try_variant_get(json_text.parse(F.col("props")), "$.k", "long")
     return table(spark, sf_dir, "events").select("event_type", k.alias("k")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
 
 
-RAW = [
-    '{"recipient": ["a", "b", "c", "d"], "document_number": "No 12/A", "attachments": null, "stamp_present": "false", "extraction_confidence": 1.7}',
-    '{"recipient": "None", "document_number": "1234", "attachments": ["x"], "stamp_present": 0, "extraction_confidence": "0.4"}',
-    '{"recipient": "", "document_number": "AB", "attachments": "one", "stamp_present": true, "extraction_confidence": "high"}',
-    '{"recipient": "r", "document_number": 7, "stamp_present": null}',
-]
-_RAW_SQL = "(VALUES (0, 'a; b; c', '12', 'None', true, 1.0::DOUBLE), (1, NULL, '1234', 'x', false, 0.4::DOUBLE), (2, NULL, 'AB', 'one', true, 0.0::DOUBLE), (3, 'r', '7', '', false, 0.0::DOUBLE)) AS t(k, recipient, document_number, attachments, stamp_present, extraction_confidence)"
-
-
-@query(f"SELECT k::BIGINT AS k, recipient, document_number, attachments, stamp_present, extraction_confidence FROM {_RAW_SQL}")
-def coerce_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(RAW)), "k long, text string").select("k", json_text.parse(F.col("text")).alias("v"))
-    made = rows.select("k", *json_text.coerce(F.col("v")))
-    return made.select("k", "recipient", "document_number", F.array_join("attachments", ",").alias("attachments"), "stamp_present", "extraction_confidence")
-
-
 @query("""
 SELECT doc_id, string_agg(line, '|' ORDER BY place) AS lines FROM (
     SELECT doc_id, line, min(i) AS place, row_number() OVER (PARTITION BY doc_id ORDER BY min(i)) AS n FROM (
@@ -348,15 +275,6 @@ def merge_rules_vlm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", merge.prefer(other, rules.field(F.col("text"), "document_number")).alias("document_number"))
 
 
-FIXES = [("a", '{"value": "b"}'), ("a", '{"value": null}'), ("a", '"c"'), ("a", "null"), ("a", None)]
-
-
-@query("SELECT k::BIGINT AS k, v AS value FROM (VALUES (0, 'b'), (1, NULL), (2, 'c'), (3, 'a'), (4, 'a')) AS t(k, v)")
-def merge_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(k, e, c) for k, (e, c) in enumerate(FIXES)], "k long, e string, c string")
-    return rows.select("k", merge.corrected(F.col("e"), F.try_parse_json("c")).alias("value"))
-
-
 @query("SELECT doc_id, source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def incremental_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.missing(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), ["doc_id"])
@@ -379,15 +297,6 @@ def dataset_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("split").agg(F.count(F.lit(1)).alias("examples"), F.countDistinct("source").alias("sources"), F.array_join(F.array_sort(F.collect_set("source")), ",").alias("names"))
 
 
-@query(None)
-def finetune_jsonl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    rows = split.split_by_source(docs, "source", 0.1)
-    page = F.col("doc_id").cast("string")
-    line = split.example_line(F.lit("content"), F.concat(page, F.lit(".png")), F.col("source"), page, F.lit(1), F.lit("Read the page."), F.col("text"))
-    return rows.select("doc_id", "split", line.alias("line"))
-
-
 # --- review ----------------------------------------------------------------------------------------------------------
 
 
@@ -430,12 +339,6 @@ def column_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.stacked(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("engine")))
 
 
-@query(f"SELECT doc_id, round(({' + '.join(f'({n} IS NOT NULL)::INT' for n in CHECKED)}) / 9.0::DOUBLE, 4) AS fill_rate FROM ({_EXTRACTED})")
-def fill_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    filled = sum((F.col(n).isNotNull().cast("int") for n in CHECKED), F.lit(0))
-    return _extracted(spark, sf_dir).select("doc_id", F.round(filled / 9, 4).alias("fill_rate"))
-
-
 BOXES = [(0, 10.0, 20.0, 50.0, 58.0), (1, 0.0, 0.0, 100.0, 30.0), (2, 5.5, 5.5, 20.0, 20.0)]
 _BOXES_SQL = "(VALUES " + ", ".join(map(str, BOXES)) + ") AS b(k, x, y, w, h)"
 
@@ -464,10 +367,5 @@ def ocr_stub_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_pages(pages, "stub").select("page_id", "engine", "text", "avg_confidence")
 
 
-NUMBERS = ["No 12/A", "1234", "AB", "A-9 ", "", None, "٣A"]
-
-
-@query("SELECT k::BIGINT AS k, v AS number FROM (VALUES (0, '12'), (1, '1234'), (2, 'AB'), (3, '9'), (4, ''), (5, NULL), (6, '٣')) AS t(k, v)")
-def document_number_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(list(enumerate(NUMBERS)), "k long, v string")
-    return rows.select("k", json_text.clean_number(F.col("v")).alias("number"))
+# The rest is registered by its import.
+from folium.plans import records  # noqa: E402, F401
