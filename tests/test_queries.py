@@ -30,3 +30,30 @@ def test_documents_split_and_review_are_whole(spark, sf_dir):
     assert not set(rows[rows.split == "val"].source) & set(rows[rows.split == "train"].source)
     lights = plans.validation_summary(spark, sf_dir).toPandas()
     assert (lights.green + lights.yellow + lights.red == 12).all()
+
+
+def test_workers_get_the_library_by_an_archive(tmp_path):
+    """A session that was started elsewhere, with workers that know no path to the library."""
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    code = f"""
+import importlib.util, sys
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[2,1,900]").config("spark.ui.enabled", "false").config("spark.executor.memory", "500m").getOrCreate()
+sys.path.insert(0, {root!r})
+import __spark_entry__ as e
+rows = e.queries()["ocr_stub_engine"](spark, "/root/testdata/sf0.001").collect()
+print("ROWS", len(rows), sum(r.avg_confidence for r in rows))
+"""
+    # Executors work below Spark's home: one of the test's own, of links.
+    installed, home = os.path.dirname(__import__("pyspark").__file__), tmp_path / "home"
+    home.mkdir()
+    for name in os.listdir(installed):
+        if name != "work":
+            (home / name).symlink_to(os.path.join(installed, name))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"} | {"SPARK_SCALA_VERSION": "2.13", "SPARK_HOME": str(home), "SPARK_LOCAL_IP": "127.0.0.1"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=240)
+    assert "ROWS 50 50.0" in done.stdout, done.stderr[-2000:]
