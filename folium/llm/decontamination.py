@@ -33,16 +33,23 @@ NUMBERS = (
 ).split()
 # Units that follow a number.
 UNITS = "kg|g|mg|km|m|cm|mm|l|ml|h|min|s|usd|eur|kwh|mph|kmh"
-#: Around capitalised words that may be names (characters for private use, which are no words).
+#: Around capitalised words at the start of a sentence or line, or behind a quote or bracket (characters for private use, which are no words).
 BEGIN, END = "\ue000", "\ue001"
 #: Between capitalised words in a row, which are one name.
 JOIN = "\ue002"
+#: The most frequent words of the items that don't begin with a capital letter, as many as this at most: at the start of a sentence these are themselves, others are names.
+COMMON = 20_000
+
+
+def _where(test: Column, text: Column, pattern: str, new: str) -> Column:
+    return F.when(test, F.regexp_replace(text, pattern, new)).otherwise(text)
 
 
 def _spaced(text: Column) -> Column:
     """The text with a space between a number and the unit that is glued to it, and capitalised words in a row as one."""
-    joined = F.regexp_replace(text, r"(?<![\p{L}\p{M}\d])(\p{Lu}[\p{L}\p{M}]*)\x20(?=\p{Lu})", f"$1{JOIN}")
-    return F.regexp_replace(joined, rf"(?i)(?<![\p{{L}}\d])(\d[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
+    # Patterns begin with the character that is rarest and look back from it: what they start with is tried at every place.
+    joined = F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{M}\d]\p{Lu})[\p{L}\p{M}]*)\x20(?=\p{Lu})", f"$1{JOIN}")
+    return _where(text.rlike("[0-9]"), joined, rf"(?i)(\d(?<![\p{{L}}\d]\d)[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
 
 
 def _canonical(spaced: Column) -> Column:
@@ -50,72 +57,62 @@ def _canonical(spaced: Column) -> Column:
 
     Numbers, units behind numbers, and capitalised words inside a sentence as names.
     """
-    names = F.regexp_replace(spaced, rf"(?<=[\p{{L}}\d,;]\x20)\p{{Lu}}[\p{{L}}\p{{M}}{JOIN}]*", "<name>")
-    capitals = F.regexp_replace(names, rf"(?<![\p{{L}}\p{{M}}\d])\p{{Lu}}[\p{{L}}\p{{M}}{JOIN}]*", f"{BEGIN}$0{END}")
-    numbers = F.regexp_replace(capitals, r"(?<![\p{L}\d])\d[\d.,]*(?![\p{L}\d])", "<num>")
-    units = F.regexp_replace(F.lower(numbers), rf"(?<=<num>\x20?)(?:{UNITS})(?![\p{{L}}\d])", "<unit>")
-    return F.regexp_replace(units, rf"[^\p{{L}}\p{{M}}\d<>\x20\x09-\x0D{BEGIN}{END}{JOIN}]+", "")
-
-
-def _plain(marked: Column) -> Column:
-    """Capitalised words at the start of a sentence or line, or behind a quote or bracket, as they are."""
-    return F.replace(F.replace(marked, F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
-
-
-def _named(marked: Column) -> Column:
-    """Every capitalised word as a name."""
-    return F.replace(F.replace(F.regexp_replace(marked, f"{BEGIN}[^{END}\\s]*{END}", "<name>"), F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
+    digits = spaced.rlike("[0-9]")
+    names = F.regexp_replace(spaced, rf"\p{{Lu}}(?<=[\p{{L}}\d,;]\x20\p{{Lu}})[\p{{L}}\p{{M}}{JOIN}]*", "<name>")
+    capitals = F.regexp_replace(names, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\d]\p{{Lu}})[\p{{L}}\p{{M}}{JOIN}]*", f"{BEGIN}$0{END}")
+    numbers = _where(digits, capitals, r"\d(?<![\p{L}\d]\d)[\d.,]*(?![\p{L}\d])", "<num>")
+    units = _where(digits, F.lower(numbers), rf"(?<=<num>\x20?)(?:{UNITS})(?![\p{{L}}\d])", "<unit>")
+    return F.regexp_replace(units, rf"[^a-z\x20\p{{L}}\p{{M}}\d<>\x09-\x0D{BEGIN}{END}{JOIN}]+", "")
 
 
 def _tokens(text: Column) -> Column:
     return F.split(text, r"[\x20\x09-\x0D]+")
 
 
-def _typed(words: Column) -> Column:
-    """Canonical words with those that are numbers typed."""
-    return F.transform(words, lambda w: F.when(w.isin(*NUMBERS), F.lit("<num>")).otherwise(w))
+def _typed(word: Column, common: list[str]) -> Column:
+    """A canonical word: numbers as words are typed, and capitalised ones that aren't common are names."""
+    plain = F.replace(F.replace(word, F.lit(BEGIN), F.lit("")), F.lit(END), F.lit(""))
+    capital = F.when(word.startswith(BEGIN) & ~plain.isin(*common) & ~plain.isin(*NUMBERS), F.lit("<name>")).when(plain.isin(*NUMBERS), F.lit("<num>")).otherwise(plain)
+    return F.when(F.contains(word, F.lit(BEGIN)), capital).when(word.isin(*NUMBERS), F.lit("<num>")).otherwise(word)
 
 
-def slotted(text: Column) -> Column:
-    """The canonical words with what stands behind each: array of struct(canon, named, raw); named has every capitalised word as a name."""
-    marked = _canonical(_spaced(text))
-    # Marks at the ends don't tell values apart, but signs and currencies do.
-    raw = F.transform(_tokens(F.lower(_spaced(text))), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
-    every = F.arrays_zip(_typed(_tokens(_plain(marked))).alias("canon"), _typed(_tokens(_named(marked))).alias("named"), raw.alias("raw"))
-    return F.filter(every, lambda p: p["canon"] != "")
+def common_words(benchmark: DataFrame) -> list[str]:
+    """The most frequent lower-case words of the items: whether a word at the start of a sentence is a name depends on these alone, for items and documents alike."""
+    words = benchmark.select(F.explode(_tokens(_canonical(_spaced(text_of())))).alias("w")).where(~F.contains("w", F.lit(BEGIN)) & F.col("w").rlike(r"^[\p{L}\p{M}]+$"))
+    return [r.w for r in words.groupBy("w").count().orderBy(F.col("count").desc(), "w").limit(COMMON).collect()]
 
 
-def _hashed(words: Column) -> Column:
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+def slotted(text: Column, common: list[str]) -> Column:
+    """The canonical words with what stands behind each: array of struct(canon, raw)."""
+    spaced = _spaced(text)
+    # Marks at the ends don't tell values apart, but signs and currencies do.
+    raw = F.transform(_tokens(F.lower(spaced)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
+    canon = F.transform(_tokens(_canonical(spaced)), lambda w: _typed(w, common))
+    return F.filter(F.arrays_zip(canon.alias("canon"), raw.alias("raw")), lambda p: p["canon"] != "")
 
 
-def _windows(df: DataFrame, cols: list[str], sizes: list[int]) -> DataFrame:
-    """cols of df with size, pos, h and second for each window of these sizes; df has plain and named, the hashes of its words.
+def _hashes(text: Column, common: list[str]) -> Column:
+    """Hashes of the canonical words of a canonical text."""
+    return F.transform(F.filter(_tokens(text), lambda w: w != ""), lambda w: F.xxhash64(_typed(w, common)))
 
-    second windows are those of named that aren't windows of plain.
-    """
 
-    def of(size: int, words: str, second: bool) -> Column:
-        starts = F.sequence(F.lit(0), F.size(words) - size)
-        if second:
-            starts = F.filter(starts, lambda i: F.array_contains(F.slice("other", i + 1, size), True))
-        every = F.transform(starts, lambda i: F.struct(F.lit(size).alias("size"), i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size), F.lit(size)).alias("h"), F.lit(second).alias("second")))
-        return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<struct<size:int,pos:int,h:bigint,second:boolean>>"))
+def _windows(words: Column, sizes: list[int]) -> Column:
+    """pos and h of each window of these sizes."""
+
+    def of(size: int) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.slice(words, i + 1, size), F.lit(size)).alias("h")))
+        return F.when(F.size(words) >= size, every).otherwise(F.array().cast("array<struct<pos:int,h:bigint>>"))
 
-    df = df.withColumn("other", F.zip_with("plain", "named", lambda a, b: a != b))
-    every = F.concat(*[of(k, words, second) for k in sizes for words, second in (("plain", False), ("named", True))])
-    return df.select(*cols, F.explode(every).alias("w")).select(*cols, "w.size", "w.pos", "w.h", "w.second")
+    return of(sizes[0]) if len(sizes) == 1 else F.concat(*map(of, sizes))
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """item (its row), item_id, plain and named (hashes of the words), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos, raw and whether it is one in named only)."""
-    each = numbered(benchmark.select("item_id", "text"), "item").select("item", "item_id", slotted(text_of()).alias("s"))
-    typed = ("<num>", "<name>", "<unit>")
-    slots = F.filter(
-        F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), (~p["canon"].isin(*typed)).alias("second"), p["named"].isin(*typed).alias("slot"))), lambda p: p["slot"]
-    )
-    each = each.select("item", "item_id", _hashed(F.col("s.canon")).alias("plain"), _hashed(F.col("s.named")).alias("named"), F.col("s.raw").alias("raws"), slots.alias("slots"))
-    return each.where(F.size("plain") > 0).select("item", "item_id", "plain", "named", "raws", F.size("plain").alias("n_words"), F.least(F.size("plain"), F.lit(WINDOW)).alias("size"), "slots")
+def items_of(benchmark: DataFrame, common: list[str]) -> DataFrame:
+    """item (its row), item_id, words (hashes), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos and raw)."""
+    each = numbered(benchmark.select("item_id", "text"), "item").select("item", "item_id", slotted(text_of(), common).alias("s"))
+    every = F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), p["canon"].isin("<num>", "<name>", "<unit>").alias("slot")))
+    slots = F.transform(F.filter(every, lambda p: p["slot"]), lambda p: F.struct(p["pos"].alias("pos"), p["raw"].alias("raw")))
+    each = each.select("item", "item_id", F.transform("s.canon", lambda w: F.xxhash64(w)).alias("words"), F.col("s.raw").alias("raws"), slots.alias("slots")).where(F.size("words") > 0)
+    return each.select("item", "item_id", "words", "raws", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WINDOW)).alias("size"), "slots")
 
 
 def _sized(df: DataFrame, rows: int) -> DataFrame:
@@ -128,28 +125,24 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     docs has doc_id, text and row. Items or documents without words match nothing.
     """
-    items = written(items_of(benchmark), "items")
-    sizes = sorted(r[0] for r in items.select("size").distinct().collect())  # 1 to WINDOW
-    if not sizes:
-        sizes = [WINDOW]
-    parts = [_windows(items.where(F.col("size") == k).select("item", "plain", "named"), ["item"], [k]) for k in sizes]
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionAll(p)
-    grams = written(grams.select("item", "size", F.col("pos").alias("at"), "h", F.col("second").alias("item_second")), "item-windows")
+    common = common_words(benchmark)
+    items = written(items_of(benchmark, common), "items")
+    sizes = sorted(r[0] for r in items.select("size").distinct().collect()) or [WINDOW]  # 1 to WINDOW
+    grams = items.where(F.col("size") == sizes[0]).select("item", "size", F.explode(_windows(F.col("words"), sizes[:1])).alias("w"))
+    for k in sizes[1:]:
+        grams = grams.unionAll(items.where(F.col("size") == k).select("item", "size", F.explode(_windows(F.col("words"), [k])).alias("w")))
+    grams = written(grams.select("item", "size", F.col("w.pos").alias("at"), "w.h"), "item-windows")
     marked = docs.select("row", "doc_id", _canonical(_spaced(text_of())).alias("marked"))
-    each = marked.select("row", "doc_id", _hashed(_typed(_tokens(_plain(F.col("marked"))))).alias("plain"), _hashed(_typed(_tokens(_named(F.col("marked"))))).alias("named"))
-    each = _windows(each, ["row", "doc_id"], sizes).drop("size")
+    each = marked.select("row", "doc_id", _hashes(F.col("marked"), common).alias("words"))
+    each = each.select("row", "doc_id", F.explode(_windows(F.col("words"), sizes)).alias("w")).select("row", "doc_id", "w.pos", "w.h")
     hits = each.join(_sized(grams, grams.count()), "h")
-    # On a diagonal; its windows are at most as many as the item's. Those of plain words also stand alone, so second windows take nothing from them.
-    first = F.sort_array(F.collect_set(F.when(~F.col("second") & ~F.col("item_second"), F.col("at"))))
-    lines = hits.groupBy("row", "doc_id", "item", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.array_distinct(F.array(first, F.sort_array(F.collect_set("at")))).alias("ats"))
-    lines = lines.withColumn("ats", F.explode("ats")).where(F.size("ats") > 0)
-    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item", "size"]).drop("plain", "named")
+    # On a diagonal; its windows are at most as many as the item's.
+    lines = hits.groupBy("row", "doc_id", "item", "size", (F.col("pos") - F.col("at")).alias("shift")).agg(F.sort_array(F.collect_set("at")).alias("ats"))
+    lines = written(lines, "diagonals").join(F.broadcast(items) if items.count() <= BROADCAST_ROWS // 20 else items, ["item", "size"]).drop("words")
     spots = F.array_sort(F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + F.col("size") - 1)))))
     lines = lines.withColumn("spots", spots)
     lines = lines.withColumn("slots", F.filter("slots", lambda s: F.array_contains("spots", s["pos"])))
-    literal = F.size("spots") - F.size(F.filter("slots", lambda s: ~s["second"]))
+    literal = F.size("spots") - F.size("slots")
     lines = lines.withColumn("bare", (literal < F.least(F.lit(LITERAL), F.size("spots"))) | (literal * 3 < F.size("spots")))
     # Only where an item repeats a slot's word is there something to compare, or where there is little else than slots.
     again = F.col("bare") | (F.size("slots") > F.size(F.array_distinct(F.transform("slots", lambda s: s["raw"]))))
@@ -157,10 +150,8 @@ def find(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     few = written(doubt, "slots-in-doubt")
     wanted = few.select("row", "doc_id").distinct()
     texts = docs.select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "text").join(_sized(wanted, few.count()), (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id")), "left_semi")
-    texts = written(texts, "texts-in-doubt").select("r", "d", slotted(text_of())["raw"].alias("theirs"))
-    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("theirs"), s["pos"] + F.col("shift")).alias("d"), s["second"].alias("second")))
-    # A word that is a slot in named only and the same in both needs no placeholder.
-    pairs = F.transform(F.filter(pairs, lambda p: ~p["second"] | ~p["i"].eqNullSafe(p["d"])), lambda p: F.struct(p["i"].alias("i"), p["d"].alias("d")))
+    texts = written(texts, "texts-in-doubt").select("r", "d", slotted(text_of(), common)["raw"].alias("theirs"))
+    pairs = F.transform("slots", lambda s: F.struct(s["raw"].alias("i"), F.get(F.col("theirs"), s["pos"] + F.col("shift")).alias("d")))
     checked = few.join(texts, (F.col("r") == F.col("row")) & F.col("d").eqNullSafe(F.col("doc_id"))).withColumn("pairs", F.array_distinct(pairs))
     same = F.filter("spots", lambda p: F.get(F.col("raws"), p).eqNullSafe(F.get(F.col("theirs"), p + F.col("shift"))))
     checked = written(checked.withColumn("same", same), "slots-compared")
@@ -190,7 +181,8 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (comma-joined, ascending) and covered for each document.
 
-    Null and empty texts match nothing; an empty benchmark flags nothing.
+    Null and empty texts match nothing; an empty benchmark flags nothing. Each row is judged by itself, whatever its doc_id.
+    Items without an id count in contaminated, n_items and covered, and have no place in item_ids.
     """
     docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row"))
     found = flag(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"), "items", "n_items", "covered")
