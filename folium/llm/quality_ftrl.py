@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import documents
-from folium.llm.labelled import remainder, sample
+from folium.llm.labelled import first_rows, remainder, sample
 
 BITS = 18
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 1.0, 4, 8.0
@@ -114,18 +114,18 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Logist
 
 
 def train(labelled: DataFrame) -> LogisticRegression:
-    """labelled: text and y, of a bounded number of rows. Executors hash the texts; the driver gets sparse vectors only."""
+    """labelled: the columns of labelled.sample(). Executors hash the texts; the driver gets sparse vectors of a bounded number of rows only."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = _Tokens()
         for batch in batches:
-            for t, y in zip(batch.column(0), batch.column(1)):
+            for t, y, a, b in zip(*batch.columns):
                 at, x = features(t.as_py(), tokens)
                 places, inverse = np.unique(at, return_inverse=True)
                 values = np.bincount(inverse, x, len(places)).astype("<f4")
-                yield pa.RecordBatch.from_pydict({"p": pa.array([places.astype("<u4").tobytes()], pa.binary()), "x": pa.array([values.tobytes()], pa.binary()), "y": pa.array([y.as_py()], pa.int32())})
+                yield pa.RecordBatch.from_pydict({"p": pa.array([places.astype("<u4").tobytes()], pa.binary()), "x": pa.array([values.tobytes()], pa.binary()), "y": pa.array([y.as_py()], pa.int32()), "a": pa.array([a.as_py()], pa.int64()), "b": pa.array([b.as_py()], pa.int64())})
 
-    rows = sorted((bytes(r["p"]), bytes(r["x"]), r["y"]) for r in labelled.select("text", "y").mapInArrow(hashed, "p binary, x binary, y int").toLocalIterator())
+    rows = sorted((bytes(r["p"]), bytes(r["x"]), r["y"]) for r in first_rows(labelled.select("text", "y", "a", "b").mapInArrow(hashed, "p binary, x binary, y int, a long, b long")).toLocalIterator())
     return fit([(np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for p, x, y in rows])
 
 

@@ -4,7 +4,8 @@ score = sigmoid(b + sum w_j + sum over pairs <v_j, v_k>) over the distinct terms
 and a learned interaction for each pair (an insult beside the mention of a group weighs more than both alone). Terms are
 lower-case words and the stems (first four to eight characters) of longer ones, so that compounds of an insult count, also
 as stems that two or three different words of the text share; each is hashed into 2**32 buckets. The model keeps those that
-MIN_DOCS sampled documents have and whose share of toxic ones is far from the usual. Nothing but the text is an input.
+MIN_DOCS sampled documents have and whose share of toxic ones is far from the usual, alone or in a pair with another one: a
+term that tells nothing by itself enters with its partner. Nothing but the text is an input.
 """
 
 from __future__ import annotations
@@ -20,12 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folium.llm.common import documents
-from folium.llm.labelled import remainder, sample
+from folium.llm.labelled import first_rows, remainder, sample
 
 STEMS, LEVELS = (4, 5, 6, 7, 8), 3
-MIN_DOCS, FACTORS, EPOCHS, BATCH, RATE, SHRINK = 3, 8, 8, 64, 0.15, 1e-4
+MIN_DOCS, FACTORS, EPOCHS, BATCH, RATE = 3, 8, 24, 64, 0.3
+#: Share of a document's terms that a training step sees: what stands beside others learns to tell alone.
+SEEN = 0.8
 #: Standard deviations between a term's toxic documents and what the share of toxic ones lets expect, at least.
 SURPRISE = 6.0
+#: Terms that are looked at in pairs: so many of the most frequent ones that aren't far from the usual alone; and documents that a pair has, at least.
+PAIRED, PAIR_DOCS = 2000, 8
 THRESHOLD = 0.7
 _WORD = re.compile(r"\w+")
 
@@ -83,13 +88,13 @@ class FactorizationMachine:
 
 
 def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> FactorizationMachine:
-    """By AdaGrad in small batches; after each step weights and factors are drawn to zero, so that what doesn't help is dropped."""
+    """By AdaGrad in small batches."""
     y = np.array([t for _, t in rows], float)
     every = np.concatenate([b for b, _ in rows]) if rows else np.zeros(0, np.int64)
     buckets, place, n = np.unique(every, return_inverse=True, return_counts=True)
     toxic, share = np.bincount(place, np.repeat(y, [len(b) for b, _ in rows]), len(n)), y.mean() if len(y) else 0.0
     surprise = np.abs(toxic - n * share) / np.sqrt(n * share * (1 - share) + 1e-9)
-    buckets = buckets[(n >= MIN_DOCS) & (surprise >= SURPRISE)]
+    buckets = buckets[(n >= MIN_DOCS) & ((surprise >= SURPRISE) | _in_pairs(rows, y, place, n, surprise))]
     if not len(buckets) or y.min() == y.max():
         return FactorizationMachine(buckets[:0], 0.0, np.zeros(0), np.zeros((0, FACTORS)))
     docs = []
@@ -103,8 +108,9 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> FactorizationMachi
         order = rng.permutation(len(docs))
         for k in range(0, len(order), BATCH):
             some = order[k : k + BATCH]
-            sizes = np.array([len(docs[i]) for i in some])
-            at, row = np.concatenate([docs[i] for i in some]), np.repeat(np.arange(len(some)), sizes)
+            at, row = np.concatenate([docs[i] for i in some]), np.repeat(np.arange(len(some)), [len(docs[i]) for i in some])
+            seen = rng.random(len(at)) < SEEN
+            at, row = at[seen], row[seen]
             sums = np.zeros((len(some), FACTORS))
             np.add.at(sums, row, v[at])
             squares = np.bincount(row, (v[at] ** 2).sum(axis=1), len(some))
@@ -118,24 +124,41 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> FactorizationMachi
             gv[used] += dv**2
             gb += error.sum() ** 2
             for p, g, d in ((w, gw, dw), (v, gv, dv)):
-                step = RATE / np.sqrt(g[used])
-                p[used] -= step * d
-                p[used] = np.sign(p[used]) * np.maximum(np.abs(p[used]) - step * SHRINK * len(some), 0)
+                p[used] -= RATE / np.sqrt(g[used]) * d
             bias -= RATE / np.sqrt(gb) * error.sum()
-    keep = (np.abs(w) > 1e-3) | (np.abs(v).max(axis=1) > 1e-3)
-    return FactorizationMachine(buckets[keep], bias, w[keep], v[keep])
+    return FactorizationMachine(buckets, bias, w, v)
+
+
+def _in_pairs(rows: list[tuple[np.ndarray, int]], y: np.ndarray, place: np.ndarray, n: np.ndarray, surprise: np.ndarray) -> np.ndarray:
+    """Which terms are far from the usual in a pair: by the toxic documents of all pairs of frequent terms that tell nothing alone."""
+    out = np.zeros(len(n), bool)
+    quiet = np.flatnonzero((n >= max(MIN_DOCS, PAIR_DOCS)) & (surprise < SURPRISE) & (n < 0.9 * len(rows)))
+    some = np.sort(quiet[np.argsort(-n[quiet], kind="stable")[:PAIRED]])
+    if len(some) < 2 or y.min() == y.max():
+        return out
+    column = np.full(len(n), -1)
+    column[some] = np.arange(len(some))
+    row, at = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows]), column[place]
+    has = np.zeros((len(rows), len(some)), np.float32)
+    has[row[at >= 0], at[at >= 0]] = 1
+    both, toxic, share = has.T @ has, has[y == 1].T @ has[y == 1], y.mean()
+    far = np.abs(toxic - both * share) / np.sqrt(both * share * (1 - share) + 1e-9)
+    far[both < PAIR_DOCS] = 0
+    np.fill_diagonal(far, 0)
+    out[some[far.max(axis=1) >= SURPRISE]] = True
+    return out
 
 
 def train(labelled: DataFrame) -> FactorizationMachine:
-    """labelled: text and y, of a bounded number of rows. Executors hash the texts; the driver gets the buckets only."""
+    """labelled: the columns of labelled.sample(). Executors hash the texts; the driver gets the buckets of a bounded number of rows only."""
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = [text_terms(t.as_py()).tobytes() for t in batch.column(0)]
-            yield pa.RecordBatch.from_pydict({"b": pa.array(got, pa.binary()), "y": batch.column(1)})
+            yield pa.RecordBatch.from_arrays([pa.array(got, pa.binary()), *batch.columns[1:]], names=["terms", "y", "a", "b"])
 
-    rows = labelled.select("text", "y").mapInArrow(hashed, "b binary, y int").collect()
-    rows = sorted((bytes(r["b"]), r["y"]) for r in rows)
+    rows = first_rows(labelled.select("text", "y", "a", "b").mapInArrow(hashed, "terms binary, y int, a long, b long")).collect()
+    rows = sorted((bytes(r["terms"]), r["y"]) for r in rows)
     return fit([(np.frombuffer(b, "<i8"), y) for b, y in rows])
 
 

@@ -11,6 +11,7 @@ import pytest
 from helpers import rows_of
 
 import corpus_pipeline
+from folium.llm import license_scan
 from folium.llm import queries as Q
 
 QUERIES = Q.queries()
@@ -64,7 +65,7 @@ def test_op2(spark, folder):
         spans_of.append(base)
     check(spark, folder, "op2_secret_ownership", want)
     spans = QUERIES["op2_secret_ownership"](spark, folder).toPandas().spans
-    plain = [",".join(s for s in x.split(",") if not s.startswith(("example", "live"))) for x in spans]
+    plain = [",".join(s for s in x.split(",") if not s.startswith(("example", "live", "shared"))) for x in spans]
     assert sorted(plain) == sorted(spans_of)
 
 
@@ -101,8 +102,38 @@ def test_op4(spark, folder):
         starts = [k for k, _ in found]
         want.append({"doc_id": d, "n_words": len(words), "n_base": len(found), "first_word": min(starts, default=None), "last_word": max(starts, default=None), "base_labels": ",".join(sorted({x for _, x in found}))})
     check(spark, folder, "op4_license_scan", want)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    weight = license_scan.corpus_weights(docs)
+    rows = [(d, *plain_labels(t, weight, base)) for d, t in docs_of(spark, folder)]
     got = QUERIES["op4_license_scan"](spark, folder).toPandas()
-    assert got.score.between(0, 1).all() and all(set(filter(None, b.split(","))) <= set(m.split(",")) for b, m in zip(got.base_labels, got.labels))
+    assert rows_of(got[["doc_id", "labels", "score"]]) == rows_of(__import__("pandas").DataFrame(rows, columns=["doc_id", "labels", "score"]))
+
+
+def plain_labels(text, weight, base):
+    """Labels and score by trying every template at every place, with the operator's definitions: votes, phrases, share of weight."""
+    found = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(text))
+    raw, labels, best = [w.encode() for w in found], set(), 0.0
+    joined = " " + " ".join(found) + " "
+    labels |= {label for p, label in base.items() if f" {p} " in joined}
+    rank = lambda ws: sorted(set(ws), key=lambda w: (-weight[w], w))[: license_scan.RARE]
+    templates = [(label, license_scan.words(t), [license_scan.words(p) for p in phrases]) for label, t, phrases in license_scan.TEMPLATES]
+    have = set(raw) & set(weight)
+    open_ = [x for x in templates if all(w in have for p in x[2] for w in p)]
+    look = (set(rank(have)) | {w for x in open_ for w in rank(x[1])}) & have
+    for label, ws, phrases in open_:
+        least = max(1, sum(ws.count(w) for w in rank(ws)) // 2)
+        for at in range(-len(ws), len(raw)):
+            same = [k for k in range(len(ws)) if 0 <= at + k < len(raw) and raw[at + k] == ws[k]]
+            if sum(ws[k] in look for k in same) < least:
+                continue
+            places = [next(k for k in range(len(ws)) if ws[k : k + len(p)] == p) for p in phrases]
+            if any(raw[max(0, at + k) : at + k + len(p)] != p for k, p in zip(places, phrases)):
+                continue
+            score = sum(weight[ws[k]] for k in same) / sum(weight[w] for w in ws)
+            if score >= license_scan.LEAST:
+                labels.add(label)
+                best = max(best, score)
+    return ",".join(sorted(labels)), min(1.0, best)
 
 
 def sets_of(docs, k):

@@ -99,6 +99,9 @@ def test_license_offsets():
     assert match("This work is licensed under the GNU General Public License, version 3.") == {"gpl-3.0"}
     assert match("License the under Apache licensed 2.0 version, apache") == set()
     assert match("Licensed under CC BY-NC 4.0.") == {"cc-by-nc-4.0"}
+    for label, text, _ in license_scan.TEMPLATES:  # whole licences in a file, with a word of them changed
+        changed = text.replace("software", "library", 1) if len(text) > 300 and "software" in text[60:] and "this software" not in text else text
+        assert label in match(f"Copyright (c) 2020 someone.\n{changed}\nimport x"), label
 
 
 def test_rtree_join_leaves_out_no_link():
@@ -234,10 +237,10 @@ def test_texts_of_equal_hashes_keep_their_bytes(spark):
 def test_segments_have_the_same_regions(monkeypatch):
     data = np.frombuffer(repeat_texts()[0].encode() + b"a" * 900, np.uint8)
     monkeypatch.setattr(repeat_parse, "SEGMENT", 600)
-    some = [(a, b) for _, first, last in repeat_parse.regions(data) for a, b in zip(first.tolist(), last.tolist())]
+    some = [(a, b) for _, first, last, _ in repeat_parse.regions(data) for a, b in zip(first.tolist(), last.tolist())]
     assert [w for a, b in some for w in range(a, b + 1)] == list(range(len(data) - 399))
     monkeypatch.setattr(repeat_parse, "SEGMENT", 1 << 21)
-    assert {a for _, first, _ in repeat_parse.regions(data) for a in first.tolist()} <= {a for a, _ in some}
+    assert {a for _, first, *_ in repeat_parse.regions(data) for a in first.tolist()} <= {a for a, _ in some}
 
 
 def test_dictionary_and_parse_give_the_order_of_suffixes():
@@ -268,6 +271,48 @@ def test_pairs_count_in_the_factorization_machine():
     assert toxicity.fit([]).score("x") == 0.5
 
 
+def test_terms_that_tell_nothing_alone_count_in_pairs():
+    """Toxic are texts with both terms or neither: each term alone is as often toxic as not."""
+    rng = random.Random(18)
+    rows = []
+    for _ in range(2500):
+        one, two = rng.random() < 0.5, rng.random() < 0.5
+        text = " ".join(["w%d" % rng.randrange(300) for _ in range(5)] + ["alpha"] * one + ["omega"] * two)
+        rows.append((toxicity_fm.text_terms(text), int(one == two)))
+    model = toxicity_fm.fit(rows)
+    assert min(model.score("alpha omega w1"), model.score("w2 w3")) > 0.7 > 0.3 > max(model.score("alpha w1"), model.score("omega w2"))
+
+
+def test_a_repeated_id_brings_a_bounded_sample(spark, tmp_path):
+    from folium.llm import labelled
+
+    spark.createDataFrame([(0, f"text {k}") for k in range(300)] + [(3, "other"), (None, "none")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 1), (0, 0, 0), (3, 0, 0), (None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    rows = labelled.sample(spark, str(tmp_path), spark.read.parquet(f"{tmp_path}/documents.parquet"), "toxic", 10**9, 1)
+    assert {r.y for r in rows.where("text LIKE 'text%'").collect()} == {1} and rows.count() == 301
+    assert labelled.first_rows(rows, 20).count() == 20
+
+
+HELD_OUT = "/root/testdata/sf0.1"
+
+
+@pytest.mark.parametrize(("name", "label", "of", "rest"), [("op5_toxicity", "toxic", 3, 1), ("op7_quality", "quality", 4, 2)])
+def test_held_out_labels(spark, name, label, of, rest):
+    """Of labels that the classifiers haven't seen they find nine in ten at least, and what they find is right as often."""
+    import os
+
+    from folium.llm import queries
+
+    if not os.path.isdir(HELD_OUT):
+        pytest.skip("no test data")
+    truth = spark.read.parquet(f"{HELD_OUT}/labels.parquet").groupBy("doc_id").agg({label: "max"}).toDF("doc_id", "y").where("y IS NOT NULL")
+    rows = queries.queries()[name](spark, HELD_OUT).where("held_out").join(truth, "doc_id").select("y", "predicted", "score").collect()
+    assert len(rows) > 500
+    hits = sum(r.y and r.predicted for r in rows)
+    recall, precision = hits / sum(r.y for r in rows), hits / max(1, sum(r.predicted for r in rows))
+    assert recall >= 0.9 and precision >= 0.9, (recall, precision)
+
+
 def test_quality_learns_shapes():
     tokens = quality_ftrl._Tokens()
     rng = random.Random(1)
@@ -298,12 +343,13 @@ def test_ownership_separates_examples_from_live_secrets(spark):
 
     from folium.llm.secret_scan import judge, ownership, scan
 
-    shared, live = "token=sharedexample1", "secret = zX9qLm27RtYw"
-    rows = [(k, shared, f"o{k}") for k in range(4)] + [(9, live, "o9"), (10, live, "o9"), (11, None, None)]
-    found = scan(spark.createDataFrame(rows, "doc_id long, text string, o string"), F.col("o"), F.col("o"))
+    shared, live, spread, two = "token=sharedexample1", "secret = zX9qLm27RtYw", "password: abcd0123efgh", "api_key: q1w2e3r4t5y6u7"
+    rows = [(k, shared, f"o{k}", "r") for k in range(4)] + [(9, live, "o9", "r"), (10, live, "o9", "r"), (11, None, None, None)]
+    rows += [(20 + k, spread, "o1", f"r{k}") for k in range(4)] + [(30, two, "o1", "r"), (31, two, "o2", "r")]
+    found = scan(spark.createDataFrame(rows, "doc_id long, text string, o string, r string"), F.col("o"), F.col("r"))
     kinds = {r.doc_id: sorted(a.kind for a in r.added) for r in judge(found).collect()}
-    assert kinds == {0: [3], 1: [3], 2: [3], 3: [3], 9: [4], 10: [4], 11: []}
-    assert sorted((r.n_rows, r.n_owners) for r in ownership(found).collect()) == [(2, 1), (4, 4)]
+    assert kinds == {**{k: [3] for k in (0, 1, 2, 3, 20, 21, 22, 23)}, 9: [4], 10: [4], 11: [], 30: [5], 31: [5]}
+    assert sorted((r.n_rows, r.n_owners, r.n_repositories) for r in ownership(found).collect()) == [(2, 1, 1), (2, 2, 2), (4, 1, 4), (4, 4, 4)]
 
 
 def flagged(spark, items, texts):
