@@ -63,19 +63,21 @@ ORACLE["op2_secret_ownership"] = f"""
 WITH d AS (
     SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t, source AS owner, concat_ws('/', source, lang) AS repository FROM documents
 ), base AS ({" UNION ALL ".join(_matches(*x) for x in _SECRET_KINDS)}), held AS (
-    SELECT v, count(DISTINCT owner) AS owners FROM base GROUP BY v
+    SELECT v, count(DISTINCT coalesce(owner, chr(1))) AS owners, count(DISTINCT (coalesce(owner, chr(1)), coalesce(repository, chr(1)))) AS repositories,
+        len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]') AS random FROM base GROUP BY v
 ), marks AS (
     SELECT k, kind, name, e - n AS s, e FROM base
-    UNION SELECT k, 3, 'example', e - n, e FROM base JOIN held USING (v) WHERE owners >= 3
-    UNION SELECT k, 4, 'live', e - n, e FROM base JOIN held USING (v) WHERE owners = 1 AND len(list_distinct(string_split(v, ''))) >= 10 AND regexp_matches(v, '[0-9]')
+    UNION SELECT k, 3, 'example', e - n, e FROM base JOIN held USING (v) WHERE owners >= 3 OR repositories >= 4
+    UNION SELECT k, 4, 'live', e - n, e FROM base JOIN held USING (v) WHERE repositories = 1 AND random
+    UNION SELECT k, 5, 'shared', e - n, e FROM base JOIN held USING (v) WHERE owners < 3 AND repositories BETWEEN 2 AND 3 AND random
 ), joined AS (
     SELECT k, count(*) FILTER (WHERE kind = 0) AS a, count(*) FILTER (WHERE kind = 1) AS b, count(*) FILTER (WHERE kind = 2) AS c,
-        count(*) FILTER (WHERE kind = 3) AS x, count(*) FILTER (WHERE kind = 4) AS l,
+        count(*) FILTER (WHERE kind = 3) AS x, count(*) FILTER (WHERE kind = 4) AS l, count(*) FILTER (WHERE kind = 5) AS h,
         string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) FILTER (WHERE kind < 3) AS base,
         string_agg(name || ':' || s || ':' || e, ',' ORDER BY s, kind, e) AS spans
     FROM marks GROUP BY k
 )
 SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(b, 0) AS n_access, coalesce(c, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
-    coalesce(spans, '') AS spans, coalesce(x, 0) AS n_example, coalesce(l, 0) AS n_live
+    coalesce(spans, '') AS spans, coalesce(x, 0) AS n_example, coalesce(l, 0) AS n_live, coalesce(h, 0) AS n_shared
 FROM d LEFT JOIN joined USING (k)
 """

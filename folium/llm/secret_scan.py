@@ -1,8 +1,9 @@
 """Secret scans with corpus-wide ownership.
 
 Base patterns give spans. Every candidate's value is hashed; hashes are counted by distinct repositories and owners over
-the whole corpus. A value that many owners hold is a copied example; a value of one owner that looks random is a
-live-looking credential. Both verdicts are added as spans beside the base ones.
+the whole corpus. A value that many owners hold, or that is spread over many repositories, is a copied example; a value of
+one owner and one repository that looks random is a live-looking credential; a random-looking value between the two (of two
+owners, or of a few repositories) is shared. The verdicts are added as spans beside the base ones.
 
 All of it is DataFrame functions: positions come from the lengths of what split() leaves between the matches that
 regexp_extract_all() returns.
@@ -20,8 +21,8 @@ ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?
 ACCESS = r"AKIA[A-Z0-9]+"
 HEX = r"[0-9a-f]+"
 KINDS = (("assign", ASSIGN, 2, 8), ("access", ACCESS, 0, 16), ("hex", HEX, 0, 32))
-#: A value that so many owners hold is an example; one owner's value with so many distinct characters looks live.
-SHARED_BY, RANDOM_CHARS = 3, 10
+#: A value that so many owners or so many repositories hold is an example; others look random with so many distinct characters, and a digit.
+SHARED_BY, SPREAD, RANDOM_CHARS = 3, 4, 10
 
 
 def _spans(text: Column, order: int, kind: str, pattern: str, group: int, least: int) -> Column:
@@ -79,15 +80,21 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 #: Kinds that the method adds, after the base ones.
-ADDED = ("example", "live")
+ADDED = ("example", "live", "shared")
 
 
 def judge(found: DataFrame) -> DataFrame:
-    """found with spans: the base spans, and for each value of SHARED_BY owners or more, or of one owner and random looks, an added span of its verdict."""
+    """found with added: for each base span whose value gets a verdict a span of it.
+
+    Of SHARED_BY owners or more, or SPREAD repositories or more: example. Of others that look random: live, if one repository
+    of one owner has it, else shared. Other values get none.
+    """
     held = ownership(found)
     distinct = F.size(F.array_distinct(F.split(F.col("s.value"), "")))
     each = found.select("row", "doc_id", F.explode("found").alias("s")).withColumn("hash", F.sha2("s.value", 256))
-    verdict = F.when(F.col("n_owners") >= SHARED_BY, F.lit(len(KINDS))).when((F.col("n_owners") == 1) & (distinct >= RANDOM_CHARS) & F.col("s.value").rlike("[0-9]"), F.lit(len(KINDS) + 1))
+    random = (distinct >= RANDOM_CHARS) & F.col("s.value").rlike("[0-9]")
+    spread = (F.col("n_owners") >= SHARED_BY) | (F.col("n_repositories") >= SPREAD)
+    verdict = F.when(spread, F.lit(len(KINDS))).when(random & (F.col("n_repositories") == 1), F.lit(len(KINDS) + 1)).when(random, F.lit(len(KINDS) + 2))
     added = each.join(held, "hash").select("row", "doc_id", F.struct(F.col("s.start").alias("start"), verdict.alias("kind"), F.col("s.end").alias("end")).alias("a")).where(F.col("a.kind").isNotNull())
     added = added.groupBy("row", "doc_id").agg(F.collect_set("a").alias("added"))
     same_row = (found["row"] == added["row"]) & found["doc_id"].eqNullSafe(added["doc_id"])
@@ -95,7 +102,7 @@ def judge(found: DataFrame) -> DataFrame:
 
 
 def op2_secret_ownership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example and n_live for each document.
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_example, n_live and n_shared for each document.
 
     The owner of a document is its source, its repository the source's part in one language. Null and empty texts have
     no spans: zero counts, an empty spans string and the hash of an empty string.
