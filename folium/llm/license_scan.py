@@ -22,18 +22,101 @@ from folium.llm.common import documents
 
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-# Wordings of licence notices, by label, with the phrases that none may lack.
+# The words of public licences and their notices, by label, with the phrases that none may lack.
 TEMPLATES = (
-    ("apache-2.0", "licensed under the apache license version 2 0", ("apache license", "version 2 0")),
-    ("mit", "released under the mit license", ("mit license",)),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
-    ("gpl-3.0", "this work is licensed under the gnu general public license version 3", ("gnu general public license", "version 3")),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license", ("gnu general public license",)),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
-    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license",)),
-    ("cc-by-4.0", "licensed under cc by 4 0", ("cc by 4 0",)),
-    ("cc-by-nc-4.0", "licensed under cc by nc 4 0", ("cc by nc 4 0",)),
-    ("cc-by-sa-4.0", "licensed under cc by sa 4 0", ("cc by sa 4 0",)),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "version 2 0")),
+    (
+        "apache-2.0",
+        """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at
+        http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS,
+        WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
+        ("apache license version 2 0", "distributed on an as is basis"),
+    ),
+    ("mit", "released under the MIT License", ("mit license",)),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", ("permission is hereby granted free of charge",)),
+    (
+        "mit",
+        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without
+        restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
+        Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the
+        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR
+        PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE,
+        ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        ("permission is hereby granted free of charge", "without restriction"),
+    ),
+    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
+    ("gpl", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License", ("gnu general public license",)),
+    (
+        "gpl-2.0-or-later",
+        """This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2
+        of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ("gnu general public license", "either version 2 of the license"),
+    ),
+    (
+        "gpl-3.0-or-later",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3
+        of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of
+        MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.""",
+        ("gnu general public license", "either version 3 of the license"),
+    ),
+    (
+        "lgpl-2.1-or-later",
+        """This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either
+        version 2.1 of the License, or (at your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY""",
+        ("gnu lesser general public license", "version 2 1 of the license"),
+    ),
+    (
+        "agpl-3.0-or-later",
+        """This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either
+        version 3 of the License, or (at your option) any later version.""",
+        ("gnu affero general public license",),
+    ),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met", ("redistribution and use in source and binary forms",)),
+    (
+        "bsd-2-clause",
+        """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must
+        retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of
+        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
+        ("redistribution and use in source and binary forms", "must reproduce the above copyright notice"),
+    ),
+    (
+        "bsd-3-clause",
+        """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written
+        permission.""",
+        ("may be used to endorse or promote products derived from this software",),
+    ),
+    (
+        "isc",
+        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission
+        notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE""",
+        ("for any purpose with or without fee is hereby granted",),
+    ),
+    (
+        "zlib",
+        """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.
+        Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions""",
+        ("permission is granted to anyone to use this software for any purpose",),
+    ),
+    (
+        "unlicense",
+        """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code
+        form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
+        ("free and unencumbered software released into the public domain",),
+    ),
+    (
+        "bsl-1.0",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to
+        use, reproduce, display, distribute, execute, and transmit the Software""",
+        ("to any person or organization obtaining a copy of the software",),
+    ),
+    ("mpl-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
+    ("cc0-1.0", "dedicated all copyright and related and neighboring rights to this software to the public domain worldwide", ("to the public domain worldwide",)),
+    ("cc-by-4.0", "licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("cc-by-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License", ("creative commons attribution 4 0",)),
+    ("cc-by-nc-4.0", "licensed under CC BY-NC 4.0", ("cc by nc 4 0",)),
+    ("cc-by-sa-4.0", "licensed under CC BY-SA 4.0", ("cc by sa 4 0",)),
+    ("cc-by-sa-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", ("creative commons attribution sharealike 4 0",)),
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
 RARE, LEAST = 8, 0.7
@@ -47,7 +130,7 @@ def words(text: str | None) -> list[bytes]:
 
 
 def _split(text: str) -> list[bytes]:
-    return text.encode().split()
+    return words(text)
 
 
 class TemplateIndex:
@@ -155,5 +238,9 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each document."""
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels and score for each document.
+
+    Null and empty texts have no words, no places (null first_word and last_word), empty labels and score 0. Labels of equal
+    score stand side by side; a template's label that is a base one too comes once. An empty table gives no rows.
+    """
     return scan(documents(spark, sf_dir))

@@ -282,7 +282,11 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the token ids of all documents and reads the files back: doc_id, start, n_tokens, ids_crc32. An empty table gives no rows."""
+    """Writes the token ids of all documents and reads the files back: doc_id, start, n_tokens, ids_crc32.
+
+    Null and empty texts have the end id alone. Null doc_ids come first; rows that share a doc_id stand side by side in any
+    order. Other columns are not read. An empty table gives no rows.
+    """
     import uuid
 
     import public_tokenizers
