@@ -2,7 +2,9 @@
 
 A document is the set of its word n-grams, as 64-bit hashes; equal sets are one node from the start. The hashes fall into
 groups, and the counts by group are a point: two sets share at most the sum of the coordinates' minima. Nodes that can link
-share one of the smallest hashes of their sets (as many as a set may lack, and one), so nodes meet by those hashes. Where
+share one of the first hashes of their sets (as many as a set may lack, and one) in any order that is the same for all, so
+nodes meet by those hashes. The order is by hash, with those last that are frequent in a sample of SAMPLE documents: then
+common lines are no meeting places. The sample decides nothing but the order; every order gives the same groups. Where
 nodes meet, an R-tree over their points (tiles by size, then by a coordinate) is joined with itself: boxes whose bound is
 too low are left out, then points. Nodes of surviving pairs are one cluster, whatever lies between them, so no link leaves
 its cluster. A cluster's whole sets are brought together once, joined by an R-tree over points of more groups, and the
@@ -35,6 +37,10 @@ FULL = 255
 LEAF, FAN, BLOCK = 32, 16, 4096
 #: So many of a node's smallest hashes go first, and the bytes of sets in half a place of a cluster.
 FIRST, BYTES = 3, 16 << 20
+#: Documents of the sample, about; in so many of them a hash is frequent, and so many of the most frequent ones go last.
+SAMPLE, FREQUENT, LAST = 8000, 3, 100_000
+#: Rows of one hash that are compared by size and place, at most; more are left to the R-trees.
+LAG = 32
 #: Nodes whose texts are fetched by a broadcast of their rows at most; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -79,6 +85,36 @@ def _prefix(n: int, percent: int) -> int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _first(s: np.ndarray, size: int, last: np.ndarray) -> np.ndarray:
+    """The first hashes of a set, as many as size: those that aren't in last by size, then the others; both are sorted."""
+    step = 2 * size + 16
+    while len(last):
+        some = s[:step]
+        late = last[np.minimum(np.searchsorted(last, some), len(last) - 1)] == some
+        early = some[~late]
+        if len(early) >= size:
+            return early[:size]
+        if step >= len(s):
+            return np.concatenate([early, some[late]])[:size]
+        step *= 2
+    return s[:size]
+
+
+def _frequent(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted hashes that go last; LAST of them at most, 8 bytes each. The sample is the documents whose row numbers have small hashes."""
+    share = SAMPLE / max(1, docs.count())
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _word_hashes()
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_pydict({"h": pa.array(shingles(t.as_py(), k, hashes).view("i8"), pa.int64())})
+
+    few = docs.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
+    counted = few.select("text").mapInArrow(of, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(np.array([r.h for r in counted.orderBy(F.col("n").desc(), "h").limit(LAST).collect()], "i8").view("u8"))
+
+
 def _level(n: int) -> int:
     return sum(n > step for step in STEPS)
 
@@ -379,6 +415,8 @@ def _dealt(df: DataFrame, key: str, blocks: str, node: str, parts: int, cols: li
 def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """row, doc_id, node (hash of the set; null without words), n, prefix and point (of its level) of each document; docs has row, doc_id and text."""
 
+    last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
+
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _word_hashes()
         for batch in batches:
@@ -391,7 +429,7 @@ def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
                         "doc_id": part.column(1).cast(pa.int64()),
                         "node": pa.array([_node(s) if len(s) else None for s in sets], pa.int64()),
                         "n": pa.array(list(map(len, sets)), pa.int64()),
-                        "prefix": pa.array([s[: _prefix(len(s), percent)].view("i8") if len(s) else s.view("i8") for s in sets], pa.list_(pa.int64())),
+                        "prefix": pa.array([_first(s, _prefix(len(s), percent), last.value).view("i8") if len(s) else s.view("i8") for s in sets], pa.list_(pa.int64())),
                         "point": pa.array([_point(s, GROUPS << 2 * _level(len(s))).tobytes() for s in sets], pa.binary()),
                     }
                 )
@@ -429,8 +467,8 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     parts = partitions(docs.sparkSession)
     every = written(_shingled(docs, k, percent), "shingled")
     reps = written(every.where("node IS NOT NULL").dropDuplicates(["node"]), "nodes")
-    postings = reps.select(F.posexplode("prefix").alias("at", "h"), "node").select("h", "node", "at").repartition(parts, "h").sortWithinPartitions("h")
-    met = written(postings.mapInArrow(_shared, "h long, node long, at int"), "met")
+    postings = reps.select(F.posexplode("prefix").alias("at", "h"), "node", F.col("n").cast("int").alias("n")).select("h", "node", "n", "at").repartition(parts, "h").sortWithinPartitions("h")
+    met = written(postings.mapInArrow(lambda batches: _shared(batches, percent), "h long, node long, n int, at int").drop("n"), "met")
     points = reps.select("node", "n", "point")
     first = met.where(F.col("at") < FIRST).join(points, "node").repartition(parts, "h").sortWithinPartitions("h", "n").select("h", "node", "n", "point")
     roots = components(_mapped(first, _to_pivots, percent))
@@ -460,30 +498,51 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return linked.unionAll(out.where("node IS NULL").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.col("node").alias("root")))
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose h is another row's too; batches are sorted by h."""
-    held = None
-    last, met = None, False  # of the row that is held: its h, and whether the row before had it
+def _possible(rows: pa.RecordBatch, percent: int) -> pa.RecordBatch:
+    """Rows that may link with another one of the same h; rows has all of each h. Of an h with more than LAG rows all stay."""
+    h, n, at = (rows.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 2, 3))
+    _, group, count = np.unique(h, return_inverse=True, return_counts=True)
+    keep, few = count[group] > LAG, count[group] <= LAG
+    for d in range(1, min(LAG, int(count.max(initial=0)))):
+        x = np.flatnonzero((group[d:] == group[:-d]) & few[d:])
+        y = x + d
+        # Two sets share no more hashes than stand before and behind h in both, whatever the order is.
+        shared = np.minimum(at[x], at[y]) + 1 + np.minimum(n[x] - at[x], n[y] - at[y]) - 1
+        ok = (shared >= _needed(n[x], n[y], percent)) & (np.minimum(n[x], n[y]) * 100 >= np.maximum(n[x], n[y]) * percent)
+        keep[x[ok]] = keep[y[ok]] = True
+    return rows.filter(pa.array(keep))
+
+
+def _shared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows that may link with another one of the same h; batches are sorted by h. Few rows are held, however many share an h."""
+    held, long = None, None
     for batch in batches:
         if not batch.num_rows:
             continue
         if held is not None:
             batch = pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
         h = batch.column(0).to_numpy(zero_copy_only=False)
-        same = np.zeros(len(h), bool)
-        same[1:] = h[1:] == h[:-1]
-        same[0] = met if last is not None and h[0] == last else False
-        shared = same.copy()
-        shared[:-1] |= same[1:]
-        last, met = h[-1], bool(same[-1])
-        held = batch.slice(batch.num_rows - 1)
-        yield batch.slice(0, batch.num_rows - 1).filter(pa.array(shared[:-1]))
-    if held is not None and met:
-        yield held
+        start, end = int(np.searchsorted(h, long, "right")) if long is not None else 0, int(np.searchsorted(h, h[-1]))
+        if start:
+            yield batch.slice(0, start)
+        if end > start:
+            yield _possible(batch.slice(start, end - start), percent)
+        held = batch.slice(max(start, end))
+        if held.num_rows > LAG:
+            yield held
+            held, long = None, h[-1]
+        elif not held.num_rows:
+            held = None
+    if held is not None:
+        yield _possible(held, percent)
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_shingles and component_id for each document: 4-word shingles, Jaccard similarity of 0.85 or more."""
+    """doc_id, n_shingles and component_id for each document: 4-word shingles, Jaccard similarity of 0.85 or more.
+
+    Null, empty and blank texts have no shingles and are their own component. Rows that repeat a text are one component, and
+    so are rows of one doc_id only if their texts link. A null doc_id counts last. An empty table gives no rows.
+    """
     docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").withColumnRenamed("folium_row", "row")
     return group(docs, 4, 85).select("doc_id", "n_shingles", "component_id")
 
@@ -492,7 +551,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component stays: the one of the smallest doc_id (of rows that repeat it, the first by row); documents without words stay."""
     row = free_name(docs, "folium_row")
     every = numbered(docs, row)
-    thin = numbered(docs.select("doc_id", "text"), "folium_row").withColumnRenamed("folium_row", "row")
+    thin = every.select("doc_id", "text", F.col(row).alias("row"))
     found = written(group(thin, k, percent), "grouped")
     first = found.where("n_shingles > 0").groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("w")).select("w.row", "w.doc_id")
     stay = first.unionAll(found.where("n_shingles = 0").select("row", "doc_id")).select(F.col("row").alias("r"), F.col("doc_id").alias("d"))
