@@ -194,6 +194,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that aren't flagged, with their own columns."""
     row = free_name(docs, "folium_row")
     every = numbered(docs, row)
-    found = flag(numbered(docs.select("doc_id", "text"), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row")), benchmark)
+    found = flag(every.select("doc_id", "text", F.col(row).alias("row")), benchmark)
     found = found.select(F.col("row").alias("bad_row"), F.col("doc_id").alias("bad_id"))
     return every.join(found, (every[row] == found["bad_row"]) & every["doc_id"].eqNullSafe(found["bad_id"]), "left_anti").drop(row)

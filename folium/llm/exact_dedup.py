@@ -137,13 +137,8 @@ def mark_duplicates(rows: DataFrame, historical: Column, buckets: int | None = N
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    """The texts are read once: what follows works on a thin table."""
-    return written(
-        numbered(docs.select("doc_id", "text"), "folium_row").select(
-            "doc_id", F.col("folium_row").alias("row"), F.length(text_of()).alias("n_points"), digest_of(text_of()).alias("digest")
-        ),
-        "digests",
-    )
+    """The texts are read once: what follows works on a thin table. docs has doc_id, text and row."""
+    return written(docs.select("doc_id", "row", F.length(text_of()).alias("n_points"), digest_of(text_of()).alias("digest")), "digests")
 
 
 def _historical() -> Column:
@@ -156,14 +151,16 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Null counts as empty text; all empty texts are one group.
     """
-    marked = mark_duplicates(_rows(documents(spark, sf_dir)), _historical())
+    docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").withColumnRenamed("folium_row", "row")
+    marked = mark_duplicates(_rows(docs), _historical())
     return marked.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"), "member")
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their own columns."""
     row = free_name(docs, "folium_row")
-    lost = mark_duplicates(_rows(docs.select("doc_id", "text")), _historical()).where(~F.col("kept"))
+    all_ = numbered(docs, row)  # once: a second numbering of rows that don't come from files may differ
+    thin = all_.select("doc_id", "text", F.col(row).alias("row"))
+    lost = mark_duplicates(_rows(thin), _historical()).where(~F.col("kept"))
     lost = lost.select(F.col("doc_id").alias("lost_id"), F.col("row").alias("lost_row"))
-    all_ = numbered(docs, row)
     return all_.join(lost, (all_[row] == lost["lost_row"]) & all_["doc_id"].eqNullSafe(lost["lost_id"]), "left_anti").drop(row)

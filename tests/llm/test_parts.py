@@ -471,3 +471,18 @@ def test_reparameterised_items_are_found(spark):
     got = flagged(spark, items, texts + clean)
     assert sum(k in got.get(k, []) for k in range(len(texts))) >= 0.9 * len(texts), sorted(set(range(len(texts))) - set(got))
     assert not [k for k in got if k >= len(texts)]
+
+
+def test_rows_that_are_shuffled_before_lose_and_keep_the_right_ones(spark):
+    """Documents that don't come straight from files, with nulls and one id for all: their numbers are given once."""
+    from folium.llm.decontamination import drop_contaminated
+
+    rng = random.Random(30)
+    texts = [" ".join(f"w{rng.random()}" for _ in range(30)) for _ in range(40)]
+    rows = [(None if k % 3 else 5, t) for k, t in enumerate([*texts, *texts[:10], *[t + " more" for t in texts[10:20]]])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert sorted(r.text for r in exact_dedup.drop_duplicates(docs).collect()) == sorted({t for _, t in rows})
+    kept = [r.text.removesuffix(" more") for r in jaccard_join.keep_one(docs).collect()]
+    assert sorted(kept) == sorted(texts)
+    bench = spark.createDataFrame([(0, texts[0])], "item_id long, text string")
+    assert sorted(r.text for r in drop_contaminated(docs, bench).collect()) == sorted(t for _, t in rows if t != texts[0])
