@@ -49,7 +49,7 @@ def _spaced(text: Column) -> Column:
     """The text with a space between a number and the unit that is glued to it, and capitalised words in a row as one."""
     # Patterns begin with the character that is rarest and look back from it: what they start with is tried at every place.
     joined = F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{M}\d]\p{Lu})[\p{L}\p{M}]*)\x20(?=\p{Lu})", f"$1{JOIN}")
-    return _where(text.rlike("[0-9]"), joined, rf"(?i)(\d(?<![\p{{L}}\d]\d)[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
+    return _where(text.rlike("[0-9]"), joined, rf"(?i)(\d(?<![\p{{L}}\d][.,]?\d)[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
 
 
 def _canonical(spaced: Column) -> Column:
@@ -60,7 +60,7 @@ def _canonical(spaced: Column) -> Column:
     digits = spaced.rlike("[0-9]")
     names = F.regexp_replace(spaced, rf"\p{{Lu}}(?<=[\p{{L}}\d,;]\x20\p{{Lu}})[\p{{L}}\p{{M}}{JOIN}]*", "<name>")
     capitals = F.regexp_replace(names, rf"\p{{Lu}}(?<![\p{{L}}\p{{M}}\d]\p{{Lu}})[\p{{L}}\p{{M}}{JOIN}]*", f"{BEGIN}$0{END}")
-    numbers = _where(digits, capitals, r"\d(?<![\p{L}\d]\d)[\d.,]*(?![\p{L}\d])", "<num>")
+    numbers = _where(digits, capitals, r"\d(?<![\p{L}\d][.,]?\d)[\d.,]*(?![\p{L}\d])", "<num>")
     units = _where(digits, F.lower(numbers), rf"(?<=<num>\x20?)(?:{UNITS})(?![\p{{L}}\d])", "<unit>")
     return F.regexp_replace(units, rf"[^a-z\x20\p{{L}}\p{{M}}\d<>\x09-\x0D{BEGIN}{END}{JOIN}]+", "")
 
@@ -109,7 +109,7 @@ def _windows(words: Column, sizes: list[int]) -> Column:
 def items_of(benchmark: DataFrame, common: list[str]) -> DataFrame:
     """item (its row), item_id, words (hashes), raws, n_words, size (of the windows; the whole item where it is shorter) and slots (pos and raw)."""
     each = numbered(benchmark.select("item_id", "text"), "item").select("item", "item_id", slotted(text_of(), common).alias("s"))
-    every = F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), p["canon"].isin("<num>", "<name>", "<unit>").alias("slot")))
+    every = F.transform("s", lambda p, i: F.struct(i.alias("pos"), p["raw"].alias("raw"), p["canon"].rlike("<(num|name|unit)>").alias("slot")))
     slots = F.transform(F.filter(every, lambda p: p["slot"]), lambda p: F.struct(p["pos"].alias("pos"), p["raw"].alias("raw")))
     each = each.select("item", "item_id", F.transform("s.canon", lambda w: F.xxhash64(w)).alias("words"), F.col("s.raw").alias("raws"), slots.alias("slots")).where(F.size("words") > 0)
     return each.select("item", "item_id", "words", "raws", F.size("words").alias("n_words"), F.least(F.size("words"), F.lit(WINDOW)).alias("size"), "slots")
