@@ -184,7 +184,7 @@ def aggregate(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     """Document packets of the latest run, and the run's header."""
     pages = packets.latest_run(spark.read.parquet(f"{a.output}/answers"))
     pages = pages.withColumn("file_name", F.concat_ws("_", "document_id", "page"))
-    sinks.write_json(packets.packets(pages), f"{a.output}/packets")
+    sinks.write_json(packets.packets(pages).orderBy("source"), f"{a.output}/packets")
     out = spark.read.json(f"{a.output}/packets")
     sinks.write_json(reports.run_header(pages, out, f"{a.output}/answers"), f"{a.output}/run")
     return out

@@ -147,7 +147,7 @@ def sanitize_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- scoring ---------------------------------------------------------------------------------------------------------
 
 _PREDICTED = f"""
-SELECT d.doc_id, d.source, d.text, l.doc_id IS NOT NULL AS labelled, (red = 0)::INT AS p_quality, 0 AS p_toxic, l.quality, l.toxic, red, yellow, green FROM documents d
+SELECT d.doc_id, d.source, d.text, {rule_sql('national_id', 'd.text')} IS NOT NULL AS has_id, l.doc_id IS NOT NULL AS labelled, (red = 0)::INT AS p_quality, 0 AS p_toxic, l.quality, l.toxic, red, yellow, green FROM documents d
 JOIN (SELECT doc_id, {" + ".join(f"({n} = 'green')::BIGINT" for n in CHECKED)} AS green, {" + ".join(f"({n} = 'yellow')::BIGINT" for n in CHECKED)} AS yellow, {" + ".join(f"({n} = 'red')::BIGINT" for n in CHECKED)} AS red FROM ({_LIGHTS})) USING (doc_id)
 LEFT JOIN labels l ON l.doc_id = d.doc_id
 """
@@ -159,9 +159,10 @@ def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     found = docs.select("doc_id", "source", "text", *[rules.field(F.col("text"), n).alias(n) for n in CHECKED])
     lights = F.array(*[validate.light(n, F.col(n))["status"] for n in CHECKED])
-    found = found.select("doc_id", "source", "text", lights.alias("lights"))
+    has_id = rules.field(F.col("text"), "national_id").isNotNull()
+    found = found.select("doc_id", "source", "text", has_id.alias("has_id"), lights.alias("lights"))
     count = lambda s: F.size(F.filter("lights", validate._is_text(s)))
-    found = found.select("doc_id", "source", "text", *[count(s).cast("long").alias(s) for s in ("green", "yellow", "red")])
+    found = found.select("doc_id", "source", "text", "has_id", *[count(s).cast("long").alias(s) for s in ("green", "yellow", "red")])
     found = found.withColumns({"quality": (F.col("red") == 0).cast("int"), "toxic": F.lit(0)})
     return scoring.score(found, table(spark, sf_dir, "labels"), ["doc_id"], LABELS)
 
@@ -180,7 +181,7 @@ _BOARD = f"""
 SELECT coalesce(source, 'unknown') AS engine, count(*) AS pages, count(*) FILTER (WHERE labelled) AS labelled_pages,
     count(*) FILTER (WHERE trim(coalesce(text, '')) = '') AS error_pages, round(avg(length(coalesce(text, ''))), 2) AS avg_raw_text_chars,
     round(avg(CASE WHEN labelled THEN ((p_quality = quality)::INT + (p_toxic = toxic)::INT) / 2.0 END), 4) AS field_accuracy,
-    sum(red)::BIGINT AS red, sum(yellow)::BIGINT AS yellow, sum(green)::BIGINT AS green
+    sum(red)::BIGINT AS red, sum(yellow)::BIGINT AS yellow, sum(green)::BIGINT AS green, count(*) FILTER (WHERE has_id) AS national_ids
 FROM ({_PREDICTED}) GROUP BY 1
 """
 
@@ -195,6 +196,7 @@ def flagship_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.round(F.avg(F.length(F.coalesce("text", F.lit("")))), 2).alias("avg_raw_text_chars"),
         scoring.mean(F.col("field_accuracy")).alias("field_accuracy"),
         *[F.sum(c).alias(c) for c in ("red", "yellow", "green")],
+        F.count_if("has_id").alias("national_ids"),
     )
     return scoring.ranked(board)
 
