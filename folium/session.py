@@ -1,7 +1,9 @@
-"""A session with the library's settings; those of a cluster stay."""
+"""A session with the library's settings, those of a cluster stay; and the folder that all executors share."""
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,14 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     for k, v in conf.items():
         builder = builder.config(k.replace("__", "."), v)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; where that is unset and all is local, a folder of this session."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="folium-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
