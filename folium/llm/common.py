@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.session import shared_folder
+
 #: The white space of the text contracts: space, tab, LF, VT, FF and CR.
 SPACE = " \t-\r"
 
@@ -18,14 +19,8 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: spark.checkpoint.dir, or a folder of this session where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        found = tempfile.mkdtemp(prefix="folium-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """The shared folder for intermediate tables."""
+    return shared_folder(spark)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -76,3 +71,21 @@ def text_of(column: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: A key is hot if more rows have it than this, and more than one in SHARES of all rows: so there are fewer hot keys than SHARES.
+HOT_ROWS, SHARES = 10_000, 1000
+
+
+def join_by_key(rows: DataFrame, found: DataFrame, key: str, size: str) -> DataFrame:
+    """rows joined with found, which has a row for each key and, as size, how many rows have it; found is written already.
+
+    Hot keys are broadcast, fewer than SHARES of them, so their rows stay where they are; the others meet by key.
+    """
+    total = found.agg(F.sum(size)).first()[0] or 0
+    most = max(HOT_ROWS, total // SHARES)
+    hot = found.where(F.col(size) > most)
+    if not hot.take(1):
+        return rows.join(found, key)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(found.where(F.col(size) <= most), key)
+    return rest.unionByName(rows.join(F.broadcast(hot), key))

@@ -16,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import documents, free_name, numbered, text_of, written
+from folium.llm.common import documents, free_name, join_by_key, numbered, text_of, written
 
 #: Distinct digests in a bucket, on average: some 2 MB of slots.
 BUCKET = 20_000
@@ -133,7 +133,8 @@ def mark_duplicates(rows: DataFrame, historical: Column, buckets: int | None = N
         buckets = 1 + rows.select(F.approx_count_distinct("digest")).first()[0] // BUCKET
     bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets))
     found = _grouped(rows, historical).groupBy(bucket.alias("bucket")).applyInArrow(_look_up, _FOUND)
-    return rows.join(found, "digest").withColumn("kept", F.col("row") == F.col("keep_row"))
+    found = written(found, "winners")
+    return join_by_key(rows, found, "digest", "group_size").withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
 def _rows(docs: DataFrame) -> DataFrame:

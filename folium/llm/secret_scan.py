@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import documents, numbered, text_of, written
+from folium.llm.common import documents, join_by_key, numbered, text_of, written
 
 # Fixed patterns of the base spans: kind, pattern, group of the value, its least length.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -89,13 +89,13 @@ def judge(found: DataFrame) -> DataFrame:
     Of SHARED_BY owners or more, or SPREAD repositories or more: example. Of others that look random: live, if one repository
     of one owner has it, else shared. Other values get none.
     """
-    held = ownership(found)
+    held = written(ownership(found), "ownership")
     distinct = F.size(F.array_distinct(F.split(F.col("s.value"), "")))
     each = found.select("row", "doc_id", F.explode("found").alias("s")).withColumn("hash", F.sha2("s.value", 256))
     random = (distinct >= RANDOM_CHARS) & F.col("s.value").rlike("[0-9]")
     spread = (F.col("n_owners") >= SHARED_BY) | (F.col("n_repositories") >= SPREAD)
     verdict = F.when(spread, F.lit(len(KINDS))).when(random & (F.col("n_repositories") == 1), F.lit(len(KINDS) + 1)).when(random, F.lit(len(KINDS) + 2))
-    added = each.join(held, "hash").select("row", "doc_id", F.struct(F.col("s.start").alias("start"), verdict.alias("kind"), F.col("s.end").alias("end")).alias("a")).where(F.col("a.kind").isNotNull())
+    added = join_by_key(each, held, "hash", "n_rows").select("row", "doc_id", F.struct(F.col("s.start").alias("start"), verdict.alias("kind"), F.col("s.end").alias("end")).alias("a")).where(F.col("a.kind").isNotNull())
     added = added.groupBy("row", "doc_id").agg(F.collect_set("a").alias("added"))
     same_row = (found["row"] == added["row"]) & found["doc_id"].eqNullSafe(added["doc_id"])
     return found.join(added, same_row, "left").select(found["*"], F.coalesce(added["added"], F.array().cast("array<struct<start:int,kind:int,end:int>>")).alias("added"))

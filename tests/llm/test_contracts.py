@@ -11,7 +11,7 @@ import pytest
 from helpers import rows_of
 
 import corpus_pipeline
-from folium.llm import license_scan
+from folium.llm import common, license_scan
 from folium.llm import queries as Q
 
 QUERIES = Q.queries()
@@ -39,7 +39,15 @@ def lower(text):
     return "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
 
 
-def test_op1(spark, folder):
+@pytest.fixture(params=[False, True])
+def hot(request, monkeypatch):
+    """Also with keys of two rows and more as hot ones."""
+    if request.param:
+        monkeypatch.setattr(common, "HOT_ROWS", 1)
+        monkeypatch.setattr(common, "SHARES", 10**9)
+
+
+def test_op1(spark, folder, hot):
     docs = docs_of(spark, folder)
     groups = collections.defaultdict(list)
     for d, t in docs:
@@ -54,7 +62,7 @@ def test_op1(spark, folder):
     assert len(kept) == len(groups) == kept.text_sha256.nunique()
 
 
-def test_op2(spark, folder):
+def test_op2(spark, folder, hot):
     kinds = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 16), ("hex", re.compile(r"[0-9a-f]+"), 0, 32)]
     want, spans_of = [], []
     for d, t in docs_of(spark, folder):
