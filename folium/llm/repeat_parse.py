@@ -91,31 +91,32 @@ def anchors(data: np.ndarray) -> np.ndarray:
     return (least & np.uint64((1 << 22) - 1)).astype(np.int64)
 
 
-def regions(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """key, first and last window of the regions of a text; a text shorter than a window has none."""
+def regions(data: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """key, first and last window, and the anchor's distance from the first, of the regions of a text; a text shorter than a window has none."""
     for s in range(0, len(data) - LENGTH + 1, SEGMENT):
         part = data[s : s + SEGMENT + LENGTH - 1]
         at = anchors(part)
         first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
         last = np.append(first[1:], len(at)) - 1
-        yield _stretch_hashes(part, at[first], CORE).view("i8"), first + s, last + s
+        yield _stretch_hashes(part, at[first], CORE).view("i8"), first + s, last + s, at[first] - first
 
 
-def finer(data: np.ndarray, a: int, b: int, width: int) -> Iterator[tuple[int, int, int]]:
-    """key, first and last window of the regions of as many windows as width that a region falls into.
+def finer(data: np.ndarray, a: int, b: int, width: int) -> Iterator[tuple[int, int, int, int]]:
+    """key, first and last window, and the anchor's distance from the first, of the regions of as many windows as width that a region falls into.
 
     Cells of a grid by the distance to the anchor, as equal windows have that in common. The key is over the bytes that all
     windows of a whole cell have in common, so it is the same where a region has only some of a cell's windows.
     """
     if width == 1:
         for w in range(a, b + 1):
-            yield hash_of(data[w : w + LENGTH].tobytes()), w, w
+            yield hash_of(data[w : w + LENGTH].tobytes()), w, w, 0
         return
     anchor = a + int(anchors(data[a : a + LENGTH])[0])
     cells = np.arange((anchor - b) // width, (anchor - a) // width + 1)
     keys = _stretch_hashes(data, anchor - cells * width, LENGTH - width + 1).view("i8")
     for c, key in zip(cells.tolist(), keys.tolist()):
-        yield key, max(a, anchor - (c + 1) * width + 1), min(b, anchor - c * width)
+        first = max(a, anchor - (c + 1) * width + 1)
+        yield key, first, min(b, anchor - c * width), anchor - first
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +139,7 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-_REGIONS = "key long, context long, row long, a int, b int, bytes binary"
+_REGIONS = "key long, context long, row long, a int, b int, anchor int, bytes binary"
 _SETTLED = b""
 
 
@@ -151,24 +152,24 @@ class _Sender:
         self.seen: dict[bytes, tuple | None] = {}
         self.remembered = 0
 
-    def add(self, key: int, row: int, a: int, b: int, raw: bytes) -> None:
+    def add(self, key: int, row: int, a: int, b: int, anchor: int, raw: bytes) -> None:
         if raw in self.seen:
             first = self.seen[raw]
             if first is not None:
-                self.rows.append((first[0] ^ first[1], 0, *first, _SETTLED))
+                self.rows.append((first[0] ^ first[1], 0, *first, 0, _SETTLED))
                 self.seen[raw] = None
-            self.rows.append((row ^ a, 0, row, a, b, _SETTLED))
+            self.rows.append((row ^ a, 0, row, a, b, 0, _SETTLED))
             self.size += 32
             return
         if self.remembered > REMEMBERED:
             self.seen, self.remembered = {}, 0
         self.seen[raw] = (row, a, b)
         self.remembered += len(raw) + 100
-        self.rows.append((key, hash_of(raw), row, a, b, raw))
+        self.rows.append((key, hash_of(raw), row, a, b, anchor, raw))
         self.size += len(raw) + 32
 
     def batch(self) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
         out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*self.rows), kinds)], names=[c.split()[0] for c in _REGIONS.split(", ")])
         self.rows, self.size = [], 0
         return out
@@ -193,10 +194,10 @@ def _sent(docs: DataFrame, keys: DataFrame) -> DataFrame:
                 if not few:
                     wanted = np.sort(np.array(batch.column(2)[k].as_py(), np.int64))
                 raw = data.tobytes()
-                for key, a, b in regions(data):
+                for key, a, b, t in regions(data):
                     known = wanted[np.minimum(np.searchsorted(wanted, key), len(wanted) - 1)] == key if len(wanted) else np.zeros(len(key), bool)
-                    for i, x, y in zip(key[known].tolist(), a[known].tolist(), b[known].tolist()):
-                        sender.add(i, row, x, y, raw[x : y + LENGTH])
+                    for i, x, y, z in zip(*(c[known].tolist() for c in (key, a, b, t))):
+                        sender.add(i, row, x, y, z, raw[x : y + LENGTH])
                         if sender.size > 1 << 22:
                             yield sender.batch()
         if sender.rows:
@@ -227,8 +228,8 @@ def _sent_again(docs: DataFrame, stretches: DataFrame, width: int) -> DataFrame:
                 data = _bytes(text)
                 raw = data.tobytes()
                 for first, last in zip(a, b):
-                    for key, x, y in finer(data, first, last, width):
-                        sender.add(key, row, x, y, raw[x : y + LENGTH])
+                    for key, x, y, z in finer(data, first, last, width):
+                        sender.add(key, row, x, y, z, raw[x : y + LENGTH])
                         if sender.size > 1 << 22:
                             yield sender.batch()
         if sender.rows:
@@ -363,13 +364,37 @@ def _runs(some: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FOUND = "row long, a int, b int, open boolean"
+#: A window has so many bytes on one side of its anchor, at least.
+HALF = LENGTH // 2
+
+
+def _matching(group: list[tuple[int, int, int, int, bytes]]) -> list[tuple[int, int, int, bytes]]:
+    """row, first and last window and bytes of what can repeat of a key's different regions: windows with HALF bytes behind the anchor that another region has there too, or with as many before it."""
+    behind: dict[bytes, int] = {}
+    before: dict[bytes, int] = {}
+    halves = []
+    for _, a, b, t, raw in group:
+        x, y = raw[t : t + HALF] if b - a >= t - HALF else None, raw[t - HALF : t] if t > HALF else None
+        halves.append((x, y))
+        if x is not None:
+            behind[x] = behind.get(x, 0) + 1
+        if y is not None:
+            before[y] = before.get(y, 0) + 1
+    out = []
+    for (row, a, b, t, raw), (x, y) in zip(group, halves):
+        # Windows up to HALF before the anchor have the bytes behind it, those further before it the bytes before it.
+        low = 0 if y is not None and before[y] > 1 else max(0, t - HALF)
+        high = b - a if x is not None and behind[x] > 1 else min(b - a, t - HALF - 1)
+        if low <= high:
+            out.append((row, a + low, a + high, raw[low : high + LENGTH]))
+    return out
 
 
 def _found(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.RecordBatch]:
     """Of regions in order of key and context: stretches that repeat, and those of keys with more bytes of different regions than most, which stay open."""
     out: list[tuple[int, int, int, bool]] = []
     chunk: list[tuple[int, int, int, bytes]] = []  # different regions of complete keys
-    group: list[tuple[int, int, int, bytes]] = []  # those of the present key
+    group: list[tuple[int, int, int, int, bytes]] = []  # those of the present key
     held = size = 0
     key, told, crowded = None, False, False
 
@@ -392,15 +417,17 @@ def _found(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.Record
     def close() -> None:
         nonlocal held, size, crowded, told
         if crowded:
-            out.extend((row, a, b, True) for row, a, b, _ in group)
+            out.extend((row, a, b, True) for row, a, b, *_ in group)
         elif len(group) > 1:
-            chunk.extend(group)
-            held += size
+            some = _matching(group)
+            if len(some) > 1:
+                chunk.extend(some)
+                held += sum(len(raw) for *_, raw in some)
         group.clear()
         size, crowded, told = 0, False, False
 
     for b in batches:
-        for k, row, first, last, raw in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), b.column(5).to_pylist()):
+        for k, row, first, last, anchor, raw in zip(*(b.column(c).to_pylist() for c in (0, 2, 3, 4, 5, 6))):
             if raw == _SETTLED:
                 out.append((row, first, last, False))
                 continue
@@ -409,7 +436,7 @@ def _found(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.Record
                 key = k
                 if held >= CHUNK:
                     resolve()
-            if group and group[-1][3] == raw:
+            if group and group[-1][4] == raw:
                 if not told:
                     out.append((*group[-1][:3], False))
                     told = True
@@ -417,10 +444,10 @@ def _found(batches: Iterator[pa.RecordBatch], most: float) -> Iterator[pa.Record
                 continue
             if size > most:
                 crowded = True
-                out.extend((r, x, y, True) for r, x, y, _ in group[:-1])
+                out.extend((r, x, y, True) for r, x, y, *_ in group[:-1])
                 del group[:-1]
-                size = len(group[-1][3])
-            group.append((row, first, last, raw))
+                size = len(group[-1][4])
+            group.append((row, first, last, anchor, raw))
             size += len(raw)
             told = False
         if len(out) > 20_000:
@@ -492,7 +519,11 @@ def remove(docs: DataFrame) -> DataFrame:
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each document. Null and empty texts lose nothing."""
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 for each document.
+
+    Null and empty texts, and those of fewer than LENGTH bytes, lose nothing. Rows that repeat a text of LENGTH bytes or more
+    lose all of it, each of them, whatever their doc_ids. An empty table gives no rows.
+    """
     docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").withColumnRenamed("folium_row", "row")
     lost = remove(docs).select("row", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha"))
     whole = docs.select("row", "doc_id", F.octet_length(text_of()).cast("long").alias("n_bytes"), F.sha2(text_of().cast("binary"), 256).alias("own"))
