@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from folium.llm.common import documents, erase, free_name, numbered, partitions, written
 from folium.llm.components import components
+from folium.llm.word_cache import SHORT, packed
 
 GROUPS = 64
 #: Points of larger sets have more groups, so that a group's share stays small: sizes up to which 64 and 256 do; beyond, 1024.
@@ -44,28 +45,35 @@ LAG = 32
 #: Nodes whose texts are fetched by a broadcast of their rows at most; beyond that the join shuffles.
 BROADCAST_ROWS = 1_000_000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+_SPACE = np.array([c == 32 or 9 <= c <= 13 for c in range(256)], np.int8)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], "u8")
 
 
-class _Hashes(dict):
-    """Hashes of words, remembered."""
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z as a-z, and the place of each text's first word, and the number of words.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+    Words of up to SHORT bytes are mixed together, the others one by one; nothing is remembered.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
+    raw = b" ".join([*parts, b""])
+    data = np.frombuffer(raw + bytes(SHORT), np.uint8)
+    edges = np.flatnonzero(np.diff(_SPACE[data[: len(raw)]], prepend=np.int8(1)))  # from white space to words and back
+    starts, n = edges[::2], edges[1::2] - edges[::2]
+    a, b, _ = packed(data, starts, n)
+    h = (a ^ n.astype("u8") * _ODD[0]) * _ODD[1]
+    h = (h ^ (h >> np.uint64(31)) ^ b) * _ODD[2]
+    h = (h ^ (h >> np.uint64(29))) * _ODD[3]
+    h ^= h >> np.uint64(32)
+    for k in np.flatnonzero(n > SHORT).tolist():
+        h[k] = xxhash.xxh3_64_intdigest(raw[starts[k] : starts[k] + n[k]])
+    sizes = np.array([len(p) + 1 for p in parts])
+    return h, np.append(np.searchsorted(starts, np.cumsum(sizes) - sizes), len(starts))
+
+
+def shingles(h: np.ndarray, k: int) -> np.ndarray:
+    """The sorted distinct hashes of the k-word shingles of a text's words; of fewer words the whole sequence; none without words."""
+    if not len(h):
         return h
-
-
-_HASHES = _Hashes()  # of each worker
-
-
-def shingles(text: str | None, k: int, hashes: _Hashes) -> np.ndarray:
-    """The sorted distinct hashes of the k-word shingles; of a shorter text the whole sequence; none without words."""
-    words = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
-    if not words:
-        return np.zeros(0, "u8")
-    h = np.fromiter(map(hashes.__getitem__, words), "u8", len(words))
     size = min(k, len(h))
     out = np.full(len(h) - size + 1, size, "u8")
     for j in range(size):
@@ -76,8 +84,9 @@ def shingles(text: str | None, k: int, hashes: _Hashes) -> np.ndarray:
     return np.unique(out)
 
 
-def _word_hashes() -> _Hashes:
-    return _HASHES
+def sets_of(texts: pa.Array, k: int) -> list[np.ndarray]:
+    h, first = word_hashes(texts.to_pylist())
+    return [shingles(h[a:b], k) for a, b in zip(first.tolist(), first[1:].tolist())]
 
 
 def _prefix(n: int, percent: int) -> int:
@@ -105,10 +114,10 @@ def _frequent(docs: DataFrame, k: int) -> np.ndarray:
     share = SAMPLE / max(1, docs.count())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _word_hashes()
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_pydict({"h": pa.array(shingles(t.as_py(), k, hashes).view("i8"), pa.int64())})
+            for at in range(0, batch.num_rows, 200):
+                for s in sets_of(batch.column(0).slice(at, 200), k):
+                    yield pa.RecordBatch.from_pydict({"h": pa.array(s.view("i8"), pa.int64())})
 
     few = docs.where(F.pmod(F.xxhash64("row"), F.lit(1 << 30)) < F.lit(int(min(1.0, share) * (1 << 30))))
     counted = few.select("text").mapInArrow(of, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
@@ -364,8 +373,8 @@ def _near(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.
             yield rows["root"][x], rows["root"][y]
 
 
-def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """A spanning forest of the links between a cluster's sets."""
+def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """node, root and whole: each set that links with others of the place, with the smallest node that its links reach there, and whether the place holds the whole cluster."""
     for rows in _groups(batches, 3):
         sets = [np.frombuffer(s, "u8") for s in rows["s"]]
         n, node = np.array(list(map(len, sets))), rows["node"]
@@ -396,8 +405,13 @@ def _linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[tuple[n
                     for b in others[common(a, others)]:
                         forest.join(a, b)
         if forest.pairs:
-            x, y = np.array(forest.pairs).T
-            yield node[x], node[y]
+            order = np.argsort(node)
+            labels, first, inverse = np.unique(forest.label[order], return_index=True, return_inverse=True)
+            root = np.empty(len(node), np.int64)
+            root[order] = node[order][first][inverse]
+            some = root != node
+            whole = np.full(int(some.sum()), rows["i"][0] == rows["j"][0])
+            yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(root[some]), pa.array(whole)], names=["node", "root", "whole"])
 
 
 def _mapped(df: DataFrame, f: Callable, percent: int) -> DataFrame:
@@ -418,11 +432,10 @@ def _shingled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     last = docs.sparkSession.sparkContext.broadcast(_frequent(docs, k))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                sets = [shingles(t.as_py(), k, hashes) for t in part.column(2)]
+                sets = sets_of(part.column(2), k)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "row": part.column(0),
@@ -447,11 +460,10 @@ def _sets(wanted: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     few = few.select("cluster", "blocks", "node", F.col("row").alias("r"), F.col("doc_id").alias("d"))
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _word_hashes()
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingles(t.as_py(), k, hashes).tobytes() for t in part.column(3)], pa.binary())], names=["cluster", "blocks", "node", "s"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in sets_of(part.column(3), k)], pa.binary())], names=["cluster", "blocks", "node", "s"])
 
     texts = docs.join(few, (docs["row"] == F.col("r")) & docs["doc_id"].eqNullSafe(F.col("d"))).select("cluster", "blocks", "node", "text")
     return texts.mapInArrow(of, "cluster long, blocks long, node long, s binary")
@@ -488,7 +500,11 @@ def group(docs: DataFrame, k: int, percent: int) -> DataFrame:
     wanted = written(members.join(blocks, "cluster"), "wanted")
     erase(met, more, reps)
     sets = _dealt(_sets(wanted, docs, k), "cluster", "blocks", "node", parts, ["node", "s"])
-    roots = components(_mapped(sets, _linked, percent))
+    linked = written(sets.mapInArrow(lambda batches: _linked(batches, percent), "node long, root long, whole boolean"), "linked")
+    roots = linked.where("whole").select("node", "root")
+    parted = linked.where("NOT whole").select(F.col("node").alias("u"), F.col("root").alias("v"))
+    if parted.take(1):  # clusters that lie in several places
+        roots = roots.unionAll(components(parted))
     classes = every.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least"))
     classes = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = classes.groupBy("root").agg(F.min("least").alias("component_id"))

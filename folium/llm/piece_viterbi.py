@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from folium.llm.common import documents
-from folium.llm.word_cache import WordCache
+from folium.llm.word_cache import WordCache, WordTable, cut_at_spaces
 
 MARK = "▁"
 #: Longer words are cut where no piece spans; what stays longer is merged on its own.
@@ -255,23 +255,28 @@ class PieceCodec:
     def __init__(self, model: PieceModel):
         self.model = model
         dtype = "<u2" if len(model.text) <= 2**16 else "<u4"
-        self.parts = WordCache(model.encode_parts, dtype, 400_000)
-        self.words = WordCache(lambda words: model.encode_words(words, self.parts), dtype)
+        self.parts = WordCache(model.encode_parts, dtype, 150_000)
+        self.words = WordCache(lambda words: model.encode_words(words, self.parts), dtype, 50_000)
+        self.table = WordTable(lambda words: model.encode_words(words, self.parts), dtype)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = []
-        for t in texts:
+        pieces, odd, plain, out = [], [], [], [np.zeros(0, self.words.dtype)] * len(texts)
+        for k, t in enumerate(texts):
             # A line feed has no piece, so no merge crosses it; what starts with one is a word without a space before it.
             t = t.replace(MARK, " ")
-            if not t:
-                pieces.append([])
-            elif self._RUN.search(t):
+            if t and self._RUN.search(t):
+                odd.append(k)
                 pieces.append([w for spaces, rest in re.findall(r" ( *)([^ ]*)", " " + t) for w in ((spaces, rest) if rest[:1] == "\n" else (spaces + rest,))])
-            else:
-                pieces.append(t.replace("\n", " \n").split(" "))
-        ids, ends = self.words.ids([w for p in pieces for w in p])
-        at = ends[np.cumsum([0, *map(len, pieces)])]
-        return [ids[a:b] for a, b in zip(at, at[1:])]
+            elif t:
+                plain.append((k, t))
+        for k, x in zip(odd, self.words.texts(pieces)):
+            out[k] = x
+        if plain:
+            raw, starts, ends, first = cut_at_spaces([t for _, t in plain])
+            ids, upto = self.table.ids(raw, starts, ends)
+            for (k, _), a, b in zip(plain, upto[first].tolist(), upto[first[1:]].tolist()):
+                out[k] = ids[a:b]
+        return out
 
     def decode(self, ids: np.ndarray) -> str:
         text = self.model.text
@@ -328,7 +333,11 @@ def encode_documents(docs: DataFrame, path: str, with_ids: bool = False) -> Data
 
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encodes and decodes every document: doc_id, n_tokens, n_bytes, ids_crc32, round_trip."""
+    """Encodes and decodes every document: doc_id, n_tokens, n_bytes, ids_crc32, round_trip.
+
+    Null and empty texts have no ids (a checksum of nothing, 0) and round_trip true. Each row is encoded by itself, whatever
+    its doc_id. An empty table gives no rows.
+    """
     import public_tokenizers
 
     return encode_documents(documents(spark, sf_dir), public_tokenizers.path("piece_bpe_32k.model"))

@@ -23,6 +23,8 @@ from folium.llm.labelled import first_rows, remainder, sample
 BITS = 18
 ALPHA, BETA, L1, L2, EPOCHS, SCALE = 0.5, 1.0, 0.02, 1.0, 4, 8.0
 THRESHOLD = 0.7
+#: Tokens that a worker remembers, and an eighth of their characters; beyond that it forgets all and starts anew.
+KNOWN = 200_000
 _TOKEN = re.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -43,13 +45,16 @@ class _Tokens:
 
     def clear(self):
         self.index: dict[str, int] = {}
+        self.characters = 0
         self.word, self.shape = np.empty(1 << 12, "u8"), np.empty(1 << 12, "u8")
 
     def of(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         new = set(tokens).difference(self.index)
-        if len(self.index) + len(new) > 500_000:
+        more = sum(map(len, new))
+        if len(self.index) + len(new) > KNOWN or self.characters + more > 8 * KNOWN:
             self.clear()
             new = set(tokens)
+        self.characters += more
         for t in new:
             k = self.index[t] = len(self.index)
             if k == len(self.word):
@@ -103,7 +108,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], seed: int = 7) -> Logist
         for _ in range(EPOCHS):
             for k in rng.permutation(len(rows)):
                 at, x, y = rows[k]
-                at, x = np.append(at, size), np.append(x, 1.0)
+                at, x = np.append(at.astype(np.int64), size), np.append(x.astype(float), 1.0)
                 w = weights(at)
                 g = (1 / (1 + np.exp(-np.clip(w @ x, -30, 30))) - y) * x
                 sigma = (np.sqrt(n[at] + g * g) - np.sqrt(n[at])) / ALPHA
@@ -126,7 +131,7 @@ def train(labelled: DataFrame) -> LogisticRegression:
                 yield pa.RecordBatch.from_pydict({"p": pa.array([places.astype("<u4").tobytes()], pa.binary()), "x": pa.array([values.tobytes()], pa.binary()), "y": pa.array([y.as_py()], pa.int32()), "a": pa.array([a.as_py()], pa.int64()), "b": pa.array([b.as_py()], pa.int64())})
 
     rows = sorted((bytes(r["p"]), bytes(r["x"]), r["y"]) for r in first_rows(labelled.select("text", "y", "a", "b").mapInArrow(hashed, "p binary, x binary, y int, a long, b long")).toLocalIterator())
-    return fit([(np.frombuffer(p, "<u4").astype(np.int64), np.frombuffer(x, "<f4").astype(float), y) for p, x, y in rows])
+    return fit([(np.frombuffer(p, "<u4"), np.frombuffer(x, "<f4"), y) for p, x, y in rows])
 
 
 def score_documents(docs: DataFrame, model: LogisticRegression, name: str = "score") -> DataFrame:

@@ -32,6 +32,8 @@ SURPRISE = 6.0
 #: Terms that are looked at in pairs: so many of the most frequent ones that aren't far from the usual alone; and documents that a pair has, at least.
 PAIRED, PAIR_DOCS = 2000, 8
 THRESHOLD = 0.7
+#: Words that a worker remembers, and an eighth of their characters; beyond that it forgets all and starts anew.
+KNOWN = 200_000
 _WORD = re.compile(r"\w+")
 
 
@@ -63,13 +65,17 @@ class FactorizationMachine:
         self.bias, self.w, self.v = bias, w, v
         self.bases = {x // 4 for x in self.place}
         self.known: set[str] = set()
+        self.characters = 0
         self.hot: dict[str, list[int]] = {}
 
     def _meet(self, new: set[str]) -> None:
         """Remember words, and for those of which the model has a bucket which."""
-        if len(self.known) + len(new) > 500_000:
+        more = sum(map(len, new))
+        if len(self.known) + len(new) > KNOWN or self.characters + more > 8 * KNOWN:
             self.known.clear()
             self.hot.clear()
+            self.characters = 0
+        self.characters += more
         self.known |= new
         for word in new:
             if got := [b for b in terms(word) if b in self.bases]:

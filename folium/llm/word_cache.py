@@ -71,6 +71,12 @@ SHORT = 16
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "u8")
 
 
+def packed(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first SHORT bytes of words as two numbers, and their lengths; data has as many bytes more than words."""
+    words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    return words[starts] & _MASKS[np.minimum(n, 8)], words[starts + 8] & _MASKS[np.clip(n - 8, 0, 8)], n
+
+
 class WordTable:
     """The same for many words at once, which are places in a byte string: a hash table over arrays, looked up for all words together.
 
@@ -117,7 +123,7 @@ class WordTable:
         ids, sizes = self.encode([w.decode("utf-8", "surrogatepass") for w in words])
         self._room(len(ids))
         self.flat[self.used : self.used + len(ids)] = ids
-        a, b, n = self._keys(np.frombuffer(b"".join(words) + bytes(SHORT), np.uint8), np.cumsum([0, *map(len, words[:-1])]), np.array(list(map(len, words))))
+        a, b, n = packed(np.frombuffer(b"".join(words) + bytes(SHORT), np.uint8), np.cumsum([0, *map(len, words[:-1])]), np.array(list(map(len, words))))
         new = np.arange(self.rows, self.rows + len(words))
         self.a[new], self.b[new], self.n[new], self.size[new] = a, b, n, sizes
         self.start[new] = self.used + np.cumsum(sizes) - sizes
@@ -134,11 +140,6 @@ class WordTable:
             full = self.slots[bucket[todo]] >= 0
             bucket[todo[full]] = (bucket[todo[full]] + 1) & ((1 << self.bits) - 1)
 
-    @staticmethod
-    def _keys(data: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        words = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
-        return words[starts] & _MASKS[np.minimum(n, 8)], words[starts + 8] & _MASKS[np.clip(n - 8, 0, 8)], n
-
     def ids(self, raw: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The concatenated ids of the words at these places, and the number of ids up to each word (one more than words)."""
         if len(starts) > self.most:  # of a very long text: as many as fit at once
@@ -147,7 +148,7 @@ class WordTable:
             return np.concatenate([ids for ids, _ in parts]), np.concatenate([[0], np.cumsum(sizes)])
         data, n = np.frombuffer(raw + bytes(SHORT), np.uint8), ends - starts
         short = np.flatnonzero(n <= SHORT)
-        a, b, m = self._keys(data, starts[short], n[short])
+        a, b, m = packed(data, starts[short], n[short])
         row = self._rows(a, b, m)
         new = np.flatnonzero(row < 0)
         if len(new):
