@@ -182,7 +182,20 @@ def test_components_without_an_id_of_their_own_keep_a_document_each(spark, tmp_p
     assert sorted(str(d) for d, _ in got) == ["7"] * 3 + ["None"] * 7
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_components(spark, monkeypatch, most):
+    import folium.llm.components as module
+
+    monkeypatch.setattr(module, "ONE_TASK", most)
+    rng = random.Random(most)
+    pairs = [(rng.randrange(-300, 300), rng.randrange(-300, 300)) for _ in range(250)]
+    least = {x: x for p in pairs for x in p}
+    while any(least[a] != least[b] for a, b in pairs):
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    got = {r.node: r.root for r in components(spark.createDataFrame(pairs, "u long, v long")).collect()}
+    assert got == {x: m for x, m in least.items() if x != m}
+    assert components(spark.createDataFrame([(3, 3)], "u long, v long")).count() == 0
     links = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 150)] + [(7, 7)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
     assert got == {k: 1 for k in range(2, 41)} | {k: 100 for k in range(101, 150)}
@@ -406,6 +419,7 @@ def test_families_equal_brute_force(spark, monkeypatch, few):
     if few:
         monkeypatch.setattr(jaccard_join, "BLOCK", 8)
         monkeypatch.setattr(jaccard_join, "BROADCAST_ROWS", 0)
+        monkeypatch.setattr("folium.llm.components.ONE_TASK", 0)
     texts = family_texts(12)
     docs = spark.createDataFrame([(k, k, t) for k, t in enumerate(texts)], "row long, doc_id long, text string")
     for size, percent in ((4, 85), (5, 80)):
