@@ -10,17 +10,20 @@ import corpus_pipeline
 from folium.llm.decontamination import op8_decontamination
 from folium.llm.exact_dedup import op1_exact_dedup
 from folium.llm.jaccard_join import op6_jaccard_join
+from folium.llm.language_vectors import op13_language_id
 from folium.llm.license_scan import op4_license_scan
+from folium.llm.periodic_runs import op11_periodic_runs
 from folium.llm.piece_viterbi import op9_sentencepiece
 from folium.llm.quality_ftrl import op7_quality
 from folium.llm.repeat_parse import op10_repeats
 from folium.llm.secret_scan import op2_secret_ownership
+from folium.llm.token_alignment import op12_token_alignment
 from folium.llm.token_blocks import op3_token_blocks
 from folium.llm.toxicity_fm import op5_toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op4_license_scan, op5_toxicity, op6_jaccard_join, op7_quality, op8_decontamination, op9_sentencepiece, op10_repeats)} | {"pipeline": corpus_pipeline.run}
+    return {f.__name__: f for f in (op1_exact_dedup, op2_secret_ownership, op3_token_blocks, op4_license_scan, op5_toxicity, op6_jaccard_join, op7_quality, op8_decontamination, op9_sentencepiece, op10_repeats, op11_periodic_runs, op12_token_alignment, op13_language_id)} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:

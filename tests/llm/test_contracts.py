@@ -5,13 +5,14 @@ import hashlib
 import itertools
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
 from helpers import rows_of
 
 import corpus_pipeline
-from folium.llm import common, license_scan
+from folium.llm import common, language_vectors, license_scan, token_alignment
 from folium.llm import queries as Q
 
 QUERIES = Q.queries()
@@ -208,6 +209,132 @@ def test_op10(spark, folder):
     check(spark, folder, "op10_repeats", want)
 
 
+def plain_runs(w):
+    """Runs by trying every period at every place."""
+    number = {}
+    x, out = np.array([number.setdefault(v, len(number)) for v in w]), []
+    for q in range(1, len(w) // 4 + 1):
+        same = np.concatenate([[0], x[:-q] == x[q:], [0]]).astype(int)
+        for s, e in zip(np.flatnonzero(np.diff(same) == 1).tolist(), np.flatnonzero(np.diff(same) == -1).tolist()):
+            n = e + q - s
+            if n >= max(6, 4 * q) and not any((x[s : s + n - d] == x[s + d : s + n]).all() for d in range(1, q)):
+                out.append((s, n, q))
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def test_op11(spark, folder):
+    want = []
+    for d, t in docs_of(spark, folder):
+        w = re.findall("[^\x20\x09-\x0d]+", t or "")
+        h = zlib.crc32(str(d).encode()) if d is not None else 1
+        if h % 10 == 0 and w:
+            g, n = h // 10, len(w)
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            w = [w[a + (i - a) % p] if i >= a else w[i] for i in range(n)]
+        runs = plain_runs(w)
+        gone = {k for s, n, q in runs for k in range(s + q, s + n)}
+        best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=None)
+        listed = "".join(f"{s},{n},{q}\n" for s, n, q in runs)
+        row = dict(zip(("start", "length", "period"), best or (None,) * 3)) | {"exponent_milli": best and 1000 * best[1] // best[2]}
+        want.append({"doc_id": d, "n_runs": len(runs)} | row | {"runs_sha256": sha(listed), "collapsed_sha256": sha(" ".join(x for k, x in enumerate(w) if k not in gone))})
+    check(spark, folder, "op11_periodic_runs", want)
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_alignment(docs):
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    b = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = list(range(33, 127)) + list(range(161, 173)) + list(range(174, 256))
+    byte = {chr(x): x for x in shown} | {chr(256 + k): x for k, x in enumerate(x for x in range(256) if x not in shown)}
+    rows, held = [], collections.Counter()
+    for d, t in docs:
+        x, y = [], []
+        if t:
+            e = a.encode(" " + t, add_special_tokens=False)
+            x = [(i, bytes(byte[c] for c in s)) for i, s in zip(e.ids, e.tokens)]
+            y = [(i, bytes([int(s[3:5], 16)]) if re.fullmatch("<0x[0-9A-F]{2}>", s) else s.replace("\u2581", " ").encode()) for i, s in ((i, b.id_to_piece(i)) for i in b.encode(t))]
+            whole = (" " + t).encode()
+            if b"".join(s for _, s in x) != whole or b"".join(s for _, s in y) != whole:
+                x, y = [], []
+        ends = [dict(zip(itertools.accumulate(len(s) for _, s in z), z)) for z in (x, y)]
+        links = [(ends[0][e][0], ends[1][e][0]) for e in sorted(ends[0].keys() & ends[1].keys())]
+        held.update(links)
+        groups, at = [], 0
+        for e in sorted(ends[0].keys() & ends[1].keys()):
+            groups.append("|".join(",".join(str(i) for p, (i, _) in z.items() if at < p <= e) for z in ends))
+            at = e
+        rows.append((d, len(x), len(y), groups, links))
+    most = collections.Counter()
+    for (_, i), n in held.items():
+        most[i] = max(most[i], n)
+    return [
+        {"doc_id": d, "n_a": x, "n_b": y, "n_groups": len(g), "n_links": len(ls), "n_best": sum(held[p] == most[p[1]] for p in ls), "count_sum": sum(held[p] for p in ls), "groups_sha256": sha(";".join(g)) if g else ""}
+        for d, x, y, g, ls in rows
+    ]
+
+
+def short(docs):
+    """The plain alignment goes over all ends for each group."""
+    return [(d, t) for d, t in docs if len(t or "") < 20_000]
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_op12(spark, folder, monkeypatch, broadcast, tmp_path):
+    if not broadcast:
+        monkeypatch.setattr(token_alignment, "BROADCAST_PAIRS", 1)
+        monkeypatch.setattr(common, "HOT_ROWS", 20)
+    docs = spark.read.parquet(f"{folder}/documents.parquet").where("coalesce(length(text), 0) < 20000")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    check(spark, str(tmp_path), "op12_token_alignment", plain_alignment(short(docs_of(spark, folder))))
+
+
+def test_op13(spark, tables):
+    """Held-out accuracy on the middle tables; odd texts are `und` where they have no letter."""
+    got = QUERIES["op13_language_id"](spark, "/root/testdata/sf0.01")
+    true = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang")
+    held = got.where("held_out").join(true, "doc_id").toPandas()
+    assert len(held) > 100 and (held.lang == held.lang_pred).mean() >= 0.98
+    assert held.score.between(0, 1).all()
+    odd = QUERIES["op13_language_id"](spark, tables["odd"]).toPandas()
+    texts = collections.defaultdict(set)
+    for d, t in docs_of(spark, tables["odd"]):
+        texts[d].add(any(map(str.isalpha, t or "")))
+    assert len(odd) == len(docs_of(spark, tables["odd"]))
+    for d, lang, score in zip(odd.doc_id, odd.lang_pred, odd.score):
+        if d == d:
+            assert (lang == "und") == (texts[d] == {False}) and (lang != "und" or score == 0)
+    assert set(odd.lang_pred) <= {"en", "de", "und"}
+    none = QUERIES["op13_language_id"](spark, tables["empty"])
+    assert none.columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_op13_by_letters():
+    """Bundles and cosines from the definition, letter by letter."""
+    letters = language_vectors.Letters(64)
+    text = "Ab, c1É  x!"
+    marked = "\0ab\0c\0é\0x\0"
+    want = np.zeros(64)
+    for k in range(len(marked) - 2):
+        v = np.ones(64)
+        for j, c in enumerate(marked[k : k + 3]):
+            v *= np.roll(letters.vectors(np.array([ord(c)]))[0], j)
+        want += v
+    got = language_vectors.bundles([None, text, "12", ""], letters)
+    assert (got[1] == want).all() and not got[[0, 2, 3]].any()
+    model = language_vectors.Languages(["a", "b"], np.stack([want, -want]))
+    names, scores = model.predict([text, None, "12"], letters)
+    assert names == ["a", "und", "und"] and scores.tolist() == pytest.approx([1, 0, 0])
+
+
 def test_op8(spark, sf_dir):
     """Whole items are found, and nothing that shares no eight words with an item is flagged."""
     items = [t for _, t in ((r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect())]

@@ -500,3 +500,75 @@ def test_rows_that_are_shuffled_before_lose_and_keep_the_right_ones(spark):
     assert sorted(kept) == sorted(texts)
     bench = spark.createDataFrame([(0, texts[0])], "item_id long, text string")
     assert sorted(r.text for r in drop_contaminated(docs, bench).collect()) == sorted(t for _, t in rows if t != texts[0])
+
+
+@pytest.mark.parametrize("k", [1, 2, 3, 6])
+def test_runs_of_small_alphabets(k):
+    """Every run of four periods and of two, by trying all periods; hashes that always agree leave the result as it is."""
+    from test_contracts import plain_runs
+
+    from folium.llm import periodic_runs
+
+    rng = random.Random(k)
+    for _ in range(400):
+        w = [rng.randrange(k) for _ in range(rng.randint(0, 50))]
+        if w and rng.random() < 0.6:
+            a, p = rng.randrange(len(w)), rng.randint(1, 9)
+            w = w[:a] + (w[a : a + p] * len(w))[: len(w) - a] + w[: rng.randint(0, 5)]
+        assert periodic_runs.runs(w) == plain_runs(w)
+
+
+def test_runs_decide_by_words(monkeypatch):
+    from test_contracts import plain_runs
+
+    from folium.llm import periodic_runs
+
+    rng = random.Random(3)
+    monkeypatch.setattr(periodic_runs.Words, "_hash", lambda self, a, b: 0)
+    for _ in range(100):
+        w = [rng.randrange(2) for _ in range(12)] * rng.randint(1, 5) + [rng.randrange(2) for _ in range(rng.randint(0, 9))]
+        assert periodic_runs.runs(w) == plain_runs(w)
+
+
+def test_runs_of_long_texts():
+    """A million equal words and Fibonacci words are a matter of seconds; runs of two periods of the latter are as many as known."""
+    from folium.llm import periodic_runs
+
+    assert periodic_runs.runs([7] * 1_000_000) == [(0, 1_000_000, 1)]
+    a, b = [0], [0, 1]
+    while len(b) < 30_000:
+        a, b = b, b + a
+    assert periodic_runs.runs(b) == []
+    assert len(periodic_runs.runs(b[:144], 2, 2)) == 107  # 2 F(n-2) - 3 for the word of length F(n) = 144
+
+
+def test_runs_table(spark):
+    from folium.llm import periodic_runs
+
+    docs = spark.createDataFrame([(1, "go a b a b a b a b end"), (2, None), (None, "x " * 9)], "doc_id long, text string")
+    got = {r.doc_id: r for r in periodic_runs.find_runs(docs).collect()}
+    assert [tuple(r) for r in got[1].runs] == [(1, 8, 2)] and got[1].collapsed == "go a b end"
+    assert (got[2].n_words, got[2].runs, got[2].collapsed) == (0, [], "")
+    assert got[None].collapsed == "x"
+
+
+def test_alignment_in_slices(monkeypatch):
+    """Long texts in slices, and pair counts given out in parts, have the results of one piece."""
+    import public_tokenizers
+
+    from folium.llm import token_alignment as T
+
+    rng = random.Random(9)
+    texts = ["", "one two  three\n", " ".join(rng.choice(("überall", "naïve", "word", "1234", "日本", "\t")) for _ in range(900)), None and "", "<|endoftext|> <s>"]
+    texts = [t for t in texts if t is not None]
+    made = T._tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    whole = T.Aligner(*made)
+    want = whole.chunk(list(range(len(texts))), texts)
+    monkeypatch.setattr(T, "SLICE", 50)
+    monkeypatch.setattr(T, "HELD_PAIRS", 4)
+    parts = T.Aligner(*made)
+    got = parts.chunk(list(range(len(texts))), texts)
+    assert got.equals(want) and parts.joins.tidy()
+    assert parts.partial().equals(whole.partial())
+    row = got.to_pylist()[2]
+    assert row["n_overlaps"] >= sum(row["times"]) == row["n_groups"] > 0
