@@ -268,10 +268,11 @@ def plain_alignment(docs):
         ends = [dict(zip(itertools.accumulate(len(s) for _, s in z), z)) for z in (x, y)]
         links = [(ends[0][e][0], ends[1][e][0]) for e in sorted(ends[0].keys() & ends[1].keys())]
         held.update(links)
-        groups, at = [], 0
+        groups, at, both = [], [0, 0], [list(z) for z in ends]
         for e in sorted(ends[0].keys() & ends[1].keys()):
-            groups.append("|".join(",".join(str(i) for p, (i, _) in z.items() if at < p <= e) for z in ends))
-            at = e
+            upto = [z.index(e, k) + 1 for z, k in zip(both, at)]
+            groups.append("|".join(",".join(str(i) for i, _ in z[k:m]) for z, k, m in zip((x, y), at, upto)))
+            at = upto
         rows.append((d, len(x), len(y), groups, links))
     most = collections.Counter()
     for (_, i), n in held.items():
