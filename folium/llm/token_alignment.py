@@ -1,7 +1,7 @@
 """Alignment of two tokenizers over the same texts, by interval joins of DuckDB inside of Arrow partitions.
 
-Each chunk of texts becomes two interval tables, one for each tokenizer: a token's id and the bytes from where to where it
-stands. An ASOF join finds the first A token that a B token overlaps, a range join the others that it reaches over. Overlaps
+Texts are cut at single spaces, which no token of either goes on over, so each distinct word of a chunk is aligned once. The
+words become two interval tables, one for each tokenizer: a token's id and the bytes from where to where it stands. An ASOF join finds the first A token that a B token overlaps, a range join the others that it reaches over. Overlaps
 that end together are links; the running sum of these ends numbers the groups of tokens between them. Every partition keeps
 counts of its id pairs and gives them out with its documents; Spark merges them and scores the documents' links.
 """
@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -27,6 +28,9 @@ SLICE = 1 << 20
 HELD_PAIRS = 1 << 20
 #: Pair counts are broadcast up to this many, 17 bytes each; beyond it documents' pairs meet them in a join.
 BROADCAST_PAIRS = 2_000_000
+#: Words that a worker remembers, and their characters.
+HELD_WORDS, HELD_CHARACTERS = 300_000, 1 << 22
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 _ID = 32  # a pair is A's id and, in so many bits, B's
 _ROWS = "doc_id long, partial boolean, n_a long, n_b long, n_groups long, n_overlaps long, groups string, pairs array<long>, times array<long>"
 
@@ -41,10 +45,12 @@ def byte_level() -> dict[str, int]:
 class BytePieces:
     """A byte-level BPE of the tokenizers library over texts with a space before them; added tokens' strings are plain text."""
 
+    #: Whether no token goes on over a single space between two words.
+    cuts = True
+
     def __init__(self, path: str):
         self.bpe = ByteBpe(path)
         self.bpe.tokenizer.encode_special_tokens = True
-        self.bpe.added = re.compile("(?!)")
         of, vocab = byte_level(), self.bpe.tokenizer.get_vocab()
         added = {t.content for t in self.bpe.tokenizer.get_added_tokens_decoder().values()}
         self.bytes = [b""] * (max(vocab.values()) + 1)
@@ -52,8 +58,11 @@ class BytePieces:
             if token not in added:
                 self.bytes[i] = bytes(of[c] for c in token)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [x.astype(np.int64) for x in self.bpe.encode([" " + t for t in texts])]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The concatenated ids, and how many each text has."""
+        if any(t[:1] == "\n" for t in texts):
+            return self.bpe._texts([" " + t for t in texts])
+        return self.bpe._pieces(texts)
 
 
 class SpacedPieces:
@@ -63,24 +72,27 @@ class SpacedPieces:
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.bytes = []
+        self.bytes, self.cuts = [], True
         for i in range(self.model.get_piece_size()):
             piece = self.model.id_to_piece(i)
             if self.model.is_byte(i):
                 self.bytes.append(bytes([int(piece[3:5], 16)]))
             else:
                 self.bytes.append(b"" if self.model.is_control(i) or self.model.is_unknown(i) else piece.replace("▁", " ").encode())
+                self.cuts &= "▁" not in piece.lstrip("▁")
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(x, np.int64) for x in self.model.encode(texts, num_threads=1)]
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        got = self.model.encode(texts, num_threads=1)
+        sizes = np.array([len(x) for x in got], np.int64)
+        return np.fromiter(chain.from_iterable(got), np.int64, int(sizes.sum())), sizes
 
 
 _OVERLAPS = """
 CREATE OR REPLACE TEMP TABLE firsts AS SELECT b.id AS b, b.e AS b_end, a.id AS a, a.e AS a_end FROM b_tokens b ASOF JOIN a_tokens a ON a.s <= b.s;
-CREATE OR REPLACE TEMP TABLE overlapping AS
-    SELECT a, b, a_end, b_end FROM firsts
-    UNION ALL SELECT a.id, f.b, a.e, f.b_end FROM (SELECT * FROM firsts WHERE a_end < b_end) f JOIN a_tokens a ON a.s >= f.a_end AND a.s < f.b_end;
-CREATE OR REPLACE TEMP TABLE links AS SELECT a_end AS e, (a::BIGINT << 32) | b AS pair FROM overlapping WHERE a_end = b_end;
+CREATE OR REPLACE TEMP TABLE others AS
+    SELECT f.b, f.b_end, a.id AS a, a.e AS a_end FROM (SELECT * FROM firsts WHERE a_end < b_end) f JOIN a_tokens a ON a.s >= f.a_end AND a.s < f.b_end;
+CREATE OR REPLACE TEMP TABLE links AS
+    SELECT a_end AS e, (a::BIGINT << 32) | b AS pair FROM (FROM firsts UNION ALL FROM others) WHERE a_end = b_end;
 """
 _GROUPS = """
 WITH cut AS (
@@ -113,28 +125,28 @@ class Joins:
             self.con.execute(f"CREATE OR REPLACE TEMP TABLE {name} AS SELECT * FROM arrow_tokens")
             self.con.unregister("arrow_tokens")
         self.con.execute(_OVERLAPS)
-        self.con.execute("INSERT INTO counted SELECT pair, count(*) FROM links GROUP BY pair")
-        self.held += self.con.execute("SELECT count(*) FROM counted").fetchone()[0]
         tokens = self.con.execute(_GROUPS).fetchnumpy()
         links = self.con.execute("SELECT e, pair FROM links ORDER BY e").fetchnumpy()
-        over = self.con.execute("SELECT b_end FROM overlapping").fetchnumpy()["b_end"]
+        over = self.con.execute("SELECT b_end FROM firsts UNION ALL SELECT b_end FROM others").fetchnumpy()["b_end"]
         return {"side": tokens["side"], "id": tokens["id"], "e": tokens["e"], "g": tokens["g"].astype(np.int64), "link_e": links["e"], "pair": links["pair"], "over": over}
 
+    def count(self, pairs: pa.Array, times: pa.Array) -> bool:
+        """Add to the counts of pairs; whether there are so many different ones that the counts should go out."""
+        self.con.register("arrow_pairs", pa.table({"pair": pairs, "n": times}))
+        self.con.execute("INSERT INTO counted SELECT pair, sum(n) FROM arrow_pairs GROUP BY pair")
+        self.con.unregister("arrow_pairs")
+        size = "SELECT count(*) FROM counted"
+        if self.con.execute(size).fetchall()[0][0] <= 2 * HELD_PAIRS:
+            return False
+        self.con.execute("CREATE OR REPLACE TEMP TABLE counted AS SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair")
+        return self.con.execute(size).fetchall()[0][0] > HELD_PAIRS
+
     def counts(self) -> dict[str, np.ndarray]:
         """The counts of all pairs since the last call."""
         got = self.con.execute("SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair ORDER BY pair").fetchnumpy()
         self.con.execute("DELETE FROM counted")
-        self.held = 0
         return got
 
-    def tidy(self) -> bool:
-        """Whether there are so many distinct pairs that their counts should go out."""
-        if self.held <= 2 * HELD_PAIRS:
-            return False
-        self.con.execute("CREATE OR REPLACE TEMP TABLE counted AS SELECT pair, sum(n)::BIGINT AS n FROM counted GROUP BY pair")
-        self.held = self.con.execute("SELECT count(*) FROM counted").fetchone()[0]
-        return self.held > HELD_PAIRS
-
 
 def _slices(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
     """Places in the ends of both, some SLICE tokens of A apart, where both have a token's end: from, to in a, from, to in b."""
@@ -147,52 +159,85 @@ def _slices(a: np.ndarray, b: np.ndarray) -> Iterator[tuple[int, int, int, int]]
         i, j = k + 1, m + 1
 
 
-class Aligner:
+def _rows(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each stretch, one stretch after the other."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + sizes, sizes)
+
+
+class Words:
+    """The alignment of words, each with a space before it: no token of either side goes on over a single space between two.
+
+    Words that are new in a chunk are aligned together; what a worker remembers is bounded, beyond that it starts anew.
+    """
+
     def __init__(self, a, b):
-        self.a, self.b, self.joins = a, b, Joins()
+        self.a, self.b = a, b
         self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (a, b)]
         # A token's text with what follows it: another of its side, the other side, the next group, nothing.
         self.shown = [[f"{i}{mark}" for i in range(max(len(a.bytes), len(b.bytes)))] for mark in (",", "|", ";", "")]
-
-    def chunk(self, doc_ids: list, texts: list[str]) -> pa.RecordBatch:
-        """The rows of some documents."""
-        sides = [[np.zeros(0, np.int64)] * len(texts) for _ in range(2)]
-        full = [k for k, t in enumerate(texts) if t]
-        some = [texts[k] for k in full]
-        for k, x, y in zip(full, self.a.encode(some), self.b.encode(some)):
-            raw = (" " + texts[k]).encode("utf-8", "surrogatepass")
-            if b"".join([self.a.bytes[i] for i in x.tolist()]) == raw == b"".join([self.b.bytes[i] for i in y.tolist()]):
-                sides[0][k], sides[1][k] = x, y
-        counts = [np.array([len(x) for x in s], np.int64) for s in sides]
-        ids = [np.concatenate(s) for s in sides]
-        ends = [np.cumsum(size[x]) for size, x in zip(self.sizes, ids)]
-        found = {k: [] for k in ("side", "id", "e", "g", "link_e", "pair", "over")}
+        self.cut = _CUT.split if a.cuts and b.cuts else lambda text: [text]
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.characters = 0
+        #: By word: whether both sides give it back, tokens of A and B, overlaps, links; groups as text; where its pairs start.
+        self.facts = np.zeros((0, 5), np.int64)
+        self.texts: list[str] = []
+        self.first = np.zeros(0, np.int64)
+        self.pairs = np.zeros(0, np.int64)
+
+    def learn(self, words: set[str], joins: Joins) -> None:
+        new = [w for w in words if w not in self.index]
+        more = sum(map(len, new))
+        if len(self.index) + len(new) > HELD_WORDS or self.characters + more > HELD_CHARACTERS:
+            self.clear()
+            new = list(words)
+            more = sum(map(len, new))
+        if not new:
+            return
+        self.characters += more
+        self.index.update(zip(new, range(len(self.index), len(self.index) + len(new))))
+        facts, texts, pairs = self._aligned(new, joins)
+        self.first = np.append(self.first, len(self.pairs) + np.cumsum(facts[:, 4]) - facts[:, 4])
+        self.pairs = np.append(self.pairs, pairs)
+        self.facts = np.concatenate([self.facts, facts])
+        self.texts += texts
+
+    def _aligned(self, words: list[str], joins: Joins) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """facts, groups and all pairs of words that are given once each."""
+        facts = np.zeros((len(words), 5), np.int64)
+        ids, counts = zip(*(t.encode(words) for t in (self.a, self.b)))
+        own = [" " + w for w in words]
+        whole = [w.encode("utf-8", "surrogatepass") for w in own]
+        given = []
+        for t, i, n in zip((self.a, self.b), ids, counts):
+            parts, upto = list(map(t.bytes.__getitem__, i.tolist())), np.cumsum(n).tolist()
+            given.append([b"".join(parts[x:y]) == w for x, y, w in zip([0, *upto], upto, whole)])
+        facts[:, 0] = np.logical_and(*given)
+        good = facts[:, 0] > 0
+        ids = [i[np.repeat(good, n)] for i, n in zip(ids, counts)]
+        facts[:, 1], facts[:, 2] = counts[0] * good, counts[1] * good
+        ends = [np.cumsum(size[i]) for size, i in zip(self.sizes, ids)]
+        found = {k: [np.zeros(0, np.int64)] for k in ("side", "id", "e", "g", "link_e", "pair", "over")}
         groups = 0
         for i, i2, j, j2 in _slices(*ends):
             base = ends[0][i - 1] if i else 0
-            got = self.joins.align((ids[0][i:i2], ends[0][i:i2] - base), (ids[1][j:j2], ends[1][j:j2] - base))
-            for k in ("e", "link_e", "over"):
-                got[k] = got[k] + base
-            got["g"] = got["g"] + groups
+            got = joins.align((ids[0][i:i2], ends[0][i:i2] - base), (ids[1][j:j2], ends[1][j:j2] - base))
+            for k, by in (("e", base), ("link_e", base), ("over", base), ("g", groups)):
+                got[k] = got[k] + by
             groups = int(got["g"][-1]) + 1
             for k, v in got.items():
                 found[k].append(v)
-        all_ = {k: np.concatenate(v) if v else np.zeros(0, np.int64) for k, v in found.items()}
-        # Documents end where their last token does; those without tokens end where the one before does, and get nothing.
-        sums = np.cumsum(counts[0])
-        doc_end = np.where(sums > 0, ends[0][np.maximum(sums, 1) - 1] if len(ends[0]) else 0, 0)
-        tokens, links = np.cumsum(counts[0] + counts[1]), np.searchsorted(all_["link_e"], doc_end, "right")
-        overlaps = np.diff(np.concatenate([[0], np.searchsorted(np.sort(all_["over"]), doc_end, "right")]))
-        pairs, times, offsets = self._pairs(all_["pair"], links)
-        batch = {
-            "doc_id": pa.array(doc_ids, pa.int64()), "partial": pa.array(np.zeros(len(texts), bool)), "n_a": pa.array(counts[0]), "n_b": pa.array(counts[1]),
-            "n_groups": pa.array(np.diff(np.concatenate([[0], links]))), "n_overlaps": pa.array(overlaps), "groups": pa.array(self._texts(all_, tokens), pa.string()),
-            "pairs": pa.ListArray.from_arrays(offsets, pairs), "times": pa.ListArray.from_arrays(offsets, times),
-        }
-        return pa.RecordBatch.from_pydict(batch)
+        all_ = {k: np.concatenate(v) for k, v in found.items()}
+        end = np.cumsum(np.array([len(w) for w in whole], np.int64) * good)
+        upto = lambda places: np.diff(np.concatenate([[0], np.searchsorted(places, end, "right")]))
+        facts[:, 3], facts[:, 4] = upto(np.sort(all_["over"])), upto(all_["link_e"])
+        return facts, self._texts(all_, np.cumsum(facts[:, 1] + facts[:, 2])), all_["pair"]
 
     def _texts(self, found: dict[str, np.ndarray], upto: np.ndarray) -> list[str]:
-        """Each document's groups as text."""
+        """Each word's groups as text."""
         side, group, ids = found["side"], found["g"], found["id"].tolist()
         mark = np.zeros(len(ids), np.int64)
         if len(ids):
@@ -200,19 +245,34 @@ class Aligner:
             mark[np.unique(upto[upto > 0]) - 1] = 3
         shown = self.shown
         parts = [shown[m][i] for m, i in zip(mark.tolist(), ids)]
-        return ["".join(parts[a:b]) for a, b in zip([0, *upto.tolist()], upto.tolist())]
-
-    @staticmethod
-    def _pairs(pair: np.ndarray, upto: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
-        """The distinct pairs of each document, how often it has them, and where its list starts."""
-        doc = np.repeat(np.arange(len(upto)), np.diff(np.concatenate([[0], upto])))
-        order = np.lexsort((pair, doc))
-        pair, doc = pair[order], doc[order]
-        new = np.ones(len(pair), bool)
-        new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
-        at = np.flatnonzero(new)
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(upto)))]).astype(np.int32)
-        return pa.array(pair[at].astype(np.int64)), pa.array(np.diff(np.append(at, len(pair)))), pa.array(offsets)
+        return ["".join(parts[x:y]) for x, y in zip([0, *upto.tolist()], upto.tolist())]
+
+
+class Aligner:
+    def __init__(self, words: Words):
+        self.words, self.joins = words, Joins()
+
+    def chunk(self, doc_ids: list, texts: list[str]) -> tuple[pa.RecordBatch, bool]:
+        """The rows of some documents; and whether partial() should follow."""
+        words = self.words
+        split = [words.cut(t) if t else [] for t in texts]
+        words.learn(set(chain.from_iterable(split)), self.joins)
+        sizes = np.array([len(x) for x in split], np.int64)
+        at = np.fromiter(map(words.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
+        sums = np.concatenate([np.zeros((1, 5), np.int64), np.cumsum(words.facts[at], axis=0)])
+        facts = sums[ends] - sums[ends - sizes]
+        good = facts[:, 0] == sizes  # every word comes back byte for byte
+        facts[~good] = 0
+        shown = list(map(words.texts.__getitem__, at.tolist()))
+        groups = [";".join(shown[e - n : e]) if g else "" for e, n, g in zip(ends.tolist(), sizes.tolist(), good.tolist())]
+        at = at[np.repeat(good, sizes)]
+        pairs, times, offsets = _distinct(words.pairs[_rows(words.first[at], words.facts[at, 4])], facts[:, 4])
+        batch = {
+            "doc_id": pa.array(doc_ids, pa.int64()), "partial": pa.array(np.zeros(len(texts), bool)), "n_a": pa.array(facts[:, 1]), "n_b": pa.array(facts[:, 2]), "n_groups": pa.array(facts[:, 4]),
+            "n_overlaps": pa.array(facts[:, 3]), "groups": pa.array(groups, pa.string()), "pairs": pa.ListArray.from_arrays(offsets, pairs), "times": pa.ListArray.from_arrays(offsets, times),
+        }
+        return pa.RecordBatch.from_pydict(batch), self.joins.count(pairs, times)
 
     def partial(self) -> pa.RecordBatch:
         """A row of pair counts, of no document."""
@@ -223,15 +283,27 @@ class Aligner:
         return pa.RecordBatch.from_pydict({c: row[c] for c in ("doc_id", "partial", "n_a", "n_b", "n_groups", "n_overlaps", "groups", "pairs", "times")})
 
 
-_TOKENIZERS: dict = {}
+def _distinct(pair: np.ndarray, sizes: np.ndarray) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The distinct pairs of each document, how often it has them, and where its list starts."""
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    order = np.lexsort((pair, doc))
+    pair, doc = pair[order], doc[order]
+    new = np.ones(len(pair), bool)
+    new[1:] = (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[at], minlength=len(sizes)))]).astype(np.int32)
+    return pa.array(pair[at].astype(np.int64)), pa.array(np.diff(np.append(at, len(pair)))), pa.array(offsets)
+
+
+_WORDS: dict[tuple[str, str], Words] = {}
 
 
-def _tokenizers(a: str, b: str) -> tuple[BytePieces, SpacedPieces]:
-    """One pair for each worker."""
-    if (a, b) not in _TOKENIZERS:
-        _TOKENIZERS.clear()
-        _TOKENIZERS[a, b] = BytePieces(a), SpacedPieces(b)
-    return _TOKENIZERS[a, b]
+def shared_words(a: str, b: str) -> Words:
+    """One memory for each worker."""
+    if (a, b) not in _WORDS:
+        _WORDS.clear()
+        _WORDS[a, b] = Words(BytePieces(a), SpacedPieces(b))
+    return _WORDS[a, b]
 
 
 class Alignment(NamedTuple):
@@ -249,10 +321,11 @@ def align(docs: DataFrame, a: str, b: str, kept: Callable[[Column], Column] = la
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(*_tokenizers(a, b))
+        aligner = Aligner(shared_words(a, b))
         for doc_ids, texts in _chunks(batches):
-            yield aligner.chunk(doc_ids, texts)
-            if aligner.joins.tidy():
+            rows, full = aligner.chunk(doc_ids, texts)
+            yield rows
+            if full:
                 yield aligner.partial()
         yield aligner.partial()
 

@@ -559,16 +559,21 @@ def test_alignment_in_slices(monkeypatch):
     from folium.llm import token_alignment as T
 
     rng = random.Random(9)
-    texts = ["", "one two  three\n", " ".join(rng.choice(("überall", "naïve", "word", "1234", "日本", "\t")) for _ in range(900)), None and "", "<|endoftext|> <s>"]
-    texts = [t for t in texts if t is not None]
-    made = T._tokenizers(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
-    whole = T.Aligner(*made)
-    want = whole.chunk(list(range(len(texts))), texts)
+    texts = ["", "one two  three\n", " ".join(rng.choice(("überall", "naïve", "word", "1234", "日本", "\t", "▁")) for _ in range(900)), " ".join(rng.choice(("überall", "naïve" * 90, "a\nb")) for _ in range(900)), "<|endoftext|> <s>", "\n\n x", "a ▁ b"]
+    paths = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    whole = T.Aligner(T.Words(T.BytePieces(paths[0]), T.SpacedPieces(paths[1])))
+    want, full = whole.chunk(list(range(len(texts))), texts)
+    assert not full
     monkeypatch.setattr(T, "SLICE", 50)
     monkeypatch.setattr(T, "HELD_PAIRS", 4)
-    parts = T.Aligner(*made)
-    got = parts.chunk(list(range(len(texts))), texts)
-    assert got.equals(want) and parts.joins.tidy()
-    assert parts.partial().equals(whole.partial())
-    row = got.to_pylist()[2]
-    assert row["n_overlaps"] >= sum(row["times"]) == row["n_groups"] > 0
+    monkeypatch.setattr(T, "HELD_WORDS", 3)
+    uncut = T.Words(T.BytePieces(paths[0]), T.SpacedPieces(paths[1]))
+    uncut.cut = lambda text: [text]
+    for words in (T.shared_words(*paths), uncut):
+        parts = T.Aligner(words)
+        got, full = parts.chunk(list(range(len(texts))), texts)
+        assert got.to_pylist() == want.to_pylist() and full
+        counts = parts.partial().to_pylist()
+    assert counts == whole.partial().to_pylist()
+    row = got.to_pylist()[3]
+    assert row["n_overlaps"] >= sum(row["times"]) == row["n_groups"] > 0 and got.to_pylist()[2]["n_a"] == 0 == got.to_pylist()[-1]["n_b"]
