@@ -30,11 +30,18 @@ HELD_PAIRS = 1 << 20
 BROADCAST_PAIRS = 2_000_000
 #: Words that a worker remembers, and their characters.
 HELD_WORDS, HELD_CHARACTERS = 300_000, 1 << 22
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 _ID = 32  # a pair is A's id and, in so many bits, B's
 _ROWS = "doc_id long, partial boolean, n_a long, n_b long, n_groups long, n_overlaps long, groups string, pairs array<long>, times array<long>"
 
 
+_CUT, _DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
+
+
+def _cut(text: str) -> list[str]:
+    """What stands between single spaces that have no other white space beside them."""
+    return _CUT.split(text) if text[0].isspace() or text[-1].isspace() or _DOUBLE.search(text) else text.split(" ")
+
+
 def byte_level() -> dict[str, int]:
     """The characters that byte-level vocabularies write bytes with: printable ones stand for themselves, the others follow from 256 on."""
     printable = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255]
@@ -95,11 +102,9 @@ CREATE OR REPLACE TEMP TABLE links AS
     SELECT a_end AS e, (a::BIGINT << 32) | b AS pair FROM (FROM firsts UNION ALL FROM others) WHERE a_end = b_end;
 """
 _GROUPS = """
-WITH cut AS (
-    SELECT 0 AS side, t.id, t.e, (l.e IS NOT NULL)::INT AS cut FROM a_tokens t LEFT JOIN links l USING (e)
-    UNION ALL SELECT 1, t.id, t.e, (l.e IS NOT NULL)::INT FROM b_tokens t LEFT JOIN links l USING (e)
-)
-SELECT side, id, e, sum(cut) OVER (PARTITION BY side ORDER BY e ROWS UNBOUNDED PRECEDING) - cut AS g FROM cut ORDER BY g, side, e
+CREATE OR REPLACE TEMP TABLE numbered AS SELECT e, sum(1) OVER (ORDER BY e ROWS UNBOUNDED PRECEDING)::BIGINT - 1 AS g FROM links;
+SELECT 0 AS side, t.id, t.e, n.g FROM a_tokens t ASOF JOIN numbered n ON t.e <= n.e
+UNION ALL SELECT 1, t.id, t.e, n.g FROM b_tokens t ASOF JOIN numbered n ON t.e <= n.e
 """
 
 
@@ -128,7 +133,8 @@ class Joins:
         tokens = self.con.execute(_GROUPS).fetchnumpy()
         links = self.con.execute("SELECT e, pair FROM links ORDER BY e").fetchnumpy()
         over = self.con.execute("SELECT b_end FROM firsts UNION ALL SELECT b_end FROM others").fetchnumpy()["b_end"]
-        return {"side": tokens["side"], "id": tokens["id"], "e": tokens["e"], "g": tokens["g"].astype(np.int64), "link_e": links["e"], "pair": links["pair"], "over": over}
+        order = np.lexsort((tokens["e"], 2 * tokens["g"] + tokens["side"]))
+        return {k: tokens[k][order] for k in ("side", "id", "e", "g")} | {"link_e": links["e"], "pair": links["pair"], "over": over}
 
     def count(self, pairs: pa.Array, times: pa.Array) -> bool:
         """Add to the counts of pairs; whether there are so many different ones that the counts should go out."""
@@ -176,7 +182,7 @@ class Words:
         self.sizes = [np.array([len(x) for x in t.bytes], np.int64) for t in (a, b)]
         # A token's text with what follows it: another of its side, the other side, the next group, nothing.
         self.shown = [[f"{i}{mark}" for i in range(max(len(a.bytes), len(b.bytes)))] for mark in (",", "|", ";", "")]
-        self.cut = _CUT.split if a.cuts and b.cuts else lambda text: [text]
+        self.cut = _cut if a.cuts and b.cuts else lambda text: [text]
         self.clear()
 
     def clear(self) -> None:
