@@ -21,30 +21,40 @@ def _chunks(content: bytes):
 
 
 def _unfiltered(raw: bytes, height: int, stride: int, step: int) -> np.ndarray:
+    lines = np.frombuffer(raw, np.uint8, height * (stride + 1)).reshape(height, stride + 1)
+    kinds = lines[:, 0]
+    if (kinds > 4).any():
+        raise ValueError("not an image")
+    if (kinds > 2).any():
+        return _by_diagonals(kinds, lines[:, 1:].reshape(height, stride // step, step))
     out, before = np.zeros((height, stride), np.uint8), np.zeros(stride, np.uint8)
-    for y in range(height):
-        kind, line = raw[y * (stride + 1)], np.frombuffer(raw, np.uint8, stride, y * (stride + 1) + 1).copy()
+    for y, kind in enumerate(kinds.tolist()):
+        line = lines[y, 1:]
         if kind == 1:
             line = np.cumsum(line.reshape(-1, step), axis=0, dtype=np.uint8).ravel()
         elif kind == 2:
-            line += before
-        elif kind in (3, 4):
-            row, up = line.tolist(), before.tolist()
-            for x in range(stride):
-                a, b, c = row[x - step] if x >= step else 0, up[x], up[x - step] if x >= step else 0
-                if kind == 3:
-                    guess = (a + b) // 2
-                else:
-                    p, q, r = abs(b - c), abs(a - c), abs(a + b - 2 * c)
-                    guess = a if p <= q and p <= r else b if q <= r else c
-                row[x] = (row[x] + guess) & 255
-            line = np.array(row, np.uint8)
-        elif kind:
-            raise ValueError("not an image")
+            line = line + before
         out[y] = before = line
     return out
 
 
+def _by_diagonals(kinds: np.ndarray, given: np.ndarray) -> np.ndarray:
+    """A pixel needs those to its left, above, and left above: so all of one diagonal are made at once, whatever their rows' filters."""
+    height, width, n = given.shape
+    # A row and a column of zeros stand before the others; from one row to the next, a diagonal goes on so many pixels.
+    wide = np.zeros(((height + 1) * (width + 1), n), np.int16)
+    for d in range(height + width - 1):
+        top, count = max(0, d - width + 1), min(height - 1, d) - max(0, d - width + 1) + 1
+        first = (top + 1) * (width + 1) + d - top + 1
+        a, b, c = (wide[first - k :: width][:count] for k in (1, width + 1, width + 2))
+        rows = np.arange(top, top + count)
+        p, q, r = np.abs(b - c), np.abs(a - c), np.abs(a + b - 2 * c)
+        nearest = np.where((p <= q) & (p <= r), a, np.where(q <= r, b, c))
+        guess = np.choose(kinds[rows][:, None], (np.zeros_like(a), a, b, (a + b) >> 1, nearest))
+        wide[first::width][:count] = (given[rows, d - rows] + guess) & 255
+    return wide.reshape(height + 1, width + 1, n)[1:, 1:].astype(np.uint8).reshape(height, width * n)
+
+
 def decode(content: bytes | None) -> np.ndarray:
     """RGB pixels, height by width by 3; transparency is left out. What can't be read raises ValueError."""
     content = bytes(content or b"")
@@ -81,12 +91,14 @@ def decode(content: bytes | None) -> np.ndarray:
 
 
 def encode(pixels: np.ndarray) -> bytes:
-    """RGB pixels as PNG."""
+    """RGB pixels, or grey ones, as PNG."""
     height, width = pixels.shape[:2]
-    rows = np.zeros((height, width * 3 + 1), np.uint8)
-    rows[:, 1:] = pixels.reshape(height, -1)
+    flat = pixels.reshape(height, -1)
+    rows = np.zeros((height, flat.shape[1] + 1), np.uint8)
+    rows[:, 1:] = flat
 
     def chunk(kind: bytes, data: bytes) -> bytes:
         return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
-    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+    color = 2 if pixels.ndim == 3 else 0
+    return _SIGNATURE + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, color, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")

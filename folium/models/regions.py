@@ -82,12 +82,14 @@ def boxes(mask: np.ndarray) -> list[tuple[int, int, int, int]]:
     """x, y, width and height of the areas that no other area surrounds; from the bottom of the image up, by their first pixel."""
     wide = np.pad(mask, 1)
     areas, ground = _labels(wide, True), _labels(~wide, False)
-    found = []
-    for label in np.unique(areas[areas > 0]).tolist():
-        y, x = np.nonzero(areas == label)
-        if ground[y[0] - 1, x[0]] == ground[0, 0]:
-            found.append((int(x.min()) - 1, int(y.min()) - 1, int(np.ptp(x)) + 1, int(np.ptp(y)) + 1))
-    return found[::-1]
+    y, x = np.nonzero(areas)
+    _, first, at = np.unique(areas[y, x], return_index=True, return_inverse=True)
+    low, high = np.stack([x[first], y[first]]), np.stack([x[first], y[first]])
+    for k, v in enumerate((x, y)):
+        np.minimum.at(low[k], at, v)
+        np.maximum.at(high[k], at, v)
+    free = ground[y[first] - 1, x[first]] == ground[0, 0]
+    return [tuple(r) for r in np.concatenate([low - 1, high - low + 1]).T[free][::-1].tolist()]
 
 
 def detected(pages: DataFrame) -> DataFrame:

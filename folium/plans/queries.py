@@ -370,4 +370,4 @@ def ocr_stub_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The rest is registered by its import.
-from folium.plans import files, records  # noqa: E402, F401
+from folium.plans import files, records, scans  # noqa: E402, F401

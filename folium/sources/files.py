@@ -64,13 +64,21 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pdf_pages(dpi: int = 300, first_only: bool = False) -> Callable[[bytes], list[bytes]]:
-    """A PDF reader for raw_pages, by the optional library pdf2image: all pages as PNG, or the first one."""
+    """A PDF reader for raw_pages: all pages as images, or the first one.
+
+    Where the library pdf2image is installed it draws the pages at so many dots an inch. Elsewhere scanned pages give their image as it is
+    in the file; pages of text have none, and the file's row says so.
+    """
 
     def read(content: bytes) -> list[bytes]:
         import io
 
-        from pdf2image import convert_from_bytes
+        from folium.sources import pdf
 
+        try:
+            from pdf2image import convert_from_bytes
+        except ImportError:
+            return pdf.pages(content, first_only)
         out = []
         for image in convert_from_bytes(content, dpi=dpi, **({"first_page": 1, "last_page": 1} if first_only else {})):
             held = io.BytesIO()
