@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from folium.functions.json_text import NOT_TEXT
 from folium.functions.text import bound, strip, words
 
 # Digits of three scripts, and the shapes of valid fields.
@@ -24,6 +26,8 @@ MESSAGES = {
 }
 TEXTS = ("recipient", "project_name", "sender_or_department", "full_name", "address", "decision_or_status")
 FIELDS = (*SHAPES, "subject", *TEXTS, "extraction_confidence")
+
+
 def _light(status: str, message: str) -> Column:
     return F.struct(F.lit(status).alias("status"), F.lit(message).alias("message"))
 
@@ -61,26 +65,49 @@ def repeated_rows(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, repeated(F.col(text)).alias("repeated"))
 
 
-def light(name: str, value: Column) -> Column:
-    """struct(status, message) of a field whose value is a string or null."""
-    empty = value.isNull() | (value == "")
+# Messages of a subject, of the other texts (after the field's name) and of a confidence.
+SUBJECT = ("missing subject", "subject must be text", "subject is too long; likely body text leakage", "subject contains repeated text", "subject length looks plausible")
+TEXT = ("missing {}", "{} contains repeated text", "{} is unusually long", "{} present")
+CONFIDENCE = ("low model confidence", "medium model confidence", "high model confidence")
+
+
+def light(name: str, value: Column, is_text: Column | None = None) -> Column:
+    """struct(status, message) of a field whose value is given as a string, or null.
+
+    is_text says whether the value is a string in its record (by default it is): a number or flag has no valid shape and is no
+    subject, while the other fields take it as it is.
+    """
+    empty, other = value.isNull() | (value == ""), ~is_text if is_text is not None else F.lit(False)
     if name in SHAPES:
         missing, bad, good = MESSAGES[name]
-        return F.when(empty, _light("yellow", missing)).when(~strip(value).rlike(SHAPES[name]), _light("red", bad)).otherwise(_light("green", good))
+        return F.when(empty, _light("yellow", missing)).when(other | ~strip(value).rlike(SHAPES[name]), _light("red", bad)).otherwise(_light("green", good))
     if name == "subject":
-        long, twice = _light("red", "subject is too long; likely body text leakage"), _light("red", "subject contains repeated text")
-        return F.when(empty, _light("yellow", "missing subject")).when(F.length(value) > 180, long).when(repeated(value), twice).otherwise(_light("green", "subject length looks plausible"))
+        missing, no_text, long, twice, good = SUBJECT
+        return F.when(empty, _light("yellow", missing)).when(other, _light("red", no_text)).when(F.length(value) > 180, _light("red", long)).when(repeated(value), _light("red", twice)).otherwise(_light("green", good))
     if name == "extraction_confidence":
         v = F.coalesce(value.try_cast("double"), F.lit(0.0))
-        return F.when(v < 0.5, _light("red", "low model confidence")).when(v < 0.8, _light("yellow", "medium model confidence")).otherwise(_light("green", "high model confidence"))
-    return F.when(empty, _light("yellow", f"missing {name}")).when(repeated(value), _light("red", f"{name} contains repeated text")).when(F.length(value) > 260, _light("yellow", f"{name} is unusually long")).otherwise(_light("green", f"{name} present"))
+        low, medium, high = CONFIDENCE
+        return F.when(v < 0.5, _light("red", low)).when(v < 0.8, _light("yellow", medium)).otherwise(_light("green", high))
+    missing, twice, long, good = (m.format(name) for m in TEXT)
+    return F.when(empty, _light("yellow", missing)).when(other, _light("green", good)).when(repeated(value), _light("red", twice)).when(F.length(value) > 260, _light("yellow", long)).otherwise(_light("green", good))
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """df with field_validation (map of the twelve lights) and validation_summary (struct of counts); an absent column is empty."""
-    have = {c: F.col(c).cast("string") for c in df.columns}
-    lights = F.create_map(*[x for n in FIELDS for x in (F.lit(n), light(n, have.get(n, F.lit(None).cast("string"))))])
-    df = df.withColumn("field_validation", lights)
+    """df with field_validation (map of the twelve lights) and validation_summary (struct of counts); an absent column is empty.
+
+    A value is no text if its column isn't one of strings, or if the column not_text (as json_text.coerce makes it) names its field.
+    """
+    kinds = {f.name: f.dataType for f in df.schema}
+    named = F.col(NOT_TEXT) if NOT_TEXT in kinds else None
+
+    def one(n: str) -> Column:
+        if n not in kinds:
+            return light(n, F.lit(None).cast("string"))
+        if not isinstance(kinds[n], T.StringType):
+            return light(n, F.col(n).cast("string"), F.lit(False))
+        return light(n, F.col(n), ~F.coalesce(F.array_contains(named, n), F.lit(False)) if named is not None else None)
+
+    df = df.withColumn("field_validation", F.create_map(*[x for n in FIELDS for x in (F.lit(n), one(n))]))
     counts = [F.size(F.filter(F.map_values("field_validation"), _is(s))).alias(s) for s in ("green", "yellow", "red")]
     return df.withColumn("validation_summary", F.struct(*counts))
 

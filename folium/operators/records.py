@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folium.functions import json_text
+from folium.functions import json_text, normalize
 
 # The columns of a flat page record, in order, and their types.
 SCHEMA = {
@@ -62,18 +62,24 @@ def sanitized(rows: DataFrame) -> DataFrame:
     return rows.withColumns(changed) if changed else rows
 
 
-def with_answers(rows: DataFrame, text: str = "text", kept: int = RAW, repair: bool = True) -> DataFrame:
-    """rows with the record's columns out of a model's answer, its error, and the start of the answer where there is one.
+def with_answers(rows: DataFrame, text: str = "text", kept: int = RAW, repair: bool = True, normalized: bool = True) -> DataFrame:
+    """rows with the record's columns out of a model's answer, not_text, its error, and the start of the answer where there is one.
 
-    The answer is parsed in a projection of its own: every column reads the parsed object.
+    The answer is parsed in a projection of its own: every column reads the parsed object. An answer without an object keeps its
+    start, without fence and outer white space, and its error says where parsing failed. normalized: all texts are normalised.
     """
-    read = rows.withColumns({"_payload": json_text.payload(F.col(text)), "_answer": json_text.parse(F.col(text), repair)})
-    v = F.col("_answer")
-    error = F.when(F.col("_payload").isNull(), F.lit("Model did not return a JSON object")).when(v.isNull(), F.lit("JSON parse failed"))
-    own = F.nullif(F.try_variant_get(v, "$.error", "string"), F.lit(""))
-    raw = F.when(error.isNotNull(), F.left(F.col(text), F.lit(kept))).otherwise(F.nullif(F.try_variant_get(v, "$.raw_output", "string"), F.lit("")))
-    made = [*json_text.coerce(v), F.coalesce(error, own).alias("error"), raw.alias("raw_output")]
-    names = {*json_text.TEXT_FIELDS, *json_text.LIST_FIELDS, *json_text.FLAG_FIELDS, "extraction_confidence", "error", "raw_output", text}
+    v, whole = F.col("_answer"), F.col("_whole")
+    read = rows.withColumns({"_whole": json_text.unfenced(F.col(text)), "_payload": json_text.payload(F.col(text)), "_answer": json_text.parse(F.col(text), repair)})
+    read = read.withColumn("_broken", json_text.where_broken(F.when(v.isNull(), F.col("_payload"))))
+    if normalized:
+        read = read.withColumn("_answer", json_text.composed(v))
+    clean = normalize.normalize if normalized else lambda c, **_: c
+    broken = F.concat_ws(": ", F.lit(json_text.FAILED), "_broken")
+    error = F.when(F.col("_payload").isNull(), F.lit(json_text.NO_OBJECT)).when(v.isNull(), clean(broken))
+    own = lambda name: clean(F.nullif(F.try_variant_get(v, f"$.{name}", "string"), F.lit("")), composed=True)
+    raw = F.when(error.isNotNull(), clean(F.left(whole, F.lit(kept)))).otherwise(own("raw_output"))
+    made = [*json_text.coerce(v, normalized), F.coalesce(error, own("error")).alias("error"), raw.alias("raw_output")]
+    names = {*json_text.TEXT_FIELDS, *json_text.LIST_FIELDS, *json_text.FLAG_FIELDS, "extraction_confidence", json_text.NOT_TEXT, "error", "raw_output", text}
     return read.select(*[c for c in rows.columns if c not in names], *made)
 
 

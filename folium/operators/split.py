@@ -9,8 +9,9 @@ from folium.functions import json_text, normalize
 
 
 def source_key(source: Column, document_id: Column) -> Column:
-    """Base name of the source's path, or the document's id."""
-    return F.element_at(F.split(F.coalesce(F.nullif(source, F.lit("")), document_id), "/"), -1)
+    """Base name of the source's path, whatever slashes end it, or the document's id."""
+    whole = F.coalesce(F.nullif(source, F.lit("")), document_id)
+    return F.element_at(F.split(F.rtrim(whole, F.lit("/")), "/"), -1)
 
 
 def split_by_source(rows: DataFrame, key: str, ratio: float) -> DataFrame:

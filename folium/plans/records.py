@@ -13,8 +13,12 @@ from folium.sources import files, sinks
 
 # --- answers of models -----------------------------------------------------------------------------------------------
 
-# An answer for each document, by the remainder of its id: fenced, within a sentence, with a stray backslash, none, cut off, an explicit null, escaped.
-_FORMS = ('```json\n{"a": "%s", "n": 5}\n```', 'Sure: {"a": "%s"} done', '{"a": "p\\q%s"}', "no object %s", '{"a": "%s', '```\n{"a": null, "b": "%s"}\n```', '{"a": "\\u0041%s"}')
+# An answer for each document, by the remainder of its id: fenced, within a sentence, with a stray backslash, none, cut off, an explicit null, escaped,
+# with a repeated key, with numbers that JSON lacks, broken in its middle.
+_FORMS = (
+    '```json\n{"a": "%s", "n": 5}\n```', 'Sure: {"a": "%s"} done', '{"a": "p\\q%s"}', " no object  %s\n", '```\n{"a": "%s\n```', '```\n{"a": null, "b": "%s"}\n```', '{"a": "\\u0041%s"}',
+    '{"a": "first", "a": "%s"}', '{"n": NaN, "m": [-Infinity], "a": "NaN %s"}', '{"a": "x" "b": "%s"}',
+)
 
 
 def _formed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,9 +31,9 @@ def _formed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT doc_id, CASE doc_id % 7 WHEN 0 THEN source WHEN 1 THEN source WHEN 2 THEN 'p' || chr(92) || 'q' || source WHEN 6 THEN 'A' || source END AS a,
-    CASE WHEN doc_id % 7 IN (3, 4) THEN 'Model did not return a JSON object' END AS error,
-    CASE doc_id % 7 WHEN 3 THEN 'no object ' || source WHEN 4 THEN '{"a": "' || source END AS raw_output
+SELECT doc_id, CASE doc_id % 10 WHEN 0 THEN source WHEN 1 THEN source WHEN 2 THEN 'p' || chr(92) || 'q' || source WHEN 6 THEN 'A' || source WHEN 7 THEN source WHEN 8 THEN 'NaN ' || source END AS a,
+    CASE WHEN doc_id % 10 IN (3, 4) THEN 'Model did not return a JSON object' WHEN doc_id % 10 = 9 THEN 'JSON parse failed: Expecting '','' delimiter: line 1 column 11 (char 10)' END AS error,
+    CASE doc_id % 10 WHEN 3 THEN 'no object ' || source WHEN 4 THEN '{"a": "' || source WHEN 9 THEN '{"a": "x" "b": "' || source || '"}' END AS raw_output
 FROM documents
 """)
 def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,23 +45,26 @@ def json_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_answer() -> Column:
     """An answer made of an event's columns, as a model would write it."""
     n, user = F.col("event_id").cast("string"), F.col("user_id").cast("string")
-    recipient = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('["a'), user, F.lit('", "b", "c", "d"]'))).when(F.col("event_id") % 4 == 1, F.lit('"None"')).when(F.col("event_id") % 4 == 2, F.lit('""')).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
+    recipient = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit('["a'), user, F.lit('", true, null, "d"]'))).when(F.col("event_id") % 4 == 1, F.lit('"None"')).when(F.col("event_id") % 4 == 2, F.lit('""')).otherwise(F.concat(F.lit('"'), F.col("event_type"), F.lit('"')))
     number = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('"No '), n, F.lit('/A"'))).otherwise(n)
     attachments = F.when(F.col("event_id") % 3 == 0, F.lit("null")).when(F.col("event_id") % 3 == 1, F.concat(F.lit('["'), user, F.lit('"]'))).otherwise(F.lit('"one"'))
     stamp = F.when(F.col("event_id") % 5 == 0, F.lit('"false"')).when(F.col("event_id") % 5 == 1, F.lit("0")).when(F.col("event_id") % 5 == 2, F.lit("true")).when(F.col("event_id") % 5 == 3, F.lit("null")).otherwise(F.lit('""'))
-    return F.concat(F.lit('{"recipient": '), recipient, F.lit(', "document_number": '), number, F.lit(', "attachments": '), attachments, F.lit(', "stamp_present": '), stamp, F.lit(', "extraction_confidence": '), F.round(F.col("value") / 50, 3).cast("string"), F.lit("}"))
+    address = F.when(F.col("event_id") % 3 == 0, n).when(F.col("event_id") % 3 == 1, F.lit("true")).otherwise(F.lit("null"))
+    return F.concat(F.lit('{"subject": "كتاب  علي:'), user, F.lit('", "address": '), address, F.lit(', "recipient": '), recipient, F.lit(', "document_number": '), number, F.lit(', "attachments": '), attachments, F.lit(', "stamp_present": '), stamp, F.lit(', "extraction_confidence": '), F.round(F.col("value") / 50, 3).cast("string"), F.lit("}"))
 
 
 @query("""
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || user_id || '; b; c' WHEN 3 THEN event_type END AS recipient, event_id::VARCHAR AS document_number,
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'a' || user_id || '; True; None' WHEN 3 THEN event_type END AS recipient, event_id::VARCHAR AS document_number,
+    'کتاب علی: ' || user_id AS subject, CASE event_id % 3 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN 'True' END AS address,
+    CASE event_id % 3 WHEN 0 THEN 'address' WHEN 1 THEN 'address' ELSE '' END || CASE WHEN event_id % 2 = 1 THEN CASE WHEN event_id % 3 < 2 THEN '|' ELSE '' END || 'document_number' ELSE '' END AS others,
     CASE event_id % 3 WHEN 0 THEN 'None' WHEN 1 THEN user_id::VARCHAR ELSE 'one' END AS attachments, event_id % 5 IN (0, 2) AS stamp_present,
     greatest(0.0::DOUBLE, least(1.0::DOUBLE, round(value / 50, 3))) AS extraction_confidence
 FROM events
 """)
 def coerce_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_id", json_text.parse(_event_answer()).alias("v"))
-    made = rows.select("event_id", *json_text.coerce(F.col("v")))
-    return made.select("event_id", "recipient", "document_number", F.array_join("attachments", ",").alias("attachments"), "stamp_present", "extraction_confidence")
+    made = records.with_answers(table(spark, sf_dir, "events").select("event_id", _event_answer().alias("text")))
+    others = F.array_join(F.array_sort(json_text.NOT_TEXT), "|").alias("others")
+    return made.select("event_id", "recipient", "document_number", "subject", "address", others, F.array_join("attachments", ",").alias("attachments"), "stamp_present", "extraction_confidence")
 
 
 @query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id::VARCHAR WHEN 1 THEN event_id || '/' || user_id WHEN 2 THEN event_type WHEN 3 THEN event_id::VARCHAR END AS number FROM events")
@@ -165,6 +172,25 @@ def validate_all_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *[F.col("field_validation")[n]["status"].alias(n) for n in validate.FIELDS])
 
 
+_KINDS = {"document_number": "doc_id % 4 = 0", "subject": "doc_id % 5 = 0", "address": "doc_id % 6 = 0", "area_m2": "doc_id % 7 = 0"}
+
+
+def _kind_sql(name: str) -> str:
+    """A value that is no text: red where a shape or a subject is asked for, green for the others, whatever it says."""
+    light = "green" if name == "address" else "red"
+    return f"CASE WHEN {_KINDS[name]} AND coalesce({name}, '') <> '' THEN '{light}' ELSE {_light_sql(name)} END"
+
+
+@query(f"SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'red' ELSE 'yellow' END AS phone_number, {', '.join(f'{_kind_sql(n)} AS {n}' for n in _KINDS)} FROM ({_VALUED})")
+def validate_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lights of values that are numbers or flags in their records: named by not_text, or by their column's type."""
+    cast = lambda v: v.replace("::INT", "").replace("::VARCHAR", "")
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[F.expr(_spark_sql(cast(_VALUES[k]))).cast("string").alias(k) for k in _KINDS], F.when(F.col("doc_id") % 2 == 0, F.col("doc_id") + 9647500000).alias("phone_number"))
+    named = F.array_compact(F.array(*[F.when(F.expr(test), F.lit(n)) for n, test in _KINDS.items()]))
+    found = validate.validate(docs.withColumn(json_text.NOT_TEXT, named))
+    return found.select("doc_id", *[F.col("field_validation")[n]["status"].alias(n) for n in ("phone_number", *_KINDS)])
+
+
 def _spark_sql(value: str) -> str:
     return value.replace("substring(text, 1, (doc_id % 400))", "substring(text, 1, cast(doc_id % 400 as int))").replace("(doc_id % 120)", "cast(doc_id % 120 as int)").replace("(doc_id % 90)", "cast(doc_id % 90 as int)").replace("(doc_id % 20))", "cast(doc_id % 20 as int))").replace("(doc_id % 11) / 10.0", "cast((doc_id % 11) / 10.0 as double)")
 
