@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from folium.functions import json_text, rules, validate
 from folium.models import answers, engines, images, regions, server
-from folium.operators import documents, merge, packets, records, reports, review, scoring, split
+from folium.operators import documents, merge, packets, progress, records, reports, review, scoring, split
 from folium.sources import files, sinks
 
 RECORD = ", ".join(f"{n} string" for n in json_text.TEXT_FIELDS) + ", document_id string, page int, source string, engine string, error string, raw_text string, run_id string, runtime_seconds double, gpu_memory_mb double, avg_ocr_confidence double"
@@ -73,7 +73,8 @@ def run_ocr(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     found = found.select("document_id", "page", "stamp_present", "signature_present", "regions", F.col("confidence_notes").alias("notes"))
     read = engines.read_pages(variants.drop("error"), a.engine).join(found, ["document_id", "page"], "left")
     out = validate.validate(rules.extract(read, notes=F.col("notes")).drop("notes"))
-    out.write.mode("overwrite" if a.overwrite else "append").partitionBy("mode").parquet(path)
+    with progress.counted(out, f"{a.engine}: pages read") as counted:
+        counted.rows.write.mode("overwrite" if a.overwrite else "append").partitionBy("mode").parquet(path)
     stored = spark.read.parquet(path)
     flat = records.flat(stored.withColumns({"preprocessing_mode": F.col("mode"), "raw_text": F.col("text"), "avg_ocr_confidence": F.col("avg_confidence")}))
     flat.write.mode("overwrite").parquet(f"{a.output}/records/{a.engine}")
@@ -122,7 +123,8 @@ def _answered(spark: SparkSession, a: argparse.Namespace, got: DataFrame) -> Dat
     asked = F.col("error") if "error" in got.columns else F.lit(None).cast("string")
     made = records.with_answers(got.select(*keep, "text", asked.alias("_asked"))).withColumn("error", F.coalesce("_asked", "error")).drop("_asked")
     out = validate.validate(records.sanitized(made)).withColumn("run_id", F.lit(a.run) if a.run else _stamp())
-    sinks.write_run(out, f"{a.output}/answers")
+    with progress.counted(out, "answers") as counted:
+        sinks.write_run(counted.rows, f"{a.output}/answers")
     return spark.read.parquet(f"{a.output}/answers")
 
 

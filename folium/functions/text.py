@@ -24,3 +24,13 @@ def words(c: Column) -> Column:
 def bound(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once, however often body names it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def folded(c: Column) -> Column:
+    """Case folded: texts that differ only in case are equal, also where a letter's cases differ in length, as the sharp s does.
+
+    Lower, upper and lower case again bring all forms of a letter together, but for the final sigma; the dotless i, which has the
+    upper case of another letter, stands aside. What stands between two cases also keeps the optimizer from dropping one of them.
+    """
+    aside = F.upper(F.translate(F.lower(c), "\u0131", "\ue131"))
+    return F.translate(F.lower(F.translate(aside, "\ue131", "\u0131")), "\u03c2", "\u03c3")

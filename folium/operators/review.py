@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folium.functions import json_text
-from folium.functions.text import strip
+from folium.functions.text import folded, strip
 from folium.operators import merge, split
 
 # States of a review.
@@ -25,7 +25,7 @@ def filtered(rows: DataFrame, engine: str | None = None, document: str | None =
     if document not in (None, "All"):
         rows = rows.where(F.col("document_id").cast("string") == document)
     if search:
-        rows = rows.where(F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])).contains(search.lower()))
+        rows = rows.where(F.contains(folded(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns])), folded(F.lit(search))))
     if errors_only:
         rows = rows.where(F.col("error").isNotNull())
     if flags_only:

@@ -11,7 +11,7 @@ from folium.functions import json_text
 from folium.operators import merge, packets, scoring
 from folium.plans.base import query, table
 from folium.session import shared_folder
-from folium.sources import files, sinks
+from folium.sources import files, sinks, versions
 
 
 def _path(spark: SparkSession, name: str) -> str:
@@ -43,10 +43,25 @@ def manifest_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _path(spark, "manifest")
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("document_id"), F.lit(1).alias("page"), F.col("url").alias("source"))
     made = pages.select("document_id", "page", F.lit("raw").alias("mode"), F.concat(F.lit("raw/"), "document_id").alias("path"))
+    sinks.write_manifest(pages.limit(1).withColumns({"raw_image": F.lit("old"), "images": F.lit(None).cast("map<string,string>")}), path)  # a version before
     sinks.write_manifest(files.manifest_rows(pages, made), path)
     return files.manifest_or_build(spark, path, lambda: pages).select("document_id", "page", "source", "raw_image")
 
 
+@query("""
+SELECT user_id, event_type, event_id, 1 + event_id % 3 AS version FROM events
+QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id % 3, event_id) = 1
+""")
+def versions_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three commits within seconds, each of a third of the events: the first version of each record, whatever the clock says."""
+    path, events = _path(spark, "versions"), table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    for k in range(3):
+        some = events.where(F.col("event_id") % 3 == k).groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+        sinks.write_versions(some, path, overwrite=k == 0)
+    found = sinks.first_versions(versions.read(spark, path), ["user_id", "event_type"], versions.VERSION)
+    return found.select("user_id", "event_type", "event_id", versions.VERSION)
+
+
 @query("SELECT event_id, event_type, strftime(ts, '%Y%m%d') AS run_id FROM events WHERE strftime(ts, '%Y%m%d') = (SELECT max(strftime(ts, '%Y%m%d')) FROM events)")
 def run_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records in a folder for each run; the last run is read alone."""

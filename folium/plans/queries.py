@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folium.functions import geometry, json_text, normalize, rules, validate
 from folium.models.engines import read_pages
@@ -40,7 +39,8 @@ PAGES = [
     "",
 ]
 KURDISH = ("document_type", "subject", "project_name", "location", "area_m2", "referenced_decision_number", "sender_or_department", "address", "decision_or_status")
-_PAGES_SQL = "(VALUES " + ", ".join(f"({k}, {quoted(t)})" for k, t in enumerate(PAGES)) + ") AS p(page_id, text)"
+# Each document's text, behind the page that its id falls on.
+_HEAD_SQL = "CASE doc_id % " + str(len(PAGES)) + " " + " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in enumerate(PAGES)) + " END"
 
 
 def _sql_digits(name: str) -> str:
@@ -48,10 +48,11 @@ def _sql_digits(name: str) -> str:
     return rule_sql(name).replace(r"[\d,٠-٩]", "[0-9,٠-٩]").replace(r"\.\d+", r"\.[0-9٠-٩]+")
 
 
-@query(f"SELECT page_id, {', '.join(f'{_sql_digits(n)} AS {n}' for n in KURDISH)} FROM {_PAGES_SQL}")
+@query(f"SELECT doc_id, {', '.join(f'{_sql_digits(n)} AS {n}' for n in KURDISH)} FROM (SELECT doc_id, {_HEAD_SQL} || chr(10) || text AS text FROM documents)")
 def rule_kurdish_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = spark.createDataFrame(list(enumerate(PAGES)), "page_id int, text string")
-    return pages.select("page_id", *[rules.field(F.col("text"), n).alias(n) for n in KURDISH])
+    docs = table(spark, sf_dir, "documents")
+    head = F.element_at(F.array(*map(F.lit, PAGES)), (F.col("doc_id") % len(PAGES) + 1).cast("int"))
+    return docs.select("doc_id", F.concat(head, F.lit("\n"), "text").alias("text")).select("doc_id", *[rules.field(F.col("text"), n).alias(n) for n in KURDISH])
 
 
 # --- validation ------------------------------------------------------------------------------------------------------
@@ -118,12 +119,17 @@ def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("k", normalize.normalize(F.col("text")).alias("text"))
 
 
-@query(f"SELECT k::BIGINT AS k, {_normal_sql('text')} || '|' || {_normal_sql('text')} || '|' || {_normal_sql('text')} AS joined FROM {_TYPED_SQL}")
+_TYPED_CASE = "CASE doc_id % " + str(len(TYPED)) + " " + " ".join(f"WHEN {k} THEN {quoted(t)}" for k, t in enumerate(TYPED)) + " END"
+
+
+@query(f"SELECT doc_id, {_normal_sql('head')} || '|' || {_normal_sql('text')} || '|' || {_normal_sql('joint')} AS joined FROM (SELECT doc_id, text, {_TYPED_CASE} AS head, {_TYPED_CASE} || ' ' || text AS joint FROM documents)")
 def normalize_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = T.StructType.fromDDL("a array<string>, m map<string,string>, s struct<t:string>")
-    rows = spark.createDataFrame([(k, (([t], {"key": t}, (t,)))) for k, t in enumerate(TYPED)], T.StructType([T.StructField("k", T.LongType()), T.StructField("v", kind)]))
-    out = normalize.normalize_nested(F.col("v"), kind)
-    return rows.select("k", out.alias("v")).select("k", F.concat_ws("|", F.col("v.a")[0], F.col("v.m")["key"], F.col("v.s.t")).alias("joined"))
+    """The texts of an array, a map and a struct, made of each document's text and what someone typed before it."""
+    head = F.element_at(F.array(*map(F.lit, TYPED)), (F.col("doc_id") % len(TYPED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", normalize.nfc("text").alias("text"), normalize.nfc(head).alias("head"))
+    rows = rows.select("doc_id", F.struct(F.array("head").alias("a"), F.create_map(F.lit("key"), "text").alias("m"), F.struct(normalize.nfc(F.concat("head", F.lit(" "), "text")).alias("t")).alias("s")).alias("v"))
+    out = normalize.normalize_nested(F.col("v"), rows.schema["v"].dataType)
+    return rows.select("doc_id", out.alias("v")).select("doc_id", F.concat_ws("|", F.col("v.a")[0], F.col("v.m")["key"], F.col("v.s.t")).alias("joined"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(try_cast(json_extract_string(props, '$.k') AS BIGINT))::BIGINT AS total FROM events GROUP BY event_type")
@@ -308,6 +314,14 @@ def review_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return review.filtered(rows, engine="src1", search="THE").select("doc_id", "engine")
 
 
+@query("SELECT doc_id FROM documents WHERE contains(lower(concat_ws(' ', doc_id, source, lang, 'STRASSE ' || lang, text)), 'strasse ' || 'de') OR source = 'src2'")
+def review_search_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A search finds what differs in case only, of letters whose cases differ in length too."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.concat(F.lit("Stra\u00dfe "), "lang").alias("street"), "text")
+    found = review.filtered(rows.drop("source"), search="STRA\u1e9eE DE").select("doc_id")
+    return found.union(rows.where("source = 'src2'").select("doc_id")).distinct()
+
+
 @query("SELECT count(*) AS pages, count(DISTINCT user_id) AS documents, count(*) FILTER (WHERE event_type = 'error') AS errors, round(avg(value), 2) AS mean_confidence FROM events")
 def review_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
@@ -341,21 +355,24 @@ def column_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.stacked(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("engine")))
 
 
-BOXES = [(0, 10.0, 20.0, 50.0, 58.0), (1, 0.0, 0.0, 100.0, 30.0), (2, 5.5, 5.5, 20.0, 20.0)]
-_BOXES_SQL = "(VALUES " + ", ".join(map(str, BOXES)) + ") AS b(k, x, y, w, h)"
+# A box for each event: its corner by the event's value, its sides by the ids.
+_BOXES_SQL = "(SELECT event_id AS k, value AS x, value / 2 AS y, (10 + user_id % 120)::DOUBLE AS w, (5 + event_id % 110)::DOUBLE AS h FROM events) AS b"
+
+
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sides = [(10 + F.col("user_id") % 120).cast("double").alias("w"), (5 + F.col("event_id") % 110).cast("double").alias("h")]
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("k"), F.col("value").alias("x"), (F.col("value") / 2).alias("y"), *sides)
 
 
-@query(f"SELECT k::BIGINT AS k, trunc(x)::INT || ',' || trunc(y)::INT || ' ' || trunc(x + w)::INT || ',' || trunc(y)::INT || ' ' || trunc(x + w)::INT || ',' || trunc(y + h)::INT || ' ' || trunc(x)::INT || ',' || trunc(y + h)::INT AS polygon FROM {_BOXES_SQL}")
+@query(f"SELECT k, trunc(x)::INT || ',' || trunc(y)::INT || ' ' || trunc(x + w)::INT || ',' || trunc(y)::INT || ' ' || trunc(x + w)::INT || ',' || trunc(y + h)::INT || ' ' || trunc(x)::INT || ',' || trunc(y + h)::INT AS polygon FROM {_BOXES_SQL}")
 def box_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(BOXES, "k long, x double, y double, w double, h double")
     corners = geometry.xywh_to_polygon(F.col("x"), F.col("y"), F.col("w"), F.col("h"))
-    return rows.select("k", F.array_join(F.transform(corners, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("polygon"))
+    return _boxes(spark, sf_dir).select("k", F.array_join(F.transform(corners, lambda p: F.concat_ws(",", p["x"].cast("string"), p["y"].cast("string"))), " ").alias("polygon"))
 
 
-@query(f"SELECT k::BIGINT AS k, CASE WHEN abs(w - h) < greatest(w, h) * 0.45 THEN 'stamp' ELSE 'signature' END AS kind, w * h >= 700 AND w * h <= 10000 * 0.25 AS usable FROM {_BOXES_SQL}")
+@query(f"SELECT k, CASE WHEN abs(w - h) < greatest(w, h) * 0.45 THEN 'stamp' ELSE 'signature' END AS kind, w * h >= 700 AND w * h <= 40000 * 0.25 AS usable FROM {_BOXES_SQL}")
 def region_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(BOXES, "k long, x double, y double, w double, h double")
-    return rows.select("k", geometry.region_kind(F.col("w"), F.col("h")).alias("kind"), geometry.usable_region(F.col("w") * F.col("h"), F.lit(10000.0)).alias("usable"))
+    return _boxes(spark, sf_dir).select("k", geometry.region_kind(F.col("w"), F.col("h")).alias("kind"), geometry.usable_region(F.col("w") * F.col("h"), F.lit(40000.0)).alias("usable"))
 
 
 @query("SELECT page_id, url FROM pages ORDER BY url, page_id LIMIT 5")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folium.functions.text import strip
+from folium.sources.sinks import POINTER
 
 IMAGES, PDFS = (".png", ".jpg", ".jpeg"), (".pdf",)
 MANIFEST = "document_id string, page int, source string, raw_image string, images map<string,string>"
@@ -53,14 +54,31 @@ def raw_pages(files: DataFrame, pdf_pages: Callable[[bytes], list[bytes]] | None
     return images.unionByName(pdfs.mapInPandas(explode, "document_id string, page int, source string, image binary, error string"))
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a manifest file; none if it isn't there."""
+def manifest(spark: SparkSession, path: str, document: str | None = None) -> DataFrame:
+    """Rows of a manifest: a folder of versions, as write_manifest makes it, or one JSON document {"pages": [...]}; none if it isn't there.
+
+    document: pages of one document only; of a folder just the files whose range it falls into are read.
+    """
     from pyspark.errors import AnalysisException
 
+    kind = ",".join(c.replace(" ", ":", 1) for c in MANIFEST.split(", "))
+    try:
+        current = spark.read.text(f"{path}/{POINTER}").first()
+    except AnalysisException:
+        current = None
     try:
-        return spark.read.schema("pages array<struct<" + ",".join(c.replace(" ", ":", 1) for c in MANIFEST.split(", ")) + ">>").json(path, multiLine=True).select(F.inline("pages"))
+        if current is None:
+            rows = spark.read.schema(f"pages array<struct<{kind}>>").json(path, multiLine=True).select(F.inline("pages"))
+        elif document is None:
+            rows = spark.read.schema(MANIFEST).json(f"{path}/{current.value}/pages")
+        else:
+            span = "first struct<document_id:string,page:int>, last struct<document_id:string,page:int>, file string"
+            hit = spark.read.schema(span).json(f"{path}/{current.value}/index").where((F.col("first.document_id") <= document) & (F.col("last.document_id") >= document))
+            found = [f"{path}/{current.value}/pages/{r.file}" for r in hit.select("file").collect()]  # those that one document spans
+            rows = spark.read.schema(MANIFEST).json(found) if found else spark.createDataFrame([], MANIFEST)
     except AnalysisException:
         return spark.createDataFrame([], MANIFEST)
+    return rows if document is None else rows.where(F.col("document_id") == document)
 
 
 def pdf_pages(dpi: int = 300, first_only: bool = False) -> Callable[[bytes], list[bytes]]:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folium.models import engines
-from folium.sources import files, sinks
+from folium.sources import files, sinks, versions
 from folium.streaming.ingest import ingest
 
 
@@ -47,8 +47,8 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1)], "id string, v int")
     sinks.write_versions(rows, str(tmp_path / "v"))
     sinks.write_versions(rows.withColumn("v", F.lit(2)), str(tmp_path / "v"), overwrite=False)
-    stored = spark.read.parquet(str(tmp_path / "v"))
-    assert stored.count() == 2 and sinks.first_versions(stored, ["id"]).count() == 1
+    stored = versions.read(spark, str(tmp_path / "v"))
+    assert stored.count() == 2 and [r.v for r in sinks.first_versions(stored, ["id"], versions.VERSION).collect()] == [1]
     sinks.write_jsonl(spark.createDataFrame([("{}", "val")], "line string, split string"), "line", str(tmp_path / "j"))
     assert spark.read.text(str(tmp_path / "j")).first().split == "val"
     assert sinks.markdown(rows).splitlines()[2] == "| a  | 1 |"
