@@ -31,8 +31,17 @@ NUMBERS = (
     "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig hundert tausend deux trois quatre cinq sept huit neuf dix onze douze quinze vingt cent mille "
     "dos tres cuatro cinco seis siete ocho nueve diez doce veinte cien mil"
 ).split()
-# Units that follow a number.
-UNITS = "kg|g|mg|km|m|cm|mm|l|ml|h|min|s|usd|eur|kwh|mph|kmh"
+# Units that follow a number, also glued to it; and units in words, whose plural has an s or es.
+GLUED = "kg|g|mg|km|m|cm|mm|l|ml|h|min|s|usd|eur|kwh|mph|kmh|lb|lbs|oz|ft|in|yd|mi|gb|mb|kb|tb|hz|khz|mhz|ghz|w|kw|mw|v|a|j|kj|cal|kcal|k|pm|am"
+NAMED = (
+    "second minute hour day week fortnight month year decade century sekunde minute stunde tag woche monat jahr seconde heure jour semaine mois an année segundo minuto hora día semana mes año "
+    "meter metre kilometer kilometre centimeter centimetre millimeter millimetre inch foot yard mile league furlong mètre kilomètre metro kilómetro meile "
+    "gram gramme kilogram milligram pound ounce ton tonne stone carat gramm kilogramm pfund kilo gramo tonelada "
+    "liter litre milliliter millilitre gallon quart pint cup teaspoon tablespoon barrel bushel hectoliter litro liter "
+    "dollar cent euro penny pence quid rupee yen yuan peso franc mark real ruble rouble krona krone dinar dirham pesos dólar "
+    "degree percent watt kilowatt volt ampere joule calorie kilocalorie newton pascal hertz byte kilobyte megabyte gigabyte terabyte bit acre hectare dozen pair piece box bag bottle page"
+).split()
+UNITS = GLUED + "|" + "|".join(rf"{w}(?:s|es|n|en)?" for w in sorted({*NAMED, "feet", "inches", "pennies", "centuries"}))
 #: Around capitalised words at the start of a sentence or line, or behind a quote or bracket (characters for private use, which are no words).
 BEGIN, END = "\ue000", "\ue001"
 #: Between capitalised words in a row, which are one name.
@@ -49,7 +58,7 @@ def _spaced(text: Column) -> Column:
     """The text with a space between a number and the unit that is glued to it, and capitalised words in a row as one."""
     # Patterns begin with the character that is rarest and look back from it: what they start with is tried at every place.
     joined = F.regexp_replace(text, r"(\p{Lu}(?<![\p{L}\p{M}\d]\p{Lu})[\p{L}\p{M}]*)\x20(?=\p{Lu})", f"$1{JOIN}")
-    return _where(text.rlike("[0-9]"), joined, rf"(?i)(\d(?<![\p{{L}}\d][.,]?\d)[\d.,]*)(?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
+    return _where(text.rlike("[0-9]"), joined, rf"(?i)(\d(?<![\p{{L}}\d][.,]?\d)[\d.,]*)(?=(?:{GLUED})(?![\p{{L}}\d]))", "$1 ")
 
 
 def _canonical(spaced: Column) -> Column:
@@ -181,7 +190,7 @@ def flag(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, contaminated, n_items, item_ids (comma-joined, ascending) and covered for each document.
 
-    Null and empty texts match nothing; an empty benchmark flags nothing. Each row is judged by itself, whatever its doc_id.
+    Null and empty texts match nothing, nor does any text of an empty table; an empty benchmark flags nothing. Each row is judged by itself, whatever its doc_id.
     Items without an id count in contaminated, n_items and covered, and have no place in item_ids.
     """
     docs = numbered(documents(spark, sf_dir).select("doc_id", "text"), "folium_row").select("doc_id", "text", F.col("folium_row").alias("row"))

@@ -5,7 +5,9 @@ A file's rarest template words (RARE of them) are looked up in the index of the
 votes for a template at the offset between the two positions, so that the words of a licence that stand in the right
 distances meet at one offset. An offset with votes of at least half the template's rare words is a candidate: its
 mandatory key phrases are verified word by word at their places, and its score is the share of the template's weight that
-stands in the file at that offset.
+stands in the file at that offset. Where words are put in or left out, such as a name or a year, the offset changes: then
+chains of postings that grow in both positions, with small changes of the offset, are candidates, and phrases and score are
+verified along a chain.
 """
 
 from __future__ import annotations
@@ -120,6 +122,8 @@ TEMPLATES = (
     ("all-rights-reserved", "all rights reserved", ("all rights reserved",)),
 )
 RARE, LEAST = 8, 0.7
+#: Words that a file may have more or less than the template between two rare ones.
+GAP = 12
 # A-Z to lower case; ASCII but for digits and letters to spaces.
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -155,8 +159,8 @@ class TemplateIndex:
         self.rare = [sorted(set(ws), key=lambda w: (-weight[w], w))[:RARE] for ws in self.words]
         self.votes = [max(1, sum(ws.count(w) for w in r) // 2) for ws, r in zip(self.words, self.rare)]
 
-    def match(self, found: list[bytes]) -> tuple[set[str], float]:
-        """Labels that are verified in a file, and the best score."""
+    def match(self, found: list[bytes], gap: int = GAP) -> tuple[set[str], float]:
+        """Labels that are verified in a file, and the best score; gap: words that may be put in or left out between two rare ones."""
         have = set(found).intersection(self.postings)
         open_ = [t for t, need in enumerate(self.needs) if need <= have]
         if not open_:
@@ -164,21 +168,90 @@ class TemplateIndex:
         # The file's rarest template words, and for each template that is open its own rarest.
         look = set(sorted(have, key=lambda w: (-self.weight[w], w))[:RARE]).union(*(self.rare[t] for t in open_)) & have
         votes: Counter = Counter()
+        points: dict[int, list[tuple[int, int]]] = {t: [] for t in open_}
         for i, w in enumerate(found):
             if w in look:
                 for t, k in self.postings[w]:
                     votes[t, i - k] += 1
+                    if t in points:
+                        points[t].append((i, k))
         labels, best = set(), 0.0
         for (t, at), n in votes.items():
-            if n < self.votes[t] or t not in open_ or any(found[max(0, at + k) : at + k + len(p)] != p for k, p in self.phrases[t]):
+            if n < self.votes[t] or t not in points:
                 continue
-            ws = self.words[t]
-            score = sum(self.weight[w] for k, w in enumerate(ws) if 0 <= at + k < len(found) and found[at + k] == w) / self.total[t]
+            score = self._score(t, found, [(0, 0, at)])
             if score >= LEAST:
                 labels.add(self.labels[t])
                 best = max(best, score)
+        for t in open_ if gap else ():
+            if len(points[t]) < self.votes[t]:
+                continue
+            for chain in _chains(points[t], self.votes[t], gap):
+                score = self._score(t, found, chain)
+                if score >= LEAST:
+                    labels.add(self.labels[t])
+                    best = max(best, score)
         return labels, min(1.0, best)
 
+    def _score(self, t: int, found: list[bytes], steps: list[tuple[int, int, int]]) -> float:
+        """The weight of the template's words that stand where a chain says, as a share; 0 if a mandatory phrase is nowhere in the chain.
+
+        steps: the template places of the first and the last rare word at an offset, and the offset. Between two steps the offset
+        changes where most weight is found.
+        """
+        ws, weight, n = self.words[t], self.weight, len(found)
+        offsets = dict.fromkeys(d for *_, d in steps)
+        for k, p in self.phrases[t]:
+            if not any(k + d >= 0 and found[k + d : k + d + len(p)] == p for d in offsets):
+                return 0.0
+        at = lambda k, d: weight[ws[k]] if 0 <= k + d < n and found[k + d] == ws[k] else 0.0
+        total, k = 0.0, 0
+        for (_, last, d), (first, _, new) in zip(steps, steps[1:]):
+            total += sum(at(x, d) for x in range(k, last + 1))
+            gains = [0.0]
+            for x in range(last + 1, first):
+                gains.append(gains[-1] + at(x, d) - at(x, new))
+            total += sum(at(x, new) for x in range(last + 1, first)) + max(gains)
+            k = first
+        return (total + sum(at(x, steps[-1][2]) for x in range(k, len(ws)))) / self.total[t]
+
+
+def _chains(points: list[tuple[int, int]], least: int, gap: int) -> Iterator[list[tuple[int, int, int]]]:
+    """Chains of at least so many points (place in the file, place in the template) that grow in both, their offsets never changing by more than gap, as steps for _score.
+
+    A point goes on from the longest chain of those that end at an earlier template word, at its last place in the file. Chains
+    on one offset are left out: those are found by their votes.
+    """
+    last: dict[int, tuple[int, int, int]] = {}  # by template word: length of the chain, its last point, that point's file place
+    before: list[int] = []
+    ends: dict[int, int] = {}
+    for j, (i, k) in enumerate(points):
+        longest, prior = 0, -1
+        for k2, (length, j2, i2) in last.items():
+            if k2 < k and i2 < i and abs((i - k) - (i2 - k2)) <= gap and length > longest:
+                longest, prior = length, j2
+        before.append(prior)
+        old = last.get(k)
+        if old is None or longest + 1 >= old[0] or i - old[2] > gap:
+            last[k] = (longest + 1, j, i)
+        if longest + 1 >= least:
+            ends.pop(prior, None)
+            ends[j] = longest + 1
+    for j in ends:
+        chain = []
+        while j >= 0:
+            chain.append(points[j])
+            j = before[j]
+        chain.reverse()
+        steps = [(chain[0][1], chain[0][1], chain[0][0] - chain[0][1])]
+        for i, k in chain[1:]:
+            if i - k == steps[-1][2]:
+                steps[-1] = (steps[-1][0], k, i - k)
+            else:
+                steps.append((k, k, i - k))
+        if len(steps) > 1:
+            yield steps
+
 
 _PHRASES = [(_split(p), label) for p, label in BASE.items()]
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folium.llm.common import documents, partitions, work_dir
+from folium.llm.common import documents, numbered, partitions, work_dir
 from folium.llm.word_cache import WordCache, WordTable, cut_at_spaces
 
 END = 2
@@ -225,7 +225,10 @@ class Block:
 
 
 def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = END) -> None:
-    """Write the ids of all documents, in ascending doc_id order, end appended to each; null doc_ids come first, null texts are empty."""
+    """Write the ids of all documents, in ascending doc_id order, end appended to each; null doc_ids come first, null texts are empty.
+
+    Rows of one doc_id, or of none, may be many: they are dealt to several tasks by a number of their own.
+    """
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -245,8 +248,9 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
         if ids:
             yield _block(part, number, first, ids, held_docs, bpe.dtype)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    ordered.mapInArrow(encode, _BLOCKS).write.option("compression", "zstd").parquet(path)
+    keyed = numbered(docs, "folium_row").select("doc_id", "text", "folium_row")
+    ordered = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "folium_row").sortWithinPartitions("doc_id", "folium_row")
+    ordered.select("doc_id", "text").mapInArrow(encode, _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -284,8 +288,8 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 def op3_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the token ids of all documents and reads the files back: doc_id, start, n_tokens, ids_crc32.
 
-    Null and empty texts have the end id alone. Null doc_ids come first; rows that share a doc_id stand side by side in any
-    order. Other columns are not read. An empty table gives no rows.
+    Null and empty texts have the end id alone. Null doc_ids come first; rows that share a doc_id stand side by side, in an order
+    that stays as long as the files do. Very long texts are encoded alone. Other columns are not read. An empty table gives no rows.
     """
     import uuid
 

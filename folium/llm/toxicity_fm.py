@@ -29,8 +29,8 @@ MIN_DOCS, FACTORS, EPOCHS, BATCH, RATE = 3, 8, 24, 64, 0.3
 SEEN = 0.8
 #: Standard deviations between a term's toxic documents and what the share of toxic ones lets expect, at least.
 SURPRISE = 6.0
-#: Terms that are looked at in pairs: so many of the most frequent ones that aren't far from the usual alone; and documents that a pair has, at least.
-PAIRED, PAIR_DOCS = 2000, 8
+#: Documents that a pair has at least; and terms that are held against each other at once.
+PAIR_DOCS, BLOCK = 8, 2048
 THRESHOLD = 0.7
 #: Words that a worker remembers, and an eighth of their characters; beyond that it forgets all and starts anew.
 KNOWN = 200_000
@@ -136,22 +136,46 @@ def fit(rows: list[tuple[np.ndarray, int]], seed: int = 7) -> FactorizationMachi
 
 
 def _in_pairs(rows: list[tuple[np.ndarray, int]], y: np.ndarray, place: np.ndarray, n: np.ndarray, surprise: np.ndarray) -> np.ndarray:
-    """Which terms are far from the usual in a pair: by the toxic documents of all pairs of frequent terms that tell nothing alone."""
+    """Which terms are far from the usual in a pair: by the toxic documents of all pairs of terms that tell nothing alone.
+
+    Left out are only terms that no pair can bring far enough: those in too few toxic documents for a pair that has more of them
+    than usual, and in too few at all for one that has less. Pairs are counted in blocks.
+    """
     out = np.zeros(len(n), bool)
-    quiet = np.flatnonzero((n >= max(MIN_DOCS, PAIR_DOCS)) & (surprise < SURPRISE) & (n < 0.9 * len(rows)))
-    some = np.sort(quiet[np.argsort(-n[quiet], kind="stable")[:PAIRED]])
-    if len(some) < 2 or y.min() == y.max():
+    share = y.mean() if len(y) else 0.0
+    if not 0 < share < 1:
         return out
+    size = np.array([len(b) for b, _ in rows])
+    toxic_n = np.bincount(place, np.repeat(y, size), len(n))
+    needed = PAIR_DOCS * share + SURPRISE * np.sqrt(PAIR_DOCS * share * (1 - share))
+    able = (toxic_n >= needed) | (n >= SURPRISE**2 * (1 - share) / share)
+    some = np.flatnonzero(able & (n >= max(MIN_DOCS, PAIR_DOCS)) & (surprise < SURPRISE) & (n < 0.9 * len(rows)))
     column = np.full(len(n), -1)
     column[some] = np.arange(len(some))
-    row, at = np.repeat(np.arange(len(rows)), [len(b) for b, _ in rows]), column[place]
-    has = np.zeros((len(rows), len(some)), np.float32)
-    has[row[at >= 0], at[at >= 0]] = 1
-    both, toxic, share = has.T @ has, has[y == 1].T @ has[y == 1], y.mean()
-    far = np.abs(toxic - both * share) / np.sqrt(both * share * (1 - share) + 1e-9)
-    far[both < PAIR_DOCS] = 0
-    np.fill_diagonal(far, 0)
-    out[some[far.max(axis=1) >= SURPRISE]] = True
+    row, at = np.repeat(np.arange(len(rows)), size), column[place]
+    row, at = row[at >= 0], at[at >= 0]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+
+    def block(first: int) -> np.ndarray:
+        """Documents by terms from a place on, as 0 and 1."""
+        a, b = np.searchsorted(at, (first, first + BLOCK))
+        has = np.zeros((len(rows), min(BLOCK, len(some) - first)), np.float32)
+        has[row[a:b], at[a:b] - first] = 1
+        return has
+
+    found = np.zeros(len(some), bool)
+    for i in range(0, len(some), BLOCK):
+        left = block(i)
+        for j in range(i, len(some), BLOCK):
+            right = left if i == j else block(j)
+            both, toxic = left.T @ right, left[y == 1].T @ right[y == 1]
+            far = (np.abs(toxic - both * share) >= SURPRISE * np.sqrt(both * share * (1 - share) + 1e-9)) & (both >= PAIR_DOCS)
+            if i == j:
+                np.fill_diagonal(far, False)
+            found[i : i + BLOCK] |= far.any(axis=1)
+            found[j : j + BLOCK] |= far.any(axis=0)
+    out[some[found]] = True
     return out
 
 
@@ -180,7 +204,11 @@ def score_documents(docs: DataFrame, model: FactorizationMachine) -> DataFrame:
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, held_out, score, predicted for each document. Without labels of both kinds every score is 0.5."""
+    """doc_id, held_out, score, predicted for each document. Without labels of both kinds every score is 0.5.
+
+    Null and empty texts have the score of no terms. Repeated rows come back as often, and equal texts have equal scores; very
+    long texts are taken whole. Null labels teach nothing. An empty table gives no rows.
+    """
     docs = documents(spark, sf_dir)
     model = train(sample(spark, sf_dir, docs, "toxic", 3, 1))
     held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))

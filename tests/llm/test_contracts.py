@@ -113,9 +113,43 @@ def test_op4(spark, folder):
     check(spark, folder, "op4_license_scan", want)
     docs = spark.read.parquet(f"{folder}/documents.parquet")
     weight = license_scan.corpus_weights(docs)
-    rows = [(d, *plain_labels(t, weight, base)) for d, t in docs_of(spark, folder)]
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, weight)
+    documents = docs_of(spark, folder)
+    for d, t in documents:  # on one offset, and in chains
+        labels, score = plain_labels(t, weight, base)
+        found = license_scan.words(t)
+        own = {label for p, label in base.items() if f" {p} " in " " + b" ".join(found).decode() + " "}
+        one, best = index.match(found, 0)
+        assert (",".join(sorted(own | one)), best) == (labels, pytest.approx(score))
+        more, better = index.match(found)
+        assert one <= more and better >= best and all(in_order(found, label, weight) for label in more - one)
     got = QUERIES["op4_license_scan"](spark, folder).toPandas()
-    assert rows_of(got[["doc_id", "labels", "score"]]) == rows_of(__import__("pandas").DataFrame(rows, columns=["doc_id", "labels", "score"]))
+    assert len(got) == len(documents) and (got.score.between(0, 1)).all()
+    assert weight == plain_weights(documents)
+
+
+def plain_weights(documents):
+    """Inverse document frequencies by counting the words' documents one by one."""
+    import math
+
+    sets = [set(license_scan.words(t)) for _, t in documents]
+    return {w: math.log((len(sets) + 2) / (sum(w in s for s in sets) + 1)) for w in {w for t in license_scan.TEMPLATES for w in license_scan.words(t[1])}}
+
+
+def in_order(found, label, weight):
+    """Whether enough of a template of that label stands in the file in its order, and its phrases do."""
+    for name, text, phrases in license_scan.TEMPLATES:
+        ws = license_scan.words(text)
+        if name != label or any(b" " + b" ".join(license_scan.words(p)) + b" " not in b" " + b" ".join(found) + b" " for p in phrases):
+            continue
+        best = [0.0] * (len(ws) + 1)
+        for w in found:
+            prior = best[:]
+            for k in range(len(ws)):
+                best[k + 1] = max(prior[k + 1], best[k], prior[k] + weight[w] if ws[k] == w else 0)
+        if best[-1] >= license_scan.LEAST * sum(weight[w] for w in ws) - 1e-9:
+            return True
+    return False
 
 
 def plain_labels(text, weight, base):

@@ -577,3 +577,69 @@ def test_alignment_in_slices(monkeypatch):
     assert counts == whole.partial().to_pylist()
     row = got.to_pylist()[3]
     assert row["n_overlaps"] >= sum(row["times"]) == row["n_groups"] > 0 and got.to_pylist()[2]["n_a"] == 0 == got.to_pylist()[-1]["n_b"]
+
+
+@pytest.mark.parametrize("flat", [True, False])
+def test_licences_with_words_put_in_and_left_out(spark, sf_dir, flat):
+    """Up to three words at a third, at half and at two thirds, outside of the mandatory phrases, or one left out there."""
+    weight = {w: 1.0 for t in license_scan.TEMPLATES for w in license_scan.words(t[1])} if flat else license_scan.corpus_weights(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    index = license_scan.TemplateIndex(license_scan.TEMPLATES, weight)
+    lost = []
+    for t, (label, _, _) in enumerate(license_scan.TEMPLATES):
+        ws, phrases = index.words[t], index.phrases[t]
+        if len(ws) < 20:
+            continue
+        held = {k + x for k, p in phrases for x in range(1, len(p))}
+        places = [next((x for x in range(at, len(ws)) if x not in held), None) for at in (len(ws) // 3, len(ws) // 2, 2 * len(ws) // 3)]
+        for some in ([places[0]], [places[1]], [places[2]], places):
+            for words in ([b"example"], [b"by", b"example", b"inc"]):
+                text = list(ws)
+                for at in sorted({x for x in some if x is not None}, reverse=True):
+                    text[at:at] = words
+                if label not in index.match([b"intro"] * 5 + text)[0]:
+                    lost.append((label, some, words))
+        gone = [k for k in places if k is not None and k not in held and k not in {p[0] for p in phrases}]
+        for at in gone:
+            if label not in index.match(ws[:at] + ws[at + 1 :])[0]:
+                lost.append((label, at, "left out"))
+    assert not lost
+    assert index.match([b"license", b"software"] * 20_000)[0] == set()
+
+
+def test_many_rows_of_one_id_are_dealt_out(spark, tmp_path):
+    """Rows of one doc_id, and of none, lie in several parts, each once, in one order."""
+    import zlib
+
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    docs = spark.range(4000).select(F.when(F.col("id") % 4 < 2, F.lit(None)).when(F.col("id") % 4 == 2, F.lit(7)).otherwise(F.col("id")).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"))
+    docs.repartition(6).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        token_blocks.write_blocks(spark.read.parquet(f"{tmp_path}/documents.parquet"), f"{tmp_path}/blocks", public_tokenizers.path("byte_bpe_50k.json"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r.n for r in spark.read.parquet(f"{tmp_path}/blocks").groupBy("part").agg(F.sum("n_docs").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+    got = token_blocks.read_documents(spark, f"{tmp_path}/blocks").orderBy("start").collect()
+    ids = [r.doc_id for r in got]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x or 0)) and [r.start for r in got] == [sum(r.n_tokens for r in got[:k]) for k in range(len(got))]
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert sorted(r.ids_crc32 for r in got) == sorted(zlib.crc32(np.array([*t.encode(f"text {k}").ids, 2], "<u4").tobytes()) for k in range(4000))
+
+
+def test_reparameterised_units_in_words_are_found(spark):
+    """Word problems whose units and numbers are written out, with others in their place."""
+    pairs = [
+        ("A tank holds 300 liters of water and a pump takes out 10 minutes worth of it. How much is left in the tank after that?", "A tank holds 750 gallons of water and a pump takes out 25 seconds worth of it. How much is left in the tank after that?"),
+        ("The recipe asks for 2 cups of flour, 3 teaspoons of salt and 1 pound of butter. How much of all is needed for twice the cake?", "The recipe asks for 5 grams of flour, 7 ounces of salt and 6 kilograms of butter. How much of all is needed for twice the cake?"),
+        ("Tom ran 3 miles before lunch and 4 miles after it. How far did he run in all on that day?", "Ana ran 8 kilometers before lunch and 9 kilometers after it. How far did he run in all on that day?"),
+        ("The rope is twelve feet long and the pole is seven inches wide. Which of them fits into the box?", "The rope is forty metres long and the pole is nine yards wide. Which of them fits into the box?"),
+        ("A ticket costs 15 dollars and a drink costs 40 cents at the stand near the gate of the park", "A ticket costs 25 euros and a drink costs 60 pence at the stand near the gate of the park"),
+        ("Water boils at 212 degrees and it takes 3 hours to cool it down to the heat of the room", "Water boils at 100 kelvin and it takes 45 minutes to cool it down to the heat of the room"),
+    ]
+    got = flagged(spark, [a for a, _ in pairs], [f"We read this once. {b} And so on." for _, b in pairs])
+    assert sum(k in got.get(k, []) for k in range(len(pairs))) >= 0.9 * len(pairs), got
