@@ -248,7 +248,7 @@ def write_blocks(docs: DataFrame, path: str, tokenizer: str, end: int = END) ->
         if ids:
             yield _block(part, number, first, ids, held_docs, bpe.dtype)
 
-    keyed = numbered(docs, "folium_row").select("doc_id", "text", "folium_row")
+    keyed = numbered(docs.select("doc_id", "text"), "folium_row")
     ordered = keyed.repartitionByRange(partitions(docs.sparkSession), "doc_id", "folium_row").sortWithinPartitions("doc_id", "folium_row")
     ordered.select("doc_id", "text").mapInArrow(encode, _BLOCKS).write.option("compression", "zstd").parquet(path)
 
