@@ -18,6 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folium.functions.text import bound
 from folium.llm.common import documents, free_name, numbered, text_of, written
 
 WINDOW, COVERED, RUN = 8, 0.5, 13
@@ -41,7 +42,10 @@ NAMED = (
     "dollar cent euro penny pence quid rupee yen yuan peso franc mark real ruble rouble krona krone dinar dirham pesos dólar "
     "degree percent watt kilowatt volt ampere joule calorie kilocalorie newton pascal hertz byte kilobyte megabyte gigabyte terabyte bit acre hectare dozen pair piece box bag bottle page"
 ).split()
-UNITS = GLUED + "|" + "|".join(rf"{w}(?:s|es|n|en)?" for w in sorted({*NAMED, "feet", "inches", "pennies", "centuries"}))
+IRREGULAR = ("feet", "inches", "pennies", "centuries")
+UNITS = GLUED + "|" + "|".join(rf"{w}(?:s|es|n|en)?" for w in sorted({*NAMED, *IRREGULAR}))
+#: The same as whole words, for those behind a number that is a word.
+UNIT_WORDS = sorted({*GLUED.split("|"), *IRREGULAR, *(w + end for w in NAMED for end in ("", "s", "es", "n", "en"))})
 #: Around capitalised words at the start of a sentence or line, or behind a quote or bracket (characters for private use, which are no words).
 BEGIN, END = "\ue000", "\ue001"
 #: Between capitalised words in a row, which are one name.
@@ -97,12 +101,19 @@ def slotted(text: Column, common: list[str]) -> Column:
     # Marks at the ends don't tell values apart, but signs and currencies do.
     raw = F.transform(_tokens(F.lower(spaced)), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{M}\d\p{Sc}%+\u2212-]+|[^\p{L}\p{M}\d\p{Sc}%]+$", ""))
     canon = F.transform(_tokens(_canonical(spaced)), lambda w: _typed(w, common))
-    return F.filter(F.arrays_zip(canon.alias("canon"), raw.alias("raw")), lambda p: p["canon"] != "")
+    whole = F.filter(F.arrays_zip(canon.alias("canon"), raw.alias("raw")), lambda p: p["canon"] != "")
+    return bound(whole, lambda ps: F.transform(ps, lambda p, i: F.struct(_measured(p["canon"], F.get(ps, i - 1)["canon"]).alias("canon"), p["raw"].alias("raw"))))
+
+
+def _measured(word: Column, prior: Column) -> Column:
+    """A unit behind a number is typed; behind digits it is already."""
+    return F.when((prior == "<num>") & word.isin(*UNIT_WORDS), F.lit("<unit>")).otherwise(word)
 
 
 def _hashes(text: Column, common: list[str]) -> Column:
     """Hashes of the canonical words of a canonical text."""
-    return F.transform(F.filter(_tokens(text), lambda w: w != ""), lambda w: F.xxhash64(_typed(w, common)))
+    typed = F.transform(F.filter(_tokens(text), lambda w: w != ""), lambda w: _typed(w, common))
+    return bound(typed, lambda ws: F.transform(ws, lambda w, i: F.xxhash64(_measured(w, F.get(ws, i - 1)))))
 
 
 def _windows(words: Column, sizes: list[int]) -> Column:
