@@ -5,9 +5,10 @@ An engine is built once for each partition. What it raises becomes the row's err
 
 from __future__ import annotations
 
+import functools
 import importlib.util
 from abc import ABC, abstractmethod
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from folium import config
 from folium.models.png import decode
 
-RESULT = "engine string, text string, boxes string, avg_confidence double, error string, runtime_seconds double, gpu_memory_mb double"
+RESULT = "engine string, text string, boxes string, avg_confidence double, error string, runtime_seconds double, gpu_memory_mb double, batch_size int"
 
 
 class Engine(ABC):
@@ -23,6 +24,8 @@ class Engine(ABC):
 
     name = ""
     library: str | None = None
+    #: Images that read_batch takes at once.
+    batch = 1
 
     def available(self) -> bool:
         return self.library is None or importlib.util.find_spec(self.library) is not None
@@ -30,6 +33,10 @@ class Engine(ABC):
     @abstractmethod
     def read(self, image: bytes) -> tuple[str, list[dict], float | None]: ...
 
+    def read_batch(self, images: list[bytes]) -> list[tuple[str, list[dict], float | None]]:
+        """What read() gives of each image; engines that take many images at once have their own."""
+        return [self.read(i) for i in images]
+
 
 class LengthEngine(Engine):
     """Deterministic stand-in: tells an image's length. For tests and dry runs."""
@@ -200,28 +207,63 @@ def build(name: str) -> Engine:
         raise ValueError(f"unknown engine {name}: {', '.join(sorted(REGISTRY))}") from None
 
 
-def read_pages(pages: DataFrame, engine: str, image: str = "image") -> DataFrame:
-    """pages without the image, with the engine's result and times."""
-    build(engine)  # an unknown name fails here, not on the workers
+def out_of_memory(error: Exception) -> bool:
+    return isinstance(error, MemoryError) or "out of memory" in str(error).lower()
+
+
+class Batches:
+    """Reads images in batches of an engine. Where memory runs out, the size is halved and stays so; a batch that fails otherwise is read image by image."""
+
+    def __init__(self, reader: Engine):
+        self.reader, self.size = reader, max(1, reader.batch)
+
+    def _tried(self, images: list[bytes]) -> tuple[list | None, Exception | None, config.Measured]:
+        with config.Measured() as run:
+            try:
+                if not self.reader.available():
+                    raise RuntimeError(f"{self.reader.library} is not installed")
+                got, error = self.reader.read_batch(images), None
+                if len(got) != len(images):
+                    raise ValueError(f"{len(got)} results of {len(images)} images")
+            except Exception as e:
+                got, error = None, e
+        return got, error, run
+
+    def rows(self, images: list[bytes]) -> Iterator[tuple]:
+        """text, boxes, confidence, error, seconds (an image's share of its batch's), the batch's peak MB and its size, for each image in order."""
+        at = 0
+        while at < len(images):
+            part = images[at : at + self.size]
+            got, error, run = self._tried(part)
+            if error is not None and len(part) > 1:
+                if out_of_memory(error):
+                    self.size = len(part) // 2
+                    continue
+                for image in part:
+                    one, error, run = self._tried([image])
+                    yield (*(one[0] if one else ("", [], None)), str(error) if error else None, run.seconds, run.gpu_memory_mb, 1)
+            else:
+                share = round(run.seconds / len(part), 4)
+                for text, boxes, confidence in got or [("", [], None)]:
+                    yield text, boxes, confidence, str(error) if error else None, share, run.gpu_memory_mb, len(part)
+            at += len(part)
+
+
+def read_pages(pages: DataFrame, engine: str | Callable[[], Engine], image: str = "image") -> DataFrame:
+    """pages without the image, with the engine's result, times and the size of the batch that a page was read in; engine is a name, or builds one."""
+    make = engine if callable(engine) else functools.partial(build, engine)
+    make()  # an unknown name fails here, not on the workers
     import json
 
     keep = [c for c in pages.columns if c != image]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema if f.name != image)
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        reader = build(engine)
+        reader = make()
+        batches = Batches(reader)
         for frame in frames:
-            rows = []
-            for content in frame[image]:
-                text, boxes, confidence, error = "", [], None, None
-                with config.Measured() as run:
-                    try:
-                        if not reader.available():
-                            raise RuntimeError(f"{reader.library} is not installed")
-                        text, boxes, confidence = reader.read(bytes(content or b""))
-                    except Exception as e:
-                        error = str(e)
-                rows.append((reader.name, text, json.dumps(boxes, ensure_ascii=False), confidence, error, run.seconds, run.gpu_memory_mb))
+            found = batches.rows([bytes(c or b"") for c in frame[image]])
+            rows = [(reader.name, text, json.dumps(boxes, ensure_ascii=False), *rest) for text, boxes, *rest in found]
             got = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
             got["gpu_memory_mb"] = got["gpu_memory_mb"].astype("float64")
             yield pd.concat([frame[keep].reset_index(drop=True), got], axis=1)

@@ -1,53 +1,21 @@
-"""Vision-language models: a server process of one's own, an HTTP client that never fails a task, and a model inside the worker."""
+"""Vision-language models: a server process for each executor, an HTTP client that never fails a task, and a model inside the worker."""
 
 from __future__ import annotations
 
+import hashlib
+import http.client
 import json
-import subprocess
+import os
 import time
 import urllib.error
-import urllib.request
 from collections.abc import Callable
 
 from folium import config
 from folium.models.answers import HttpModel
+from folium.models.keeper import READY, TAIL, Held, Server  # noqa: F401
 
-#: Seconds that a server may take to get ready and to stop, and characters of its errors that are shown.
-READY, STOP, TAIL = 180, 10, 4000
-
-
-class Server:
-    """A model server as a child process: with Server(command, health) as s. It is stopped whatever happens inside."""
-
-    def __init__(self, command: list[str], health: str, ready: float = READY, pause: float = 1.0):
-        self.command, self.health, self.ready, self.pause = command, health, ready, pause
-        self.process: subprocess.Popen | None = None
-
-    def __enter__(self) -> Server:
-        self.process = subprocess.Popen(self.command, stdout=subprocess.DEVNULL, stderr=subprocess.PIPE, text=True, errors="replace")
-        end = time.monotonic() + self.ready
-        while time.monotonic() < end:
-            if self.process.poll() is not None:
-                raise RuntimeError(f"the server ended with {self.process.returncode}: {self.process.stderr.read()[-TAIL:]}")
-            try:
-                with urllib.request.urlopen(self.health, timeout=5) as reply:
-                    if reply.status == 200:
-                        return self
-            except OSError:
-                pass
-            time.sleep(self.pause)
-        self.__exit__()
-        raise TimeoutError(f"the server wasn't ready after {self.ready} seconds")
-
-    def __exit__(self, *_) -> None:
-        if self.process is None or self.process.poll() is not None:
-            return
-        self.process.terminate()
-        try:
-            self.process.wait(STOP)
-        except subprocess.TimeoutExpired:
-            self.process.kill()
-            self.process.wait()
+#: How often a page is sent again to a server that ended over it, and the pause before that, in seconds.
+AGAIN, PAUSE = 3, 0.2
 
 
 class SafeHttpModel(HttpModel):
@@ -62,6 +30,42 @@ class SafeHttpModel(HttpModel):
             return json.dumps({"error": str(e)})
 
 
+class ExecutorModel:
+    """A model of the server that all workers of an executor share; it ends some seconds after the last of them let go.
+
+    command has {port} where the server's port belongs. A page is sent again where the server ended over it; what the
+    server itself answers with an error, or doesn't answer in time, is the page's error. Workers of an executor have one parent process.
+    """
+
+    def __init__(self, command: list[str], health: str = "/", path: str = "/", timeout: float = 600, ready: float = READY, linger: float = 30.0, executor: str | None = None):
+        executor = executor or f"{os.readlink('/proc/self/ns/pid')}-{os.getppid()}"
+        name = f"folium-{executor}-{hashlib.sha256(json.dumps(command).encode()).hexdigest()[:16]}"
+        self.held, self.path, self.timeout = Held(name, command, health, ready, linger), path, timeout
+        self.port: int | None = None
+
+    def __call__(self, prompt: str, image: bytes | None) -> str:
+        for k in range(AGAIN + 1):
+            self.port = self.port or self.held.port()
+            try:
+                return HttpModel(f"http://127.0.0.1:{self.port}{self.path}", self.timeout)(prompt, image)
+            except (urllib.error.HTTPError, TimeoutError):
+                raise
+            except (OSError, http.client.HTTPException, ValueError) as e:
+                if k == AGAIN:
+                    raise
+                time.sleep(PAUSE)
+                before, self.port = self.port, self.held.port()
+                # Half an answer counts as the page's error, unless the server ended over it.
+                if self.port == before and not isinstance(e, OSError):
+                    raise
+        raise AssertionError
+
+
+def executor_model(command: list[str], **options) -> Callable[[], Callable[[str, bytes | None], str]]:
+    """A builder of ExecutorModel, for answers.ask and answers.clean_texts."""
+    return lambda: ExecutorModel(command, **options)
+
+
 def transformers_model(path: str, max_new_tokens: int = 1000) -> Callable[[], Callable[[str, bytes | None], str]]:
     """A builder of a model inside the worker, for answers.ask; of the library's classes for images and text the first that it has."""
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,6 +77,39 @@ def review_rows(records: DataFrame) -> DataFrame:
     return records.select(*[made.get(n, col(n)).alias(n) for n in ROW])
 
 
+class Session:
+    """Rows under review that stay in memory, or on disk, until a save: with Session(load) as s, s.rows().
+
+    load reads the records. save() runs what writes and lets the kept rows go, whether or not it worked; the next rows() reads again.
+    """
+
+    def __init__(self, load: Callable[[], DataFrame], level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
+        self.load, self.level = load, level
+        self._kept: DataFrame | None = None
+
+    def rows(self) -> DataFrame:
+        if self._kept is None:
+            self._kept = review_rows(self.load()).persist(self.level)
+        return self._kept
+
+    def save(self, write: Callable[[], object]) -> None:
+        try:
+            write()
+        finally:
+            self.invalidate()
+
+    def invalidate(self) -> None:
+        if self._kept is not None:
+            self._kept.unpersist()
+            self._kept = None
+
+    def __enter__(self) -> Session:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.invalidate()
+
+
 def latest_run_id(rows: DataFrame) -> DataFrame:
     """run_id: the first by document and page that isn't null; null if none is."""
     return rows.where("run_id IS NOT NULL").agg(F.min_by("run_id", F.struct("document_id", "page", "run_id")).alias("run_id"))

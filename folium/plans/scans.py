@@ -1,14 +1,16 @@
-"""Queries over page images, drawn from the characters of `pages`."""
+"""Queries over page images, drawn from the characters of `pages`, and over engines and servers that stand in for models."""
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from folium.models import images, png
+from folium.models import answers, engines, images, png, server
 from folium.plans.base import query, table
 
 # Characters of a line, pixels of a character's side, and the white border.
@@ -72,3 +74,44 @@ def page_ink(spark: SparkSession, sf_dir: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["document_id", "ink", "x", "y"]).astype({"x": "Int64", "y": "Int64"})
 
     return _scans(spark, sf_dir).select("document_id", "image").mapInPandas(count, "document_id string, ink long, x long, y long")
+
+
+class Narrow(engines.LengthEngine):
+    """A stand-in that takes 64 images at once, but holds five only, and can't read those of an odd length."""
+
+    name, batch = "narrow", 64
+
+    def read_batch(self, images: list[bytes]) -> list[tuple[str, list[dict], float | None]]:
+        if len(images) > 5:
+            raise MemoryError
+        if any(len(i) % 2 for i in images):
+            raise ValueError("odd")
+        return super().read_batch(images)
+
+
+@query("SELECT page_id, CASE WHEN strlen(html) % 2 = 1 THEN '' ELSE coalesce(strlen(html), 0) || ' bytes' END AS text, CASE WHEN strlen(html) % 2 = 1 THEN 'odd' END AS error, true AS fits FROM pages")
+def ocr_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page comes back from an engine whose memory doesn't hold its batches, broken pages by themselves."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("html").cast("binary").alias("image"))
+    return engines.read_pages(pages, Narrow).select("page_id", "text", "error", (F.col("batch_size") <= 5).alias("fits"))
+
+
+# A model server that tells the length of what it is asked.
+LENGTH_SERVER = """
+import http.server, json, sys
+class H(http.server.BaseHTTPRequestHandler):
+    def do_GET(self): self.answer(b"ok")
+    def do_POST(self):
+        asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["messages"][0]["content"][-1]["text"]
+        self.answer(json.dumps({"choices": [{"message": {"content": str(len(asked))}}]}).encode())
+    def answer(self, body): self.send_response(200); self.end_headers(); self.wfile.write(body)
+    def log_message(self, *a): pass
+http.server.ThreadingHTTPServer(("127.0.0.1", int(sys.argv[1])), H).serve_forever()
+"""
+
+
+@query("SELECT page_id::VARCHAR AS document_id, length(coalesce(html, ''))::VARCHAR AS text, NULL::VARCHAR AS error FROM pages")
+def served_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page asked of the server that its executor's workers start and share."""
+    pages = table(spark, sf_dir, "pages").selectExpr("cast(page_id AS string) AS document_id", "1 AS page", "'pages' AS source", "cast(null AS binary) AS image", "coalesce(html, '') AS prompt")
+    return answers.ask_each(pages, server.executor_model([sys.executable, "-c", LENGTH_SERVER, "{port}"], linger=5.0)).select("document_id", "text", "error")
