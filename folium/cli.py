@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import shlex
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
@@ -35,13 +36,15 @@ def _stamp():
 
 
 def _model(a: argparse.Namespace) -> Callable[[], Callable[[str, bytes | None], str]]:
-    """How workers get at the model: a server's address, or a checkpoint that they load."""
+    """How workers get at the model: a server's address, the command of a server that each executor starts, or a checkpoint that they load."""
     if a.server:
         url = a.server
         return lambda: server.SafeHttpModel(url)
+    if a.serve:
+        return server.executor_model(shlex.split(a.serve), safe=True, health=a.health, path=a.path)
     if a.model:
         return server.transformers_model(a.model)
-    raise ValueError("--server or --model has to name a model")
+    raise ValueError("--server, --serve or --model has to name a model")
 
 
 def preprocess(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
@@ -135,7 +138,7 @@ def run_transcription(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if not a.overwrite:
         pages = pages.where("transcript IS NULL")
     got = answers.ask(pages.withColumn("transcript", F.lit(None).cast("string")), _model(a), a.prompt).where("error IS NULL")
-    name = F.lit(a.server or a.model)
+    name = F.lit(a.server or a.serve or a.model)
     made = got.select("document_id", "page", F.nullif(F.trim("text"), F.lit("")).alias("transcript"), sinks.transcript(F.col("document_id"), F.col("page"), name, F.col("text")).alias("markdown"))
     made.write.mode("overwrite" if a.overwrite else "append").parquet(path)
     return spark.read.parquet(path)
@@ -162,7 +165,7 @@ def pipeline(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if bad:
         raise RuntimeError(f"{a.engine} read no text of {bad.input_file}: {bad.error or 'nothing there'}")
     rows = read.withColumn("image_file", F.col("input_file"))
-    asks = a.server or a.model
+    asks = a.server or a.serve or a.model
     rows = _look(rows, _model(a), F.lit(a.prompt), "extracted", "extraction") if asks else rows.withColumns(_none("extracted", "extraction"))
     first = documents.merged(rows.withColumns(_none("corrected", "correction"))).select("input_file", F.col("extracted_fields").alias("_first"))
     rows = rows.join(first, "input_file")
@@ -269,7 +272,7 @@ COMMANDS = {
     "run-llm-clean": run_llm_clean, "pipeline": pipeline, "aggregate": aggregate, "build-finetune-data": build_finetune_data, "evaluate": evaluate, "check-tokenizer": check_tokenizer,
     "download-model": download_model, "review": review_list, "review-save": review_save,
 }
-_TEXTS = {"input": "input", "output": "output", "engine": "stub", "engines": "stub", "mode": "all", "variant": "raw", "truth": None, "run": None, "prompt": "Read the page.", "content": None, "server": None, "model": None, "text": "one, two", "files": "", "document": None, "search": None, "edits": None}
+_TEXTS = {"input": "input", "output": "output", "engine": "stub", "engines": "stub", "mode": "all", "variant": "raw", "truth": None, "run": None, "prompt": "Read the page.", "content": None, "server": None, "serve": None, "health": "/health", "path": "/v1/chat/completions", "model": None, "text": "one, two", "files": "", "document": None, "search": None, "edits": None}
 _NUMBERS = {"ratio": 0.1, "confidence": 0.0}
 _WHOLE = {"dpi": 300, "limit": None}
 _FLAGS = ("overwrite", "all", "errors", "flags")

@@ -18,7 +18,7 @@ from folium.models.keeper import READY, TAIL, Held, Server  # noqa: F401
 AGAIN, PAUSE = 3, 0.2
 
 
-class SafeHttpModel(HttpModel):
+class Safe:
     """A server's errors come back as an answer that says so: {"error": ...}."""
 
     def __call__(self, prompt: str, image: bytes | None) -> str:
@@ -26,10 +26,14 @@ class SafeHttpModel(HttpModel):
             return super().__call__(prompt, image)
         except urllib.error.HTTPError as e:
             return json.dumps({"error": f"HTTP {e.code}", "raw_output": e.read().decode("utf-8", "replace")[:TAIL]})
-        except (OSError, KeyError, ValueError) as e:
+        except (OSError, http.client.HTTPException, RuntimeError, KeyError, ValueError) as e:
             return json.dumps({"error": str(e)})
 
 
+class SafeHttpModel(Safe, HttpModel):
+    pass
+
+
 class ExecutorModel:
     """A model of the server that all workers of an executor share; it ends some seconds after the last of them let go.
 
@@ -61,9 +65,13 @@ class ExecutorModel:
         raise AssertionError
 
 
-def executor_model(command: list[str], **options) -> Callable[[], Callable[[str, bytes | None], str]]:
-    """A builder of ExecutorModel, for answers.ask and answers.clean_texts."""
-    return lambda: ExecutorModel(command, **options)
+class SafeExecutorModel(Safe, ExecutorModel):
+    pass
+
+
+def executor_model(command: list[str], safe: bool = False, **options) -> Callable[[], Callable[[str, bytes | None], str]]:
+    """A builder of ExecutorModel, for answers.ask and, where errors are to be answers, answers.clean_texts."""
+    return lambda: (SafeExecutorModel if safe else ExecutorModel)(command, **options)
 
 
 def transformers_model(path: str, max_new_tokens: int = 1000) -> Callable[[], Callable[[str, bytes | None], str]]:

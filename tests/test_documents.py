@@ -1,6 +1,7 @@
 """Records out of several origins, reports, review, images and model servers."""
 
 import json
+import shlex
 import sys
 
 import numpy as np
@@ -258,6 +259,9 @@ def test_commands_that_ask_a_model(spark, tmp_path):
         cli.run_ocr(spark, options("run-ocr", **given))
         cleaned = cli.run_llm_clean(spark, options("run-llm-clean", **given, prompt="clean", mode="raw"))
         assert {r.cleaned[:5] for r in cleaned.collect()} == {"CLEAN"}
+        served = {**{k: v for k, v in given.items() if k != "server"}, "serve": shlex.join([sys.executable, "-c", SERVER, "{port}"])}
+        own = cli.run_transcription(spark, options("run-transcription", **served, prompt="text of it", limit=0)).collect()
+        assert {r.transcript for r in own} == {"TEXT OF IT"}
         record = cli.pipeline(spark, options("pipeline", **{**given, "input": tmp_path / "in" / "p0.png"}, prompt='{"SUBJECT": 1}')).first()
         assert (record.ocr_engine, record.extraction_mode, record.error if "error" in record else None) == ("stub", "vlm_image", None)
     board = cli.full_benchmark(spark, options("full-benchmark", **given, engines="stub,nothing")).collect()

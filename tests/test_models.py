@@ -78,7 +78,7 @@ def test_pages_of_an_engine_that_is_handed_over(spark):
     assert {r.page: (r.text, r.error) for r in rows} == {k: (f"{k} bytes", None) for k in range(9)} and max(r.batch_size for r in rows) <= 3
 
 
-# Tells its process; asked to die it ends without an answer, but once only for each file.
+# Tells its process; asked to die it ends without an answer, asked for half with half of one, but once only for each file. Asked for junk it gives no JSON.
 MORTAL = """
 import http.server, json, os, sys
 class H(http.server.BaseHTTPRequestHandler):
@@ -88,6 +88,13 @@ class H(http.server.BaseHTTPRequestHandler):
         if asked.startswith("die ") and not os.path.exists(asked[4:]):
             open(asked[4:], "w").close()
             os._exit(1)
+        if asked.startswith("half ") and not os.path.exists(asked[5:]):
+            open(asked[5:], "w").close()
+            self.answer(b'{"choices": [')
+            self.wfile.flush()
+            os._exit(1)
+        if asked == "junk":
+            return self.answer(b"junk")
         self.answer(json.dumps({"choices": [{"message": {"content": str(os.getpid())}}]}).encode())
     def answer(self, body): self.send_response(200); self.end_headers(); self.wfile.write(body)
     def log_message(self, *a): pass
@@ -120,12 +127,16 @@ def test_workers_of_an_executor_share_a_server(tmp_path):
     # It ends over a page: a new one answers that page, and the other worker.
     second = one(f"die {tmp_path / 'once'}", None)
     assert second != first and two("who", None) == second and ended(int(first))
+    third = one(f"half {tmp_path / 'half'}", None)
+    assert third != second and two("who", None) == third
+    with pytest.raises(ValueError):
+        one("junk", None)
     # It stays as long as one holds on to it.
     one.held.close()
     time.sleep(1.5)
-    assert two("who", None) == second
+    assert two("who", None) == third
     two.held.close()
-    assert ended(int(second))
+    assert ended(int(third))
     other.held.close()
 
 
