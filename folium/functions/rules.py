@@ -7,6 +7,8 @@ coalesce stops at the first match. A match of nothing but marks gives an empty s
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,10 +82,26 @@ FLAGS = "(?iumdU)"
 NOTE = "Rule-based extraction; review manually for Kurdish/Arabic variation."
 
 
+#: What a pattern may lack, or that isn't itself: heads of groups, classes, escapes, and characters with a count from none on.
+_LOOSE = re.compile(r"\(\?:|(?:\[[^\]]*\]|\\.)(?:[?*+]|\{[^}]*\})?|.(?:[?*]|\{0?,[^}]*\})|\{[^}]*\}|[()^$+]")
+
+
+def needed(pattern: str) -> str:
+    """The longest run of characters without case that every match of the pattern holds; empty if there is none."""
+    runs = [] if re.search(r"\||\)(?:[?*]|\{0?,)", pattern) else _LOOSE.sub(" ", pattern).split()
+    return max((r for r in runs if r.upper() == r.lower()), key=len, default="")
+
+
+def _match(text: Column, pattern: str) -> Column:
+    """Group 1 of the first match, or null. Texts without the characters that it needs, found by a search of bytes, are not matched."""
+    found = F.nullif(F.regexp_extract(text, FLAGS + pattern, 1), F.lit(""))
+    return F.when(F.contains(text, F.lit(needed(pattern))), found) if needed(pattern) else found
+
+
 def field(text: Column, name: str) -> Column:
     """One field of a text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    tries = [F.nullif(F.regexp_extract(text, FLAGS + p, 1), F.lit("")) for p in RULES[name]]
+    tries = [_match(text, p) for p in RULES[name]]
     return F.btrim(F.coalesce(*tries), F.lit(STRIP))
 
 

@@ -163,12 +163,14 @@ LABELS = ("quality", "toxic")
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with rule fields, lights of CHECKED, and predictions of the labels scored against the truth."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    found = docs.select("doc_id", "source", "text", *[rules.field(F.col("text"), n).alias(n) for n in CHECKED])
+    # What later steps ask of a text is made here: the text itself doesn't go on into the join.
+    text = F.coalesce("text", F.lit(""))
+    made = {"has_id": rules.field(F.col("text"), "national_id").isNotNull(), "chars": F.length(text), "blank": F.trim(text) == ""}
+    found = docs.select("doc_id", "source", *[c.alias(n) for n, c in made.items()], *[rules.field(F.col("text"), n).alias(n) for n in CHECKED])
     lights = F.array(*[validate.light(n, F.col(n))["status"] for n in CHECKED])
-    has_id = rules.field(F.col("text"), "national_id").isNotNull()
-    found = found.select("doc_id", "source", "text", has_id.alias("has_id"), lights.alias("lights"))
+    found = found.select("doc_id", "source", *made, lights.alias("lights"))
     count = lambda s: F.size(F.filter("lights", validate._is_text(s)))
-    found = found.select("doc_id", "source", "text", "has_id", *[count(s).cast("long").alias(s) for s in ("green", "yellow", "red")])
+    found = found.select("doc_id", "source", *made, *[count(s).cast("long").alias(s) for s in ("green", "yellow", "red")])
     found = found.withColumns({"quality": (F.col("red") == 0).cast("int"), "toxic": F.lit(0)})
     return scoring.score(found, table(spark, sf_dir, "labels"), ["doc_id"], LABELS)
 
@@ -198,8 +200,8 @@ def flagship_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     board = rows.groupBy(F.coalesce("source", F.lit("unknown")).alias("engine")).agg(
         F.count(F.lit(1)).alias("pages"),
         F.count_if(F.col("total") > 0).alias("labelled_pages"),
-        F.count_if(F.trim(F.coalesce("text", F.lit(""))) == "").alias("error_pages"),
-        F.round(F.avg(F.length(F.coalesce("text", F.lit("")))), 2).alias("avg_raw_text_chars"),
+        F.count_if("blank").alias("error_pages"),
+        F.round(F.avg("chars"), 2).alias("avg_raw_text_chars"),
         scoring.mean(F.col("field_accuracy")).alias("field_accuracy"),
         *[F.sum(c).alias(c) for c in ("red", "yellow", "green")],
         F.count_if("has_id").alias("national_ids"),

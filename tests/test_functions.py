@@ -1,4 +1,7 @@
 import json
+import random
+import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,6 +34,31 @@ def test_rules(spark, name, text, want):
     assert one(spark, rules.field(F.col("v"), name), text) == want
 
 
+def test_matches_need_some_characters():
+    assert rules.needed(r"(\+?964[\d\s\-]{7,}\d)") == "964"
+    assert rules.needed(r"(وه?بەره[یي]نان[^\n]{0,40})") == "بەره"
+    assert rules.needed(r"^([A-Z][A-Z]+(?:\s+[A-Z][A-Z]+){1,3})$") == rules.needed("(ژ|ر)") == rules.needed("(?:ژ)?[0-9]") == ""
+    for alternatives in rules.RULES.values():
+        for p in alternatives:
+            assert rules.needed(p) in p
+
+
+def test_repeated_is_the_count_of_grams(spark):
+    """Both forms against counts of 2-, 3- and 4-grams, over white space of ASCII and beyond."""
+    rng = random.Random(5)
+    texts = [None, "", " ", "a b a b a b a b", "a b a b a b a", "x " * 400, "ä\u00a0b " * 4, "a\x1cb\u2003" * 4, "a\u200bb " * 4 + "c d e f"]
+    texts += [rng.choice(" \t\n\u3000").join(rng.choices("abcdeز", k=rng.randrange(4, 40))) for _ in range(300)]
+
+    def want(text):
+        ws = (text or "").split()
+        counts = Counter(tuple(ws[i : i + n]) for n in (2, 3, 4) for i in range(len(ws) - n + 1))
+        return len(ws) >= 8 and max(counts.values()) >= 4
+
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    assert {r.k: r.repeated for r in validate.repeated_rows(rows, "k", "v").collect()} == {k: want(t) for k, t in enumerate(texts)}
+    assert {r.k: r.r for r in rows.select("k", validate.repeated(F.col("v")).alias("r")).collect()} == {k: want(t) for k, t in enumerate(texts)}
+
+
 def test_extract_fills_the_schema(spark):
     row = rules.extract(spark.createDataFrame([("Identity Card",)], "text string")).first()
     assert (row.document_type, row.attachments, row.stamp_present, row.confidence_notes) == ("Identity Card", [], None, rules.NOTE)
