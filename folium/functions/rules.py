@@ -98,11 +98,16 @@ def _match(text: Column, pattern: str) -> Column:
     return F.when(F.contains(text, F.lit(needed(pattern))), found) if needed(pattern) else found
 
 
+#: What every alternative of a field holds. It is searched first, where an alternative itself goes through the rest of the text
+#: behind each place that it may begin at.
+HELD = {"national_id": "[0-9]{8}"}
+
+
 def field(text: Column, name: str) -> Column:
     """One field of a text; null counts as empty."""
     text = F.coalesce(text, F.lit(""))
-    tries = [_match(text, p) for p in RULES[name]]
-    return F.btrim(F.coalesce(*tries), F.lit(STRIP))
+    found = F.coalesce(*[_match(text, p) for p in RULES[name]])
+    return F.btrim(F.when(text.rlike(HELD[name]), found) if name in HELD else found, F.lit(STRIP))
 
 
 def extract(df: DataFrame, text: str = "text", fields: list[str] | None = None, notes: Column | None = None) -> DataFrame:
