@@ -21,18 +21,28 @@ def drawn(text: str) -> np.ndarray:
     """A page with a black square for each character that is no white space."""
     rows = -(-len(text) // LINE)
     ink = np.zeros(rows * LINE, bool)
-    ink[: len(text)] = [c not in " \t\r\n" for c in text]
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
+    ink[: len(text)] = np.all([codes != ord(c) for c in " \t\r\n"], axis=0)
     cells = np.where(ink.reshape(rows, LINE), 0, 255).astype(np.uint8)
     return np.pad(cells.repeat(CELL, axis=0).repeat(CELL, axis=1), BORDER, constant_values=255)
 
 
+#: Tasks for each core, where a table in few files would leave cores idle that images could be made on.
+SPREAD = 4
+
+
 def _scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An image for each page. A page takes far longer to work on than to send, so few large parts are dealt out anew."""
+
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             content = [png.encode(drawn(t or "")) for t in frame["html"]]
             yield pd.DataFrame({"document_id": frame["page_id"].astype(str), "page": 1, "image": content})
 
-    return table(spark, sf_dir, "pages").select("page_id", "html").mapInPandas(draw, "document_id string, page int, image binary")
+    pages, parts = table(spark, sf_dir, "pages").select("page_id", "html"), SPREAD * spark.sparkContext.defaultParallelism
+    if pages.rdd.getNumPartitions() < parts:
+        pages = pages.repartition(parts, "page_id")
+    return pages.mapInPandas(draw, "document_id string, page int, image binary")
 
 
 def _side(low: str, high: str, size: str) -> str:
